@@ -19,23 +19,19 @@ FOLDS_TO_ASCII = ("\u017f", "\u212a", "\u0131", "\u0130")
 _SHORTHAND = {"s": SPACE, "w": WORD, "d": DIGIT}
 
 
-def to_java(pattern: str, ignore_case: bool = True) -> str:
-    """Java equivalent of a Python ``re`` pattern."""
-    if re.compile(pattern).match(""):
-        raise ValueError(f"pattern matches the empty string: {pattern!r}")
-    pattern = pattern.removeprefix("(?i)")
+def expand_shorthand(pattern: str, bodies: dict[str, str] = _SHORTHAND) -> str:
+    """Spell out the shorthand classes of a Python pattern and escape what Java treats specially inside a class."""
     out, in_class = [], False
     for token in re.findall(r"\\.|.", pattern, re.DOTALL):
         if len(token) == 2:
-            body = _SHORTHAND.get(token[1])
+            body = bodies.get(token[1])
             if body:
                 token = body if in_class else f"[{body}]"
-            elif token[1].lower() in _SHORTHAND:
+            elif token[1].lower() in bodies:
                 if in_class:
                     raise ValueError(f"{token} inside a character class is not supported: {pattern!r}")
-                token = f"[^{_SHORTHAND[token[1].lower()]}]"
+                token = f"[^{bodies[token[1].lower()]}]"
         elif token == "[":
-            # Java reads a bracket inside a class as a nested class.
             token = r"\[" if in_class else token
             in_class = True
         elif token == "]":
@@ -43,7 +39,14 @@ def to_java(pattern: str, ignore_case: bool = True) -> str:
         elif token == "&" and in_class:
             token = r"\&"
         out.append(token)
-    return ("(?iuUd)" if ignore_case else "(?Ud)") + "".join(out)
+    return "".join(out)
+
+
+def to_java(pattern: str, ignore_case: bool = True) -> str:
+    """Java equivalent of a Python ``re`` pattern."""
+    if re.compile(pattern).match(""):
+        raise ValueError(f"pattern matches the empty string: {pattern!r}")
+    return ("(?iuUd)" if ignore_case else "(?Ud)") + expand_shorthand(pattern.removeprefix("(?i)"))
 
 
 def glob_to_java(glob: str) -> str:

@@ -157,21 +157,19 @@ def scan_text(df: DataFrame, text: str, rules=CONTENT_PACK) -> DataFrame:
 def _line_arrays(rules: tuple[Rule, ...]) -> tuple[list[Column], list[Column]]:
     line, lowered, folds = F.col("line"), F.col("_lower"), F.col("_folds")
     gates = [_gate(r, line, lowered, folds) for r in rules]
-    arrays = []
-    for i, (rule, gate) in enumerate(zip(rules, gates)):
-        shaped = F.transform(_matches(line, rule.java), lambda s, k, i=i: F.struct(
-            F.lit(i).alias("rule_ord"), k.alias("match_ord"), s.alias("secret")
-        ))
-        arrays.append(F.coalesce(F.when(gate, shaped.cast(_LINE_HIT)), F.array().cast(_LINE_HIT)))
-    return gates, arrays
+    return gates, [_line_matches(line, gate, rule.java, i) for i, (rule, gate) in enumerate(zip(rules, gates))]
+
+
+def _line_matches(line: Column, gate: Column, pattern: str, rule_ord: int) -> Column:
+    shaped = F.transform(_matches(line, pattern), lambda s, k: F.struct(
+        F.lit(rule_ord).alias("rule_ord"), k.alias("match_ord"), s.alias("secret")
+    ))
+    return F.coalesce(F.when(gate, shaped.cast(_LINE_HIT)), F.array().cast(_LINE_HIT))
 
 
 def _entropy_array(line: Column, min_length: int) -> tuple[Column, Column]:
     gate = F.octet_length(line) >= min_length
-    shaped = F.transform(_matches(line, E.candidate_pattern(min_length)), lambda s, k: F.struct(
-        F.lit(_ENTROPY_ORD).alias("rule_ord"), k.alias("match_ord"), s.alias("secret")
-    ))
-    return gate, F.coalesce(F.when(gate, shaped.cast(_LINE_HIT)), F.array().cast(_LINE_HIT))
+    return gate, _line_matches(line, gate, E.candidate_pattern(min_length), _ENTROPY_ORD)
 
 
 def _lines_with_hits(files: DataFrame, content: str, gates: list[Column], arrays: list[Column]) -> DataFrame:

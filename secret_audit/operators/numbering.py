@@ -52,6 +52,6 @@ def document_parts(df: DataFrame, group, id_col: str = "id", target: int = 5000,
     """
     group = [group] if isinstance(group, str) else list(group)
     sizes = df.groupBy(*group).agg(F.count("*").alias("group_size"))
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.lit(16.0), F.col("group_size") / F.lit(float(target)))).cast("int"))
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("group_size") / F.lit(float(target)))).cast("int"))
     sized = sizes.withColumn("_digits", digits)
     return df.join(sized, group).withColumn(out, F.col(id_col).substr(F.lit(1), F.col("_digits"))).drop("_digits")

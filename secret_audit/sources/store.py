@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from secret_audit.operators.numbering import document_parts
 from secret_audit.schemas import FINDINGS, SCAN_RUNS, SCANS
 
+# JSON keeps microseconds; Spark's default format would cut them.
+_JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 RAW_COLUMNS = {"secret", "content", "raw", "line"}
 
 
@@ -29,24 +32,25 @@ def finding_documents(findings: DataFrame, stored_at, target: int = 5000) -> Dat
 
 
 def write_finding_documents(findings: DataFrame, path: str, stored_at, target: int = 5000) -> None:
-    finding_documents(findings, stored_at, target).write.mode("overwrite").partitionBy("scan_id").json(path)
+    finding_documents(findings, stored_at, target).write.mode("overwrite").options(**_JSON_TIME).partitionBy("scan_id").json(path)
 
 
 def read_finding_documents(spark: SparkSession, path: str) -> DataFrame:
     """Findings from the documents, one row each."""
     item = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in FINDINGS if f.name != "scan_id")
     schema = f"scan_id string, part string, findings array<struct<{item}>>, count long, stored_at timestamp"
-    return spark.read.schema(schema).json(path).select("scan_id", F.inline("findings"))
+    return spark.read.schema(schema).options(**_JSON_TIME).json(path).select("scan_id", F.inline("findings"))
 
 
 def write_scan_metadata(scans: DataFrame, path: str, stored_at) -> None:
     stamped = scans.withColumn("stored_at", F.lit(stored_at).cast("timestamp"))
-    stamped.write.mode("append").json(path)
+    stamped.write.mode("append").options(**_JSON_TIME).json(path)
 
 
 def read_scan_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Newest stored metadata of each scan."""
-    stored = spark.read.schema(SCANS.add("stored_at", "timestamp") if "stored_at" not in SCANS.names else SCANS).json(path)
+    schema = T.StructType([*SCANS.fields, T.StructField("stored_at", T.TimestampType())])
+    stored = spark.read.schema(schema).options(**_JSON_TIME).json(path)
     return stored.groupBy("id").agg(F.max_by(F.struct(*stored.columns), "stored_at").alias("_s")).select("_s.*")
 
 
