@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from secret_audit.sources.files import spread
+
 Q = "chr(39)"
 NL = "chr(10)"
 
@@ -101,7 +103,7 @@ def plant(documents: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plant(table(spark, sf_dir, "documents"))
+    return plant(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"))
 
 
 def files_cte() -> str:

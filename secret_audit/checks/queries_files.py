@@ -225,9 +225,9 @@ _DOC_COLS = "id, scan_id, file_path, type, line_start, fingerprint"
 
 
 def _findings(spark, sf):
-    from secret_audit.checks.queries_findings import findings
+    from secret_audit.checks.queries_findings import stored_findings
 
-    return findings(spark, sf)
+    return stored_findings(spark, sf)
 
 
 @query("finding_documents_roundtrip", o.on_findings(

@@ -15,6 +15,7 @@ from secret_audit.operators import verdicts as V
 from secret_audit.operators.merge import append_notes, union_all
 from secret_audit.plans.dashboard import dashboard
 from secret_audit.plans.repo_scan import merged_findings, scan_findings, scan_results
+from secret_audit.sources.store import materialize
 
 _STATUS = "CASE doc_id % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'ACKNOWLEDGED' WHEN 2 THEN 'RESOLVED' ELSE 'FALSE_POSITIVE' END"
 
@@ -37,6 +38,15 @@ def findings(spark, sf):
     return with_times(merged_findings(raw_findings(spark, sf)))
 
 
+def stored_findings(spark, sf):
+    """Findings written once, for queries that read them more than once."""
+    return materialize(findings(spark, sf))
+
+
+def stored_raw(spark, sf):
+    return materialize(raw_findings(spark, sf))
+
+
 _ID = "id, scan_id, file_path, type, severity, confidence, line_start, line_end, engine, fingerprint, masked_preview"
 
 
@@ -163,7 +173,7 @@ def alert_digest(spark, sf):
     "LEFT JOIN (SELECT doc_id, id, confidence, type FROM findings) m USING (doc_id) GROUP BY scan_id"))
 def cycle_summary(spark, sf):
     null = F.lit(None)
-    found = findings(spark, sf).select(
+    found = stored_findings(spark, sf).select(
         F.col("scan_id").alias("run_id"), "commit_sha", null.cast("string").alias("context_id"), F.col("id").alias("finding_id"),
         (F.col("confidence") >= 0.8).alias("alerted"), (F.col("type") == "aws_access_key").alias("acted"),
         null.cast("string").alias("error"), "doc_id")
@@ -188,7 +198,7 @@ def scans_with_counts(spark, sf):
     f"LEFT JOIN (SELECT scan_id, {o.risk()} AS risk FROM findings GROUP BY scan_id) r ON r.scan_id = s.id "
     "LEFT JOIN findings f ON f.scan_id = s.id", o.REPO_SCANS))
 def scan_report(spark, sf):
-    found = findings(spark, sf)
+    found = stored_findings(spark, sf)
     ids = corpus.repo_scans(spark, sf).select(F.col("id").alias("scan_id"))
     scores = A.risk_scores(found, ids, decimals=None).select(F.col("scan_id").alias("id"), "risk_score")
     scans = corpus.repo_scans(spark, sf).join(scores, "id")
@@ -248,7 +258,7 @@ def finding_lookup(spark, sf):
     "SELECT id, type, file_path FROM findings WHERE contains(lower(concat_ws(chr(10), type, description, file_path, repo)), 'settings') "
     "OR contains(lower(description), 'aws')"))
 def finding_search(spark, sf):
-    f = findings(spark, sf)
+    f = stored_findings(spark, sf)
     both = L.search(f, "Settings").unionByName(L.search(f, "AWS", columns=("description",))).dropDuplicates(["id"])
     return both.select("id", "type", "file_path")
 
@@ -287,7 +297,7 @@ _HUNK = (
     "FROM findings GROUP BY scan_id"))
 def unified_diff(spark, sf):
     # One part per scan at the test scales; finding_document_parts covers the split.
-    return reports.unified_diff(findings(spark, sf), target=1_000_000)
+    return reports.unified_diff(stored_findings(spark, sf), target=1_000_000)
 
 
 @query("finding_document_parts", o.on_findings(
@@ -297,7 +307,7 @@ def unified_diff(spark, sf):
 def finding_document_parts(spark, sf):
     from secret_audit.operators.numbering import document_parts
 
-    parts = document_parts(findings(spark, sf), "scan_id", target=10)
+    parts = document_parts(stored_findings(spark, sf), "scan_id", target=10)
     return parts.groupBy("scan_id", "part").agg(
         F.count("*").alias("findings"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_path", "line_start", "id"))), lambda x: x["id"]), ",").alias("ids"))
@@ -310,7 +320,7 @@ def finding_document_parts(spark, sf):
     "|| chr(10) || '- **Confidence**: ' || printf('%.2f', confidence) || chr(10) || '- **Remediation**: ' || remediation || chr(10) || chr(10), '' "
     f"ORDER BY file_path, line_start, id) || {o.lit(reports.PR_FOOTER)} AS pr_body FROM findings GROUP BY scan_id"))
 def pull_request_text(spark, sf):
-    return reports.pull_request(findings(spark, sf), target=1_000_000)
+    return reports.pull_request(stored_findings(spark, sf), target=1_000_000)
 
 
 _SARIF_RULES = ", ".join(
@@ -329,7 +339,7 @@ _SARIF_RULES = ", ".join(
     "{'confidence': confidence, 'severity': severity, 'remediation': remediation}} ORDER BY file_path, line_start, f.id) AS results "
     "FROM findings f JOIN repo_scans s ON s.id = f.scan_id GROUP BY ALL)", o.REPO_SCANS))
 def sarif_export(spark, sf):
-    return reports.sarif(findings(spark, sf), corpus.repo_scans(spark, sf), target=1_000_000)
+    return reports.sarif(stored_findings(spark, sf), corpus.repo_scans(spark, sf), target=1_000_000)
 
 
 @query("report_sections", o.on_findings(
@@ -339,7 +349,7 @@ def sarif_export(spark, sf):
 def report_sections(spark, sf):
     line = F.transform("findings", lambda f: F.concat_ws(
         "|", f["type"], f["file_path"], f["line_start"].cast("string"), f["confidence_percent"].cast("string")))
-    return reports.report_sections(findings(spark, sf), target=1_000_000).select(
+    return reports.report_sections(stored_findings(spark, sf), target=1_000_000).select(
         "scan_id", "severity", "section", "severity_findings", F.array_join(line, ";").alias("listed"))
 
 
@@ -386,7 +396,7 @@ def remediation_plan(spark, sf):
     "ELSE CASE WHEN doc_id % 2 = 0 THEN 'seen' ELSE '' END END AS notes, CASE WHEN planned THEN CASE WHEN type = 'aws_access_key' THEN 'RESOLVED' "
     f"ELSE 'ACKNOWLEDGED' END ELSE status END AS status FROM (SELECT *, {_PLAN}, type IN ('aws_access_key', 'aws_secret_key') AS planned FROM findings)"))
 def remediation_notes(spark, sf):
-    f = findings(spark, sf).withColumn("notes", F.when(F.col("doc_id") % 2 == 0, "seen").otherwise(""))
+    f = stored_findings(spark, sf).withColumn("notes", F.when(F.col("doc_id") % 2 == 0, "seen").otherwise(""))
     results = R.remediation_plan(f).where(F.col("action") != "none").select(
         "id", "action", "message", (F.col("action") == "disable").alias("success"))
     return append_notes(f, results).select("id", "notes", "status")
@@ -402,7 +412,7 @@ _NUMBERED = (
 
 @query("candidate_batches", o.on_findings("SELECT id, scan_id, batch_id, position FROM numbered", _NUMBERED))
 def candidate_batches(spark, sf):
-    return V.number_batches(raw_findings(spark, sf)).select("id", "scan_id", "batch_id", "position")
+    return V.number_batches(stored_raw(spark, sf)).select("id", "scan_id", "batch_id", "position")
 
 
 @query("batch_prompts", o.on_findings(
@@ -410,7 +420,7 @@ def candidate_batches(spark, sf):
     "|| file_path || chr(10) || 'Line: ' || line_start || chr(10) || 'Context: ' || chr(10) || 'Snippet: ' || chr(10) || chr(10), '' ORDER BY position) || "
     f"{o.lit(V.BATCH_TAIL)} AS prompt FROM numbered GROUP BY ALL", _NUMBERED))
 def batch_prompts(spark, sf):
-    requests = V.batch_requests(V.number_batches(raw_findings(spark, sf)))
+    requests = V.batch_requests(V.number_batches(stored_raw(spark, sf)))
     return requests.select("scan_id", "batch_id", "candidates", "prompt")
 
 
@@ -475,10 +485,11 @@ def verdict_reply_split(spark, sf):
 
 def _judged(spark, sf):
     """Each candidate's verdict is the one of its document; documents without a label have none."""
-    numbered = V.number_batches(raw_findings(spark, sf))
+    raw = stored_raw(spark, sf)
+    numbered = V.number_batches(raw)
     labels = corpus.table(spark, sf, "labels").selectExpr("doc_id", f"{_VERDICT_JSON} AS json")
     texts = numbered.select("scan_id", "batch_id", "position", "doc_id").join(labels, "doc_id")
-    return numbered, texts.select("scan_id", "batch_id", "position", "json")
+    return raw, numbered, texts.select("scan_id", "batch_id", "position", "json")
 
 
 _JUDGED = (
@@ -493,7 +504,7 @@ _JUDGED = (
     "SELECT id, batch_id, position, v_is_secret AS is_secret, v_severity AS severity, CAST(v_confidence AS DOUBLE) AS confidence, "
     "v_remediation AS remediation, v_reasoning AS reasoning FROM judged", *_JUDGED))
 def verdict_alignment(spark, sf):
-    numbered, texts = _judged(spark, sf)
+    _, numbered, texts = _judged(spark, sf)
     v = F.col("verdict")
     return V.align_verdicts(numbered, texts).select(
         "id", "batch_id", "position", v["is_secret"].alias("is_secret"), v["severity"].alias("severity"),
@@ -504,7 +515,7 @@ def verdict_alignment(spark, sf):
     "SELECT id, type, v_severity AS severity, CAST(v_confidence AS DOUBLE) AS confidence, description || ' (MCP verified)' AS description, "
     "v_remediation AS remediation, 'mcp' AS engine FROM judged WHERE v_is_secret OR v_is_vulnerability", *_JUDGED))
 def verdict_apply(spark, sf):
-    numbered, texts = _judged(spark, sf)
+    _, numbered, texts = _judged(spark, sf)
     return V.apply_verdicts(V.align_verdicts(numbered, texts)).select(
         "id", "type", "severity", "confidence", "description", "remediation", "engine")
 
@@ -515,6 +526,6 @@ def verdict_apply(spark, sf):
     "UNION ALL SELECT scan_id, file_path, line_start, type, rule_ord, match_ord, 1, severity, confidence, 'regex' FROM raw_findings) "
     "QUALIFY row_number() OVER (PARTITION BY scan_id, file_path, line_start, type ORDER BY rank, rule_ord, match_ord) = 1", *_JUDGED))
 def merged_with_verdicts(spark, sf):
-    _, texts = _judged(spark, sf)
-    return merged_findings(raw_findings(spark, sf), texts).select(
+    raw, _, texts = _judged(spark, sf)
+    return merged_findings(raw, texts).select(
         "scan_id", "file_path", "line_start", "type", "severity", "confidence", "engine")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -42,57 +43,49 @@ HARDCODED_PATTERNS = (
 )
 
 
-def _any(flags) -> Column:
-    out = F.lit(False)
-    for flag in flags:
-        out = out | flag
-    return out
-
-
-def _contains(text: Column, words) -> Column:
-    return _any(text.contains(w) for w in words)
-
-
-def _ends(text: Column, endings) -> Column:
-    return _any(text.endswith(e) for e in endings)
+def _words(words) -> str:
+    return "|".join(re.escape(w) for w in words)
 
 
 def _matches(text: Column, patterns) -> Column:
-    return _any(text.rlike(to_java(p)) for p in patterns)
+    return text.rlike("|".join(to_java(p) for p in patterns))
 
 
 def is_commented(line: Column) -> Column:
-    stripped = F.regexp_replace(line, f"^[{SPACE}]+", "")
-    return _any(stripped.startswith(m) for m in COMMENT_MARKS)
+    return line.rlike(f"^[{SPACE}]*({_words(COMMENT_MARKS)})")
 
 
 def context_predicates(path: Column, line: Column, config: ContextConfig = ContextConfig()):
     """(reason, adjustment, predicate) in the order in which adjustments are added."""
     lower_path, lower_line = F.lower(path), F.lower(line)
+
+    def named(extensions, names) -> Column:
+        return lower_path.rlike(rf"({_words(extensions)})\z|{_words(names)}")
+
     return [
-        ("allowlisted_path", -0.3, _contains(lower_path, config.allowlist_paths)),
-        ("denylist_pattern", -0.4, _contains(lower_path, config.denylist_patterns)),
-        ("test_content", -0.2, _contains(lower_line, TEST_WORDS)),
-        ("example_content", -0.3, _contains(lower_line, EXAMPLE_WORDS)),
-        ("config_file", 0.1, _ends(lower_path, CONFIG_EXTENSIONS) | _contains(lower_path, CONFIG_NAMES)),
-        ("source_file", 0.05, _ends(path, SOURCE_EXTENSIONS)),
-        ("documentation_file", -0.2, _ends(lower_path, DOC_EXTENSIONS) | _contains(lower_path, DOC_NAMES)),
+        ("allowlisted_path", -0.3, lower_path.rlike(_words(config.allowlist_paths))),
+        ("denylist_pattern", -0.4, lower_path.rlike(_words(config.denylist_patterns))),
+        ("test_content", -0.2, lower_line.rlike(_words(TEST_WORDS))),
+        ("example_content", -0.3, lower_line.rlike(_words(EXAMPLE_WORDS))),
+        ("config_file", 0.1, named(CONFIG_EXTENSIONS, CONFIG_NAMES)),
+        ("source_file", 0.05, path.rlike(rf"({_words(SOURCE_EXTENSIONS)})\z")),
+        ("documentation_file", -0.2, named(DOC_EXTENSIONS, DOC_NAMES)),
         ("commented_secret", -0.1, is_commented(line)),
         ("env_var_pattern", 0.1, _matches(line, ENV_PATTERNS)),
         ("hardcoded_secret", 0.15, _matches(line, HARDCODED_PATTERNS)),
     ]
 
 
-def context_adjustment(path: Column, line: Column, config: ContextConfig = ContextConfig()) -> Column:
+def adjustment_of(predicates) -> Column:
     """Sum of adjustments as doubles, in a fixed order, because results sit on the 0.3 threshold."""
     total = F.lit(0.0)
-    for _, delta, flag in context_predicates(path, line, config):
+    for _, delta, flag in predicates:
         total = total + F.when(flag, F.lit(delta)).otherwise(F.lit(0.0))
     return total
 
 
-def context_reason(path: Column, line: Column, config: ContextConfig = ContextConfig()) -> Column:
-    reasons = F.concat_ws(", ", *[F.when(flag, name) for name, _, flag in context_predicates(path, line, config)])
+def reason_of(predicates) -> Column:
+    reasons = F.concat_ws(", ", *[F.when(flag, name) for name, _, flag in predicates])
     return F.when(reasons == "", "no_context_indicators").otherwise(reasons)
 
 

@@ -39,14 +39,18 @@ def _distinct_chars(s: Column) -> Column:
 
 
 def shannon_entropy(s: Column) -> Column:
-    """Bits per character; 0 for the empty string. Work is length times distinct characters."""
+    """Bits per character; 0 for the empty string.
+
+    The characters are sorted and each run of equal ones counted once.
+    """
     n = F.length(s)
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(s, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
 
-    def subtract_term(acc: Column, c: Column) -> Column:
-        p = (n - F.length(F.replace(s, c, F.lit("")))) / n
+    def subtract_term(acc: Column, run: Column) -> Column:
+        p = F.length(run) / n
         return acc - p * F.log2(p)
 
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(_distinct_chars(s), F.lit(0.0), subtract_term))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(runs, F.lit(0.0), subtract_term))
 
 
 def passes(entropy: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:

@@ -49,6 +49,11 @@ def to_java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuUd)" if ignore_case else "(?Ud)") + expand_shorthand(pattern.removeprefix("(?i)"))
 
 
+def sql_literal(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def glob_to_java(glob: str) -> str:
     """Path glob: ``**/`` is any number of folders, ``*`` and ``?`` stay inside one name."""
     out = ""
@@ -59,12 +64,12 @@ def glob_to_java(glob: str) -> str:
             out += ".+" if last else "(?:[^/]+/)*"
             continue
         out += _wildcard(part, "[^/]*", "[^/]") + ("" if last else "/")
-    return f"(?s)^{out}$"
+    return rf"(?s)^{out}\z"
 
 
 def fnmatch_to_java(glob: str) -> str:
     """Shell match over the whole path: ``*`` also crosses ``/``."""
-    return f"(?s)^{_wildcard(glob, '.*', '.')}$"
+    return rf"(?s)^{_wildcard(glob, '.*', '.')}\z"
 
 
 def _wildcard(text: str, star: str, single: str) -> str:

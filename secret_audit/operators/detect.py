@@ -1,12 +1,14 @@
 """Detection: text rows in, one row per match out.
 
 A pack is a short list known when the plan is built, so each pattern enters the plan as a literal and is compiled once
-per task. Each text row is read once for all rules; matches are collected into one array per row and exploded, so text
-is never joined with rules and never copied per rule.
+per task; text is never joined with rules. A scan has two steps. The first finds, in generated code, which rules match
+a text at all and drops texts without any; almost all text ends there. The second extracts the matches of one rule from
+one text and explodes them.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +16,15 @@ from pyspark.sql import functions as F
 
 from secret_audit.functions import entropy as E
 from secret_audit.functions.mask import evidence_hash, fingerprint, mask_by_kind
-from secret_audit.functions.regex import FOLDS_TO_ASCII
+from secret_audit.functions.regex import FOLDS_TO_ASCII, sql_literal
 from secret_audit.rules import CONTENT_PACK, Rule, check_pack
 
 ENTROPY_KIND = "high_entropy_string"
-_ENTROPY_ORD = 1_000_000
 
-_CONTENT_HIT = "array<struct<rule_ord:int,match_ord:int,secret:string,line_start:int,line_end:int,context:string>>"
-_LINE_HIT = "array<struct<rule_ord:int,match_ord:int,secret:string>>"
+_RULE_FIELDS = {
+    "rule": "string", "type": "string", "severity": "string", "confidence": "double", "mask": "string",
+    "description": "string", "remediation": "string",
+}
 
 
 def newlines(s: Column) -> Column:
@@ -42,28 +45,44 @@ def line_at(content: Column, line_no: Column) -> Column:
 
 
 def _folds(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(c) for c in FOLDS_TO_ASCII])
+    """The text holds a letter outside ASCII that folds to an ASCII letter, so lower-case hints may miss it."""
+    found = reduce(lambda a, b: a | b, [text.contains(c) for c in FOLDS_TO_ASCII])
+    return (F.octet_length(text) != F.length(text)) & found
 
 
-def _gate(rule: Rule, text: Column, lowered: Column, folds: Column) -> Column:
-    """Cheap test that every text with a match passes."""
-    gate = F.octet_length(text) >= rule.min_length
+def _gate(rule: Rule, text: str) -> str:
+    """Cheap SQL condition that every text with a match passes, over the ``_lower`` and ``_folds`` columns."""
+    gate = f"octet_length({text}) >= {rule.min_length}"
     if rule.hints:
-        gate = gate & (reduce(lambda a, b: a | b, [lowered.contains(h) for h in rule.hints]) | folds)
+        seen = " OR ".join([f"contains(_lower, {sql_literal(h)})" for h in rule.hints] + ["_folds"])
+        gate += f" AND ({seen})"
     return gate
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _present(rules: tuple[Rule, ...], text: str, entropy_length: int | None = None) -> Column:
+    """Ordinals of the rules that match a text; only functions that compile to code."""
+    flags = [
+        f"IF({_gate(r, text)} AND {text} RLIKE {sql_literal(r.java)}, {i}, -1)" for i, r in enumerate(rules)
+    ]
+    if entropy_length is not None:
+        tokens = sql_literal(E.candidate_pattern(entropy_length))
+        flags.append(f"IF(octet_length({text}) >= {entropy_length} AND {text} RLIKE {tokens}, {len(rules)}, -1)")
+    return F.expr(f"array_remove(array({', '.join(flags)}), -1)")
 
 
-def _start_lines(content: Column, pattern: str) -> Column:
+def _pattern(rules: tuple[Rule, ...], entropy_length: int | None = None) -> Column:
+    """Pattern of the rule named by ``rule_ord``. It is compiled again only when a row has another rule."""
+    patterns = [r.java for r in rules] + ([E.candidate_pattern(entropy_length)] if entropy_length is not None else [])
+    return F.expr(f"get(array({', '.join(map(sql_literal, patterns))}), rule_ord)")
+
+
+def _start_lines(content: Column, pattern: Column) -> Column:
     """Line number of every match, in match order.
 
     One character is put in front of each match, so a line grows by the number of matches that start in it. The work
     is linear in the text however many matches there are.
     """
-    marked = F.split(F.regexp_replace(content, pattern, ".$0"), "\n", -1)
+    marked = F.split(F.regexp_replace(content, pattern, F.lit(".$0")), "\n", -1)
     grown = F.zip_with(marked, F.split(content, "\n", -1), lambda a, b: F.length(a) - F.length(b))
     return F.flatten(F.transform(grown, lambda n, i: F.array_repeat(i + 1, n)))
 
@@ -83,20 +102,11 @@ def snippet(lines: Column, start: Column, end: Column, around: int = 3) -> Colum
 
 
 def _rule_attributes(rules: tuple[Rule, ...], rule_ord: Column) -> Column:
-    """The rule's fields from a literal array, so no join is needed."""
-    table = F.array(*[
-        F.struct(
-            F.lit(r.name).alias("rule"),
-            F.lit(r.kind).alias("type"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(r.confidence).alias("confidence"),
-            F.lit(r.mask).alias("mask"),
-            F.lit(r.description).alias("description"),
-            F.lit(r.remediation).alias("remediation"),
-        )
-        for r in rules
-    ])
-    return F.get(table, rule_ord)
+    """The rule's fields from a constant array, so no join is needed."""
+    fields = ("name", "kind", "severity", "confidence", "mask", "description", "remediation")
+    table = [dict(zip(_RULE_FIELDS, (getattr(r, f) for f in fields))) for r in rules]
+    schema = "array<struct<" + ",".join(f"{k}:{v}" for k, v in _RULE_FIELDS.items()) + ">>"
+    return F.get(F.from_json(F.lit(json.dumps(table)), schema), rule_ord)
 
 
 def scan_content(
@@ -115,32 +125,24 @@ def scan_content(
         F.lower(content).alias("_lower"),
         _folds(F.col(content)).alias("_folds"),
     )
-    gates = [_gate(r, F.col("_text"), F.col("_lower"), F.col("_folds")) for r in rules]
-    # The array is kept apart from its users so that the split runs once per text.
-    lines = F.when(reduce(lambda a, b: a | b, gates), F.split("_text", "\n", -1)) if context else F.lit(None)
-
-    def hits(i: int, rule: Rule, gate: Column) -> Column:
-        found = F.zip_with(
-            _matches(F.col("_text"), rule.java),
-            _start_lines(F.col("_text"), rule.java),
-            lambda s, n: F.struct(s.alias("s"), n.alias("a"), (n + newlines(s)).alias("b")),
-        )
-        shaped = F.transform(found, lambda m, k: F.struct(
-            F.lit(i).alias("rule_ord"),
-            k.alias("match_ord"),
-            m["s"].alias("secret"),
-            m["a"].alias("line_start"),
-            m["b"].alias("line_end"),
-            (snippet(F.col("_lines"), m["a"], m["b"]) if context else F.lit(None).cast("string")).alias("context"),
-        ))
-        present = gate & F.col("_text").rlike(rule.java)
-        return F.coalesce(F.when(present, shaped.cast(_CONTENT_HIT)), F.array().cast(_CONTENT_HIT))
-
-    out = text.withColumn("_lines", lines.cast("array<string>")).select(
-        *keys, F.explode(F.concat(*[hits(i, r, g) for i, (r, g) in enumerate(zip(rules, gates))])).alias("_hit")
+    matched = text.select(*keys, "_text", F.explode(_present(rules, "_text")).alias("rule_ord"))
+    if context:
+        # A column of its own, so that the text is split once and not once per match.
+        matched = matched.withColumn("_lines", F.split("_text", "\n", -1))
+    found = F.zip_with(
+        F.regexp_extract_all("_text", _pattern(rules), F.lit(0)),
+        _start_lines(F.col("_text"), _pattern(rules)),
+        lambda s, n: F.struct(s.alias("secret"), n.alias("line_start"), (n + newlines(s)).alias("line_end")),
     )
-    fields = ["rule_ord", "match_ord", "secret", "line_start", "line_end"] + (["context"] if context else [])
-    return _with_rule(out.select(*keys, *[F.col(f"_hit.{f}").alias(f) for f in fields]), rules)
+    fields = ["secret", "line_start", "line_end"]
+    if context:
+        fields.append("context")
+        found = F.transform(found, lambda m: F.struct(
+            m["secret"].alias("secret"), m["line_start"].alias("line_start"), m["line_end"].alias("line_end"),
+            snippet(F.col("_lines"), m["line_start"], m["line_end"]).alias("context"),
+        ))
+    out = matched.select(*keys, "rule_ord", F.posexplode(found).alias("match_ord", "_hit"))
+    return _with_rule(out.select(*keys, "rule_ord", "match_ord", *[F.col(f"_hit.{f}").alias(f) for f in fields]), rules)
 
 
 def _with_rule(hits: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -154,53 +156,49 @@ def scan_text(df: DataFrame, text: str, rules=CONTENT_PACK) -> DataFrame:
     return found.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(1))
 
 
-def _line_arrays(rules: tuple[Rule, ...]) -> tuple[list[Column], list[Column]]:
-    line, lowered, folds = F.col("line"), F.col("_lower"), F.col("_folds")
-    gates = [_gate(r, line, lowered, folds) for r in rules]
-    return gates, [_line_matches(line, gate, rule.java, i) for i, (rule, gate) in enumerate(zip(rules, gates))]
-
+def _hit_lines(files: DataFrame, content: str, rules: tuple[Rule, ...], entropy=None) -> DataFrame:
+    """Matches of rules and, with ``entropy`` = (threshold, minimum length), of high-entropy tokens, line by line.
 
-def _line_matches(line: Column, gate: Column, pattern: str, rule_ord: int) -> Column:
-    shaped = F.transform(_matches(line, pattern), lambda s, k: F.struct(
-        F.lit(rule_ord).alias("rule_ord"), k.alias("match_ord"), s.alias("secret")
-    ))
-    return F.coalesce(F.when(gate, shaped.cast(_LINE_HIT)), F.array().cast(_LINE_HIT))
-
-
-def _entropy_array(line: Column, min_length: int) -> tuple[Column, Column]:
-    gate = F.octet_length(line) >= min_length
-    return gate, _line_matches(line, gate, E.candidate_pattern(min_length), _ENTROPY_ORD)
-
-
-def _lines_with_hits(files: DataFrame, content: str, gates: list[Column], arrays: list[Column]) -> DataFrame:
+    The entropy test is made inside the array, so it runs once per token and drops tokens before they become rows.
+    """
     keys = [c for c in files.columns if c != content]
-    lines = split_lines(files.where(F.col(content).isNotNull()), content).select(
-        *keys, F.col("line_no").alias("line_start"), "line",
-        F.lower("line").alias("_lower"), _folds(F.col("line")).alias("_folds"),
+    threshold, token_length = entropy or (None, None)
+    shortest = min([r.min_length for r in rules] + ([token_length] if entropy else []))
+    line = F.col("line")
+    matched = (
+        split_lines(files.where(F.col(content).isNotNull()), content)
+        .where(F.octet_length("line") >= shortest)
+        .withColumns({"_lower": F.lower("line"), "_folds": _folds(line)})
+        .select(*keys, "line_no", "line", F.explode(_present(rules, "line", token_length)).alias("rule_ord"))
     )
-    return (
-        lines.where(reduce(lambda a, b: a | b, gates))
-        .select(*keys, "line_start", "line", F.explode(F.concat(*arrays)).alias("_hit"))
-        .select(*keys, "line_start", F.col("line_start").alias("line_end"), "line", "_hit.*")
+    hits = F.transform(F.regexp_extract_all("line", _pattern(rules, token_length), F.lit(0)), lambda s, k: F.struct(
+        k.alias("match_ord"), s.alias("secret"),
+        (F.when(_is_entropy(rules), E.shannon_entropy(s)) if entropy else F.lit(None).cast("double")).alias("entropy"),
+    ))
+    if entropy:
+        hits = F.filter(hits, lambda t: t["entropy"].isNull() | E.passes(t["entropy"], threshold))
+    return matched.select(
+        *keys, F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "line", "rule_ord",
+        F.inline(hits),
     )
 
 
+def _is_entropy(rules: tuple[Rule, ...]) -> Column:
+    """Entropy tokens come after the rules of the pack."""
+    return F.col("rule_ord") == len(rules)
+
+
 def scan_lines(files: DataFrame, rules, content: str = "content") -> DataFrame:
     """Per-line scan: every rule on every line, all matches. Keeps the line of the match as ``line``."""
     rules = check_pack(rules)
-    gates, arrays = _line_arrays(rules)
-    return _with_rule(_lines_with_hits(files, content, gates, arrays), rules)
+    return _with_rule(_hit_lines(files, content, rules).drop("entropy"), rules)
 
 
 def entropy_candidates(
     files: DataFrame, threshold: float = E.ENTROPY_THRESHOLD, min_length: int = E.MIN_LENGTH, content: str = "content"
 ) -> DataFrame:
     """Tokens of at least ``min_length`` characters whose entropy reaches the threshold, with their line."""
-    gate, array = _entropy_array(F.col("line"), min_length)
-    found = _lines_with_hits(files, content, [gate], [array]).drop("rule_ord")
-    return found.withColumn("entropy", E.shannon_entropy(F.col("secret"))).where(
-        E.passes(F.col("entropy"), threshold)
-    )
+    return _hit_lines(files, content, (), (threshold, min_length)).drop("rule_ord")
 
 
 def mask_hits(hits: DataFrame) -> DataFrame:
@@ -226,26 +224,22 @@ def scan_lines_with_entropy(
     ``drop_rule_shapes`` drops entropy tokens that begin like a known rule.
     """
     rules = check_pack(rules)
-    gates, arrays = _line_arrays(rules)
-    gate, array = _entropy_array(F.col("line"), min_length)
-    hits = _lines_with_hits(files, content, gates + [gate], arrays + [array])
-    is_entropy = F.col("rule_ord") == _ENTROPY_ORD
+    hits = _hit_lines(files, content, rules, (threshold, min_length))
+    is_entropy = _is_entropy(rules)
     secret = F.col("secret")
-    hits = hits.withColumn("_entropy", F.when(is_entropy, E.shannon_entropy(secret)))
-    score = E.likely_secret_score(secret, F.col("_entropy"))
-    keep = E.passes(F.col("_entropy"), threshold) & ~E.is_false_positive(secret)
+    keep = ~E.is_false_positive(secret)
     if drop_rule_shapes:
         keep = keep & ~E.starts_like_rule(secret)
     if confidence == "scaled":
-        value = E.entropy_confidence(F.col("_entropy"))
+        value = E.entropy_confidence(F.col("entropy"))
         keep = keep & (value >= E.MIN_CONFIDENCE)
     elif confidence == "raw":
-        value = score
-        keep = keep & E.passes(score, threshold)
+        value = E.likely_secret_score(secret, F.col("entropy"))
+        keep = keep & E.passes(value, threshold)
     else:
         raise ValueError(f"unknown confidence: {confidence!r}")
     hits = hits.where(~is_entropy | keep)
-    cols = [c for c in hits.columns if c != "_entropy"]
+    cols = [c for c in hits.columns if c != "entropy"]
     rule = _rule_attributes(rules, F.col("rule_ord"))
     out = hits.select(
         *cols,
@@ -292,10 +286,11 @@ def rule_hit_counts(files: DataFrame, rules=CONTENT_PACK, content: str = "conten
     """Every rule against every text: per rule the number of texts with a match and of matches, zeros kept."""
     rules = check_pack(rules)
     text = F.col("_text")
-    lowered = files.select(F.col(content).alias("_text"), F.lower(content).alias("_lower"),
-                           _folds(F.col(content)).alias("_folds"))
+    lowered = files.select(
+        F.col(content).alias("_text"), F.lower(content).alias("_lower"), _folds(F.col(content)).alias("_folds")
+    )
     counts = lowered.select(*[
-        F.when(_gate(r, text, F.col("_lower"), F.col("_folds")), F.regexp_count(text, F.lit(r.java)))
+        F.when(F.expr(_gate(r, "_text")), F.regexp_count(text, F.lit(r.java)))
         .otherwise(0).alias(f"n{i}")
         for i, r in enumerate(rules)
     ])

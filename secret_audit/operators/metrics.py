@@ -91,10 +91,11 @@ def daily_rollup(findings: DataFrame, at: str = "created_at", scans: DataFrame |
     return rolled.fillna(0, ["findings_total", *[s.lower() for s in SEVERITIES]])
 
 
-def alert_digest(findings: DataFrame, *by: str) -> DataFrame:
+def alert_digest(findings: DataFrame, *by: str, sample: bool = False) -> DataFrame:
     """Totals by confidence band and a ``kind: n`` line, kinds in name order.
 
-    Kinds are counted first, so the text is built from one row per kind.
+    Kinds are counted first, so the text is built from one row per kind. ``sample`` adds the finding with the lowest id
+    as ``_sample``.
     """
     c = F.col("confidence")
     per_kind = findings.groupBy(*by, "type").agg(
@@ -102,14 +103,14 @@ def alert_digest(findings: DataFrame, *by: str) -> DataFrame:
         F.count_if(c >= 0.8).alias("high"),
         F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"),
         F.count_if(c < 0.5).alias("low"),
+        *([F.min_by(F.struct(*[x for x in findings.columns if x not in by]), "id").alias("_sample")] if sample else []),
     )
-    line = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("type", "n"))), lambda k: F.concat(k["type"], F.lit(": "), k["n"])),
-        ", ",
-    )
+    kinds = F.sort_array(F.collect_list(F.struct("type", "n")))
+    line = F.array_join(F.transform(kinds, lambda k: F.concat(k["type"], F.lit(": "), k["n"])), ", ")
     return per_kind.groupBy(*by).agg(
         F.sum("n").alias("total"), F.sum("high").alias("high"), F.sum("medium").alias("medium"),
         F.sum("low").alias("low"), line.alias("kind_summary"),
+        *([F.min_by("_sample", F.col("_sample.id")).alias("_sample")] if sample else []),
     )
 
 

@@ -28,7 +28,7 @@ def top_cutoff(df: DataFrame, group: str, key: Column, n: int, newest: bool = Fa
 def sequence(df: DataFrame, group: str, id_col: str, out: str = "seq", digits: int = 3) -> DataFrame:
     """Number the rows of each group from 0 in ``id_col`` order; ids are hex digests and unique.
 
-    The leading hex digits split a group evenly into buckets; rows are ranked inside a bucket and shifted by the sizes
+    ``df`` is read twice, so pass a stored table. The leading hex digits split a group evenly into buckets; rows are ranked inside a bucket and shifted by the sizes
     of the buckets before it, at most ``16 ** digits`` numbers per group.
     """
     bucketed = df.withColumn("_bucket", F.substring(id_col, 1, digits))
@@ -47,7 +47,7 @@ def sequence(df: DataFrame, group: str, id_col: str, out: str = "seq", digits: i
 def document_parts(df: DataFrame, group, id_col: str = "id", target: int = 5000, out: str = "part") -> DataFrame:
     """Give each row a document part so that a part holds about ``target`` rows however large its group is.
 
-    A part is a prefix of the id, a hex digest; groups up to the target have the single part ``''``. No row is left
+    ``df`` is read twice, so pass a stored table. A part is a prefix of the id, a hex digest; groups up to the target have the single part ``''``. No row is left
     out. ``group_size`` is the size of the whole group.
     """
     group = [group] if isinstance(group, str) else list(group)

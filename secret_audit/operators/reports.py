@@ -181,8 +181,11 @@ def _buttons(*buttons: Column) -> Column:
 
 def alert_messages(findings: DataFrame, by: str = "scan_id", product: str = TOOL_NAME, base_url: str = "http://localhost:8000",
                    action: str = "manual") -> DataFrame:
-    """One message per group: the finding itself when it is the only one, else a digest."""
-    digest = alert_digest(findings, by)
+    """One message per group: the finding itself when it is the only one, else a digest.
+
+    One pass: the digest carries one finding of the group along, which is the finding when there is just one.
+    """
+    digest = alert_digest(findings, by, sample=True)
     band = confidence_band(F.col("confidence"))
     mark = F.lit(BAND_MARKS["low"])
     for name, value in BAND_MARKS.items():
@@ -222,14 +225,11 @@ def alert_messages(findings: DataFrame, by: str = "scan_id", product: str = TOOL
         return F.concat(F.lit('{"blocks":'), body, F.lit(',"text":'), F.to_json(_struct(t=text)).substr(
             F.lit(6), F.length(F.to_json(_struct(t=text))) - 6), F.lit("}"))
 
-    columns = [by, "kind", "text", "payload"]
-    batches = digest.where(F.col("total") > 1).select(
-        by, F.lit("batch").alias("kind"), batch_text.alias("text"),
-        payload(batch_blocks, batch_buttons, batch_text).alias("payload"),
-    )
-    lone = digest.where(F.col("total") == 1).select(by)
-    singles = findings.join(lone, by, "left_semi").select(
-        by, F.lit("single").alias("kind"), single_text.alias("text"),
-        payload(single_blocks, single_buttons, single_text).alias("payload"),
+    lone = F.col("total") == 1
+    return digest.select(by, "total", "high", "medium", "low", "kind_summary", "_sample.*").select(
+        by,
+        F.when(lone, "single").otherwise("batch").alias("kind"),
+        F.when(lone, single_text).otherwise(batch_text).alias("text"),
+        F.when(lone, payload(single_blocks, single_buttons, single_text))
+        .otherwise(payload(batch_blocks, batch_buttons, batch_text)).alias("payload"),
     )
-    return singles.select(*columns).unionByName(batches.select(*columns))

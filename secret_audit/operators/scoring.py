@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from secret_audit.functions.context import (
     ContextConfig,
+    adjustment_of,
     clamp,
-    context_adjustment,
-    context_reason,
+    context_predicates,
+    reason_of,
     rule_confidence,
 )
 
 
 def score_context(hits: DataFrame, config: ContextConfig = ContextConfig()) -> DataFrame:
     """Adds context_adjustment and context_reason from ``file_path`` and ``line``."""
-    path, line = F.col("file_path"), F.col("line")
+    predicates = context_predicates(F.col("file_path"), F.col("line"), config)
     return hits.withColumns({
-        "context_adjustment": context_adjustment(path, line, config),
-        "context_reason": context_reason(path, line, config),
+        "context_adjustment": adjustment_of(predicates), "context_reason": reason_of(predicates),
     })
 
 

@@ -46,12 +46,12 @@ def excluded(path: Column, patterns=DEFAULT_EXCLUDE, strict: bool = True) -> Col
 
 
 def is_binary_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(" + "|".join(BINARY_EXTENSIONS) + r")$")
+    return F.lower(path).rlike(r"\.(" + "|".join(BINARY_EXTENSIONS) + r")\z")
 
 
 def is_pruned_path(path: Column) -> Column:
     dirs = "|".join(d.replace(".", r"\.") for d in PRUNE_DIRS)
-    return path.rlike(f"(^|/)({dirs})/") | F.lower(path).rlike(r"\.(" + "|".join(PRUNE_EXTENSIONS) + r")$")
+    return path.rlike(f"(^|/)({dirs})/") | F.lower(path).rlike(r"\.(" + "|".join(PRUNE_EXTENSIONS) + r")\z")
 
 
 def is_removed(status: Column) -> Column:

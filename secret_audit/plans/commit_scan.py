@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secret_audit.functions.context import ContextConfig, clamp, context_adjustment, context_reason, rule_confidence
+from secret_audit.functions.context import (
+    ContextConfig,
+    adjustment_of,
+    clamp,
+    context_predicates,
+    reason_of,
+    rule_confidence,
+)
 from secret_audit.functions.text import location
 from secret_audit.operators.detect import scan_lines_with_entropy
 from secret_audit.operators.merge import dedupe_and_suppress, with_id
@@ -25,9 +32,10 @@ def commit_findings(
         versions, rules, threshold=threshold, confidence="raw" if legacy_confidence else "scaled"
     )
     path, line, kind = F.col("file_path"), F.col("line"), F.col("type")
+    predicates = context_predicates(path, line, config)
     scored = hits.withColumns({
-        "_context": clamp(F.col("confidence") + context_adjustment(path, line, config)),
-        "context_reason": context_reason(path, line, config),
+        "_context": clamp(F.col("confidence") + adjustment_of(predicates)),
+        "context_reason": reason_of(predicates),
         "_class": rule_confidence(kind, path, line),
         "classification_reason": F.concat(F.lit("Rule-based classification for "), kind),
     }).drop("line")

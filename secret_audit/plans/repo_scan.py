@@ -22,7 +22,10 @@ def scan_findings(files: DataFrame, rules=CONTENT_PACK, context: bool = False) -
 
 
 def merged_findings(raw: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """One finding per path, start line and type in each scan; confirmed by the model first."""
+    """One finding per path, start line and type in each scan; confirmed by the model first.
+
+    With verdicts the raw findings are used several times and have to be a stored table.
+    """
     if verdicts is None:
         return merge_engines(raw)
     judged = align_verdicts(number_batches(raw), verdicts)

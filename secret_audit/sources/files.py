@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 from secret_audit.schemas import FILES
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a text table with fewer input splits than cores over all cores.
+
+    Scanning text costs far more than moving it, and such a table has at most one split per core; a table with enough
+    splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files table; rows without a size get the size of their text."""
     df = spark.read.schema(FILES).parquet(path)
+    df = spread(df, "repo", "file_path")
     return df.withColumn("size", F.coalesce("size", F.octet_length("content")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from secret_audit.operators.numbering import document_parts
 from secret_audit.schemas import FINDINGS, SCAN_RUNS, SCANS
+from secret_audit.session import shared_dir
 
 # JSON keeps microseconds; Spark's default format would cut them.
 _JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -21,6 +22,17 @@ def _no_raw(df: DataFrame) -> DataFrame:
     return df
 
 
+def materialize(df: DataFrame, name: str = "findings") -> DataFrame:
+    """Write a result once to the shared folder and read it back.
+
+    For results that feed several branches of a plan: without it the text would be scanned once per branch.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    _no_raw(df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def finding_documents(findings: DataFrame, stored_at, target: int = 5000) -> DataFrame:
     """Per scan {findings, count, stored_at}; a large scan spans several parts, ``count`` is that of the scan."""
     rest = [c for c in findings.columns if c != "scan_id"]
