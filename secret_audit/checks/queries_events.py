@@ -12,7 +12,6 @@ from secret_audit.operators import merge as J
 from secret_audit.operators import metrics as A
 from secret_audit.operators import verdicts as V
 from secret_audit.session import shared_dir
-from secret_audit.sources.store import read_snapshot
 from secret_audit.streaming import findings as SF
 from secret_audit.streaming import status as SS
 
@@ -310,7 +309,7 @@ def streaming_dedupe(spark, sf):
 def streaming_upsert(spark, sf):
     base, state = shared_dir(spark, "snapshot"), shared_dir(spark, "state")
     SF.run_upsert(_sightings_stream(spark, sf), state, base)
-    return read_snapshot(spark, base).select("repo", "fingerprint", "file_path", "first_seen_at", "last_seen_at")
+    return SF.read_lifecycle(spark, base).select("repo", "fingerprint", "file_path", "first_seen_at", "last_seen_at")
 
 
 @query("streaming_daily_rollup", o.with_(
@@ -333,7 +332,7 @@ def streaming_status(spark, sf):
     base, state = shared_dir(spark, "snapshot"), shared_dir(spark, "state")
     updates = _sightings_stream(spark, sf).select("fingerprint", "status", F.col("seen_at").alias("ts"))
     SS.run_status(updates, state, base)
-    return read_snapshot(spark, base)
+    return SS.read_status(spark, base)
 
 
 @query("streaming_resume", o.with_(o.SIGHTINGS, select="SELECT type, count(*) AS sightings FROM sightings GROUP BY type"))

@@ -327,3 +327,39 @@ def rule_pack_use(spark, sf):
     rules = rules_table(spark, {"content": PACKS["content"]})
     return rules.join(found, rules["name"] == found["rule"], "left").select(
         "pack", "ord", "name", "kind", "severity", "confidence", F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+@query("user_rule_pack", o.with_(o.FILES, o.content_hits(), select="SELECT file_path, rule, match_ord, line_start, line_end FROM hits"))
+def user_rule_pack(spark, sf):
+    from secret_audit.operators.detect import scan_content
+    from secret_audit.rules import read_rules, rules_table
+
+    path = shared_dir(spark, "rules")
+    rules_table(spark, {"content": PACKS["content"]}).coalesce(1).write.json(path)
+    found = scan_content(corpus.files(spark, sf), read_rules(spark, path))
+    return found.select("file_path", "rule", "match_ord", "line_start", "line_end")
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@query("tree_listing", "SELECT t || '.parquet' AS file_path, true AS has_size FROM (VALUES "
+       + ", ".join(f"('{t}')" for t in _TABLES.split()) + ") v(t)")
+def tree_listing(spark, sf):
+    from secret_audit.sources.tree import list_tree
+
+    found = list_tree(spark, sf).where(F.col("file_path").endswith(".parquet"))
+    return found.select("file_path", (F.col("size") > 0).alias("has_size"))
+
+
+@query("registered_connector_and_handler", o.on_findings(
+    "SELECT id, CASE type WHEN 'aws_access_key' THEN 'disable' WHEN 'aws_secret_key' THEN 'manual_required' ELSE 'none' END AS action FROM findings"))
+def registered_connector_and_handler(spark, sf):
+    from secret_audit.plans.repo_scan import merged_findings, scan_findings
+    from secret_audit.plugins import registry
+
+    path = shared_dir(spark, "files")
+    corpus.files(spark, sf).drop("doc_id").write.parquet(path)
+    files = registry.get("connector", "files")(spark, path)
+    found = merged_findings(scan_findings(files)).withColumn("status", F.lit("NEW"))
+    return registry.get("handler", "aws_remediation")(found).select("id", "action")

@@ -254,24 +254,25 @@ def scan_lines_with_entropy(
 def findings_from_content(files: DataFrame, rules=CONTENT_PACK, context: bool = False) -> DataFrame:
     """Whole-text matches as findings without the secret: hash, mask and fingerprint only.
 
-    ``context`` adds the numbered snippet with the secret replaced by its mask on every line it covers.
+    ``context`` adds the numbered snippet with secrets starred out.
     """
     hits = mask_hits(scan_content(files, rules, context=context))
     out = hits.withColumn(
         "evidence_hash", evidence_hash(F.col("secret"), F.col("line_start"), F.col("line_end"))
     ).withColumn("engine", F.lit("regex"))
     if context:
-        out = out.withColumn("context", hide_secret(F.col("context"), F.col("secret"), F.col("masked_preview")))
+        out = out.withColumn("context", hide_secrets(F.col("context"), F.col("secret"), tuple(rules)))
     return out.drop("secret", "mask")
 
 
-def hide_secret(context: Column, secret: Column, masked: Column) -> Column:
-    """Replace the secret in a snippet; a secret over several lines is hidden piece by piece."""
-    return F.aggregate(
-        F.filter(F.split(secret, "\n", -1), lambda piece: F.length(piece) > 0),
-        context,
-        lambda acc, piece: F.replace(acc, piece, F.when(piece == secret, masked).otherwise(F.lit("***"))),
-    )
+def hide_secrets(context: Column, secret: Column, rules: tuple[Rule, ...]) -> Column:
+    """Star out every rule match inside a snippet and each line of the finding's own secret.
+
+    A neighbouring secret that spans lines and is cut by the edge of the snippet can stay visible in part.
+    """
+    hidden = F.regexp_replace(context, "|".join(r.java for r in rules), "***")
+    pieces = F.filter(F.split(secret, "\n", -1), lambda piece: F.length(piece) > 0)
+    return F.aggregate(pieces, hidden, lambda acc, piece: F.replace(acc, piece, F.lit("***")))
 
 
 def rule_summary(df: DataFrame) -> DataFrame:

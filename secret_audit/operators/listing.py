@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ def filter_findings(
         if value:
             findings = findings.where(F.col(name) == value)
     if since:
-        findings = findings.where(F.col("first_seen_at") >= F.lit(since).cast("timestamp"))
+        when = datetime.fromisoformat(since)
+        findings = findings.where(F.col("first_seen_at") >= F.lit(when.isoformat(sep=" ")).cast("timestamp"))
     return findings
 
 

@@ -112,6 +112,18 @@ def lifecycle(findings: DataFrame, seen_at: str = "seen_at", legacy_key: bool =
     return sightings(findings, seen_at, legacy_key).withColumn("status", F.lit("NEW"))
 
 
+def fold_lifecycle(changes: DataFrame, legacy_key: bool = False) -> DataFrame:
+    """One lifecycle row per key from rows of several batches: earliest payload, first and last time."""
+    keys = list(finding_key(legacy_key))
+    rest = [c for c in changes.columns if c not in (*keys, "first_seen_at", "last_seen_at", "_batch")]
+    folded = changes.groupBy(*keys).agg(
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+        F.min_by(F.struct(*rest), F.struct("first_seen_at", "_batch")).alias("_first"),
+    )
+    return folded.select(*keys, "first_seen_at", "last_seen_at", *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
 def upsert(snapshot: DataFrame, batch: DataFrame, seen_at: str = "seen_at", legacy_key: bool = False):
     """(new snapshot, new rows). Known keys get a later last_seen_at, unknown keys enter as NEW."""
     keys = list(finding_key(legacy_key))

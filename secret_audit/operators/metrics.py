@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secret_audit.functions.text import risk_band
 from secret_audit.schemas import SEVERITIES
 
 # Fixed values.
@@ -162,11 +163,13 @@ def scans_with_counts(scans: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def scan_report(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """Scan attributes on each of its findings; a scan without findings keeps one row."""
-    from secret_audit.functions.text import risk_band
+    """Scan attributes on each of its findings; a scan without findings keeps one row.
 
+    An inner join plus the scans without findings, because a left join could not split the findings of a large scan.
+    """
     head = scans.select(
         F.col("id").alias("scan_id"), "repo_url", "branch", F.col("status").alias("scan_status"), "risk_score",
         risk_band(F.col("risk_score")).alias("risk_band"),
     )
-    return head.join(findings, "scan_id", "left")
+    empty = head.join(findings.select("scan_id").distinct(), "scan_id", "left_anti")
+    return findings.join(head, "scan_id").unionByName(empty, allowMissingColumns=True)

@@ -1,6 +1,6 @@
 """Extension points as DataFrame functions.
 
-Detectors take files and give matches, connectors give files, handlers take findings and give plan rows, classifiers
+Detectors take files and give matches, connectors take a session and a path and give files, handlers take findings and give plan rows, classifiers
 add confidence, label and reasoning. A plugin is registered by name and can be switched off.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secret_audit.functions.mask import fingerprint, mask_generic
@@ -20,9 +20,12 @@ from secret_audit.operators.remediation import remediation_plan
 from secret_audit.operators.scoring import classify_by_rule
 from secret_audit.operators.verdicts import parse_classification
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
+from secret_audit.sources.commits import read_commits
+from secret_audit.sources.files import read_files
+from secret_audit.sources.tree import read_tree
 
 Detector = Callable[[DataFrame], DataFrame]
-Connector = Callable[[SparkSession], DataFrame]
+Connector = Callable[..., DataFrame]
 Handler = Callable[[DataFrame], DataFrame]
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -82,6 +85,11 @@ def commit_detector(files: DataFrame) -> DataFrame:
     return detect.scan_lines_with_entropy(files, COMMIT_PACK)
 
 
+registry.register("connector", "files")(read_files)
+registry.register("connector", "tree")(read_tree)
+registry.register("connector", "commits")(read_commits)
+
+
 @registry.register("handler", "aws_remediation")
 def aws_handler(findings: DataFrame) -> DataFrame:
     return remediation_plan(findings)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,23 +112,56 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
 
 
-def snapshot_versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions of a snapshot table, ascending."""
+def _complete(spark: SparkSession, base: str, kind: str) -> list[int]:
+    """Numbers of the completely written folders ``<kind><number>`` of a table, ascending."""
     fs, root = _fs(spark, base)
     if not fs.exists(root):
         return []
     path = spark._jvm.org.apache.hadoop.fs.Path
-    found = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    done = [n for n in found if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{base}/{n}/_SUCCESS"))]
+    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    done = [n for n in names if n[:1] == kind and n[1:].isdigit() and fs.exists(path(f"{base}/{n}/_SUCCESS"))]
     return sorted(int(n[1:]) for n in done)
 
 
+def _folder(base: str, kind: str, number: int) -> str:
+    return f"{base}/{kind}{number:010d}"
+
+
 def write_snapshot(df: DataFrame, base: str, version: int) -> None:
     """Write one version; writing the same version again replaces it."""
-    _no_raw(df).write.mode("overwrite").parquet(f"{base}/v{version:010d}")
+    _no_raw(df).write.mode("overwrite").parquet(_folder(base, "v", version))
+
+
+def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
+    """Newest complete version."""
+    versions = _complete(spark, base, "v")
+    return spark.read.parquet(_folder(base, "v", versions[-1])) if versions else None
+
 
+def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
+    """Write the changes of one batch; a repeated batch replaces its own folder only."""
+    _no_raw(df).write.mode("overwrite").parquet(_folder(base, "d", batch_id))
+
+
+def read_changes(spark: SparkSession, base: str) -> DataFrame | None:
+    """Newest version and the deltas after it as one bag, with the number of their folder in ``_batch``."""
+    versions = _complete(spark, base, "v")
+    newest = versions[-1] if versions else -1
+    parts = [("v", newest)] if versions else []
+    parts += [("d", n) for n in _complete(spark, base, "d") if n > newest]
+    frames = [spark.read.parquet(_folder(base, k, n)).withColumn("_batch", F.lit(n)) for k, n in parts]
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+
+
+def delta_writer(base: str, prepare, fold, compact_every: int = 50):
+    """``foreachBatch`` function of a table kept as deltas.
+
+    A batch writes only its own rows, ``prepare``d; every ``compact_every`` batches the table is ``fold``ed into a new
+    version, so a batch costs what it changes and reading never meets more than that many deltas.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        write_delta(prepare(batch), base, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            write_snapshot(fold(read_changes(batch.sparkSession, base)), base, batch_id)
 
-def read_snapshot(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
-    """Newest complete version, or the newest before ``below``."""
-    versions = [v for v in snapshot_versions(spark, base) if below is None or v < below]
-    return spark.read.parquet(f"{base}/v{versions[-1]:010d}") if versions else None
+    return apply

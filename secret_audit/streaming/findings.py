@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secret_audit.operators.detect import findings_from_content
-from secret_audit.operators.merge import finding_key, lifecycle, upsert
+from secret_audit.operators.merge import finding_key, fold_lifecycle, lifecycle
 from secret_audit.rules import CONTENT_PACK
 from secret_audit.schemas import SEVERITIES
-from secret_audit.sources.store import read_snapshot, write_snapshot
+from secret_audit.sources.store import delta_writer, read_changes
 
 
 def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False) -> DataFrame:
@@ -17,10 +17,18 @@ def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False) ->
     return findings_from_content(files, rules, context)
 
 
-def dedupe_stream(findings: DataFrame, at: str, delay: str = "1 day", legacy_key: bool = False) -> DataFrame:
-    """First sighting per key; keys are forgotten once the watermark passes, so state stays bounded."""
-    keyed = findings.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
-    return keyed.dropDuplicatesWithinWatermark(list(finding_key(legacy_key)))
+def dedupe_stream(
+    findings: DataFrame, at: str, delay: str = "1 day", legacy_key: bool = False, salts: int = 16
+) -> DataFrame:
+    """First sighting per key; keys are forgotten once the watermark passes, so state stays bounded.
+
+    Copies of a key are first reduced in salted groups, so a key that makes up much of the stream is spread over tasks
+    and at most ``salts`` of its rows meet in one.
+    """
+    keys = list(finding_key(legacy_key))
+    keyed = findings.withColumn(at, F.col(at).cast("timestamp"))
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(*keyed.columns), F.lit(salts))).withWatermark(at, delay)
+    return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys)
 
 
 def daily_rollup_stream(findings: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
@@ -34,22 +42,6 @@ def daily_rollup_stream(findings: DataFrame, at: str, delay: str = "1 hour") ->
     )
 
 
-def upsert_batches(base: str, seen_at: str = "seen_at", legacy_key: bool = False):
-    """``foreachBatch`` function that folds each micro-batch into a versioned snapshot.
-
-    A batch writes version batch_id from the newest version before it, so a repeated batch gives the same snapshot.
-    """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        previous = read_snapshot(batch.sparkSession, base, below=batch_id)
-        if previous is None:
-            merged = lifecycle(batch, seen_at, legacy_key)
-        else:
-            merged, _ = upsert(previous, batch, seen_at, legacy_key)
-        write_snapshot(merged, base, batch_id)
-
-    return apply
-
-
 def run_available(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> None:
     """Process all available input into a Parquet folder; rerun with the same checkpoint to take only what is new."""
     query = (
@@ -60,14 +52,25 @@ def run_available(stream: DataFrame, checkpoint: str, path: str, mode: str = "ap
     query.awaitTermination()
 
 
-def run_upsert(stream: DataFrame, checkpoint: str, base: str, seen_at: str = "seen_at", legacy_key: bool = False) -> None:
+def run_upsert(
+    stream: DataFrame, checkpoint: str, base: str, seen_at: str = "seen_at", legacy_key: bool = False,
+    compact_every: int = 50,
+) -> None:
+    """Keep the lifecycle table of a stream of findings; read it with ``read_lifecycle``."""
+    writer = delta_writer(
+        base, lambda batch: lifecycle(batch, seen_at, legacy_key), lambda t: fold_lifecycle(t, legacy_key), compact_every
+    )
     query = (
-        stream.writeStream.foreachBatch(upsert_batches(base, seen_at, legacy_key))
+        stream.writeStream.foreachBatch(writer)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def read_lifecycle(spark: SparkSession, base: str, legacy_key: bool = False) -> DataFrame:
+    return fold_lifecycle(read_changes(spark, base), legacy_key)
+
+
 def read_new_files(spark: SparkSession, path: str, schema, name_filter: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """Stream over the Parquet files of a folder; the checkpoint remembers which were taken."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)

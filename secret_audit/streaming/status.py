@@ -6,11 +6,11 @@ combine before the shuffle and the state is one row per fingerprint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secret_audit.schemas import STATUSES
-from secret_audit.sources.store import read_snapshot, write_snapshot
+from secret_audit.sources.store import delta_writer, read_changes
 
 
 def track_status(updates: DataFrame, statuses=STATUSES) -> DataFrame:
@@ -27,21 +27,23 @@ def track_status(updates: DataFrame, statuses=STATUSES) -> DataFrame:
     )
 
 
-def replace_batches(base: str, key: str = "fingerprint"):
-    """``foreachBatch`` function for update mode: changed keys replace their row in a versioned snapshot."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        previous = read_snapshot(batch.sparkSession, base, below=batch_id)
-        merged = batch
-        if previous is not None:
-            merged = previous.join(batch.select(key), key, "left_anti").unionByName(batch)
-        write_snapshot(merged, base, batch_id)
-
-    return apply
+def latest_status(changes: DataFrame) -> DataFrame:
+    """The newest row per fingerprint of the rows written by several batches."""
+    rest = [c for c in changes.columns if c not in ("fingerprint", "_batch")]
+    return changes.groupBy("fingerprint").agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(
+        "fingerprint", "_r.*"
+    )
 
 
-def run_status(updates: DataFrame, checkpoint: str, base: str) -> None:
+def run_status(updates: DataFrame, checkpoint: str, base: str, compact_every: int = 50) -> None:
+    """Keep the status table of a stream of changes; read it with ``read_status``."""
     query = (
-        track_status(updates).writeStream.outputMode("update").foreachBatch(replace_batches(base))
+        track_status(updates).writeStream.outputMode("update")
+        .foreachBatch(delta_writer(base, lambda batch: batch, latest_status, compact_every))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def read_status(spark: SparkSession, base: str) -> DataFrame:
+    return latest_status(read_changes(spark, base))
