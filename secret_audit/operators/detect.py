@@ -79,11 +79,11 @@ def _pattern(rules: tuple[Rule, ...], entropy_length: int | None = None) -> Colu
 def _start_lines(content: Column, pattern: Column) -> Column:
     """Line number of every match, in match order.
 
-    One character is put in front of each match, so a line grows by the number of matches that start in it. The work
+    One byte is put in front of each match, so a line grows by the number of matches that start in it. The work
     is linear in the text however many matches there are.
     """
     marked = F.split(F.regexp_replace(content, pattern, F.lit(".$0")), "\n", -1)
-    grown = F.zip_with(marked, F.split(content, "\n", -1), lambda a, b: F.length(a) - F.length(b))
+    grown = F.zip_with(marked, F.split(content, "\n", -1), lambda a, b: F.octet_length(a) - F.octet_length(b))
     return F.flatten(F.transform(grown, lambda n, i: F.array_repeat(i + 1, n)))
 
 

@@ -176,8 +176,24 @@ def test_rule_classifier(spark):
         assert r.reasoning == f"Rule-based classification for {r.type}"
 
 
-def test_dialect_translation():
-    assert to_java(r"(?i)a[&[]b\S") == r"(?iuUd)a[\&\[]b[^" + to_java(r"\s")[len("(?iuUd)["):]
+PATTERNS = [
+    r"a[&[]b\S", r"[^&&x]+", r"[\w.-]+@\d", r"[a-k]{2,}", r"[^a-k\s]{2,}", r"[]x-]+", r"\bkey\b", r"s[^'\"]?k", r"(?i)(ab|[c-e]+)f*?$", r"[\\/^]+z?",
+    r"\W\D", r"[!-/]+", r"i[rst]",
+]
+SUBJECTS = [
+    "a&bc a[b\t a[b!", "a&b\x1cq", "user.name@5 é@٣ x-y@9", "abcKk ſſ akİı K", "x-]-x ]]", "a key keyé key", "s'k sk sKk ſ\"k", "ABF\nabff\n", "\\/^z^", "é²_½ \U0001f600x",
+    "a\u2028b\u0085c\rd", "ıRİs iT", "!\"#$%&'()*+,-./",
+]
+
+
+def test_dialect_translation(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(SUBJECTS)], "i int, s string")
+    for p in PATTERNS:
+        for fold in (True, False):
+            java = to_java(p, fold)
+            got = [r.m for r in df.select("i", F.regexp_extract_all("s", F.lit(java), F.lit(0)).alias("m")).orderBy("i").collect()]
+            want = [[m.group() for m in re.finditer(p.removeprefix("(?i)"), s, re.I if fold else 0)] for s in SUBJECTS]
+            assert got == want, (p, fold, java)
     with pytest.raises(ValueError):
         to_java("a*")
     with pytest.raises(ValueError):
