@@ -238,24 +238,24 @@ def last_requests(spark, sf):
 
 
 def _requests(spark, sf):
-    """Requests are events: the prompt repeats per user and type, half of the users were answered before."""
+    """Events are requests, purchases have been answered before; the prompt repeats per user and property."""
     e = corpus.table(spark, sf, "events")
-    prompt = F.concat_ws(" ", F.lit("check"), F.col("user_id").cast("string"), "event_type")
+    prompt = F.concat_ws(" ", F.lit("check"), F.col("user_id").cast("string"), "props")
     key = V.cache_key(prompt, F.lit("gpt-4"), F.lit("openai"))
-    requests = e.where(F.col("event_id") % 2 == 1).select(
+    requests = e.select(
         F.col("event_id").alias("request_id"), key.alias("cache_key"), prompt.alias("prompt"), F.col("ts").cast("timestamp").alias("ts"))
-    cache = e.where((F.col("event_id") % 2 == 0) & (F.col("user_id") % 2 == 0)).select(
+    cache = e.where(F.col("event_type") == "purchase").select(
         key.alias("cache_key"), F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("response"),
         F.col("ts").cast("timestamp").alias("stored_at"))
     return requests, cache
 
 
 _CACHE = (
-    "keyed AS (SELECT event_id, user_id, ts, 'check ' || user_id || ' ' || event_type AS prompt, "
-    "md5('check ' || user_id || ' ' || event_type || '_gpt-4_openai') AS cache_key FROM events)",
-    "cache AS (SELECT cache_key, arg_max('answer ' || event_id, ts) AS answer, max(ts) AS stored_at FROM keyed WHERE event_id % 2 = 0 AND user_id % 2 = 0 GROUP BY cache_key)",
+    "keyed AS (SELECT event_id, event_type, ts, 'check ' || user_id || ' ' || props AS prompt, "
+    "md5('check ' || user_id || ' ' || props || '_gpt-4_openai') AS cache_key FROM events)",
+    "cache AS (SELECT cache_key, arg_max('answer ' || event_id, ts) AS answer, max(ts) AS stored_at FROM keyed WHERE event_type = 'purchase' GROUP BY cache_key)",
     "requests AS (SELECT event_id AS request_id, cache_key, prompt, k.ts, CASE WHEN epoch_us(k.ts) - epoch_us(stored_at) < 864000 * 1000000::BIGINT THEN answer END AS response "
-    "FROM keyed k LEFT JOIN cache USING (cache_key) WHERE event_id % 2 = 1)",
+    "FROM keyed k LEFT JOIN cache USING (cache_key))",
 )
 
 

@@ -96,8 +96,13 @@ def dedupe_and_suppress(hits: DataFrame, kept, legacy_key: bool = False) -> Data
 
 
 def sightings(findings: DataFrame, seen_at: str, legacy_key: bool = False) -> DataFrame:
-    """Collapse a batch of findings to one row per key with first and last seen time and the first payload."""
+    """Collapse a batch of findings to one row per key with first and last seen time and the first payload.
+
+    A missing repository becomes ``unknown``, so that keys are never null.
+    """
     keys = list(finding_key(legacy_key))
+    if "repo" in findings.columns:
+        findings = findings.withColumn("repo", F.coalesce("repo", F.lit("unknown")))
     rest = [c for c in findings.columns if c not in keys and c != seen_at]
     tie = [F.col(seen_at)] + [F.col(c) for c in ("commit_sha", "line_start") if c in rest]
     return findings.groupBy(*keys).agg(
@@ -129,17 +134,17 @@ def upsert(snapshot: DataFrame, batch: DataFrame, seen_at: str = "seen_at", lega
     keys = list(finding_key(legacy_key))
     incoming = lifecycle(batch, seen_at, legacy_key)
     cols = snapshot.columns
-    old, new = snapshot.alias("o"), incoming.alias("n")
-    on = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
-    known = F.col("_known")
-    joined = old.withColumn("_known", F.lit(True)).alias("o").join(new, on, "full_outer")
+    # Plain equality on the keys, so that the join uses the partitioning of the aggregation.
+    joined = incoming.alias("n").join(snapshot.withColumn("_known", F.lit(True)).alias("o"), keys, "full_outer")
 
     def pick(c: str):
+        if c in keys:
+            return F.col(c)
         if c == "last_seen_at":
             return F.greatest("o.last_seen_at", "n.last_seen_at").alias(c)
         if c not in incoming.columns:
             return F.col(f"o.{c}").alias(c)
-        return F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+        return F.when(F.col("_known"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
 
     merged = joined.select(*[pick(c) for c in cols])
     added = incoming.join(snapshot.select(*keys), keys, "left_anti")

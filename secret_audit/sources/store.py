@@ -132,10 +132,14 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> None:
     _no_raw(df).write.mode("overwrite").parquet(_folder(base, "v", version))
 
 
+def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
+    return spark.read.parquet(_folder(base, "v", version))
+
+
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     """Newest complete version."""
     versions = _complete(spark, base, "v")
-    return spark.read.parquet(_folder(base, "v", versions[-1])) if versions else None
+    return read_version(spark, base, versions[-1]) if versions else None
 
 
 def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
@@ -143,12 +147,18 @@ def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
     _no_raw(df).write.mode("overwrite").parquet(_folder(base, "d", batch_id))
 
 
-def read_changes(spark: SparkSession, base: str) -> DataFrame | None:
-    """Newest version and the deltas after it as one bag, with the number of their folder in ``_batch``."""
-    versions = _complete(spark, base, "v")
+def read_changes(spark: SparkSession, base: str, below: int | None = None) -> DataFrame | None:
+    """Newest version and the deltas after it as one bag, with the number of their folder in ``_batch``.
+
+    ``below`` leaves out folders from that number on.
+    """
+    def numbers(kind: str) -> list[int]:
+        return [n for n in _complete(spark, base, kind) if below is None or n < below]
+
+    versions = numbers("v")
     newest = versions[-1] if versions else -1
     parts = [("v", newest)] if versions else []
-    parts += [("d", n) for n in _complete(spark, base, "d") if n > newest]
+    parts += [("d", n) for n in numbers("d") if n > newest]
     frames = [spark.read.parquet(_folder(base, k, n)).withColumn("_batch", F.lit(n)) for k, n in parts]
     return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
 
