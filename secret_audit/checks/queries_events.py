@@ -291,7 +291,7 @@ def _sightings_stream(spark, sf):
 def streaming_scan(spark, sf):
     files = corpus.plant(_stream(spark, sf, "documents"))
     out, state = shared_dir(spark, "stream"), shared_dir(spark, "state")
-    found = SF.scan_stream(files)
+    found = SF.scan_stream(files, partitions=spark.sparkContext.defaultParallelism)
     SF.run_available(found, state, out)
     return spark.read.schema(found.schema).parquet(out).select("file_path", "rule", "line_start", "match_ord", "fingerprint")
 

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from secret_audit.operators.merge import fold_lifecycle, lifecycle, with_id
+from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, lifecycle, with_id
 from secret_audit.operators.metrics import file_counters, risk_scores
 from secret_audit.operators.reports import alert_messages
 from secret_audit.operators.select import (
@@ -30,6 +30,9 @@ from secret_audit.schemas import SCAN_RUNS
 from secret_audit.sources import store
 
 
+COMPACT_EVERY = 50
+
+
 @dataclass(frozen=True)
 class ScanRequest:
     """What to scan of each repository."""
@@ -116,13 +119,17 @@ def run_commit_scan(versions: DataFrame, base: str, version: int, rules=COMMIT_P
         store.write_snapshot(found, f"{base}/found", version)
         batch = store.read_version(spark, f"{base}/found", version)
         known = store.read_changes(spark, f"{base}/lifecycle", below=version)
-        rows = with_id(lifecycle(batch, "seen_at"), "repo", "fingerprint", "file_path")
+        rows = with_id(lifecycle(batch, "seen_at"), *FINDING_KEY)
         if known is not None:
-            rows_new = rows.join(known.select("repo", "fingerprint", "file_path").distinct(), ["repo", "fingerprint", "file_path"], "left_anti")
+            keys = list(FINDING_KEY)
+            fresh = rows.join(known.select(*keys).distinct(), keys, "left_anti")
         else:
-            rows_new = rows
-        store.write_snapshot(rows_new, f"{base}/new", version)
+            fresh = rows
+        store.write_snapshot(fresh, f"{base}/new", version)
         store.write_delta(rows, f"{base}/lifecycle", version)
+        if version % COMPACT_EVERY == COMPACT_EVERY - 1:
+            folded = fold_lifecycle(store.read_changes(spark, f"{base}/lifecycle", below=version + 1))
+            store.write_snapshot(folded, f"{base}/lifecycle", version)
         new = store.read_version(spark, f"{base}/new", version)
         record("OK", _now(), new.count())
     except Exception:

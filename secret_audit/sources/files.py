@@ -9,22 +9,27 @@ from secret_audit.schemas import FILES
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a text table with fewer input splits than cores over all cores.
+    """Spread a text table with few input splits over all cores.
 
-    Scanning text costs far more than moving it, and such a table has at most one split per core; a table with enough
-    splits is returned as it is, without a shuffle.
+    Scanning text costs far more than moving it, so a shuffle pays as soon as it doubles the number of busy cores. A
+    table with more splits than that is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, *keys)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files table; rows without a size get the size of their text."""
+def read_files(spark: SparkSession, path: str, sized: bool = True) -> DataFrame:
+    """Parquet files table.
+
+    With ``sized=False`` the size is taken from the text. A stored size is better: the selection then reads paths and
+    sizes and leaves the text column alone.
+    """
     df = spark.read.schema(FILES).parquet(path)
-    df = spread(df, "repo", "file_path")
-    return df.withColumn("size", F.coalesce("size", F.octet_length("content")))
+    if not sized:
+        df = df.withColumn("size", F.octet_length("content").cast("long"))
+    return spread(df, "repo", "file_path")
 
 
 def files_from_text(df: DataFrame, text: str, repo: str, path) -> DataFrame:

@@ -46,7 +46,8 @@ def finding_documents(findings: DataFrame, stored_at, target: int = 5000) -> Dat
 
 
 def write_finding_documents(findings: DataFrame, path: str, stored_at, target: int = 5000) -> None:
-    finding_documents(findings, stored_at, target).write.mode("overwrite").options(**_JSON_TIME).partitionBy("scan_id").json(path)
+    documents = finding_documents(findings, stored_at, target).hint("rebalance", "scan_id")
+    documents.write.mode("overwrite").options(**_JSON_TIME).partitionBy("scan_id").json(path)
 
 
 def read_finding_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +84,11 @@ def finding_rows(findings: DataFrame) -> DataFrame:
 
 
 def append_findings(findings: DataFrame, path: str) -> None:
-    """Append to the findings table, one folder per day of creation."""
-    rows = finding_rows(findings).withColumn("day", F.to_date("created_at"))
+    """Append to the findings table, one folder per day of creation.
+
+    Rows are rebalanced by day: few files per day, and a large day is split over tasks.
+    """
+    rows = finding_rows(findings).withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
     rows.write.mode("append").partitionBy("day").parquet(path)
 
 

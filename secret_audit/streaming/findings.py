@@ -12,8 +12,13 @@ from secret_audit.schemas import SEVERITIES
 from secret_audit.sources.store import delta_writer, read_changes
 
 
-def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False) -> DataFrame:
-    """Findings of a stream of files; stateless, so it scales like the batch scan."""
+def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False, partitions: int | None = None) -> DataFrame:
+    """Findings of a stream of files; stateless, so it scales like the batch scan.
+
+    ``partitions`` spreads the texts of a micro-batch that comes in few large input files.
+    """
+    if partitions:
+        files = files.repartition(partitions, *[c for c in files.columns if c in ("repo", "commit_sha", "file_path")])
     return findings_from_content(files, rules, context)
 
 
