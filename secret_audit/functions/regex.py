@@ -70,34 +70,39 @@ def _class_members(text: str) -> set[str] | None:
     return members if all(ord(c) < 128 for c in members) else None
 
 
-def _listed_class(text: str, ignore_case: bool) -> str | None:
+def _listed_class(text: str, ignore_case: bool, folds: bool = True) -> str | None:
     """The class with every character listed in both cases: Java then tests it by one table look-up."""
     members = _class_members(text)
     if members is None:
         return None
     if ignore_case:
         members |= {c.swapcase() for c in members}
+    if ignore_case and folds:
         members |= {f for f in FOLDS_TO_ASCII if {f.lower()[0], f.upper()[0].lower()} & members}
     listed = "".join(c if c.isalnum() and ord(c) < 128 else f"\\u{ord(c):04x}" for c in sorted(members))
     return f"[{'^' if text[1] == '^' else ''}{listed}]"
 
 
-def to_java(pattern: str, ignore_case: bool = True) -> str:
+def to_java(pattern: str, ignore_case: bool = True, folds: bool = True) -> str:
     """Java equivalent of a Python ``re`` pattern.
 
-    Case folding is switched off around listed classes, where it is already part of the list.
+    Case folding is switched off around listed classes, where it is already part of the list. ``folds=False`` gives a
+    faster form for texts without any of FOLDS_TO_ASCII, where ASCII letters have two cases only.
     """
     if re.compile(pattern).match(""):
         raise ValueError(f"pattern matches the empty string: {pattern!r}")
+    folds = folds or not pattern.isascii() or re.search(r"\\[bB]", pattern) is not None
 
     def rewrite(text: str, quantifier: str) -> str | None:
-        listed = _listed_class(text, ignore_case)
+        listed = _listed_class(text, ignore_case, folds)
         if listed is None:
             return None
         return f"(?-i){listed}{quantifier}(?i)" if ignore_case else listed + quantifier
 
     body = expand_shorthand(pattern.removeprefix("(?i)"), rewrite_class=rewrite)
-    return ("(?iuUd)" if ignore_case else "(?Ud)") + body
+    if not ignore_case:
+        return "(?Ud)" + body
+    return ("(?iuUd)" if folds else "(?id)") + body
 
 
 def sql_literal(text: str) -> str:

@@ -61,9 +61,12 @@ def _gate(rule: Rule, text: str) -> str:
 
 def _present(rules: tuple[Rule, ...], text: str, entropy_length: int | None = None) -> Column:
     """Ordinals of the rules that match a text; only functions that compile to code."""
-    flags = [
-        f"IF({_gate(r, text)} AND {text} RLIKE {sql_literal(r.java)}, {i}, -1)" for i, r in enumerate(rules)
-    ]
+    def matches(r: Rule) -> str:
+        plain = f"{text} RLIKE {sql_literal(r.java_plain)}"
+        full = f"_folds AND {text} RLIKE {sql_literal(r.java)}"
+        return plain if r.java == r.java_plain else f"({plain} OR {full})"
+
+    flags = [f"IF({_gate(r, text)} AND {matches(r)}, {i}, -1)" for i, r in enumerate(rules)]
     if entropy_length is not None:
         tokens = sql_literal(E.candidate_pattern(entropy_length))
         flags.append(f"IF(octet_length({text}) >= {entropy_length} AND {text} RLIKE {tokens}, {len(rules)}, -1)")
@@ -72,8 +75,10 @@ def _present(rules: tuple[Rule, ...], text: str, entropy_length: int | None = No
 
 def _pattern(rules: tuple[Rule, ...], entropy_length: int | None = None) -> Column:
     """Pattern of the rule named by ``rule_ord``. It is compiled again only when a row has another rule."""
-    patterns = [r.java for r in rules] + ([E.candidate_pattern(entropy_length)] if entropy_length is not None else [])
-    return F.expr(f"get(array({', '.join(map(sql_literal, patterns))}), rule_ord)")
+    tokens = [E.candidate_pattern(entropy_length)] if entropy_length is not None else []
+    plain, full = [r.java_plain for r in rules] + tokens, [r.java for r in rules] + tokens
+    table = ", ".join(map(sql_literal, plain + full))
+    return F.expr(f"get(array({table}), rule_ord + IF(_folds, {len(plain)}, 0))")
 
 
 def _start_lines(content: Column, pattern: Column) -> Column:
@@ -125,7 +130,7 @@ def scan_content(
         F.lower(content).alias("_lower"),
         _folds(F.col(content)).alias("_folds"),
     )
-    matched = text.select(*keys, "_text", F.explode(_present(rules, "_text")).alias("rule_ord"))
+    matched = text.select(*keys, "_text", "_folds", F.explode(_present(rules, "_text")).alias("rule_ord"))
     if context:
         # A column of its own, so that the text is split once and not once per match.
         matched = matched.withColumn("_lines", F.split("_text", "\n", -1))
@@ -169,7 +174,7 @@ def _hit_lines(files: DataFrame, content: str, rules: tuple[Rule, ...], entropy=
         split_lines(files.where(F.col(content).isNotNull()), content)
         .where(F.octet_length("line") >= shortest)
         .withColumns({"_lower": F.lower("line"), "_folds": _folds(line)})
-        .select(*keys, "line_no", "line", F.explode(_present(rules, "line", token_length)).alias("rule_ord"))
+        .select(*keys, "line_no", "line", "_folds", F.explode(_present(rules, "line", token_length)).alias("rule_ord"))
     )
     hits = F.transform(F.regexp_extract_all("line", _pattern(rules, token_length), F.lit(0)), lambda s, k: F.struct(
         k.alias("match_ord"), s.alias("secret"),
@@ -286,13 +291,13 @@ def rule_summary(df: DataFrame) -> DataFrame:
 def rule_hit_counts(files: DataFrame, rules=CONTENT_PACK, content: str = "content") -> DataFrame:
     """Every rule against every text: per rule the number of texts with a match and of matches, zeros kept."""
     rules = check_pack(rules)
-    text = F.col("_text")
     lowered = files.select(
         F.col(content).alias("_text"), F.lower(content).alias("_lower"), _folds(F.col(content)).alias("_folds")
     )
     counts = lowered.select(*[
-        F.when(F.expr(_gate(r, "_text")), F.regexp_count(text, F.lit(r.java)))
-        .otherwise(0).alias(f"n{i}")
+        F.expr(
+            f"IF({_gate(r, '_text')}, regexp_count(_text, IF(_folds, {sql_literal(r.java)}, {sql_literal(r.java_plain)})), 0)"
+        ).alias(f"n{i}")
         for i, r in enumerate(rules)
     ])
     totals = counts.agg(*[

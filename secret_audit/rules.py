@@ -19,7 +19,8 @@ class Rule:
     """One detection rule.
 
     ``hints`` are lower-case literals of which every match contains at least one, ``min_length`` the shortest possible
-    match; both only let the scan skip text early.
+    match; both only let the scan skip text early. ``java_plain`` is the form for texts without letters that fold to
+    ASCII.
     """
 
     name: str
@@ -33,9 +34,11 @@ class Rule:
     hints: tuple[str, ...] = ()
     min_length: int = 0
     java: str = field(init=False, default="")
+    java_plain: str = field(init=False, default="")
 
     def __post_init__(self):
         object.__setattr__(self, "java", to_java(self.pattern))
+        object.__setattr__(self, "java_plain", to_java(self.pattern, folds=False))
         object.__setattr__(self, "hints", tuple(h.lower() for h in self.hints))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from texts import B64, LONG_TEXTS, RULE_TEXTS
 
 from secret_audit.functions import context, entropy as E, mask as M
-from secret_audit.functions.regex import to_java
+from secret_audit.functions.regex import FOLDS_TO_ASCII, to_java
 from secret_audit.operators import detect as D
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PACKS, PLUGIN_PACK, Rule, check_pack
 
@@ -194,6 +194,10 @@ def test_dialect_translation(spark):
             got = [r.m for r in df.select("i", F.regexp_extract_all("s", F.lit(java), F.lit(0)).alias("m")).orderBy("i").collect()]
             want = [[m.group() for m in re.finditer(p.removeprefix("(?i)"), s, re.I if fold else 0)] for s in SUBJECTS]
             assert got == want, (p, fold, java)
+        plain = to_java(p, folds=False)
+        for r in df.select("s", F.regexp_extract_all("s", F.lit(plain), F.lit(0)).alias("m")).collect():
+            if not set(r.s) & set(FOLDS_TO_ASCII):
+                assert r.m == [m.group() for m in re.finditer(p.removeprefix("(?i)"), r.s, re.I)], (p, plain)
     with pytest.raises(ValueError):
         to_java("a*")
     with pytest.raises(ValueError):
