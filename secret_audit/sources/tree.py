@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,38 +18,41 @@ from secret_audit.functions.text import decode_ignore, decode_strict
 
 _LISTING = "file_path string, size long"
 _READ_BATCH_BYTES = 32 << 20
+_MAX_PARTITIONS = 4096
+_BODY = "repo string, file_path string, size long, raw binary"
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+class _Folders(InputPartition):
+    def __init__(self, shallow: list[str], deep: list[str]):
+        self.shallow, self.deep = shallow, deep
 
 
 class _TreeReader(DataSourceReader):
-    """One partition per folder of the first two levels, plus the files that lie directly in them."""
+    """The folders of the first two levels are dealt out to partitions, which walk what lies below them."""
 
     def __init__(self, root: str):
         self.root = os.path.abspath(root)
 
     def partitions(self):
-        out, level = [], [self.root]
-        for depth in range(2):
-            below = []
-            for folder in level:
-                out.append(_Folder(folder, deep=False))
-                with os.scandir(folder) as entries:
-                    below += [e.path for e in entries if e.is_dir(follow_symlinks=False)]
-            level = below
-        return out + [_Folder(folder, deep=True) for folder in level]
+        shallow, level = [], [self.root]
+        for _ in range(2):
+            shallow += level
+            level = [e.path for folder in level for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+        slices = min(_MAX_PARTITIONS, max(len(shallow), len(level)))
+        return [_Folders(shallow[i::slices], level[i::slices]) for i in range(slices)]
 
     def read(self, partition):
-        for folder, dirs, names in os.walk(partition.folder):
-            if not partition.deep:
-                dirs.clear()
-            for name in names:
-                path = os.path.join(folder, name)
-                if os.path.isfile(path):
-                    yield os.path.relpath(path, self.root), os.path.getsize(path)
+        for folder in partition.shallow:
+            yield from self._files(folder, (e.name for e in os.scandir(folder)))
+        for top in partition.deep:
+            for folder, _, names in os.walk(top):
+                yield from self._files(folder, names)
+
+    def _files(self, folder, names):
+        for name in names:
+            path = os.path.join(folder, name)
+            if os.path.isfile(path):
+                yield os.path.relpath(path, self.root), os.path.getsize(path)
 
 
 class RepoFiles(DataSource):
@@ -71,40 +75,49 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read_bodies(root: str):
-    def read(batches):
-        import pandas as pd
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["repo", "file_path", "size", "raw"])
 
+    def read(batches):
+        rows, held = [], 0
         for batch in batches:
-            rows, held = [], 0
             for row in batch.itertuples(index=False):
                 try:
-                    with open(os.path.join(root, row.file_path), "rb") as f:
+                    with open(os.path.join(root, row.path), "rb") as f:
                         raw = f.read()
                 except OSError:
                     raw = None
-                rows.append((row.file_path, row.size, raw))
+                rows.append((row.repo, row.file_path, row.size, raw))
                 held += len(raw or b"")
                 if held > _READ_BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["file_path", "size", "raw"])
+                    yield frame(rows)
                     rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["file_path", "size", "raw"])
+        if rows:
+            yield frame(rows)
 
     return read
 
 
-def read_tree(spark: SparkSession, root: str, repo: str, commit_sha: str | None = None, select=None, strict: bool = False) -> DataFrame:
+def read_tree(
+    spark: SparkSession, root: str, repo: str | None = None, commit_sha: str | None = None, select=None, strict: bool = False
+) -> DataFrame:
     """Files of a tree in the canonical columns.
 
-    ``select`` filters the listing (repo, file_path, size) before any body is read. Undecodable bytes are dropped, or
-    with ``strict`` the file.
+    Without ``repo`` the tree holds many repositories, one per top folder. ``select`` filters the listing (repo,
+    file_path, size) before any body is read. Undecodable bytes are dropped, or with ``strict`` the file.
     """
-    listing = list_tree(spark, root).withColumn("repo", F.lit(repo))
+    listing = list_tree(spark, root).withColumnRenamed("file_path", "path")
+    if repo is None:
+        listing = listing.where(F.col("path").contains("/")).withColumns({
+            "repo": F.substring_index("path", "/", 1), "file_path": F.regexp_replace("path", "^[^/]*/", ""),
+        })
+    else:
+        listing = listing.withColumns({"repo": F.lit(repo), "file_path": F.col("path")})
     chosen = select(listing) if select else listing
-    spread = chosen.select("file_path", "size").repartition(F.col("file_path"))
-    bodies = spread.mapInPandas(_read_bodies(os.path.abspath(root)), "file_path string, size long, raw binary")
+    spread = chosen.select("path", "repo", "file_path", "size").repartition("path")
+    bodies = spread.mapInPandas(_read_bodies(os.path.abspath(root)), _BODY)
     decode = decode_strict if strict else decode_ignore
     return bodies.select(
-        F.lit(repo).alias("repo"), F.lit(commit_sha).cast("string").alias("commit_sha"), "file_path",
+        "repo", F.lit(commit_sha).cast("string").alias("commit_sha"), "file_path",
         decode(F.col("raw")).alias("content"), "size",
     ).where(F.col("content").isNotNull())

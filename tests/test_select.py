@@ -101,5 +101,7 @@ def test_tree_with_hidden_files_and_bad_bytes(spark, tmp_path):
     select = lambda df: df.where((F.col("size") <= 200) & ~S.is_binary_path(F.col("file_path")))
     got = {r.file_path: r.content for r in read_tree(spark, str(tmp_path), "r", select=select).collect()}
     assert got == {".env": "password = 'hunter22'", "_w.py": "x", "_x/deep/er/a.py": "y", "a/.hidden/b.py": "z"}
+    many = {(r.repo, r.file_path) for r in read_tree(spark, str(tmp_path)).collect()}
+    assert many == {("_x", "deep/er/a.py"), ("a", ".hidden/b.py")}
     strict = {r.file_path for r in read_tree(spark, str(tmp_path), "r", select=select, strict=True).collect()}
     assert strict == {".env", "_w.py", "_x/deep/er/a.py"}
