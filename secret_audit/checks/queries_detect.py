@@ -359,18 +359,17 @@ def registered_detectors(spark, sf):
         "file_path", "type", "line_start", "match_ord", "fingerprint")
 
 
-def _internal_hosts(path, content):
-    for n, line in enumerate(content.split("\n"), 1):
-        if ".internal/" in line:
-            yield "internal_host", 0.5, n, line.split("@")[-1]
-
-
 @query("row_detector", o.with_(
     o.FILES, o.LINES,
     select="SELECT file_path, 'internal_host' AS type, line_no AS line_start, sha256(string_split(line, '@')[-1]) AS fingerprint "
            "FROM lines WHERE contains(line, '.internal/')"))
 def row_detector_query(spark, sf):
-    return row_detector(_internal_hosts)(corpus.files(spark, sf)).select("file_path", "type", "line_start", "fingerprint")
+    def internal_hosts(path, content):
+        for n, line in enumerate(content.split("\n"), 1):
+            if ".internal/" in line:
+                yield "internal_host", 0.5, n, line.split("@")[-1]
+
+    return row_detector(internal_hosts)(corpus.files(spark, sf)).select("file_path", "type", "line_start", "fingerprint")
 
 
 @query("row_detector_table_function", o.with_(

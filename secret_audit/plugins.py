@@ -6,10 +6,12 @@ add confidence, label and reasoning. A plugin is registered by name and can be s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from secret_audit.sources.commits import read_commits
 from secret_audit.sources.files import read_files
 from secret_audit.sources.tree import read_tree
 
+# The row detector travels by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Detector = Callable[[DataFrame], DataFrame]
 Connector = Callable[..., DataFrame]
 Handler = Callable[[DataFrame], DataFrame]

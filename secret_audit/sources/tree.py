@@ -8,14 +8,19 @@ over evenly spread paths.
 from __future__ import annotations
 
 import os
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from secret_audit.functions.text import decode_ignore, decode_strict
 
+# The reader and the body function travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _LISTING = "file_path string, size long"
 _READ_BATCH_BYTES = 32 << 20
 _MAX_PARTITIONS = 4096

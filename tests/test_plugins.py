@@ -58,3 +58,21 @@ def test_classifiers(spark):
 def test_connectors_and_handler_are_registered():
     assert set(registry.enabled("connector")) == {"files", "tree", "commits"}
     assert set(registry.enabled("handler")) == {"aws_remediation"}
+
+
+def test_worker_code_needs_no_installed_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from secret_audit.sources import tree
+
+    def marks(path, content):
+        yield "mark", 0.5, 1, content
+
+    code = tmp_path / "code.pkl"
+    code.write_bytes(cloudpickle.dumps((tree.RepoFiles, tree._read_bodies("/"), row_detector(marks))))
+    check = f"import sys; from pyspark import cloudpickle; cloudpickle.load(open({str(code)!r}, 'rb')); print('secret_audit' in sys.modules)"
+    done = subprocess.run([sys.executable, "-I", "-c", check], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "False", done.stderr[-500:]
