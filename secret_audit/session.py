@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,10 +24,8 @@ def build_session(app: str = "secret-audit", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a local folder is used only by a local session without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path under ``spark.checkpoint.dir``, or under the context's checkpoint folder where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = os.path.join(tempfile.gettempdir(), "secret-audit")
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from secret_audit.checks import load
 from secret_audit.checks.compare import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in load()[0]}
+ORACLES = load()[1]
 
 
 @pytest.fixture(scope="module")
