@@ -4,21 +4,54 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from secret_audit.llm.bpe import bpe_digests
+from secret_audit.llm.dartminhash import near_duplicates
+from secret_audit.llm.langid import held_out, identify_languages, train_language_model
+from secret_audit.llm.packing import pack_documents
+from secret_audit.llm.toxicity import score_toxicity, train_chain
+
+TOXICITY_LABELS = ["quality", "toxic"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language_model(docs.filter((F.crc32(F.col("doc_id").cast("string")) % 4) != 2))
+    return identify_languages(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_chain(docs, table(spark, sf_dir, "labels"), TOXICITY_LABELS)
+    return score_toxicity(docs, model, keep=["doc_id"])
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_digests(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op7_packing": op7_packing,
     "op9_bpe": op9_bpe,
+    "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
