@@ -138,13 +138,13 @@ def fit_logistic(
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap in the probabilities at which the F1 score of unseen rows is best."""
+    """The middle of the gap in the probabilities at which the F1 score of unseen rows is best, from 0.05 to 0.95."""
     order = np.argsort(-p, kind="stable")
     q, hits = p[order], np.cumsum(y[order])
     ends = np.flatnonzero(np.diff(q, append=-1) != 0)
     score = 2 * hits[ends] / (ends + 1 + y.sum())
     at = ends[int(score.argmax())]
-    return float((q[at] + (q[at + 1] if at + 1 < len(q) else 0.0)) / 2)
+    return float(np.clip((q[at] + (q[at + 1] if at + 1 < len(q) else 0.0)) / 2, 0.05, 0.95))
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, categories: list[str], id_column: str, text: str, sample_rows: int) -> DataFrame:
