@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from secret_audit.llm.ann import nearest_neighbours
 from secret_audit.llm.bpe import bpe_digests
 from secret_audit.llm.dartminhash import near_duplicates
 from secret_audit.llm.langid import held_out, identify_languages, train_language_model
 from secret_audit.llm.packing import pack_documents
+from secret_audit.llm.sharding import assign_shards, even_topology
+from secret_audit.llm.token_counts import count_tokens
+from secret_audit.llm.topk import top_inner_products
 from secret_audit.llm.toxicity import score_toxicity, train_chain
+from secret_audit.llm.warc import derived_records, response_records
 
 TOXICITY_LABELS = ["quality", "toxic"]
 
@@ -20,22 +25,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_records(response_records(table(spark, sf_dir, "pages")), keep=["page_id"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_language_model(docs.filter((F.crc32(F.col("doc_id").cast("string")) % 4) != 2))
     return identify_languages(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, MAX(CAST(list_inner_product(q.u, c.u) AS BIGINT)) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.u) = len(c.u) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_chain(docs, table(spark, sf_dir, "labels"), TOXICITY_LABELS)
     return score_toxicity(docs, model, keep=["doc_id"])
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topology = even_topology(40)
+    return assign_shards(table(spark, sf_dir, "documents"), topology, topology.grown("region0", "rack0"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return count_tokens(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe_digests(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
@@ -46,12 +88,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_posting_lists": op1_posting_lists,
+    "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other results can't be stated in SQL: they rest on trained models, hashed draws, tokenizers or approximate search.
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
