@@ -246,16 +246,18 @@ def _requests(spark, sf):
         F.col("event_id").alias("request_id"), key.alias("cache_key"), prompt.alias("prompt"), F.col("ts").cast("timestamp").alias("ts"))
     cache = e.where(F.col("event_type") == "purchase").select(
         key.alias("cache_key"), F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("response"),
-        F.col("ts").cast("timestamp").alias("stored_at"))
+        F.expr("timestampadd(SECOND, 90, cast(ts as timestamp))").alias("stored_at"))
     return requests, cache
 
 
 _CACHE = (
     "keyed AS (SELECT event_id, event_type, ts, 'check ' || user_id || ' ' || props AS prompt, "
     "md5('check ' || user_id || ' ' || props || '_gpt-4_openai') AS cache_key FROM events)",
-    "cache AS (SELECT cache_key, arg_max('answer ' || event_id, ts) AS answer, max(ts) AS stored_at FROM keyed WHERE event_type = 'purchase' GROUP BY cache_key)",
-    "requests AS (SELECT event_id AS request_id, cache_key, prompt, k.ts, CASE WHEN epoch_us(k.ts) - epoch_us(stored_at) < 864000 * 1000000::BIGINT THEN answer END AS response "
-    "FROM keyed k LEFT JOIN cache USING (cache_key))",
+    # An answer is stored 90 seconds after its request, so it can't serve that request itself.
+    "cache AS (SELECT cache_key, 'answer ' || event_id AS answer, ts + INTERVAL 90 SECOND AS stored_at FROM keyed WHERE event_type = 'purchase')",
+    "requests AS (SELECT k.event_id AS request_id, k.cache_key, k.prompt, k.ts, arg_max(c.answer, (c.stored_at, c.answer)) AS response "
+    "FROM keyed k LEFT JOIN cache c ON c.cache_key = k.cache_key AND c.stored_at <= k.ts "
+    "AND epoch_us(k.ts) - epoch_us(c.stored_at) < 864000 * 1000000::BIGINT GROUP BY ALL)",
 )
 
 
@@ -266,7 +268,11 @@ def cached_responses(spark, sf):
 
 
 @query("uncached_requests", o.with_(
-    *_CACHE, select="SELECT cache_key, arg_min(request_id, (ts, request_id)) AS request_id FROM requests WHERE response IS NULL GROUP BY cache_key"))
+    *_CACHE, "waiting AS (SELECT cache_key, ts, request_id FROM requests WHERE response IS NULL)",
+    "calls AS (SELECT cache_key, min((ts, request_id)) AS c FROM waiting GROUP BY cache_key UNION ALL "
+    "SELECT w.cache_key, min((w.ts, w.request_id)) FROM calls p JOIN waiting w ON w.cache_key = p.cache_key "
+    "AND epoch_us(w.ts) - epoch_us(p.c[1]) >= 864000 * 1000000::BIGINT GROUP BY w.cache_key, p.c)",
+    select="SELECT cache_key, c[2] AS request_id FROM calls").replace("WITH ", "WITH RECURSIVE ", 1))
 def uncached_requests(spark, sf):
     requests, cache = _requests(spark, sf)
     return V.uncached(requests, cache, 864000).select("cache_key", "request_id")

@@ -182,9 +182,15 @@ def apply_updates(findings: DataFrame, updates: DataFrame, statuses=PATCH_STATUS
 
 
 def append_notes(findings: DataFrame, results: DataFrame) -> DataFrame:
-    """Writes one remediation result per finding id: a note line is appended, the status follows the outcome."""
+    """Writes remediation results: a note line each in time order is appended, the status follows the last outcome.
+
+    Results carry id, action, message, success and, where a finding can have several, ts.
+    """
     note = F.concat(F.lit("Remediation: "), F.col("action"), F.lit(" - "), F.col("message"))
-    ready = results.select("id", note.alias("_note"), F.col("success").alias("_success"))
+    time = F.col("ts") if "ts" in results.columns else F.lit(None).cast("timestamp")
+    ready = results.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct(time.alias("t"), note.alias("note"), F.col("success").alias("ok")))).alias("_done")
+    ).select("id", F.array_join("_done.note", "\n").alias("_note"), F.element_at("_done.ok", -1).alias("_success"))
     old = F.col("notes")
     appended = F.when(F.col("_note").isNull(), old).when(
         F.length(old) > 0, F.concat(old, F.lit("\n"), F.col("_note"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from secret_audit.operators.numbering import sequence
@@ -10,6 +10,7 @@ from secret_audit.schemas import VERDICT
 
 BATCH_SIZE = 5
 CACHE_SECONDS = 3600
+_SLOTS = 4
 
 # Prompt text.
 BATCH_SYSTEM = "You are a security expert analyzing code for secrets and vulnerabilities. Respond with JSON only."
@@ -129,13 +130,25 @@ def messages(system: str, prompt: Column) -> Column:
     return F.array(message("system", F.lit(system)), message("user", prompt))
 
 
+def _object(text: Column) -> Column:
+    """The JSON object of a reply: the text itself, or the first item where the reply is a list."""
+    first = F.try_element_at(F.from_json(text, "array<string>"), F.lit(1))
+    return F.when(text.rlike(r"^\s*\["), first).otherwise(text)
+
+
 def parse_verdict(text: Column) -> Column:
-    """Verdict struct from JSON text: missing fields take their defaults, unreadable text gives null."""
-    schema = VERDICT.simpleString()[7:-1].replace(":", " ") + ", _bad string"
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    is_object = text.rlike(r"^\s*\{") & parsed["_bad"].isNull()
-    fields = [F.coalesce(parsed[name], F.lit(value)).alias(name) for name, value in DEFAULTS.items()]
-    return F.when(is_object, F.struct(*fields))
+    """Verdict struct from JSON text: missing fields take their defaults, unreadable text gives null.
+
+    A number or truth value may be quoted; a list counts with its first item. A confidence that is no number makes the
+    verdict unreadable.
+    """
+    kinds = {f.name: f.dataType for f in VERDICT}
+    source = _object(text)
+    parsed = F.from_json(source, ", ".join(f"{n} string" for n in DEFAULTS) + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    number = parsed["confidence"].isNull() | parsed["confidence"].try_cast("double").isNotNull()
+    readable = F.coalesce(source.rlike(r"^\s*\{") & parsed["_bad"].isNull() & number, F.lit(False))
+    fields = [F.coalesce(parsed[name].try_cast(kinds[name]), F.lit(value)).alias(name) for name, value in DEFAULTS.items()]
+    return F.when(readable, F.struct(*fields))
 
 
 def split_reply(reply: Column) -> Column:
@@ -154,7 +167,9 @@ def reply_verdicts(replies: DataFrame, group: str = "scan_id", reply: str = "rep
 def align_verdicts(numbered: DataFrame, verdicts: DataFrame, group: str = "scan_id", text: str = "json") -> DataFrame:
     """Every candidate with its verdict by position; a missing or unreadable one is replaced by the fallback."""
     fallback = F.struct(*[F.lit(v).alias(k) for k, v in FALLBACK.items()])
-    read = verdicts.select(group, "batch_id", "position", parse_verdict(F.col(text)).alias("_read"))
+    # A reply that was stored twice counts once; readable texts come before others.
+    texts = verdicts.groupBy(group, "batch_id", "position").agg(F.min_by(text, F.struct(parse_verdict(F.col(text)).isNull(), text)).alias(text))
+    read = texts.select(group, "batch_id", "position", parse_verdict(F.col(text)).alias("_read"))
     return (
         numbered.join(read, [group, "batch_id", "position"], "left")
         .withColumn("verdict", F.coalesce("_read", fallback)).drop("_read")
@@ -176,17 +191,19 @@ def apply_verdicts(judged: DataFrame) -> DataFrame:
 
 def parse_classification(text: Column) -> Column:
     """Reply of the single-secret prompt as confidence, label and reasoning."""
+    source = F.trim(_object(text))
     parsed = F.from_json(
-        F.trim(text), "confidence double, secret_type string, reasoning string, _bad string",
-        {"columnNameOfCorruptRecord": "_bad"},
+        source, "confidence string, secret_type string, reasoning string, _bad string", {"columnNameOfCorruptRecord": "_bad"}
     )
-    ok = text.rlike(r"^\s*\{") & parsed["_bad"].isNull()
+    confidence = parsed["confidence"].try_cast("double")
+    number = parsed["confidence"].isNull() | confidence.isNotNull()
+    ok = F.coalesce(source.rlike(r"^\s*\{") & parsed["_bad"].isNull() & number, F.lit(False))
 
     def either(value, default, failed):
         return F.when(ok, F.coalesce(value, F.lit(default))).otherwise(F.lit(failed))
 
     return F.struct(
-        either(parsed["confidence"], 0.5, 0.5).alias("confidence"),
+        either(confidence, 0.5, 0.5).alias("confidence"),
         either(parsed["secret_type"], "unknown", "unknown").alias("label"),
         either(parsed["reasoning"], "LLM analysis", "LLM parsing error").alias("reasoning"),
     )
@@ -197,24 +214,50 @@ def cache_key(prompt: Column, model: Column, provider: Column) -> Column:
 
 
 def reuse_responses(requests: DataFrame, cache: DataFrame, ttl_seconds: int = CACHE_SECONDS) -> DataFrame:
-    """Requests with the response of an equal request stored less than the lifetime ago, else null.
+    """Requests with the newest response to an equal request that was stored before, less than the lifetime ago, else null.
 
-    Per key only the newest response counts, as a later one replaces an earlier one.
+    Answers and requests of a key meet in slots of a quarter of the lifetime, so a key that is asked all the time is spread
+    over many groups; each answer enters the slots that it can serve. Within a slot one pass in time order suffices.
     """
-    newest = cache.groupBy("cache_key").agg(F.max_by("response", "stored_at").alias("response"),
-                                            F.max("stored_at").alias("stored_at"))
-    fresh = (F.unix_micros("ts") - F.unix_micros("stored_at")) < ttl_seconds * 1_000_000
-    joined = requests.join(newest, "cache_key", "left")
-    return joined.withColumn("response", F.when(fresh, F.col("response"))).drop("stored_at")
+    width = max(1, ttl_seconds * 1_000_000 // _SLOTS)
+    at, ttl = F.unix_micros("_t"), ttl_seconds * 1_000_000
+    served = F.sequence(F.floor(at / width), F.floor((at + ttl) / width))
+    answers = cache.select("cache_key", F.col("stored_at").alias("_t"), F.col("response").alias("_answer")).withColumn("_slot", F.explode(served))
+    asked = requests.withColumn("_t", F.col("ts")).withColumn("_slot", F.floor(at / width)).withColumn("_asked", F.lit(1))
+    both = asked.unionByName(answers.withColumn("_asked", F.lit(0)), allowMissingColumns=True)
+    stored = F.when(F.col("_asked") == 0, F.struct(at.alias("t"), F.col("_answer").alias("response")))
+    order = Window.partitionBy("cache_key", "_slot").orderBy("_t", "_asked", "_answer").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last(stored, ignorenulls=True).over(order)).where("_asked = 1")
+    fresh = at - F.col("_last.t") < ttl
+    return found.withColumn("response", F.when(fresh, F.col("_last.response"))).select(*requests.columns, "response")
 
 
 def uncached(requests: DataFrame, cache: DataFrame, ttl_seconds: int = CACHE_SECONDS) -> DataFrame:
-    """One request per key that needs a model call."""
-    open_requests = reuse_responses(requests, cache, ttl_seconds).where(F.col("response").isNull()).drop("response")
-    rest = [c for c in open_requests.columns if c != "cache_key"]
-    return open_requests.groupBy("cache_key").agg(F.min_by(F.struct(*rest), F.struct("ts", "request_id")).alias("_r")).select(
-        "cache_key", "_r.*"
-    )
+    """Requests that need a model call: those without a response, but not those that the answer to such a call serves.
+
+    Per key the first request is asked, then the first one a lifetime or more after it, and so on: one pass over the sorted
+    rows of a partition that remembers the last call.
+    """
+    waiting = reuse_responses(requests, cache, ttl_seconds).where(F.col("response").isNull()).drop("response")
+    ordered = waiting.repartition("cache_key").sortWithinPartitions("cache_key", "ts", "request_id")
+    return ordered.mapInArrow(_calls(ttl_seconds * 1_000_000), waiting.schema)
+
+
+def _calls(ttl: int):
+    def run(batches):
+        import pyarrow as pa
+
+        key, last = None, None
+        for batch in batches:
+            keep = []
+            for own, ts in zip(batch.column("cache_key").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist(), strict=True):
+                call = own != key or ts - last >= ttl
+                if call:
+                    key, last = own, ts
+                keep.append(call)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def first_user_message(turns: DataFrame, group: str = "conv_id") -> DataFrame:

@@ -62,7 +62,31 @@ def test_cache_lifetime(spark):
     cache = spark.sql("SELECT * FROM VALUES ('k', 'old', timestamp'2023-12-31 00:00:00'), ('k', 'new', timestamp'2024-01-01 00:00:00') AS t(cache_key, response, stored_at)")
     got = {r.request_id: r.response for r in V.reuse_responses(req, cache).collect()}
     assert got == {1: None, 2: "new", 3: None, 4: None}
-    assert sorted(r.request_id for r in V.uncached(req, cache).collect()) == [1, 3]
+    # A day later the answer to request 3 has run out.
+    assert sorted(r.request_id for r in V.uncached(req, cache).collect()) == [1, 3, 4]
+
+
+def test_cache_as_of_the_request(spark):
+    req = spark.sql("SELECT * FROM VALUES ('k', 1, timestamp'2024-01-01 00:10:00'), ('k', 2, timestamp'2024-01-01 00:50:00'), ('m', 3, timestamp'2024-01-01'), "
+                    "('m', 4, timestamp'2024-01-01 00:59:59'), ('m', 5, timestamp'2024-01-01 01:00:00') AS t(cache_key, request_id, ts)")
+    cache = spark.sql("SELECT * FROM VALUES ('k', 'a', timestamp'2024-01-01 00:00:00'), ('k', 'later', timestamp'2024-06-01 00:00:00'), "
+                      "('k', 'b', timestamp'2024-01-01 00:50:00') AS t(cache_key, response, stored_at)")
+    assert {r.request_id: r.response for r in V.reuse_responses(req, cache).collect()} == {1: "a", 2: "b", 3: None, 4: None, 5: None}
+    assert sorted(r.request_id for r in V.uncached(req, cache).collect()) == [3, 5]
+
+
+def test_quoted_numbers_and_lists(spark):
+    rows = ['{"is_secret": "true", "confidence": "0.9"}', '[{"is_secret": true, "confidence": 1}]', '["{\\"confidence\\": 0.2}"]', '{"confidence": "high"}', "[]", "oops", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    got = {r.i: r.v and (r.v.is_secret, r.v.confidence) for r in df.select("i", V.parse_verdict(F.col("t")).alias("v")).collect()}
+    assert got == {0: (True, 0.9), 1: (True, 1.0), 2: (False, 0.2), 3: None, 4: None, 5: None, 6: None}
+
+
+def test_a_reply_stored_twice_counts_once(spark):
+    numbered = spark.createDataFrame([("s", 0, 0, "x")], "scan_id string, batch_id long, position int, id string")
+    replies = spark.createDataFrame([("s", 0, 0, "bad"), ("s", 0, 0, '{"confidence": 0.4}'), ("s", 0, 0, '{"confidence": 0.4}')],
+                                    "scan_id string, batch_id long, position int, json string")
+    assert [r.verdict.confidence for r in V.align_verdicts(numbered, replies).collect()] == [0.4]
 
 
 def test_first_user_message(spark):
