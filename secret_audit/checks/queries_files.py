@@ -80,6 +80,7 @@ _COMMITS_CTE = (
     "file_path, content FROM files WHERE doc_id * 7 >= 1000)",
     "newest AS (SELECT * FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY date DESC, sha DESC) <= 10)",
 )
+_ALL_COMMITS = tuple(c.replace(" WHERE doc_id * 7 >= 1000)", ")") for c in _COMMITS_CTE)
 
 
 def _commits(spark, sf):
@@ -113,11 +114,11 @@ def commit_file_versions(spark, sf):
 
 
 @query("commit_contents_join", o.with_(
-    *_COMMITS_CTE,
+    *_ALL_COMMITS,
     select="SELECT repo, sha AS commit_sha, file_path, sha256(content) AS content_hash FROM commits "
            "WHERE doc_id % 6 <> 0 AND NOT regexp_matches(lower(file_path), '[.]png$')"))
 def commit_contents_join(spark, sf):
-    commits = _commits(spark, sf).where("date >= '2024-01-01 16:40:00'")
+    commits = _commits(spark, sf)
     bare = commits.withColumn("files", F.transform("files", lambda f: f.withField("content", F.lit(None).cast("string"))))
     contents = corpus.files(spark, sf).select(F.col("commit_sha").alias("sha"), "file_path", "content")
     return file_versions(bare, contents).select(
@@ -126,7 +127,6 @@ def commit_contents_join(spark, sf):
 
 _INCLUDED = "(regexp_matches(file_path, '^(?:[^/]+/)*[^/]*[.]py$') OR regexp_matches(file_path, '^(?:[^/]+/)*[^/]*[.]js$') " \
             "OR regexp_matches(file_path, '^(?:[^/]+/)*[^/]*[.]env$') OR regexp_matches(file_path, '^(?:[^/]+/)*[^/]*[.]yml$'))"
-_EXCLUDED = "(file_path GLOB '*/node_modules/*' OR file_path GLOB '*/dist/*' OR file_path GLOB '.git/*')"
 
 
 @query("include_globs", o.with_(o.FILES, select=f"SELECT file_path FROM files WHERE {_INCLUDED}"))
@@ -181,6 +181,43 @@ def file_counters(spark, sf):
     return counters(S.selection_flags(corpus.files(spark, sf), max_bytes_per_file=20000))
 
 
+_OUT = "regexp_matches(file_path, '(?s)^(.*/node_modules/.*|.*/dist/.*|[.]git/.*)$')"
+
+
+@query("selection_rejects", o.with_(
+    o.FILES,
+    "asked AS (SELECT doc_id, file_path, CASE WHEN doc_id % 17 <> 0 THEN repo END AS repo, octet_length(encode(content)) AS bytes FROM files)",
+    f"first AS (SELECT *, CASE WHEN NOT {_INCLUDED} THEN 'not_included' WHEN {_OUT} THEN 'excluded' "
+    "WHEN bytes > 20000 THEN 'too_large' END AS why FROM asked)",
+    select="SELECT doc_id, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY repo, why IS NULL ORDER BY file_path) > 8 THEN 'over_limit' "
+           "ELSE coalesce(why, 'selected') END AS reason FROM first"))
+def selection_rejects(spark, sf):
+    # Some repositories and sizes are unknown; selected and rejected files together are all files.
+    files = corpus.files(spark, sf).withColumns({
+        "repo": F.when(F.col("doc_id") % 17 != 0, F.col("repo")), "size": F.when(F.col("doc_id") % 13 != 0, F.col("size"))})
+    request = {"max_files": 8, "max_bytes_per_file": 20000}
+    kept = S.select_files(files, **request).select("doc_id", F.lit("selected").alias("reason"))
+    return kept.unionByName(S.selection_rejects(files, **request).select("doc_id", "reason"))
+
+
+@query("scan_history", o.on_findings(
+    "SELECT concat('scan-', s.source, '-000000000', s.v) AS id, s.source AS repo_url, 'done' AS status, s.n AS total_files, "
+    "coalesce(f.n, 0) AS findings_count FROM (SELECT source, unnest([1, 2]) AS v, count(*) AS n FROM documents GROUP BY source) s LEFT JOIN "
+    "(SELECT repo, v, count(*) AS n FROM (SELECT *, unnest([1, 2]) AS v FROM findings) WHERE v = 1 OR doc_id % 2 = 0 GROUP BY ALL) f "
+    "ON f.repo = s.source AND f.v = s.v"))
+def scan_history_query(spark, sf):
+    from secret_audit.plans.jobs import ScanRequest, run_repo_scan, scan_history
+
+    base = shared_dir(spark, "scans")
+    files = corpus.files(spark, sf)
+    everything = ScanRequest(include=("**/*",), exclude=())
+    run_repo_scan(files, base, 1, everything)
+    # Half of the files have lost their secrets by the second run.
+    later = files.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("clean"))
+    run_repo_scan(later, base, 2, everything)
+    return scan_history(spark, base).select("id", "repo_url", "status", "total_files", "findings_count")
+
+
 @query("binary_extensions", o.with_(
     o.FILES, select="SELECT file_path FROM files WHERE NOT regexp_matches(lower(file_path), '[.](png|jpg|pdf|zip|exe)$')"))
 def binary_extensions(spark, sf):
@@ -340,16 +377,18 @@ def user_rule_pack(spark, sf):
     return found.select("file_path", "rule", "match_ord", "line_start", "line_end")
 
 
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-
-
-@query("tree_listing", "SELECT t || '.parquet' AS file_path, true AS has_size FROM (VALUES "
-       + ", ".join(f"('{t}')" for t in _TABLES.split()) + ") v(t)")
-def tree_listing(spark, sf):
-    from secret_audit.sources.tree import list_tree
+@query("tree_contents",
+       "SELECT source AS repo, concat(CASE WHEN doc_id % 3 = 0 THEN '.d/.f' ELSE 'd/f' END, doc_id) AS file_path, "
+       "CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS content_hash FROM documents")
+def tree_contents(spark, sf):
+    """The documents written as files, hidden ones among them, and read back as repository trees."""
+    from secret_audit.sources.tree import read_tree, write_tree
 
-    found = list_tree(spark, sf).where(F.col("file_path").endswith(".parquet"))
-    return found.select("file_path", (F.col("size") > 0).alias("has_size"))
+    root = shared_dir(spark, "tree").removeprefix("file://")
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, ".d/.f").otherwise("d/f"), F.col("doc_id").cast("string"))
+    docs = corpus.table(spark, sf, "documents").select(F.concat_ws("/", "source", name).alias("path"), F.encode("text", "UTF-8").alias("raw"))
+    write_tree(docs, root)
+    return read_tree(spark, root).select("repo", "file_path", "size", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("registered_connector_and_handler", o.on_findings(

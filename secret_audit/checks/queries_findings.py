@@ -297,7 +297,7 @@ _HUNK = (
     "FROM findings GROUP BY scan_id"))
 def unified_diff(spark, sf):
     # One part per scan at the test scales; finding_document_parts covers the split.
-    return reports.unified_diff(stored_findings(spark, sf), target=1_000_000)
+    return reports.unified_diff(stored_findings(spark, sf))
 
 
 @query("finding_document_parts", o.on_findings(
@@ -320,7 +320,7 @@ def finding_document_parts(spark, sf):
     "|| chr(10) || '- **Confidence**: ' || printf('%.2f', confidence) || chr(10) || '- **Remediation**: ' || remediation || chr(10) || chr(10), '' "
     f"ORDER BY file_path, line_start, id) || {o.lit(reports.PR_FOOTER)} AS pr_body FROM findings GROUP BY scan_id"))
 def pull_request_text(spark, sf):
-    return reports.pull_request(stored_findings(spark, sf), target=1_000_000)
+    return reports.pull_request(stored_findings(spark, sf))
 
 
 _SARIF_RULES = ", ".join(
@@ -333,13 +333,13 @@ _SARIF_RULES = ", ".join(
     + ", 'version': '2.1.0', 'runs': [{'tool': {'driver': {'name': " + o.lit(reports.TOOL_NAME) + ", 'version': '1.0.0', 'informationUri': "
     + o.lit(reports.TOOL_URI) + ", 'rules': [" + _SARIF_RULES + "]}}, 'results': results, 'artifacts': [{'location': {'uri': repo_url, "
     "'uriBaseId': 'ROOT'}, 'description': {'text': 'Repository: ' || repo_url || ' (' || branch || ')'}}]}]}) AS VARCHAR) AS sarif FROM "
-    "(SELECT f.scan_id, s.repo_url, s.branch, list({'ruleId': regexp_replace(type, '_', '-'), 'level': CASE WHEN severity IN ('CRITICAL', 'HIGH') "
+    "(SELECT s.id AS scan_id, s.repo_url, s.branch, coalesce(list({'ruleId': regexp_replace(type, '_', '-'), 'level': CASE WHEN severity IN ('CRITICAL', 'HIGH') "
     "THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END, 'message': {'text': description}, 'locations': [{'physicalLocation': "
     "{'artifactLocation': {'uri': file_path, 'uriBaseId': 'ROOT'}, 'region': {'startLine': line_start, 'endLine': line_end}}}], 'properties': "
-    "{'confidence': confidence, 'severity': severity, 'remediation': remediation}} ORDER BY file_path, line_start, f.id) AS results "
-    "FROM findings f JOIN repo_scans s ON s.id = f.scan_id GROUP BY ALL)", o.REPO_SCANS))
+    "{'confidence': confidence, 'severity': severity, 'remediation': remediation}} ORDER BY file_path, line_start, f.id) FILTER (WHERE f.id IS NOT NULL), []) AS results "
+    "FROM repo_scans s LEFT JOIN findings f ON s.id = f.scan_id GROUP BY s.id, s.repo_url, s.branch)", o.REPO_SCANS))
 def sarif_export(spark, sf):
-    return reports.sarif(stored_findings(spark, sf), corpus.repo_scans(spark, sf), target=1_000_000)
+    return reports.sarif(stored_findings(spark, sf), corpus.repo_scans(spark, sf))
 
 
 @query("report_sections", o.on_findings(
@@ -349,7 +349,7 @@ def sarif_export(spark, sf):
 def report_sections(spark, sf):
     line = F.transform("findings", lambda f: F.concat_ws(
         "|", f["type"], f["file_path"], f["line_start"].cast("string"), f["confidence_percent"].cast("string")))
-    return reports.report_sections(stored_findings(spark, sf), target=1_000_000).select(
+    return reports.report_sections(stored_findings(spark, sf)).select(
         "scan_id", "severity", "section", "severity_findings", F.array_join(line, ";").alias("listed"))
 
 
@@ -392,14 +392,18 @@ def remediation_plan(spark, sf):
 
 
 @query("remediation_notes", o.on_findings(
-    "SELECT id, CASE WHEN planned THEN CASE WHEN doc_id % 2 = 0 THEN 'seen' || chr(10) ELSE '' END || 'Remediation: ' || action || ' - ' || message "
+    "SELECT id, CASE WHEN planned THEN CASE WHEN doc_id % 2 = 0 THEN 'seen' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN "
+    "'Remediation: ' || action || ' - first try' || chr(10) ELSE '' END || 'Remediation: ' || action || ' - ' || message "
     "ELSE CASE WHEN doc_id % 2 = 0 THEN 'seen' ELSE '' END END AS notes, CASE WHEN planned THEN CASE WHEN type = 'aws_access_key' THEN 'RESOLVED' "
     f"ELSE 'ACKNOWLEDGED' END ELSE status END AS status FROM (SELECT *, {_PLAN}, type IN ('aws_access_key', 'aws_secret_key') AS planned FROM findings)"))
 def remediation_notes(spark, sf):
     f = stored_findings(spark, sf).withColumn("notes", F.when(F.col("doc_id") % 2 == 0, "seen").otherwise(""))
     results = R.remediation_plan(f).where(F.col("action") != "none").select(
-        "id", "action", "message", (F.col("action") == "disable").alias("success"))
-    return append_notes(f, results).select("id", "notes", "status")
+        "id", "action", "message", (F.col("action") == "disable").alias("success"), "doc_id", F.to_timestamp(F.lit("2024-02-02")).alias("ts"))
+    # An earlier result of some findings went the other way.
+    earlier = results.where(F.col("doc_id") % 3 == 0).withColumns({
+        "message": F.lit("first try"), "success": ~F.col("success"), "ts": F.to_timestamp(F.lit("2024-02-01"))})
+    return append_notes(f, results.unionByName(earlier)).select("id", "notes", "status")
 
 
 # --- verdicts --------------------------------------------------------------------------------------------------------
@@ -442,12 +446,12 @@ def secret_prompts(spark, sf):
     return chat.select("conv_id", "turn", F.sha2(prompt, 256).alias("prompt_hash"))
 
 
-# Stand-in model replies: one JSON text per labelled document.
+# Stand-in model replies: one JSON text per labelled document; some quote the confidence, some put the object in a list.
 _VERDICT_JSON = (
-    "CASE WHEN doc_id % 9 = 0 THEN 'not json' WHEN doc_id % 9 = 1 THEN '[1, 2' WHEN doc_id % 9 = 2 THEN '{{\"is_secret\": true}}' ELSE "
+    "CASE WHEN doc_id % 9 = 0 THEN 'not json' WHEN doc_id % 9 = 1 THEN '[1, 2' WHEN doc_id % 9 = 2 THEN '{{\"is_secret\": true}}' ELSE concat(CASE WHEN doc_id % 9 = 4 THEN '[' ELSE '' END, "
     "concat('{{\"is_secret\": ', CASE WHEN quality = 1 THEN 'true' ELSE 'false' END, ', \"is_vulnerability\": ', CASE WHEN toxic = 1 THEN 'true' "
     "ELSE 'false' END, ', \"type\": \"api_key\", \"severity\": \"', CASE WHEN toxic = 1 THEN 'CRITICAL' ELSE 'MEDIUM' END, "
-    "'\", \"confidence\": 0.', cast(doc_id % 9 as varchar(9)), ', \"remediation\": \"rotate\", \"reasoning\": \"doc ', cast(doc_id as varchar(20)), '\"}}') END"
+    "'\", \"confidence\": ', CASE WHEN doc_id % 9 = 3 THEN '\"0.3\"' ELSE concat('0.', cast(doc_id % 9 as varchar(9))) END, ', \"remediation\": \"rotate\", \"reasoning\": \"doc ', cast(doc_id as varchar(20)), '\"}}'), CASE WHEN doc_id % 9 = 4 THEN ']' ELSE '' END) END"
 ).format()
 _READ = {
     "is_secret": ("CASE WHEN doc_id % 9 < 2 THEN {f} WHEN doc_id % 9 = 2 THEN true ELSE quality = 1 END", "false"),

@@ -9,9 +9,10 @@ _SALTS = 64
 
 
 def top_cutoff(df: DataFrame, group: str, key: Column, n: int, newest: bool = False) -> DataFrame:
-    """Per group the n-th distinct ``key`` (or the last one) as ``_cut``; smallest first, or largest with ``newest``.
+    """The n-th distinct ``key`` as ``_cut`` of each group that has more than n; smallest first, or largest with ``newest``.
 
-    Keys are ranked in salted sub-groups first, so the final window sees at most n rows per salt.
+    Keys are ranked in salted sub-groups first, so the final window sees at most n + 1 rows per salt. Groups within the limit
+    have no row, which keeps the table small.
     """
     rows = df.select(group, key.alias("_key")).distinct()
     order = F.col("_key").desc() if newest else F.col("_key").asc()
@@ -19,10 +20,11 @@ def top_cutoff(df: DataFrame, group: str, key: Column, n: int, newest: bool = Fa
     overall = Window.partitionBy(group).orderBy(order)
     kept = (
         rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(_SALTS)))
-        .withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(overall)).where(F.col("_rn") <= n)
+        .withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= n + 1)
+        .withColumn("_rn", F.row_number().over(overall)).where(F.col("_rn") <= n + 1)
     )
-    return kept.groupBy(group).agg(F.max_by("_key", "_rn").alias("_cut"))
+    cut = F.max_by("_key", F.when(F.col("_rn") <= n, F.col("_rn"))).alias("_cut")
+    return kept.groupBy(group).agg(cut, F.max("_rn").alias("_n")).where(F.col("_n") > n).drop("_n")
 
 
 def sequence(df: DataFrame, group: str, id_col: str, out: str = "seq", digits: int = 3) -> DataFrame:
@@ -54,4 +56,6 @@ def document_parts(df: DataFrame, group, id_col: str = "id", target: int = 5000,
     sizes = df.groupBy(*group).agg(F.count("*").alias("group_size"))
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("group_size") / F.lit(float(target)))).cast("int"))
     sized = sizes.withColumn("_digits", digits)
-    return df.join(sized, group).withColumn(out, F.col(id_col).substr(F.lit(1), F.col("_digits"))).drop("_digits")
+    parted = df.join(sized, group).withColumn(out, F.col(id_col).substr(F.lit(1), F.col("_digits"))).drop("_digits")
+    # Without this the grouping by part would keep the join's partitioning, with a large group in one task.
+    return parted.repartition(*group, out)

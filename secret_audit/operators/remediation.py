@@ -10,7 +10,6 @@ ACTIONS = {
     "aws_access_key": ("disable", "Disable the access key"),
     "aws_secret_key": ("manual_required", "Cannot remediate secret key without access key ID"),
 }
-MAX_ROUTES = 10_000
 
 
 def default_routes(spark) -> DataFrame:
@@ -18,17 +17,14 @@ def default_routes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "type string, handler string, priority int")
 
 
-def check_routes(routes: DataFrame) -> DataFrame:
-    """The first capable handler per kind; refuses a table too large to be routing configuration."""
-    best = routes.groupBy("type").agg(F.min_by("handler", F.struct("priority", "handler")).alias("handler"))
-    if best.limit(MAX_ROUTES + 1).count() > MAX_ROUTES:
-        raise ValueError(f"more than {MAX_ROUTES} routed kinds")
-    return best
+def first_handlers(routes: DataFrame) -> DataFrame:
+    """The first capable handler per kind."""
+    return routes.groupBy("type").agg(F.min_by("handler", F.struct("priority", "handler")).alias("handler"))
 
 
 def route(findings: DataFrame, routes: DataFrame) -> DataFrame:
     """Adds the handler of the finding's kind, null without one."""
-    return findings.join(F.broadcast(check_routes(routes)), "type", "left")
+    return findings.join(first_handlers(routes), "type", "left")
 
 
 def remediation_plan(findings: DataFrame) -> DataFrame:

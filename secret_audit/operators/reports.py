@@ -55,7 +55,7 @@ def _ordered(row: Column) -> Column:
 
 
 def sarif(findings: DataFrame, scans: DataFrame, target: int = 5000, tool: str = TOOL_NAME) -> DataFrame:
-    """SARIF 2.1.0 text per scan and part."""
+    """SARIF 2.1.0 text per scan and part; a clean scan has one too."""
     result = _struct(
         ruleId=sarif_rule_id(F.col("type")),
         level=sarif_level(F.col("severity")),
@@ -89,9 +89,12 @@ def sarif(findings: DataFrame, scans: DataFrame, target: int = 5000, tool: str =
         )).alias("runs"),
     )
     heads = scans.select(F.col("id").alias("scan_id"), "repo_url", "branch")
-    return parts.join(heads, "scan_id").select(
-        "scan_id", "part", F.size("_results").alias("results"), F.to_json(document).alias("sarif")
-    )
+    # A scan without findings has a document with an empty list.
+    empty = F.array().cast(parts.schema["_results"].dataType)
+    whole = heads.join(parts, "scan_id", "left").withColumns({
+        "_results": F.coalesce("_results", empty), "part": F.coalesce("part", F.lit("")),
+    })
+    return whole.select("scan_id", "part", F.size("_results").alias("results"), F.to_json(document).alias("sarif"))
 
 
 def report_sections(findings: DataFrame, target: int = 5000) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, lifecycle, with_id
@@ -18,15 +18,14 @@ from secret_audit.operators.reports import alert_messages
 from secret_audit.operators.select import (
     DEFAULT_EXCLUDE,
     DEFAULT_INCLUDE,
-    MAX_BYTES_PER_FILE,
-    MAX_FILES,
     select_files,
     selection_flags,
+    selection_rejects,
 )
 from secret_audit.plans.commit_scan import commit_findings
 from secret_audit.plans.repo_scan import merged_findings, scan_findings
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK
-from secret_audit.schemas import SCAN_RUNS
+from secret_audit.schemas import SCAN_RUNS, SCANS
 from secret_audit.sources import store
 
 
@@ -40,11 +39,14 @@ class ScanRequest:
     branch: str = "main"
     include: tuple[str, ...] = DEFAULT_INCLUDE
     exclude: tuple[str, ...] = DEFAULT_EXCLUDE
-    max_files: int | None = MAX_FILES
-    max_bytes_per_file: int = MAX_BYTES_PER_FILE
+    max_files: int | None = None
+    max_bytes_per_file: int | None = None
     strict: bool = True
     rules: tuple = field(default=CONTENT_PACK)
 
+    def selection(self) -> dict:
+        return {n: getattr(self, n) for n in ("include", "exclude", "max_files", "max_bytes_per_file", "strict")}
+
 
 def _now() -> datetime:
     return datetime.now(timezone.utc)
@@ -54,51 +56,62 @@ def _time(value: datetime):
     return F.lit(value.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 
+def scan_name(repo: Column, version: int) -> Column:
+    """Id of a repository's scan in one run, so that a later run is another scan."""
+    return F.concat(F.lit("scan-"), F.coalesce(repo, F.lit("unknown")), F.lit(f"-{version:010d}"))
+
+
 def run_repo_scan(
     files: DataFrame, base: str, version: int, request: ScanRequest = ScanRequest(), verdicts: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Scan the files of any number of repositories; returns the stored (findings, scans) of this version.
+    """Scan the files of any number of repositories; returns the stored (findings, scans) of this run.
 
-    The text is read once for the scan; the counters read paths and sizes only.
+    Files that the request leaves out are in ``<base>/rejects`` with their reasons. A run that fails leaves a scan with the
+    error for each repository (or one without a repository, if the files can't be listed). ``scan_history`` reads all runs.
     """
     spark, started = files.sparkSession, _now()
-    chosen = select_files(
-        files, request.include, request.exclude, request.max_files, request.max_bytes_per_file, request.strict
-    )
-    store.write_snapshot(scan_findings(chosen, request.rules), f"{base}/raw", version)
-    raw = store.read_version(spark, f"{base}/raw", version)
-    merged = merged_findings(raw, verdicts).withColumns({
-        "created_at": _time(started), "first_seen_at": _time(started), "last_seen_at": _time(started),
-    })
-    store.write_snapshot(store.finding_rows(merged), f"{base}/findings", version)
-    findings = store.read_version(spark, f"{base}/findings", version)
-
-    flags = selection_flags(
-        files.select("repo", "file_path", "size"), include=request.include, exclude=request.exclude,
-        max_bytes_per_file=request.max_bytes_per_file, strict=request.strict,
-    )
-    counters = file_counters(flags)
-    if request.max_files is not None:
-        counters = counters.withColumns({
-            "scanned_files": F.least("scanned_files", F.lit(request.max_files)),
-        }).withColumn("skipped_files", F.col("total_files") - F.col("scanned_files"))
-    scans = counters.withColumn("scan_id", F.concat(F.lit("scan-"), "repo"))
-    scored = risk_scores(findings, scans).withColumnRenamed("findings", "findings_count")
-    finished = _now()
-    rows = scans.join(scored, "scan_id").select(
-        F.col("scan_id").alias("id"), F.col("repo").alias("repo_url"), F.lit(request.branch).alias("branch"),
-        F.lit("full").alias("mode"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error_message"),
-        "risk_score", "total_files", "scanned_files", "skipped_files", "findings_count",
-        F.lit(int((finished - started).total_seconds() * 1000)).cast("long").alias("duration_ms"),
-        F.struct(
-            F.lit(True).alias("regex"), F.lit(verdicts is not None).alias("mcp"), F.lit(False).alias("semgrep")
-        ).alias("engines"),
-        _time(started).alias("started_at"), _time(finished).alias("finished_at"),
-    )
-    store.write_snapshot(rows, f"{base}/scans", version)
+    engines = F.struct(F.lit(True).alias("regex"), F.lit(verdicts is not None).alias("mcp"), F.lit(False).alias("semgrep"))
+
+    def scan_rows(scans: DataFrame, status: str, error: str | None) -> DataFrame:
+        finished = _now()
+        facts = {
+            "branch": F.lit(request.branch), "mode": F.lit("full"), "status": F.lit(status), "error_message": F.lit(error).cast("string"),
+            "duration_ms": F.lit(int((finished - started).total_seconds() * 1000)).cast("long"), "engines": engines,
+            "started_at": _time(started), "finished_at": _time(finished),
+        }
+        have = {**{c: F.col(c) for c in scans.columns}, **facts, "id": scan_name(F.col("repo"), version), "repo_url": F.col("repo")}
+        return scans.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCANS])
+
+    try:
+        chosen = select_files(files, **request.selection()).withColumn("scan_id", scan_name(F.col("repo"), version))
+        store.write_snapshot(scan_findings(chosen, request.rules), f"{base}/raw", version)
+        raw = store.read_version(spark, f"{base}/raw", version)
+        merged = merged_findings(raw, verdicts).withColumns({
+            "created_at": _time(started), "first_seen_at": _time(started), "last_seen_at": _time(started),
+        })
+        store.write_snapshot(store.finding_rows(merged), f"{base}/findings", version)
+        findings = store.read_version(spark, f"{base}/findings", version)
+        store.write_snapshot(selection_rejects(files, **request.selection()), f"{base}/rejects", version)
+        counters = file_counters(selection_flags(files, **request.selection()))
+        scans = counters.withColumn("scan_id", scan_name(F.col("repo"), version))
+        scored = risk_scores(findings, scans).withColumnRenamed("findings", "findings_count")
+        store.write_snapshot(scan_rows(scans.join(scored, "scan_id"), "done", None), f"{base}/scans", version)
+    except Exception as e:
+        text = str(e).split("\n")[0][:1000]
+        try:
+            store.write_snapshot(scan_rows(files.select("repo").distinct(), "error", text), f"{base}/scans", version)
+        except Exception:  # not even the names can be read
+            nobody = spark.createDataFrame([(None,)], "repo string")
+            store.write_snapshot(scan_rows(nobody, "error", text), f"{base}/scans", version)
+        raise
     return findings, store.read_version(spark, f"{base}/scans", version)
 
 
+def scan_history(spark: SparkSession, base: str) -> DataFrame | None:
+    """The scans of all runs, failed ones included."""
+    return store.read_history(spark, f"{base}/scans")
+
+
 def run_commit_scan(versions: DataFrame, base: str, version: int, rules=COMMIT_PACK, **options) -> dict[str, DataFrame]:
     """Scan file versions of commits and fold them into the lifecycle table.
 
@@ -127,7 +140,7 @@ def run_commit_scan(versions: DataFrame, base: str, version: int, rules=COMMIT_P
             fresh = rows
         store.write_snapshot(fresh, f"{base}/new", version)
         store.write_delta(rows, f"{base}/lifecycle", version)
-        if version % COMPACT_EVERY == COMPACT_EVERY - 1:
+        if store.open_deltas(spark, f"{base}/lifecycle") >= COMPACT_EVERY:
             folded = fold_lifecycle(store.read_changes(spark, f"{base}/lifecycle", below=version + 1))
             store.write_snapshot(folded, f"{base}/lifecycle", version)
         new = store.read_version(spark, f"{base}/new", version)

@@ -17,7 +17,7 @@ ID_COLUMNS = ("scan_id", "file_path", "type", "line_start", "rule_ord", "match_o
 def scan_findings(files: DataFrame, rules=CONTENT_PACK, context: bool = False) -> DataFrame:
     """Raw rule findings with scan_id and a deterministic id; ``files`` carries scan_id or uses the repo."""
     if "scan_id" not in files.columns:
-        files = files.withColumn("scan_id", F.concat(F.lit("scan-"), "repo"))
+        files = files.withColumn("scan_id", F.concat(F.lit("scan-"), F.coalesce("repo", F.lit("unknown"))))
     return with_id(findings_from_content(files, rules, context), *ID_COLUMNS)
 
 

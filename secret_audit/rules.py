@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from secret_audit.functions.regex import to_java
 
-# A pack is configuration read on the driver and compiled into the plan, so its size is checked.
-MAX_RULES = 500
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -139,10 +136,8 @@ RULE_SCHEMA = T.StructType([
 
 
 def check_pack(rules) -> tuple[Rule, ...]:
-    """Reject packs too large to compile into one plan and duplicate rule names."""
+    """Reject duplicate rule names."""
     rules = tuple(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; split packs over {MAX_RULES}")
     if len({r.name for r in rules}) != len(rules):
         raise ValueError("rule names must be unique within a pack")
     return rules
@@ -164,7 +159,7 @@ def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
     wanted = [f for f in RULE_SCHEMA if f.name not in ("pack", "ord")]
     rows = (
         spark.read.schema(RULE_SCHEMA).json(path).orderBy("ord", "name")
-        .select(*[f.name for f in wanted]).limit(MAX_RULES + 1).toJSON().collect()
+        .select(*[f.name for f in wanted]).toJSON().collect()
     )
     known = {f.name for f in wanted}
     return check_pack(Rule(**{k: v for k, v in json.loads(r).items() if k in known}) for r in rows)

@@ -15,13 +15,14 @@ SCAN_DEPTH = 10
 def newest_commits(commits: DataFrame, depth: int = SCAN_DEPTH, since=None) -> DataFrame:
     """The newest ``depth`` commits per repo since a time; equal dates are ordered by sha.
 
-    Only dates and shas are ranked, the commits themselves are compared with one cut-off per repo.
+    Only dates and shas are ranked; the commits themselves are compared with the cut-off of repositories that have more.
     """
     if since is not None:
         commits = commits.where(F.col("date") >= F.lit(since).cast("timestamp"))
     key = F.struct("date", "sha")
-    cut = top_cutoff(commits, "repo", key, depth, newest=True)
-    return commits.join(cut, "repo").where(key >= F.col("_cut")).select(*commits.columns)
+    cut = top_cutoff(commits, "repo", key, depth, newest=True).withColumnRenamed("repo", "_scope")
+    joined = commits.join(cut, commits["repo"].eqNullSafe(cut["_scope"]), "left")
+    return joined.where(F.col("_cut").isNull() | (key >= F.col("_cut"))).select(*commits.columns)
 
 
 def file_versions(commits: DataFrame, contents: DataFrame | None = None) -> DataFrame:

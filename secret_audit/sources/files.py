@@ -8,28 +8,17 @@ from pyspark.sql import functions as F
 from secret_audit.schemas import FILES
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a text table with few input splits over all cores.
-
-    Scanning text costs far more than moving it, so a shuffle pays as soon as it doubles the number of busy cores. A
-    table with more splits than that is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def read_files(spark: SparkSession, path: str, sized: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path: str, sized: bool = True, partitions: int | None = None) -> DataFrame:
     """Parquet files table.
 
     With ``sized=False`` the size is taken from the text. A stored size is better: the selection then reads paths and
-    sizes and leaves the text column alone.
+    sizes and leaves the text column alone. ``partitions`` spreads a table with few input splits by one shuffle, which pays
+    where scanning the text costs more than moving it.
     """
     df = spark.read.schema(FILES).parquet(path)
     if not sized:
         df = df.withColumn("size", F.octet_length("content").cast("long"))
-    return spread(df, "repo", "file_path")
+    return df.repartition(partitions, "repo", "file_path") if partitions else df
 
 
 def files_from_text(df: DataFrame, text: str, repo: str, path) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +33,31 @@ def materialize(df: DataFrame, name: str = "findings") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def finding_documents(findings: DataFrame, stored_at, target: int = 5000) -> DataFrame:
-    """Per scan {findings, count, stored_at}; a large scan spans several parts, ``count`` is that of the scan."""
+def finding_documents(findings: DataFrame, stored_at, target: int = 5000, scans: DataFrame | None = None) -> DataFrame:
+    """Per scan {findings, count, stored_at}; a large scan spans several parts, ``count`` is that of the scan.
+
+    With ``scans`` (scan_id) a scan without findings has a document with an empty list.
+    """
     rest = [c for c in findings.columns if c != "scan_id"]
     parts = document_parts(_no_raw(findings), "scan_id", target=target)
-    return parts.groupBy("scan_id", "part").agg(
+    documents = parts.groupBy("scan_id", "part").agg(
         F.sort_array(F.collect_list(F.struct("id", *[c for c in rest if c != "id"]))).alias("findings"),
         F.first("group_size").alias("count"),
-    ).withColumn("stored_at", F.lit(stored_at).cast("timestamp"))
+    )
+    if scans is not None:
+        documents = scans.select("scan_id").distinct().join(documents, "scan_id", "left").select(
+            "scan_id", F.coalesce("part", F.lit("")).alias("part"),
+            F.coalesce("findings", F.array().cast(documents.schema["findings"].dataType)).alias("findings"),
+            F.coalesce("count", F.lit(0)).alias("count"),
+        )
+    return documents.withColumn("stored_at", F.lit(stored_at).cast("timestamp"))
 
 
-def write_finding_documents(findings: DataFrame, path: str, stored_at, target: int = 5000) -> None:
-    documents = finding_documents(findings, stored_at, target).hint("rebalance", "scan_id")
-    documents.write.mode("overwrite").options(**_JSON_TIME).partitionBy("scan_id").json(path)
+def write_finding_documents(findings: DataFrame, path: str, stored_at, target: int = 5000, scans: DataFrame | None = None) -> None:
+    """Write the documents of some scans; those of other scans stay, those of the same scans are replaced."""
+    documents = finding_documents(findings, stored_at, target, scans).hint("rebalance", "scan_id")
+    writer = documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.options(**_JSON_TIME).partitionBy("scan_id").json(path)
 
 
 def read_finding_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -163,19 +173,34 @@ def read_changes(spark: SparkSession, base: str, below: int | None = None) -> Da
     newest = versions[-1] if versions else -1
     parts = [("v", newest)] if versions else []
     parts += [("d", n) for n in numbers("d") if n > newest]
-    frames = [spark.read.parquet(_folder(base, k, n)).withColumn("_batch", F.lit(n)) for k, n in parts]
-    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+    if not parts:
+        return None
+    number = F.regexp_extract(F.col("_metadata.file_path"), "/[vd]([0-9]{10})/[^/]*$", 1).cast("int")
+    rows = spark.read.parquet(*[_folder(base, k, n) for k, n in parts])
+    return rows.select("*", number.alias("_batch"))
+
+
+def open_deltas(spark: SparkSession, base: str) -> int:
+    """How many deltas have been written since the newest version."""
+    versions = _complete(spark, base, "v")
+    return sum(n > (versions[-1] if versions else -1) for n in _complete(spark, base, "d"))
+
+
+def read_history(spark: SparkSession, base: str) -> DataFrame | None:
+    """Rows of all versions, for tables whose versions are runs."""
+    versions = _complete(spark, base, "v")
+    return spark.read.parquet(*[_folder(base, "v", n) for n in versions]) if versions else None
 
 
 def delta_writer(base: str, prepare, fold, compact_every: int = 50):
     """``foreachBatch`` function of a table kept as deltas.
 
-    A batch writes only its own rows, ``prepare``d; every ``compact_every`` batches the table is ``fold``ed into a new
-    version, so a batch costs what it changes and reading never meets more than that many deltas.
+    A batch writes only its own rows, ``prepare``d; once there are ``compact_every`` deltas the table is ``fold``ed into a
+    new version, so a batch costs what it changes and reading never meets more than that many deltas.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         write_delta(prepare(batch), base, batch_id)
-        if batch_id % compact_every == compact_every - 1:
+        if open_deltas(batch.sparkSession, base) >= compact_every:
             write_snapshot(fold(read_changes(batch.sparkSession, base)), base, batch_id)
 
     return apply

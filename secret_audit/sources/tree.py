@@ -21,10 +21,10 @@ from secret_audit.functions.text import decode_ignore, decode_strict
 # The reader and the body function travel by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LISTING = "file_path string, size long"
+_LISTING = "file_path string, size long, error string"
 _READ_BATCH_BYTES = 32 << 20
 _MAX_PARTITIONS = 4096
-_BODY = "repo string, file_path string, size long, raw binary"
+_BODY = "repo string, file_path string, size long, raw binary, error string"
 
 
 class _Folders(InputPartition):
@@ -33,7 +33,10 @@ class _Folders(InputPartition):
 
 
 class _TreeReader(DataSourceReader):
-    """The folders of the first two levels are dealt out to partitions, which walk what lies below them."""
+    """The folders of the first two levels are dealt out to partitions, which walk what lies below them.
+
+    A folder or file that can't be looked at has a row with the error and no size.
+    """
 
     def __init__(self, root: str):
         self.root = os.path.abspath(root)
@@ -42,22 +45,38 @@ class _TreeReader(DataSourceReader):
         shallow, level = [], [self.root]
         for _ in range(2):
             shallow += level
-            level = [e.path for folder in level for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+            level = [e.path for folder in level for e in self._entries(folder, []) if e.is_dir(follow_symlinks=False)]
         slices = min(_MAX_PARTITIONS, max(len(shallow), len(level)))
         return [_Folders(shallow[i::slices], level[i::slices]) for i in range(slices)]
 
+    @staticmethod
+    def _entries(folder, errors):
+        try:
+            return list(os.scandir(folder))
+        except OSError as e:
+            errors.append((folder, e))
+            return []
+
     def read(self, partition):
+        errors: list = []
         for folder in partition.shallow:
-            yield from self._files(folder, (e.name for e in os.scandir(folder)))
+            yield from self._files(folder, [e.name for e in self._entries(folder, errors)])
         for top in partition.deep:
-            for folder, _, names in os.walk(top):
+            for folder, _, names in os.walk(top, onerror=lambda e: errors.append((e.filename, e))):
                 yield from self._files(folder, names)
+        for folder, e in errors:
+            yield os.path.relpath(folder, self.root), None, str(e.strerror or e)
 
     def _files(self, folder, names):
         for name in names:
             path = os.path.join(folder, name)
-            if os.path.isfile(path):
-                yield os.path.relpath(path, self.root), os.path.getsize(path)
+            try:
+                if os.path.isfile(path):
+                    yield os.path.relpath(path, self.root), os.path.getsize(path), None
+                elif os.path.islink(path) and not os.path.exists(path):
+                    yield os.path.relpath(path, self.root), None, "broken link"
+            except OSError as e:
+                yield os.path.relpath(path, self.root), None, str(e.strerror or e)
 
 
 class RepoFiles(DataSource):
@@ -81,18 +100,21 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def _read_bodies(root: str):
     def frame(rows):
-        return pd.DataFrame(rows, columns=["repo", "file_path", "size", "raw"])
+        return pd.DataFrame(rows, columns=["repo", "file_path", "size", "raw", "error"])
 
     def read(batches):
         rows, held = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                try:
-                    with open(os.path.join(root, row.path), "rb") as f:
-                        raw = f.read()
-                except OSError:
-                    raw = None
-                rows.append((row.repo, row.file_path, row.size, raw))
+                raw, error = None, row.error
+                if error is None:
+                    try:
+                        with open(os.path.join(root, row.path), "rb") as f:
+                            raw = f.read()
+                    except OSError as e:
+                        error = str(e.strerror or e)
+                size = len(raw) if raw is not None and pd.isna(row.size) else row.size
+                rows.append((row.repo, row.file_path, None if pd.isna(size) else int(size), raw, error))
                 held += len(raw or b"")
                 if held > _READ_BATCH_BYTES:
                     yield frame(rows)
@@ -103,26 +125,62 @@ def _read_bodies(root: str):
     return read
 
 
-def read_tree(
-    spark: SparkSession, root: str, repo: str | None = None, commit_sha: str | None = None, select=None, strict: bool = False
-) -> DataFrame:
-    """Files of a tree in the canonical columns.
+def tree_bodies(spark: SparkSession, root: str, repo: str | None = None, select=None) -> DataFrame:
+    """repo, file_path, size, raw and error of every file of a tree.
 
-    Without ``repo`` the tree holds many repositories, one per top folder. ``select`` filters the listing (repo,
-    file_path, size) before any body is read. Undecodable bytes are dropped, or with ``strict`` the file.
+    Without ``repo`` the tree holds many repositories, one per top folder; files at the top belong to one named like the
+    root. ``select`` filters the listing (repo, file_path, size) before any body is read.
     """
     listing = list_tree(spark, root).withColumnRenamed("file_path", "path")
     if repo is None:
-        listing = listing.where(F.col("path").contains("/")).withColumns({
-            "repo": F.substring_index("path", "/", 1), "file_path": F.regexp_replace("path", "^[^/]*/", ""),
+        below = F.col("path").contains("/")
+        listing = listing.withColumns({
+            "repo": F.when(below, F.substring_index("path", "/", 1)).otherwise(os.path.basename(os.path.abspath(root))),
+            "file_path": F.regexp_replace("path", "^[^/]*/", ""),
         })
     else:
         listing = listing.withColumns({"repo": F.lit(repo), "file_path": F.col("path")})
     chosen = select(listing) if select else listing
-    spread = chosen.select("path", "repo", "file_path", "size").repartition("path")
-    bodies = spread.mapInPandas(_read_bodies(os.path.abspath(root)), _BODY)
+    even = chosen.select("path", "repo", "file_path", "size", "error").repartition("path")
+    return even.mapInPandas(_read_bodies(os.path.abspath(root)), _BODY)
+
+
+def read_tree(
+    spark: SparkSession, root: str, repo: str | None = None, commit_sha: str | None = None, select=None, strict: bool = False
+) -> DataFrame:
+    """Files of a tree in the canonical columns; those that can't be read are in ``tree_rejects``.
+
+    Undecodable bytes are dropped, or with ``strict`` the file.
+    """
     decode = decode_strict if strict else decode_ignore
-    return bodies.select(
+    return tree_bodies(spark, root, repo, select).select(
         "repo", F.lit(commit_sha).cast("string").alias("commit_sha"), "file_path",
         decode(F.col("raw")).alias("content"), "size",
     ).where(F.col("content").isNotNull())
+
+
+def tree_rejects(spark: SparkSession, root: str, repo: str | None = None, select=None, strict: bool = False) -> DataFrame:
+    """repo, file_path, size and reason of what ``read_tree`` leaves out: unreadable files and folders, and bad encodings."""
+    bodies = tree_bodies(spark, root, repo, select)
+    reason = F.when(F.col("raw").isNull(), F.concat(F.lit("unreadable: "), F.coalesce("error", F.lit("no body"))))
+    if strict:
+        reason = reason.when(decode_strict(F.col("raw")).isNull(), "invalid_utf8")
+    return bodies.select("repo", "file_path", "size", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write (path, raw) as files below a folder that every executor has mounted."""
+    top = os.path.abspath(root)
+
+    def write(batches):
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["raw"], strict=True):
+                target = os.path.normpath(os.path.join(top, path))
+                if not target.startswith(top + os.sep):
+                    raise ValueError(f"{path} leaves the folder")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(raw)
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    files.select("path", "raw").mapInPandas(write, "written long").agg(F.sum("written")).collect()  # one number

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from secret_audit.plans.jobs import ScanRequest, run_commit_scan, run_repo_scan
+from secret_audit.operators.select import REQUEST_LIMITS
+from secret_audit.plans.jobs import ScanRequest, run_commit_scan, run_repo_scan, scan_history
+from secret_audit.sources.store import read_version
 
 FILES = "repo string, commit_sha string, file_path string, content string, size long"
 
@@ -12,15 +14,18 @@ def test_repo_scan_writes_findings_and_scans(spark, tmp_path):
             ("a", "c", "notes.md", key, 21)]
     files = spark.createDataFrame(rows, FILES)
     for _ in range(2):
-        found, scans = run_repo_scan(files, str(tmp_path), 1)
-        assert [(r.repo, r.file_path, r.status, r.scan_id) for r in found.collect()] == [("a", "x/one.py", "NEW", "scan-a")]
-        got = {r.id: r for r in scans.collect()}
-        assert (got["scan-a"].risk_score, got["scan-a"].total_files, got["scan-a"].scanned_files, got["scan-a"].skipped_files, got["scan-a"].findings_count) == (28.0, 4, 1, 3, 1)
-        assert (got["scan-b"].risk_score, got["scan-b"].findings_count, got["scan-b"].status) == (0.0, 0, "done")
-        assert got["scan-a"].engines.asDict() == {"regex": True, "mcp": False, "semgrep": False}
+        found, scans = run_repo_scan(files, str(tmp_path), 1, ScanRequest(**REQUEST_LIMITS))
+        assert [(r.repo, r.file_path, r.status, r.scan_id) for r in found.collect()] == [("a", "x/one.py", "NEW", "scan-a-0000000001")]
+        got = {r.repo_url: r for r in scans.collect()}
+        assert (got["a"].risk_score, got["a"].total_files, got["a"].scanned_files, got["a"].skipped_files, got["a"].findings_count) == (28.0, 4, 1, 3, 1)
+        assert (got["b"].risk_score, got["b"].findings_count, got["b"].status) == (0.0, 0, "done")
+        assert got["a"].engines.asDict() == {"regex": True, "mcp": False, "semgrep": False}
+        left = read_version(spark, f"{tmp_path}/rejects", 1).collect()
+        assert {(r.file_path, r.reason) for r in left} == {("x/node_modules/m.js", "excluded"), ("big.py", "too_large"), ("notes.md", "not_included")}
     wide, scans = run_repo_scan(files, str(tmp_path), 2, ScanRequest(include=("**/*",), exclude=(), max_files=2, max_bytes_per_file=10**6))
     assert {r.file_path for r in wide.collect()} == {"big.py", "notes.md"}
-    assert {r.id: r.scanned_files for r in scans.collect()} == {"scan-a": 2, "scan-b": 1}
+    assert {r.repo_url: r.scanned_files for r in scans.collect()} == {"a": 2, "b": 1}
+    assert sorted(r.id for r in scan_history(spark, str(tmp_path)).collect()) == [f"scan-{r}-000000000{v}" for r in "ab" for v in (1, 2)]
     assert "secret" not in wide.columns and "content" not in wide.columns
 
 
@@ -47,6 +52,16 @@ def test_commit_scan_runs_keep_first_and_last_seen(spark, tmp_path):
     assert runs == {"run-0000000001": ("OK", 2, True), "run-0000000002": ("OK", 1, True)}
 
 
+def test_failed_repo_scan_is_recorded(spark, tmp_path):
+    files = spark.createDataFrame([("a", "c", "x.py", "k", 1), ("b", "c", "y.py", "k", 1)], FILES)
+    broken = files.withColumn("content", F.raise_error(F.lit("unreadable")).cast("string"))
+    with pytest.raises(Exception, match="unreadable"):
+        run_repo_scan(broken, str(tmp_path), 1)
+    rows = scan_history(spark, str(tmp_path)).collect()
+    assert sorted((r.repo_url, r.status, r.id) for r in rows) == [(r, "error", f"scan-{r}-0000000001") for r in "ab"]
+    assert all("unreadable" in r.error_message and r.finished_at is not None for r in rows)
+
+
 def test_failed_commit_scan_is_recorded(spark, tmp_path):
     from secret_audit.schemas import SCAN_RUNS
 

@@ -12,7 +12,8 @@ from secret_audit.operators.select import select_files, selection_flags
 from secret_audit.plans.commit_scan import commit_findings
 from secret_audit.plans.repo_scan import merged_findings, scan_findings
 from secret_audit.rules import COMMIT_PACK
-from secret_audit.sources.files import read_files, spread
+from secret_audit.operators.numbering import document_parts
+from secret_audit.sources.files import read_files
 
 
 def plan(df):
@@ -58,7 +59,7 @@ def test_selection_does_not_read_text(files):
 
 
 def test_size_filter_reaches_the_scan(files):
-    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(size,200000\)", plan(select_files(files, max_files=None)))
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(size,200000\)", plan(select_files(files, max_bytes_per_file=200_000)))
 
 
 def test_commit_scan_shuffles_hits_once(files):
@@ -79,7 +80,16 @@ def test_upsert_adds_one_exchange_per_side(spark, files):
     assert len(re.findall(r"Exchange hashpartitioning", plan(merged))) == 2
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    many, few = spark.range(10).repartition(8), spark.range(10).coalesce(1)
-    assert spread(many, "id") is many
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_parts_of_one_scan_go_to_many_tasks(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        one = spark.range(3000).select(F.lit("s").alias("scan_id"), F.sha2(F.col("id").cast("string"), 256).alias("id"))
+        parts = document_parts(one, "scan_id", target=10).groupBy("scan_id", "part").agg(F.count("*").alias("n"))
+        tasks = parts.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks > 1

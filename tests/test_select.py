@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from secret_audit.functions import text as T
 from secret_audit.operators import select as S
-from secret_audit.sources.tree import list_tree, read_tree
+from secret_audit.sources.tree import list_tree, read_tree, tree_rejects
 
 PATHS = [
     "root.py", "a/b.py", "a/b/c.js", ".env", "svc/.env", "svc/prod.env", "a.yml", "node_modules/x.js", "a/node_modules/x.js", "dist/x.py",
@@ -65,6 +65,20 @@ def test_limit_files_with_one_large_repo(spark):
     assert got == sorted(rows[:50] + rows[-3:])
 
 
+def test_nothing_is_lost_in_selection(spark):
+    rows = [("r", f"a{i}.py", "x" * i, i if i % 2 else None) for i in range(8)] + [(None, f"b{i}.py", "x", 1) for i in range(5)]
+    rows += [("r", None, "x", 1), ("r", "n.md", None, None), ("r", "none.py", None, None)]
+    files = spark.createDataFrame(rows, "repo string, file_path string, content string, size long")
+    assert S.select_files(files).count() == 14  # no limit unless asked for
+    request = {"max_files": 3, "max_bytes_per_file": 5}
+    kept, left = S.select_files(files, **request), S.selection_rejects(files, **request)
+    assert sorted((str(r.repo), r.file_path) for r in kept.collect()) == [("None", f"b{i}.py") for i in range(3)] + [("r", f"a{i}.py") for i in range(3)]
+    assert sorted((str(r.file_path), r.reason) for r in left.collect()) == sorted(
+        [("None", "not_included"), ("n.md", "not_included"), ("none.py", "over_limit"), ("b3.py", "over_limit"), ("b4.py", "over_limit")]
+        + [(f"a{i}.py", "over_limit") for i in (3, 4, 5)] + [(f"a{i}.py", "too_large") for i in (6, 7)])
+    assert "content" not in left.columns
+
+
 def test_decodes(spark):
     cases = [(b"caf\xc3\xa9", "café", "café"), (b"a\xffb\xc3", "ab", None), (b"", "", ""), (b"\xed\xa0\x80x", "x", None)]
     df = spark.createDataFrame([(bytearray(b), i, s) for b, i, s in cases], "raw binary, ignored string, strict string")
@@ -97,11 +111,14 @@ def test_tree_with_hidden_files_and_bad_bytes(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     os.symlink(tmp_path / "missing", tmp_path / "broken")
     assert {r.file_path for r in list_tree(spark, str(tmp_path)).collect()} == {
-        ".env", "_w.py", "_x/deep/er/a.py", "a/.hidden/b.py", "big.py", "bin.png"}
+        ".env", "_w.py", "_x/deep/er/a.py", "a/.hidden/b.py", "big.py", "bin.png", "broken"}
     select = lambda df: df.where((F.col("size") <= 200) & ~S.is_binary_path(F.col("file_path")))
     got = {r.file_path: r.content for r in read_tree(spark, str(tmp_path), "r", select=select).collect()}
     assert got == {".env": "password = 'hunter22'", "_w.py": "x", "_x/deep/er/a.py": "y", "a/.hidden/b.py": "z"}
     many = {(r.repo, r.file_path) for r in read_tree(spark, str(tmp_path)).collect()}
-    assert many == {("_x", "deep/er/a.py"), ("a", ".hidden/b.py")}
+    top = {(tmp_path.name, n) for n in (".env", "_w.py", "big.py", "bin.png")}
+    assert many == {("_x", "deep/er/a.py"), ("a", ".hidden/b.py")} | top
+    left = {(r.file_path, r.reason) for r in tree_rejects(spark, str(tmp_path), "r", strict=True).collect()}
+    assert left == {("broken", "unreadable: broken link"), ("a/.hidden/b.py", "invalid_utf8")}
     strict = {r.file_path for r in read_tree(spark, str(tmp_path), "r", select=select, strict=True).collect()}
     assert strict == {".env", "_w.py", "_x/deep/er/a.py"}
