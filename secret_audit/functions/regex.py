@@ -83,6 +83,20 @@ def _listed_class(text: str, ignore_case: bool, folds: bool = True) -> str | Non
     return f"[{'^' if text[1] == '^' else ''}{listed}]"
 
 
+def _python_forms(pattern: str) -> str:
+    """Rewrite what Java spells otherwise: named groups become numbered ones, and ``\\Z`` is the very end of the text."""
+    names = {n: str(i) for n, i in re.compile(pattern).groupindex.items()}
+
+    def rewrite(m: re.Match) -> str:
+        if m[1]:
+            return "("
+        if m[2]:
+            return f"(?:\\{names[m[2]]})"
+        return r"\z" if m[0] == r"\Z" else m[0]
+
+    return re.sub(r"\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)", rewrite, pattern, flags=re.DOTALL)
+
+
 def to_java(pattern: str, ignore_case: bool = True, folds: bool = True) -> str:
     """Java equivalent of a Python ``re`` pattern.
 
@@ -91,6 +105,7 @@ def to_java(pattern: str, ignore_case: bool = True, folds: bool = True) -> str:
     """
     if re.compile(pattern).match(""):
         raise ValueError(f"pattern matches the empty string: {pattern!r}")
+    pattern = _python_forms(pattern)
     folds = folds or not pattern.isascii() or re.search(r"\\[bB]", pattern) is not None
 
     def rewrite(text: str, quantifier: str) -> str | None:

@@ -208,8 +208,21 @@ def test_pack_checks():
     rule = Rule("a", "a", 0.5, "x")
     with pytest.raises(ValueError):
         check_pack([rule, rule])
-    with pytest.raises(ValueError):
-        check_pack([Rule(f"r{i}", "a", 0.5, "x") for i in range(501)])
+
+
+def test_a_pack_of_a_thousand_rules(spark):
+    rules = [Rule(f"r{i}", "a", 0.5, f"key{i}x[0-9]{{4}}") for i in range(1000)]
+    df = spark.createDataFrame([("a key7x1234 b key999x0000\nkey7x5678",), ("none",)], "content string")
+    got = sorted((r.rule, r.line_start, r.secret) for r in D.scan_content(df, rules).collect())
+    assert got == [("r7", 1, "key7x1234"), ("r7", 2, "key7x5678"), ("r999", 1, "key999x0000")]
+
+
+def test_python_only_forms(spark):
+    rules = [Rule("n", "a", 0.5, r"(?P<q>['\"])\w+(?P=q)"), Rule("z", "a", 0.5, r"abc\Z"), Rule("e", "a", 0.5, r"x\\Z")]
+    df = spark.createDataFrame([("'ab' \"cd'",), ("abc",), ("abc\n",), ("x\\Z",)], "content string")
+    got = sorted((r.rule, r.secret) for r in D.scan_content(df, rules).collect())
+    want = [("n", "'ab'"), ("z", "abc"), ("e", "x\\Z")]
+    assert got == sorted(want)
 
 
 def test_user_rules(spark, tmp_path):
