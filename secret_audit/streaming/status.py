@@ -1,7 +1,7 @@
 """Status lifecycle per fingerprint over a stream of status changes.
 
-The lifecycle is a fold in which the latest change wins, so it is a streaming aggregation: changes of one fingerprint
-combine before the shuffle and the state is one row per fingerprint.
+The lifecycle is a fold in which the latest change wins: changes of one fingerprint combine within each batch, and the folds of
+the batches combine when the table is read or compacted.
 """
 
 from __future__ import annotations
@@ -27,23 +27,27 @@ def track_status(updates: DataFrame, statuses=STATUSES) -> DataFrame:
     )
 
 
-def latest_status(changes: DataFrame) -> DataFrame:
-    """The newest row per fingerprint of the rows written by several batches."""
-    rest = [c for c in changes.columns if c not in ("fingerprint", "_batch")]
-    return changes.groupBy("fingerprint").agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(
-        "fingerprint", "_r.*"
+def fold_status(partial: DataFrame) -> DataFrame:
+    """One row per fingerprint from the folds of several batches."""
+    return partial.groupBy("fingerprint").agg(
+        F.max_by("status", F.struct("last_seen_at", "status")).alias("status"),
+        F.sum("changes").alias("changes"),
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
     )
 
 
 def run_status(updates: DataFrame, checkpoint: str, base: str, compact_every: int = 50) -> None:
-    """Keep the status table of a stream of changes; read it with ``read_status``."""
+    """Keep the status table of a stream of changes; read it with ``read_status``.
+
+    Each batch is folded by itself and stored as a delta, so the stream keeps no state however many fingerprints there are.
+    """
     query = (
-        track_status(updates).writeStream.outputMode("update")
-        .foreachBatch(delta_writer(base, lambda batch: batch, latest_status, compact_every))
+        updates.writeStream.foreachBatch(delta_writer(base, track_status, fold_status, compact_every))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def read_status(spark: SparkSession, base: str) -> DataFrame:
-    return latest_status(read_changes(spark, base))
+    return fold_status(read_changes(spark, base))
