@@ -14,7 +14,7 @@ from secret_audit.operators import scoring
 from secret_audit.operators.merge import suppress_regex_hits
 from secret_audit.plans import commit_scan
 from secret_audit.plugins import get_classifier, registry, row_detector
-from secret_audit.rules import COMMIT_PACK, PLUGIN_PACK
+from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
 
 _HIT = "file_path, rule, type, severity, confidence, match_ord, line_start, line_end, secret"
 
@@ -102,15 +102,21 @@ def hit_line_text(spark, sf):
 
 
 @query("rule_summary", o.with_(
-    o.FILES, o.content_hits(),
-    select="SELECT 'content' AS pack, count(*) AS total_patterns, string_agg(rule || '/' || type || '/' || severity, ',' ORDER BY rule_ord) AS patterns "
-           "FROM (SELECT DISTINCT rule_ord, rule, type, severity FROM hits)"))
+    o.FILES, o.content_hits(), "pack(ord, name, kind, severity, confidence) AS (VALUES " + ", ".join(
+        f"({i}, {o.lit(r.name)}, {o.lit(r.kind)}, {o.lit(r.severity)}, {r.confidence}::DOUBLE)" for i, r in enumerate(CONTENT_PACK)) + ")",
+    select="SELECT 'content' AS pack, count(*) AS total_patterns, string_agg(name || '/' || kind || '/' || severity || '/' || "
+           "CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY ord) AS patterns, count(n) AS matched_patterns "
+           "FROM pack LEFT JOIN (SELECT rule, count(*) AS n FROM hits GROUP BY rule) h ON h.rule = pack.name"))
 def rule_summary(spark, sf):
-    used = D.scan_content(corpus.files(spark, sf)).select(
-        F.lit("content").alias("pack"), F.col("rule_ord").alias("ord"), F.col("rule").alias("name"),
-        F.col("type").alias("kind"), "severity", "confidence").distinct()
-    line = F.transform("patterns", lambda p: F.concat_ws("/", p["name"], p["type"], p["severity"]))
-    return D.rule_summary(used).select("pack", "total_patterns", F.array_join(line, ",").alias("patterns"))
+    """The whole pack with confidence, and how many of its rules match anything."""
+    from secret_audit.rules import rules_table
+
+    matched = D.scan_content(corpus.files(spark, sf)).agg(F.countDistinct("rule").alias("matched_patterns"))
+    percent = lambda p: F.round(p["confidence"] * 100).cast("int").cast("string")
+    line = F.transform("patterns", lambda p: F.concat_ws("/", p["name"], p["type"], p["severity"], percent(p)))
+    summary = D.rule_summary(rules_table(spark, {"content": CONTENT_PACK})).withColumn("one", F.lit(1))
+    return summary.join(matched.withColumn("one", F.lit(1)), "one").select(
+        "pack", "total_patterns", F.array_join(line, ",").alias("patterns"), "matched_patterns")
 
 
 # --- entropy ---------------------------------------------------------------------------------------------------------
@@ -348,6 +354,26 @@ def plugin_findings(spark, sf):
         "location", "engine", "type", "match_ord", "fingerprint", F.round("confidence", 6).alias("confidence"))
 
 
+@query("plugin_cycles", o.with_(
+    *o.PLUGIN_BASE,
+    "found AS (SELECT doc_id, repo, commit_sha, file_path, sha256(secret) AS fingerprint, type FROM line_hits UNION ALL "
+    "SELECT doc_id, repo, commit_sha, file_path, sha256(secret), 'high_entropy_string' FROM candidates "
+    f"WHERE round(entropy, 12) >= 4.5 AND NOT {o.false_positive('secret')} AND NOT {o.starts_like_rule('secret')}), "
+    "seen AS (SELECT repo, fingerprint, file_path, CASE WHEN bool_or(doc_id % 2 = 0) THEN 1 ELSE 2 END AS v FROM found GROUP BY ALL)",
+    select="SELECT 'cycle-000000000' || c.v AS run_id, c.n AS contexts_processed, coalesce(s.n, 0) AS findings_detected FROM "
+           "(SELECT 1 AS v, count(*) FILTER (WHERE doc_id % 2 = 0) AS n FROM files UNION ALL SELECT 2, count(*) FROM files) c "
+           "LEFT JOIN (SELECT v, count(*) AS n FROM seen GROUP BY v) s USING (v)"))
+def plugin_cycles(spark, sf):
+    """Two cycles: the second sees all files and stores only what the first, with half of them, did not."""
+    from secret_audit.plans.jobs import run_plugin_cycle
+    from secret_audit.session import shared_dir
+
+    base = shared_dir(spark, "cycles")
+    files = corpus.files(spark, sf).withColumn("seen_at", F.to_timestamp(F.lit("2024-01-01"))).withColumn("metadata", F.lit(None))
+    first = run_plugin_cycle(files.where("doc_id % 2 = 0"), base, 1)["cycle"]
+    return first.unionByName(run_plugin_cycle(files, base, 2)["cycle"]).select("run_id", "contexts_processed", "findings_detected")
+
+
 # --- plugins ---------------------------------------------------------------------------------------------------------
 
 @query("registered_detectors", o.with_(

@@ -530,6 +530,8 @@ def verdict_apply(spark, sf):
     "UNION ALL SELECT scan_id, file_path, line_start, type, rule_ord, match_ord, 1, severity, confidence, 'regex' FROM raw_findings) "
     "QUALIFY row_number() OVER (PARTITION BY scan_id, file_path, line_start, type ORDER BY rank, rule_ord, match_ord) = 1", *_JUDGED))
 def merged_with_verdicts(spark, sf):
-    raw, _, texts = _judged(spark, sf)
-    return merged_findings(raw, texts).select(
+    # The verdicts carry the findings' ids, as replies to stored requests do.
+    raw = stored_raw(spark, sf)
+    labels = corpus.table(spark, sf, "labels").selectExpr("doc_id", f"{_VERDICT_JSON} AS json")
+    return merged_findings(raw, raw.select("id", "doc_id").join(labels, "doc_id").select("id", "json")).select(
         "scan_id", "file_path", "line_start", "type", "severity", "confidence", "engine")

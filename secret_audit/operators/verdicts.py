@@ -97,7 +97,7 @@ def number_batches(findings: DataFrame, group: str = "scan_id", size: int = BATC
 
 
 def batch_requests(numbered: DataFrame, group: str = "scan_id") -> DataFrame:
-    """One prompt per batch with its candidates numbered from 1; a batch never exceeds the batch size."""
+    """One prompt per batch with its candidates numbered from 1, and the candidates' ids; a batch never exceeds the batch size."""
     snippet = F.col("context") if "context" in numbered.columns else F.lit("")
     block = F.concat(
         F.lit("Candidate "), F.col("position") + 1, F.lit(":\nFile: "), F.col("file_path"),
@@ -106,8 +106,11 @@ def batch_requests(numbered: DataFrame, group: str = "scan_id") -> DataFrame:
     blocks = F.sort_array(F.collect_list(F.struct("position", block.alias("block"))))
     prompt = F.concat(F.lit(BATCH_HEAD), F.array_join(F.col("_blocks.block"), ""), F.lit(BATCH_TAIL))
     return (
-        numbered.groupBy(group, "batch_id").agg(blocks.alias("_blocks"), F.count("*").alias("candidates"))
-        .select(group, "batch_id", "candidates", F.lit(BATCH_SYSTEM).alias("system"), prompt.alias("prompt"))
+        numbered.groupBy(group, "batch_id").agg(
+            blocks.alias("_blocks"), F.count("*").alias("candidates"),
+            F.sort_array(F.collect_list(F.struct("position", "id")))["id"].alias("finding_ids"),
+        )
+        .select(group, "batch_id", "candidates", "finding_ids", F.lit(BATCH_SYSTEM).alias("system"), prompt.alias("prompt"))
     )
 
 
@@ -164,14 +167,24 @@ def reply_verdicts(replies: DataFrame, group: str = "scan_id", reply: str = "rep
     return texts
 
 
+def verdicts_of_requests(requests: DataFrame, replies: DataFrame, group: str = "scan_id", reply: str = "reply") -> DataFrame:
+    """(id, json): the verdict texts of the replies with the finding that each is about; what has no finding is left out."""
+    asked = requests.select(group, "batch_id", F.posexplode("finding_ids").alias("position", "id"))
+    return reply_verdicts(replies, group, reply).join(asked, [group, "batch_id", "position"]).select("id", "json")
+
+
 def align_verdicts(numbered: DataFrame, verdicts: DataFrame, group: str = "scan_id", text: str = "json") -> DataFrame:
-    """Every candidate with its verdict by position; a missing or unreadable one is replaced by the fallback."""
+    """Every candidate with its verdict; a missing or unreadable one is replaced by the fallback.
+
+    Verdicts that carry the finding's ``id`` are joined by it, others by batch and position.
+    """
+    keys = ["id"] if "id" in verdicts.columns else [group, "batch_id", "position"]
     fallback = F.struct(*[F.lit(v).alias(k) for k, v in FALLBACK.items()])
     # A reply that was stored twice counts once; readable texts come before others.
-    texts = verdicts.groupBy(group, "batch_id", "position").agg(F.min_by(text, F.struct(parse_verdict(F.col(text)).isNull(), text)).alias(text))
-    read = texts.select(group, "batch_id", "position", parse_verdict(F.col(text)).alias("_read"))
+    texts = verdicts.groupBy(*keys).agg(F.min_by(text, F.struct(parse_verdict(F.col(text)).isNull(), text)).alias(text))
+    read = texts.select(*keys, parse_verdict(F.col(text)).alias("_read"))
     return (
-        numbered.join(read, [group, "batch_id", "position"], "left")
+        numbered.join(read, keys, "left")
         .withColumn("verdict", F.coalesce("_read", fallback)).drop("_read")
     )
 

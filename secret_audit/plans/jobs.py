@@ -12,8 +12,9 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, lifecycle, with_id
-from secret_audit.operators.metrics import file_counters, risk_scores
+from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, insert_if_absent, lifecycle, with_id
+from secret_audit.operators.metrics import cycle_summary, file_counters, risk_scores
+from secret_audit.operators.remediation import remediation_plan
 from secret_audit.operators.reports import alert_messages
 from secret_audit.operators.select import (
     DEFAULT_EXCLUDE,
@@ -22,7 +23,8 @@ from secret_audit.operators.select import (
     selection_flags,
     selection_rejects,
 )
-from secret_audit.plans.commit_scan import commit_findings
+from secret_audit.operators.verdicts import batch_requests, number_batches
+from secret_audit.plans.commit_scan import commit_findings, plugin_findings
 from secret_audit.plans.repo_scan import merged_findings, scan_findings
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK
 from secret_audit.schemas import SCAN_RUNS, SCANS
@@ -43,6 +45,8 @@ class ScanRequest:
     max_bytes_per_file: int | None = None
     strict: bool = True
     rules: tuple = field(default=CONTENT_PACK)
+    #: Also write ``<base>/requests``: prompts for the model with the starred-out context of each finding.
+    model_requests: bool = False
 
     def selection(self) -> dict:
         return {n: getattr(self, n) for n in ("include", "exclude", "max_files", "max_bytes_per_file", "strict")}
@@ -84,8 +88,10 @@ def run_repo_scan(
 
     try:
         chosen = select_files(files, **request.selection()).withColumn("scan_id", scan_name(F.col("repo"), version))
-        store.write_snapshot(scan_findings(chosen, request.rules), f"{base}/raw", version)
+        store.write_snapshot(scan_findings(chosen, request.rules, request.model_requests), f"{base}/raw", version)
         raw = store.read_version(spark, f"{base}/raw", version)
+        if request.model_requests:
+            store.write_snapshot(batch_requests(number_batches(raw)), f"{base}/requests", version)
         merged = merged_findings(raw, verdicts).withColumns({
             "created_at": _time(started), "first_seen_at": _time(started), "last_seen_at": _time(started),
         })
@@ -154,3 +160,30 @@ def run_commit_scan(versions: DataFrame, base: str, version: int, rules=COMMIT_P
         "alerts": alert_messages(new.withColumn("run_id", F.lit(run)), "run_id"),
         "runs": store.current_runs(spark.read.schema(SCAN_RUNS).option("recursiveFileLookup", "true").parquet(f"{base}/runs")),
     }
+
+
+def run_plugin_cycle(contexts: DataFrame, base: str, version: int, detect=plugin_findings, handle=remediation_plan) -> dict[str, DataFrame]:
+    """One cycle over changed files: detect, store what is not stored yet, plan remediation, count.
+
+    ``contexts`` has the files columns and seen_at. A stored finding is never changed; a version that is run again replaces
+    its own rows. Returns the ``new`` findings, their ``plan`` and the ``cycle`` counters.
+    """
+    spark, run = contexts.sparkSession, f"cycle-{version:010d}"
+    found = detect(contexts.drop("metadata", "size"))
+    known = store.read_changes(spark, f"{base}/stored", below=version)
+    fresh = insert_if_absent(known, found) if known is not None else lifecycle(found)
+    store.write_delta(with_id(fresh, *FINDING_KEY), f"{base}/stored", version)
+    new = spark.read.parquet(store.delta_folder(f"{base}/stored", version))
+    planned = handle(new)
+    acted = F.coalesce(F.col("action") != "none", F.lit(False))
+    null = F.lit(None).cast("string")
+    seen = contexts.select(
+        F.lit(run).alias("run_id"), "commit_sha", F.concat_ws(":", "repo", "commit_sha", "file_path").alias("context_id"), null.alias("finding_id"),
+        F.lit(False).alias("alerted"), F.lit(False).alias("acted"), null.alias("error"),
+    )
+    hits = planned.select(
+        F.lit(run).alias("run_id"), "commit_sha", null.alias("context_id"), F.col("id").alias("finding_id"), F.lit(False).alias("alerted"),
+        acted.alias("acted"), null.alias("error"),
+    )
+    store.write_snapshot(cycle_summary(seen.unionByName(hits)), f"{base}/cycles", version)
+    return {"new": new, "plan": planned, "cycle": store.read_version(spark, f"{base}/cycles", version)}

@@ -28,7 +28,8 @@ def merged_findings(raw: DataFrame, verdicts: DataFrame | None = None) -> DataFr
     """
     if verdicts is None:
         return merge_engines(raw)
-    judged = align_verdicts(number_batches(raw), verdicts)
+    # Verdicts with finding ids need no batch numbers.
+    judged = align_verdicts(raw if "id" in verdicts.columns else number_batches(raw), verdicts)
     confirmed = apply_verdicts(judged).drop("batch_id", "position")
     return merge_engines(confirmed, raw)
 

@@ -156,6 +156,10 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     return read_version(spark, base, versions[-1]) if versions else None
 
 
+def delta_folder(base: str, batch_id: int) -> str:
+    return _folder(base, "d", batch_id)
+
+
 def write_delta(df: DataFrame, base: str, batch_id: int) -> None:
     """Write the changes of one batch; a repeated batch replaces its own folder only."""
     _no_raw(df).write.mode("overwrite").parquet(_folder(base, "d", batch_id))
