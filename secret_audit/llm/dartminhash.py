@@ -9,11 +9,10 @@ weighted Jaccard similarity. Bands of a few coordinates are joined, and links ar
 ``near_duplicates`` returns a row per document with its class. Copies are grouped first; after that
 
 1. texts that share a band are linked to the smallest document of the band, and each link is checked on the whole texts;
-2. connected links form components; bands that still hold several components are linked anew from another member, until a
-   round finds no new link.
+2. connected links form components; bands that still hold several components are linked anew from other members in up to
+   ``rounds`` rounds: from the one with most links so far, and from two drawn by hash.
 
-No group is expanded into pairs, no band and no group of copies is capped, and what a task gets for one hot document is
-split by a salt.
+No group is expanded into pairs, and no band and no group of copies is capped.
 
 Defined results: documents with equal texts (also empty ones) are one class; a null text, or a null id, is a class of its
 own and never a duplicate. Rows with one id and different texts are classed by their texts. The class id is the smallest
@@ -36,8 +35,8 @@ from secret_audit.llm.textkit import mix, ranges, slices, spread, texts_of, word
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 30, 5
-#: Followers of one document that share a copy of its text when links are checked.
-LINKS_PER_COPY = 512
+#: Further rounds of comparisons between the components of a band, and rows in a file of ids.
+ROUNDS, SLIM_ROWS = 2, 250_000
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -145,14 +144,12 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold. ``texts`` has one row per _id."""
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / LINKS_PER_COPY).cast("int").alias("_copies"))
-    right = sizes.join(texts, F.col("b") == F.col("_id")).select(
-        "b", F.col("_text").alias("_right"), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt")
-    )
-    salted = pairs.join(sizes, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int"))
-    left = salted.join(texts, F.col("a") == F.col("_id")).select("a", "b", "_salt", F.col("_text").alias("_left"))
-    both = left.join(right, ["b", "_salt"]).select("a", "b", "_left", "_right")
+    """The pairs (a, b) whose texts reach the threshold. ``texts`` is a stored table with one row per _id.
+
+    Both joins are plain ones of a hot key's pairs with a single text, so Spark splits a hot document's pairs over tasks.
+    """
+    left = pairs.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("_text").alias("_left"))
+    both = left.join(texts, F.col("b") == F.col("_id")).select("a", "b", "_left", F.col("_text").alias("_right"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +161,25 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return both.mapInArrow(run, schema)
 
 
+def slim(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Store a table of two ids per row in as few files as its number of rows asks for."""
+    return stored(df.coalesce(max(1, rows // SLIM_ROWS)), name)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps by turns, each a grouped minimum and a join, until the links stay as they are.
+    Large-star and small-star steps by turns, each a grouped minimum and a join, until each component is a star.
     """
-    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
+    rows = edges.count()
     while True:
+        # In stars every node has one link, and what it leads to has none.
+        linked = edges.groupBy("a").agg(F.count("*").alias("n"))
+        inner = edges.select(F.col("b").alias("a"), F.lit(2).alias("n"))
+        if linked.join(inner.select("a").distinct(), "a", "left_semi").unionByName(linked.filter("n > 1")).isEmpty():
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -179,19 +188,12 @@ def components(links: DataFrame) -> DataFrame:
         star = down.join(small, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
-        edges = stored(star.filter("a <> b").distinct(), "links")
-        links_of_node = edges.groupBy("a").agg(F.count("*").alias("n"))
-        roots = edges.select("b").distinct()
-        # Every node has one link, and what it leads to has none: each component is a star.
-        if links_of_node.filter("n > 1").isEmpty() and edges.join(roots.toDF("a"), "a", "left_semi").isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                roots.select(F.col("b").alias("node"), F.col("b").alias("root"))
-            )
+        edges = slim(star.filter("a <> b").distinct(), rows, "links")
 
 
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
-    bands: int = BANDS, band_rows: int = BAND_ROWS,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """(doc_id, class_id, is_first) per row: the class and whether this is its smallest document."""
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -201,20 +203,23 @@ def near_duplicates(
     members = nodes.select(F.col("_id").alias("node"), F.explode("_bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
     shared = stored(members.join(leaders, "key"), "bands")
-    texts = docs.filter("_id is not null and _text is not null").dropDuplicates(["_id"])
+    whole = docs.filter("_id is not null and _text is not null").dropDuplicates(["_id"])
+    texts = stored(whole.join(shared.select(F.col("node").alias("_id")).distinct(), "_id", "left_semi"), "shared-texts")
     tried = stored(shared.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     links = stored(verified(tried, texts, words, threshold), "links")
-    turn = 0
-    while True:
-        found = stored(components(links), "components")
-        turn += 1
-        pairs = stored(_other_pairs(shared.drop("low"), found, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
+    found = stored(components(links), "components")
+    for turn in range(rounds):
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        known = found.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
+        pairs = _other_pairs(shared.drop("low"), known, turn).join(tried, ["a", "b"], "left_anti")
+        pairs = slim(pairs, tried.count(), "pairs")
         more = stored(verified(pairs, texts, words, threshold), "links")
         if more.isEmpty():
             break
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        # The stars so far stand for all earlier links.
+        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = slim(components(stars.unionByName(more)), tried.count(), "components")
     roots = found.withColumnRenamed("node", "_first")
     classes = firsts.join(roots, "_first", "left").select("_digest", F.coalesce("root", "_first").alias("_class"))
     rows = signed.select("_id", "_digest").join(stored(classes, "classes"), "_digest").select("_id", "_class")
@@ -223,12 +228,17 @@ def near_duplicates(
     return out.withColumn("is_first", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _other_pairs(shared: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """Pairs between a hashed member of every band that holds several components and its members of other components."""
-    rooted = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    pick = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "root"))
-    picked = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), pick.alias("p")).filter("low < high")
-    pairs = rooted.join(picked.select("key", "p.node", "p.root").toDF("key", "q", "other"), "key").filter("root <> other")
+def _other_pairs(shared: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Pairs between a few members of every band that holds several components and its members of other components.
+
+    Picked are the member with most links so far, which is likely the text that the others were made from, and two by hash.
+    """
+    rooted = shared.join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    orders = [-F.col("degree"), F.xxhash64("node", "key", F.lit(2 * turn)), F.xxhash64("node", "key", F.lit(2 * turn + 1))]
+    picks = F.array(*[F.min(F.struct(o.alias("order"), "node", "root")) for o in orders])
+    grouped = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), picks.alias("picks"))
+    picked = grouped.filter("low < high").select("key", F.explode("picks").alias("p")).select("key", "p.node", "p.root").distinct()
+    pairs = rooted.join(picked.toDF("key", "q", "other"), "key").filter("root <> other")
     return pairs.select(F.greatest("node", "q").alias("a"), F.least("node", "q").alias("b")).distinct()
 
 
