@@ -33,7 +33,7 @@ LIST_ROWS, MOST_LISTS = 200, 4096
 #: Bounds of the sample: rows, and numbers in all of them.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 22
 COPIES, COPY_RATIO = 4, 1.15
-ASK_RATIO, ASK_WIDTH, COPY_WIDTH = 1.30, 96, 24
+ASK_RATIO, ASK_WIDTH, COPY_WIDTH = 1.22, 96, 24
 BLOCK_ROWS = 4096
 _ROWS_AT_ONCE = 1024
 
