@@ -223,6 +223,15 @@ def findings_page(spark, sf):
     return L.page(findings(spark, sf).select(*_PAGE), limit=25, offset=50)
 
 
+@query("findings_page_after", o.on_findings(
+    f"SELECT {', '.join(_PAGE)} FROM findings ORDER BY created_at DESC, id LIMIT 25 OFFSET 50"))
+def findings_page_after(spark, sf):
+    """The same page found from the row before it."""
+    rows = stored_findings(spark, sf).select(*_PAGE)
+    before = L.page(rows, limit=1, offset=49).first()
+    return L.page_after(rows, before and (before["created_at"], before["id"]), limit=25)
+
+
 @query("findings_by_id_table", o.on_findings(
     "SELECT id, type FROM findings WHERE id IN (SELECT sha256(concat_ws('|', concat('scan-', repo), file_path, type, line_start, "
     "rule_ord, match_ord, fingerprint)) FROM raw_findings WHERE doc_id % 7 = 0)"))

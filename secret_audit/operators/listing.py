@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGE = 1000
+# Fixed value: the largest page that the listing request allows; a caller that serves requests checks it.
+REQUEST_PAGE = 1000
 
 
 def filter_findings(
@@ -50,12 +51,25 @@ def search(findings: DataFrame, text: str, columns=("type", "description", "file
 
 
 def page(df: DataFrame, by: str = "created_at", limit: int = 100, offset: int = 0, tie: str = "id") -> DataFrame:
-    """Newest first with the id as tie-break; only offset + limit rows per task are kept."""
-    if not 0 < limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"limit must be 1..{MAX_PAGE} and offset not negative")
+    """Newest first with the id as tie-break; only offset + limit rows per task are kept. For far pages use ``page_after``."""
+    if limit <= 0 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
     return df.orderBy(F.desc(by), F.asc(tie)).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, last=None, by: str = "created_at", limit: int = 100, tie: str = "id") -> DataFrame:
+    """The page behind the row ``last`` = (value of ``by``, id), the first one without it; costs the same however far it is."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    if last is not None:
+        value, key = F.lit(last[0]).cast(df.schema[by].dataType), F.col(tie) > F.lit(last[1])
+        if last[0] is None:
+            df = df.where(F.col(by).isNull() & key)
+        else:
+            df = df.where((F.col(by) < value) | ((F.col(by) == value) & key) | F.col(by).isNull())
+    return df.orderBy(F.desc(by), F.asc(tie)).limit(limit)
+
+
 def top_types(findings: DataFrame, n: int = 5) -> DataFrame:
     return findings.groupBy("type").agg(F.count("*").alias("findings")).orderBy(F.desc("findings"), "type").limit(n)
 

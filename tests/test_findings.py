@@ -257,7 +257,13 @@ def test_listing(spark):
     df = finding_rows(spark).withColumn("created_at", F.col("first_seen_at"))
     assert [r.id for r in L.page(df, limit=2, offset=1).collect()] == ["id2", "id3"]
     with pytest.raises(ValueError):
-        L.page(df, limit=5000)
+        L.page(df, limit=0)
+    times = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3}" if i % 5 else None) for i in range(12)], "id int, t string").withColumn("created_at", F.to_timestamp("t"))
+    whole, last, seen = [r.id for r in L.page(times, limit=100).collect()], None, []
+    while rows := L.page_after(times, last, limit=5).collect():
+        seen += [r.id for r in rows]
+        last = (rows[-1].created_at, rows[-1].id)
+    assert seen == whole and len(seen) == 12
     with pytest.raises(ValueError):
         L.filter_findings(df, since="not a date")
     assert L.filter_findings(df, since="2024-01-01T00:00:00Z").count() == 3
