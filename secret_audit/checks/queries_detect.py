@@ -13,7 +13,7 @@ from secret_audit.operators import detect as D
 from secret_audit.operators import scoring
 from secret_audit.operators.merge import suppress_regex_hits
 from secret_audit.plans import commit_scan
-from secret_audit.plugins import get_classifier, registry, row_detector
+from secret_audit.plugins import checksum_numbers, get_classifier, registry, row_detector, row_table_function
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
 
 _HIT = "file_path, rule, type, severity, confidence, match_ord, line_start, line_end, secret"
@@ -385,32 +385,27 @@ def registered_detectors(spark, sf):
         "file_path", "type", "line_start", "match_ord", "fingerprint")
 
 
+_DIGIT = "CAST(s[length(s) - i] AS INTEGER)"
+_LUHN = (
+    "runs AS (SELECT file_path, line_no, unnest(regexp_extract_all(line, '[0-9]{6,}')) AS s FROM lines)",
+    "checked AS (SELECT file_path, line_no AS line_start, s FROM runs WHERE list_sum(list_transform(range(length(s)), lambda i: "
+    f"CASE WHEN i % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN 2 * {_DIGIT} - 9 ELSE 2 * {_DIGIT} END)) % 10 = 0)",
+)
+
+
 @query("row_detector", o.with_(
-    o.FILES, o.LINES,
-    select="SELECT file_path, 'internal_host' AS type, line_no AS line_start, sha256(string_split(line, '@')[-1]) AS fingerprint "
-           "FROM lines WHERE contains(line, '.internal/')"))
+    o.FILES, o.LINES, *_LUHN, select="SELECT file_path, 'checksum_number' AS type, line_start, sha256(s) AS fingerprint FROM checked"))
 def row_detector_query(spark, sf):
-    def internal_hosts(path, content):
-        for n, line in enumerate(content.split("\n"), 1):
-            if ".internal/" in line:
-                yield "internal_host", 0.5, n, line.split("@")[-1]
-
-    return row_detector(internal_hosts)(corpus.files(spark, sf)).select("file_path", "type", "line_start", "fingerprint")
+    return row_detector(checksum_numbers)(corpus.files(spark, sf)).select("file_path", "type", "line_start", "fingerprint")
 
 
 @query("row_detector_table_function", o.with_(
-    o.FILES, o.LINES,
-    select="SELECT file_path, line_no AS line_start, length(line) AS chars FROM lines WHERE contains(line, '.internal/')"))
+    o.FILES, o.LINES, *_LUHN, select="SELECT file_path, line_start, length(s) AS digits FROM checked"))
 def row_detector_table_function(spark, sf):
-    @F.udtf(returnType="line_start int, chars long", useArrow=True)
-    class InternalHosts:
-        def eval(self, content: str):
-            for n, line in enumerate(content.split("\n"), 1):
-                if ".internal/" in line:
-                    yield n, len(line)
-
+    matches = row_table_function(checksum_numbers)
     files = corpus.files(spark, sf).select("file_path", "content")
-    return files.lateralJoin(InternalHosts(F.col("content").outer())).select("file_path", "line_start", "chars")
+    found = files.lateralJoin(matches(F.col("file_path").outer(), F.col("content").outer()))
+    return found.select("file_path", "line_start", F.length("secret").cast("long").alias("digits"))
 
 
 @query("model_classifier", o.with_(

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from secret_audit.plugins import Registry, get_classifier, registry, row_detector
+from secret_audit.plugins import checksum_numbers, Registry, get_classifier, registry, row_detector
 
 SCHEMA = "repo string, commit_sha string, file_path string, content string"
 
@@ -45,6 +45,11 @@ def test_row_detector(spark):
     assert [(r.type, r.line_start, r.masked_preview, r.engine) for r in rows] == [("mark", 2, "****", "custom")]
 
 
+def test_checksum_numbers():
+    found = [(line, digits) for _, _, line, digits in checksum_numbers("p", "4539 1488 0343 6467 4539148803436467\nx79927398713y 79927398710 000000")]
+    assert found == [(1, "4539148803436467"), (2, "79927398713"), (2, "000000")]
+
+
 def test_classifiers(spark):
     df = spark.createDataFrame([("password", "a", "x", '{"confidence": 0.9, "secret_type": "p"}'), ("password", "a", "x", None)],
                                "type string, file_path string, line string, llm_reply string")
