@@ -27,7 +27,7 @@ from secret_audit.llm.textkit import LETTER, MARK, char_classes, codepoints, gro
 
 BUCKETS = 1 << 16
 #: Most training documents for the weights, and the share of them that only fits the temperature.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 CALIBRATION_SHARE = 0.25
 UNKNOWN = "und"
 #: N-gram shares are small; the factor brings feature values to the order of one.
@@ -86,19 +86,20 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def ftrl(
-    index: list[np.ndarray], value: list[np.ndarray], label: np.ndarray, buckets: int, classes: int,
+    example, label: np.ndarray, buckets: int, classes: int,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, epochs: int = 3,
 ) -> np.ndarray:
     """Weights (buckets, classes) by proximal follow-the-regularised-leader, one example after the other.
 
-    The penalties are per example: their sum over the examples seen is what the closed form of a weight uses.
+    ``example(i)`` gives the buckets and values of an example. The penalties are per example: their sum over the examples
+    seen is what the closed form of a weight uses.
     """
     z, n = np.zeros((buckets, classes)), np.zeros((buckets, classes))
     order = np.random.default_rng(7)
     seen = 0
     for _ in range(epochs):
         for i in order.permutation(len(label)):
-            at, x = index[i], value[i]
+            at, x = example(i)
             w = closed_form(z[at], n[at], alpha, beta, l1 * seen, l2 * seen)
             logit = x @ w
             p = np.exp(logit - logit.max())
@@ -199,15 +200,21 @@ def train_language_model(
 
         return run
 
-    picked = map_slices(sample, ["label"], "_text", fields, make).toPandas()
+    picked = map_slices(sample, ["label"], "_text", fields, make).toArrow()
     factor = (np.log((1 + total) / (1 + frequency)) + 1) * SCALE
-    index = [np.asarray(x, np.int64) for x in picked["index"]]
-    value = [np.asarray(x, np.float64) * factor[i] for x, i in zip(picked["value"], index, strict=True)]
-    y = np.array([languages.index(x) for x in picked["label"]], np.int64)
+    y = np.array([languages.index(x) for x in picked.column("label").to_pylist()], np.int64)
+    lists = picked.column("index").combine_chunks()
+    ends, index = lists.offsets.to_numpy(), lists.values.to_numpy()
+    value = picked.column("value").combine_chunks().values.to_numpy()
+
+    def example(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = index[ends[i] : ends[i + 1]]
+        return at, value[ends[i] : ends[i + 1]] * factor[at]
+
     held = np.arange(len(y)) % round(1 / CALIBRATION_SHARE) == 1
     learn, rest = np.flatnonzero(~held), np.flatnonzero(held)
-    weights = ftrl([index[i] for i in learn], [value[i] for i in learn], y[learn], buckets, len(languages))
-    logits = np.array([value[i] @ weights[index[i]] for i in rest]).reshape(-1, len(languages))
+    weights = ftrl(lambda i: example(learn[i]), y[learn], buckets, len(languages))
+    logits = np.array([x @ weights[at] for at, x in map(example, rest)]).reshape(-1, len(languages))
     temperature = best_temperature(logits, y[held]) if len(rest) else 1.0
     return LanguageModel(languages, weights * factor[:, None], temperature)
 

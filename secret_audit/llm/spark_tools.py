@@ -33,11 +33,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """The table without the columns that a result will add; names compare as Spark compares them."""
-    gone = {n.lower() for n in names}
-    kept = [c for c in df.columns if c.lower() not in gone]
-    return df.select([f"`{c.replace('`', '``')}`" for c in kept])
+def quoted(name: str) -> str:
+    """A column name as Spark SQL reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Most bytes in an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB; the session's limit is lowered for that, never raised."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def map_slices(
@@ -50,6 +60,7 @@ def map_slices(
     """
     from secret_audit.llm.textkit import slices
 
+    small_batches(df.sparkSession)
     kept = T.StructType([df.schema[c] for c in keep])
     schema = T.StructType([*kept.fields, *fields])
     names = [f.name for f in schema.fields]
@@ -62,4 +73,4 @@ def map_slices(
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     wanted = list(dict.fromkeys([*keep, column]))
-    return df.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
+    return df.select(*[quoted(c) for c in wanted]).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ The L1 penalty leaves a small set of words and prefixes, which the tasks look up
 
 The models are fitted on at most ``sample_rows`` labelled documents; whole texts are read, there and when predicting.
 
-Defined results: a null text counts as empty, and an empty text is scored on its shape alone. Without labelled documents, or
+Defined results: a null text counts as empty, and an empty text is scored on its shape alone, within the shapes seen. Without labelled documents, or
 where a category has one value only, its probability is the share of ones (0 without any). A document labelled several times
 has the largest label; a label row with a null is unused. Repeated rows get repeated results; an empty table an empty one.
 Columns of the input named like a result column are replaced.
@@ -29,6 +29,7 @@ from secret_audit.llm.spark_tools import map_slices, stored
 from secret_audit.llm.textkit import (
     LETTER, MARK, NUMBER, OTHER, char_classes, codepoints, grouped_pieces, mix, runs, slices, span_hashes, texts_of,
 )
+from secret_audit.llm.vectors import matrix
 
 #: Most labelled documents that the models are fitted on, and most features that enter the fit.
 SAMPLE_ROWS, VOCABULARY = 6000, 3000
@@ -79,6 +80,8 @@ class ChainModel:
     earlier: np.ndarray
     bias: np.ndarray
     thresholds: list[float] = field(default_factory=list)
+    #: Least and greatest shape numbers seen; others are taken as these, so that an odd text is not judged by its shape.
+    seen: np.ndarray | None = None
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         n = len(self.categories)
@@ -91,6 +94,8 @@ class ChainModel:
         present = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         doc, at = (present // len(self.known), present % len(self.known)) if len(self.known) else (present, present)
         dense, out = shapes(texts), np.zeros((len(texts), n))
+        if self.seen is not None:
+            dense = np.clip(dense, self.seen[0], self.seen[1])
         for c in range(n):
             sums = np.bincount(doc, self.weights[at, c], minlength=len(texts)) if len(present) else np.zeros(len(texts))
             out[:, c] = sigmoid(sums + dense @ self.shape[:, c] + out @ self.earlier[:, c] + self.bias[c])
@@ -181,7 +186,7 @@ def train_chain(
                 yield pa.RecordBatch.from_arrays([pa.array(feature), *map(pa.array, sums)], names=["feature", "n", *targets])
 
     schema = "feature long, n double, " + ", ".join(f"{y} double" for y in targets)
-    seen = sample.select("_text", *targets).mapInArrow(count, schema).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *targets)])
+    counted = sample.select("_text", *targets).mapInArrow(count, schema).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *targets)])
     means = sample.agg(F.count("*").alias("rows"), *[F.avg(y).alias(y) for y in targets]).first()
     rows = means["rows"]
     base = [float(means[y] or 0.0) for y in targets]
@@ -190,7 +195,7 @@ def train_chain(
     if not rows:
         return empty
     gap = F.greatest(F.lit(0.0), *[F.abs(F.col(y) - F.col("n") * b) / F.sqrt(F.col("n") * max(b * (1 - b), 1e-9)) for y, b in zip(targets, base, strict=True)])
-    chosen = seen.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(gap.desc(), "feature").limit(vocabulary).select("feature").collect()
+    chosen = counted.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(gap.desc(), "feature").limit(vocabulary).select("feature").collect()
     known = np.sort(np.array([r[0] for r in chosen], np.int64).view(np.uint64))
 
     def make():
@@ -207,15 +212,15 @@ def train_chain(
         return run
 
     fields = [T.StructField("found", T.ArrayType(T.IntegerType())), T.StructField("shape", T.ArrayType(T.DoubleType()))]
-    data = map_slices(sample, ["_id", "_row", *targets], "_text", fields, make).toPandas().sort_values("_id")
-    dense = np.stack(data["shape"].to_list())
-    row = np.repeat(np.arange(rows), data["found"].map(len))
-    feature = np.concatenate(data["found"].to_list()).astype(np.int64)
-    fold = data["_row"].to_numpy() % FOLDS
+    data = map_slices(sample, ["_id", "_row", *targets], "_text", fields, make).toArrow().sort_by("_id")
+    dense = matrix(data.column("shape"))
+    lists = data.column("found").combine_chunks()
+    row, feature = np.repeat(np.arange(rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    fold = data.column("_row").to_numpy() % FOLDS
     weights, shape, earlier, bias = np.zeros((len(known), n)), np.zeros((SHAPES, n)), np.zeros((n, n)), empty.bias.copy()
     before, thresholds = np.zeros((rows, 0)), []
     for c, y in enumerate(targets):
-        truth, unseen = data[y].to_numpy(), np.full(rows, base[c])
+        truth, unseen = data.column(y).to_numpy(), np.full(rows, base[c])
         x = np.hstack((dense, before))
         if 0 < base[c] < 1:
             for f in range(FOLDS):
@@ -230,7 +235,8 @@ def train_chain(
         thresholds.append(best_threshold(unseen, truth) if 0 < base[c] < 1 else 0.5)
         before = np.hstack((before, unseen[:, None]))
     kept = np.abs(weights).sum(axis=1) > 0
-    return ChainModel(list(categories), known[kept], weights[kept], shape, earlier, bias, thresholds)
+    seen = np.stack((dense.min(axis=0), dense.max(axis=0)))
+    return ChainModel(list(categories), known[kept], weights[kept], shape, earlier, bias, thresholds, seen)
 
 
 def score_toxicity(

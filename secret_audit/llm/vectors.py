@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,7 +61,7 @@ def best_of(query: int, scores: np.ndarray, ids: np.ndarray, counts: np.ndarray,
     return flat[order], own[order]
 
 
-def ranked(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of the candidates found for each query, ties to the smaller vec_id."""
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
