@@ -45,9 +45,9 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id, MAX(CAST(list_inner_product(q.u, c.u) AS BIGINT)) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.u) = len(c.u) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
