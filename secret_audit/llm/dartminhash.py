@@ -10,9 +10,11 @@ weighted Jaccard similarity. Bands of a few coordinates are joined, and links ar
 
 1. texts that share a band are linked to the smallest document of the band, and each link is checked on the whole texts;
 2. connected links form components; bands that still hold several components are linked anew from other members in up to
-   ``rounds`` rounds: from the one with most links so far, and from two drawn by hash.
+   ``rounds`` rounds: from the one with most links so far, and from two drawn by hash;
+3. members of bands that hold several components even then are joined on their rarest shingles. Two texts that reach the
+   threshold share one of these (prefix filter), so no link between two components of a band is left out.
 
-No group is expanded into pairs, and no band and no group of copies is capped.
+No band and no group of copies is capped. The rounds only make components fewer; the last step is exact without them.
 
 Defined results: documents with equal texts (also empty ones) are one class; a null text, or a null id, is a class of its
 own and never a duplicate. Rows with one id and different texts are classed by their texts. The class id is the smallest
@@ -37,6 +39,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 30, 5
 #: Further rounds of comparisons between the components of a band, and rows in a file of ids.
 ROUNDS, SLIM_ROWS = 2, 250_000
+#: Counters of the shingles' frequencies, which only order them: shared counters cost time, not links.
+COUNTERS = 1 << 18
 _SEEDS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -220,6 +224,11 @@ def near_duplicates(
         # The stars so far stand for all earlier links.
         stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = slim(components(stars.unionByName(more)), tried.count(), "components")
+    rest = stored(_unsettled(shared.drop("low"), found), "unsettled")
+    if not rest.isEmpty():
+        pairs = slim(_rare_pairs(rest, texts, words, threshold).join(tried, ["a", "b"], "left_anti"), tried.count(), "pairs")
+        stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = stored(components(stars.unionByName(stored(verified(pairs, texts, words, threshold), "links"))), "components")
     roots = found.withColumnRenamed("node", "_first")
     classes = firsts.join(roots, "_first", "left").select("_digest", F.coalesce("root", "_first").alias("_class"))
     rows = signed.select("_id", "_digest").join(stored(classes, "classes"), "_digest").select("_id", "_class")
@@ -242,6 +251,83 @@ def _other_pairs(shared: DataFrame, known: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("node", "q").alias("a"), F.least("node", "q").alias("b")).distinct()
 
 
+def _unsettled(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root, crowd) of the members of bands that hold several components; crowd: how many of them the root has."""
+    rooted = shared.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rest = stored(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "unsettled")
+    return rest.join(rest.groupBy("root").agg(F.count("*").alias("crowd")), "root").select("node", "root", "crowd")
+
+
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many texts have a shingle, in COUNTERS counters that shingles share by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                elements = weighted_shingles(texts_of(part, "_text"), words)[0]
+                counts += np.bincount((elements % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
+
+    rows = texts.select("_text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)  # one row per counter at most
+    out[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: list[str], counts: np.ndarray, words: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """Rarest shingles of each text as rows: number of the text, shingle, weight of the text, weight from the shingle on.
+
+    Texts that reach the threshold share at least its share of the heavier text. So the first shingle that they share, in
+    an order common to all texts, has that much weight from it on, and the other shingles need not be looked at.
+    """
+    elements, weights, n = weighted_shingles(texts, words)
+    doc = spread(n)
+    order = np.lexsort((elements, counts[(elements % np.uint64(COUNTERS)).astype(np.int64)], doc))
+    elements, weights = elements[order], weights[order]
+    total = np.bincount(doc, weights, minlength=len(texts))
+    left = np.cumsum(total)[doc] - np.cumsum(weights) + weights
+    keep = left >= threshold * total[doc] - 1e-6
+    return doc[keep], elements[keep].view(np.int64), total[doc][keep], left[keep]
+
+
+def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Pairs of texts of different components that may reach the threshold, by a shared rare shingle.
+
+    The weight from the first shared shingle on bounds what two texts share. By that bound the lighter text of a pair has a
+    shorter prefix; shingles of a common template drop out there. In every shingle's group the texts of its largest
+    component meet only the others, so a group of near copies is not expanded into pairs.
+    """
+    spark = texts.sparkSession
+    counts = spark.sparkContext.broadcast(shingle_counts(texts, words))  # COUNTERS numbers
+    whole = texts.join(rest, F.col("_id") == F.col("node")).select("node", "root", "crowd", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                doc, element, size, left = prefixes(texts_of(part, "_text"), counts.value, words, threshold)
+                own = part.select(["node", "root", "crowd"]).take(pa.array(doc))
+                most = left * ((1 + threshold) / threshold) - size + 1e-6  # heaviest text that the bound allows
+                arrays = [*own.columns, pa.array(element), pa.array(size), pa.array(most)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "root", "crowd", "element", "size", "most"])
+
+    schema = "node long, root long, crowd long, element long, size double, most double"
+    rows = stored(whole.mapInArrow(run, schema), "prefixes")
+    ends = [F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("crowd", "root")).alias("top")]
+    mixed = rows.groupBy("element").agg(*ends).filter("low < high").select("element", F.col("top.root").alias("main"))
+    kept = rows.join(mixed, "element").withColumn("in_main", F.col("root") == F.col("main")).drop("crowd", "main")
+    kept = stored(kept, "prefixes")
+    heavier = kept.toDF(*[f"{c}_2" if c != "element" else c for c in kept.columns])
+    lighter = kept.filter("most >= size")
+    bound = F.expr("root <> root_2 and (size < size_2 or size = size_2 and node < node_2) and most >= size_2 and most_2 >= size")
+    met = [(lighter.filter("not in_main"), heavier), (lighter.filter("in_main"), heavier.filter("not in_main_2"))]
+    found = [x.join(y, (x["element"] == y["element"]) & bound).select("node", "node_2") for x, y in met]
+    both = found[0].unionByName(found[1])
+    return both.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
+
+
 def without_near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The table with one document of each class, the smallest; rows that repeat its id and text stay once.
 
