@@ -5,7 +5,7 @@ about ``list_rows`` rows per centroid, up to ``most_lists`` centroids. Every row
 where it lies near a border, to further lists whose distance is within a ratio of the nearest, unless a list already chosen
 is closer to that centroid than the row is. Centroids are searched in a graph of neighbours held in memory.
 
-Search: a query asks the lists whose centroids are within a ratio of its nearest one. Lists and their queries are split into
+Search: a query asks all lists whose centroids are within a ratio of its nearest one, however many they are. Lists and their queries are split into
 blocks of a bounded size, so a list that holds a third of all rows is read by many tasks. Within a block the cosines are
 computed for distinct vectors once.
 
@@ -34,8 +34,10 @@ LIST_ROWS, MOST_LISTS = 200, 4096
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 22
 COPIES, COPY_RATIO = 4, 1.15
 ASK_RATIO, ASK_WIDTH, COPY_WIDTH = 1.22, 96, 24
+#: ASK_WIDTH is where the search of a query's lists begins, not where it ends; beyond it links are followed up to this share over the limit.
+RANGE_MARGIN = 1.1
 BLOCK_ROWS = 4096
-_ROWS_AT_ONCE = 1024
+_ROWS_AT_ONCE, _WIDE_ROWS, _PAIRS_AT_ONCE = 1024, 256, 32_768
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -114,6 +116,31 @@ def graph_search(x: np.ndarray, centers: np.ndarray, graph: np.ndarray, width: i
     return np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
 
 
+def graph_range(x: np.ndarray, centers: np.ndarray, graph: np.ndarray, starts: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
+    """For each unit vector all centroids within its limit that links lead to, over centroids a little beyond it as well."""
+    seen, inside = np.zeros((len(x), len(centers)), bool), np.zeros((len(x), len(centers)), bool)
+    row, node = np.nonzero(starts >= 0)
+    node = starts[row, node]
+    seen[row, node] = True
+    while len(row):
+        on_row, on_node = [], []
+        for at in range(0, len(row), _PAIRS_AT_ONCE):
+            r, n = row[at : at + _PAIRS_AT_ONCE], node[at : at + _PAIRS_AT_ONCE]
+            distance = 1 - np.einsum("ad,ad->a", x[r], centers[n])
+            inside[r, n] = distance <= limit[r]
+            on = distance <= limit[r] * RANGE_MARGIN
+            on_row.append(r[on])
+            on_node.append(n[on])
+        row, node = np.concatenate(on_row), np.concatenate(on_node)
+        fresh = np.zeros_like(seen)
+        for next_ in graph[node].T:
+            fresh[row[next_ >= 0], next_[next_ >= 0]] = True
+        fresh &= ~seen
+        seen |= fresh
+        row, node = np.nonzero(fresh)
+    return [np.flatnonzero(own) for own in inside]
+
+
 @dataclass
 class ListIndex:
     """Centroids, their graph, and the number of rows whose nearest list each is."""
@@ -143,11 +170,14 @@ class ListIndex:
         limit = (ASK_RATIO**2) * near[:, :1] + 1e-12
         held = np.cumsum(np.where(ids >= 0, self.sizes[ids], 0), axis=1)
         enough = np.hstack((np.zeros((len(x), 1), bool), held[:, :-1] >= least))
-        out = []
-        for own, ok, total in zip(ids, (near <= limit) | ~enough, held[:, -1], strict=True):
-            lists = own[ok & (own >= 0)]
-            out.append(lists if total >= least else np.arange(len(self.centers)))
-        return out
+        out = [own[ok & (own >= 0)] for own, ok in zip(ids, (near <= limit) | ~enough, strict=True)]
+        # Where all that was found lies within the ratio there is more.
+        wide = np.flatnonzero((near[:, -1:] <= limit)[:, 0]) if ids.shape[1] < len(self.centers) else []
+        for at in range(0, len(wide), _WIDE_ROWS):
+            rows = wide[at : at + _WIDE_ROWS]
+            for row, lists in zip(rows.tolist(), graph_range(x[rows], self.centers, self.graph, ids[rows], limit[rows, 0]), strict=True):
+                out[row] = lists
+        return [lists if self.sizes[lists].sum() >= least else np.arange(len(self.centers)) for lists in out]
 
 
 def build_index(vectors: DataFrame, rows: int, size: int) -> ListIndex:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from secret_audit.llm.ann import ASK_RATIO, ASK_WIDTH, ListIndex, neighbour_graph, unit
 from secret_audit.llm.dartminhash import near_duplicates, weighted_shingles
 from secret_audit.llm.textkit import spread
 
@@ -28,3 +29,16 @@ def test_links_in_a_hot_template_source(docs):
     links = {(rows[i][0], rows[j][0]) for i, j in np.argwhere(shared / (size - shared) >= 0.8).tolist() if i < j}
     assert links == {(i, 1000 + i) for i in range(0, 500, 5)}
     assert {(r["class_id"], r["doc_id"]) for r in near_duplicates(docs(rows)).collect() if r["class_id"] != r["doc_id"]} == links
+
+
+def test_ratio_alone_ends_the_choice_of_lists():
+    rng = np.random.default_rng(4)
+    centers, x = unit(rng.normal(size=(1500, 64))), unit(rng.normal(size=(40, 64)))
+    index = ListIndex(centers, neighbour_graph(centers), np.full(1500, 10))
+    near = 1 - x @ centers.T
+    want = near <= ASK_RATIO**2 * near.min(axis=1, keepdims=True)
+    assert (want.sum(axis=1) > ASK_WIDTH).sum() > 20
+    got = np.zeros_like(want)
+    for row, lists in enumerate(index.asked(x, 6)):
+        got[row, lists] = True
+    assert (got & want).sum() >= 0.995 * want.sum() and not (got & ~want).any()
