@@ -31,8 +31,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told; it learns from the documents that carry one."""
+    """Rejects documents whose language can't be told; it learns from the documents that carry one.
+
+    Where no document carries one, only those without a letter go.
+    """
     model = train_language_model(docs)
+    if model is None:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     language, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     known = identify_languages(docs, model, keep=docs.columns, language=language, score=score)
     return known.filter((F.col(language) != UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)

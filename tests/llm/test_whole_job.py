@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from secret_audit.llm.ann import ASK_RATIO, ASK_WIDTH, ListIndex, neighbour_graph, unit
@@ -42,3 +44,8 @@ def test_ratio_alone_ends_the_choice_of_lists():
     for row, lists in enumerate(index.asked(x, 6)):
         got[row, lists] = True
     assert (got & want).sum() >= 0.995 * want.sum() and not (got & ~want).any()
+
+
+def test_language_id_without_labels_keeps_texts(spark):
+    table = spark.createDataFrame([(1, "the cat", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, table, "").collect()] == [1]
