@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,14 +170,26 @@ def features(texts: list[str], buckets: int) -> tuple[list[np.ndarray], list[np.
     return index, value
 
 
+def language_sample(rows: DataFrame, counts: dict[str, int], sample_rows: int) -> DataFrame:
+    """The rows (_id, label, _text) with the smallest hashes of each language, in an order that mixes the languages."""
+    share = F.lit(0.0)
+    for name, n in counts.items():
+        share = F.when(F.col("label") == name, min(1.0, 1.2 * sample_rows / len(counts) / n)).otherwise(share)
+    drawn = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 40)) / float(1 << 40)
+    mixed = F.xxhash64("_id", "_text", F.lit(1))
+    sample = rows.select("label", "_text", drawn.alias("h"), mixed.alias("m")).filter(F.col("h") < share)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "_text"))  # over few rows, after the shares
+    return sample.withColumn("rank", rank).filter(F.col("rank") <= -(-sample_rows // len(counts))).orderBy("m", "label", "_text")
+
+
 def train_language_model(
     df: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", sample_rows: int = SAMPLE_ROWS,
     buckets: int = BUCKETS,
 ) -> LanguageModel | None:
     """Learn from the rows with a label and a text; None if there are none.
 
-    The sample is drawn by a hash of id and text, so it does not depend on the partitions, with the same number expected of
-    each language as far as there are so many. A row's features are made from its whole text, in tasks.
+    The sample is drawn by a hash of id and text, so it does not depend on the partitions, with the same number of each
+    language as far as there are so many. A row's features are made from its whole text, in tasks.
     """
     own = df.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in ((label, "label"), (text, "_text"), (id_column, "_id"))])
     rows = own.filter(F.col("label").isNotNull() & F.col("_text").rlike(r"\p{L}"))
@@ -186,11 +198,7 @@ def train_language_model(
         return None
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
     languages = sorted(counts)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("label") == name, min(1.0, 1.2 * sample_rows / len(languages) / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.select("label", "_text", drawn.alias("h")).filter(F.col("h") < share).orderBy("h", "label", "_text").limit(sample_rows)
+    sample = language_sample(rows, counts, sample_rows)
     fields = [T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]
 
     def make():

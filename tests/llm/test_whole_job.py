@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from secret_audit.llm.ann import ASK_RATIO, ASK_WIDTH, ListIndex, neighbour_graph, unit
 from secret_audit.llm.dartminhash import near_duplicates, weighted_shingles
+from secret_audit.llm.langid import language_sample
 from secret_audit.llm.textkit import spread
 
 
@@ -49,3 +50,11 @@ def test_ratio_alone_ends_the_choice_of_lists():
 def test_language_id_without_labels_keeps_texts(spark):
     table = spark.createDataFrame([(1, "the cat", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, table, "").collect()] == [1]
+
+
+def test_rare_languages_keep_their_share_of_the_sample(spark):
+    counts = {f"l{n}": 600 if n < 8 else 24 for n in range(10)}
+    rows = [(f"{k} {i}", k, f"text {i}") for k, n in counts.items() for i in range(n)]
+    sample = language_sample(spark.createDataFrame(rows, "_id string, label string, _text string"), counts, 200)
+    got = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert got["l8"] == got["l9"] == 20 and sum(got.values()) <= 200
