@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from secret_audit.llm.alignment import alignment_digests
 from secret_audit.llm.ann import nearest_neighbours
 from secret_audit.llm.bpe import bpe_digests
 from secret_audit.llm.dartminhash import near_duplicates
@@ -87,6 +88,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment_digests(table(spark, sf_dir, "documents"), byte_path, piece_path, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_posting_lists": op1_posting_lists,
     "op2_warc": op2_warc,
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -102,12 +102,12 @@ def pieces_of(text: str, limit: int = SLICE_CHARS) -> list[str]:
     return out
 
 
-def grouped_pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+def grouped_pieces(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[list[str], np.ndarray]]:
     """Pieces of all texts in groups of about one slice, with the number of the text that each belongs to."""
     group, owner, size = [], [], 0
     for i, text in enumerate(texts):
-        for piece in pieces_of(text) if len(text) > SLICE_CHARS else (text,):
-            if group and size + len(piece) > SLICE_CHARS:
+        for piece in pieces_of(text, limit) if len(text) > limit else (text,):
+            if group and size + len(piece) > limit:
                 yield group, np.array(owner, np.int64)
                 group, owner, size = [], [], 0
             group.append(piece)
