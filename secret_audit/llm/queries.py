@@ -17,6 +17,7 @@ from secret_audit.llm.sharding import assign_shards, even_topology
 from secret_audit.llm.token_counts import count_tokens
 from secret_audit.llm.topk import top_inner_products
 from secret_audit.llm.toxicity import score_toxicity, train_chain
+from secret_audit.llm.trie import conversation_paths, prefix_trie, with_shared_openings
 from secret_audit.llm.warc import derived_records, response_records
 
 TOXICITY_LABELS = ["quality", "toxic"]
@@ -93,6 +94,47 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(table(spark, sf_dir, "documents"), byte_path, piece_path, keep=["doc_id"])
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_openings(conversation_paths(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = """
+WITH RECURSIVE numbered AS (
+    SELECT conv_id AS c, sha256(length(r) || ':' || r || x) AS t, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS d
+    FROM (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations) WHERE conv_id IS NOT NULL
+), crc AS (
+    SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+    ), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM numbered)
+), opening AS (
+    SELECT crc.c, n.d, n.t, n.words FROM crc JOIN numbered n ON n.c = crc.c - crc.c % 20 AND n.d <= crc.h
+), moved AS (
+    SELECT crc.c, h, h - (SELECT count(*) FROM opening o WHERE o.c = crc.c) AS less FROM crc
+), turns AS (
+    SELECT * FROM opening UNION ALL SELECT n.c, n.d - m.less, n.t, n.words FROM numbered n JOIN moved m ON n.c = m.c WHERE n.d > m.h
+    UNION ALL SELECT c, 0, '', 0 FROM crc
+), paths AS (
+    SELECT c, d, words, sha256(string_agg(t, ',') OVER (PARTITION BY c ORDER BY d)) AS k,
+           max(d) OVER (PARTITION BY c) AS last FROM turns
+), nodes AS (
+    SELECT d, k, min(c) AS c, count(*) AS n, any_value(words) AS words, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = last) AS ends
+    FROM paths GROUP BY d, k
+), linked AS (
+    SELECT n.*, up.k AS parent FROM nodes n LEFT JOIN paths up ON up.c = n.c AND up.d = n.d - 1
+), children AS (
+    SELECT d - 1 AS d, parent AS k, count(*) AS n FROM linked WHERE d > 0 GROUP BY 1, 2
+), subtree AS (
+    SELECT up.d, up.k, sum(CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.words) AS saved
+    FROM nodes u LEFT JOIN children ch ON ch.d = u.d AND ch.k = u.k JOIN paths up ON up.c = u.c AND up.d <= u.d GROUP BY 1, 2
+)
+SELECT l.c AS conv_id, CAST(l.d AS BIGINT) AS depth, p.c AS parent_conv_id, l.n AS n_convs, coalesce(ch.n, 0) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(l.ends, '')) AS ends_sha256
+FROM linked l JOIN subtree s ON s.d = l.d AND s.k = l.k LEFT JOIN nodes p ON p.d = l.d - 1 AND p.k = l.parent
+LEFT JOIN children ch ON ch.d = l.d AND ch.k = l.k
+"""
+
+
 QUERIES = {
     "op1_posting_lists": op1_posting_lists,
     "op2_warc": op2_warc,
@@ -105,10 +147,11 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The other results can't be stated in SQL: they rest on trained models, hashed draws, tokenizers or approximate search.
-ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op13_prefix_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
