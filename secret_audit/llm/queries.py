@@ -13,6 +13,7 @@ from secret_audit.llm.bpe import bpe_digests
 from secret_audit.llm.dartminhash import near_duplicates
 from secret_audit.llm.langid import held_out, identify_languages, train_language_model
 from secret_audit.llm.packing import pack_documents
+from secret_audit.llm.repeats import remove_repeats
 from secret_audit.llm.sharding import assign_shards, even_topology
 from secret_audit.llm.token_counts import count_tokens
 from secret_audit.llm.topk import top_inner_products
@@ -89,6 +90,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_path, piece_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment_digests(table(spark, sf_dir, "documents"), byte_path, piece_path, keep=["doc_id"])
@@ -98,6 +105,29 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(with_shared_openings(conversation_paths(table(spark, sf_dir, "conversations"))))
 
 
+OP11_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), windows AS (
+    SELECT r, unnest(range(0, n - 199)) AS i, unnest(list_transform(range(0, n - 199), lambda i: md5_number(substring(x, 2 * i + 1, 400)))) AS w FROM docs
+), again AS (
+    SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), stepped AS (
+    SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM again
+), spans AS (
+    SELECT r, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM stepped) GROUP BY r, g
+), gaps AS (
+    SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans
+    UNION ALL SELECT d.r, coalesce(max(s.e), 0), any_value(d.n) FROM docs d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r
+), kept AS (
+    SELECT r, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x FROM gaps JOIN docs USING (r) GROUP BY r
+), counts AS (
+    SELECT r, sum(e - s) AS removed, count(*) AS spans FROM spans GROUP BY r
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM docs d LEFT JOIN counts c USING (r) LEFT JOIN kept k USING (r)
+"""
+
 OP13_SQL = """
 WITH RECURSIVE numbered AS (
     SELECT conv_id AS c, sha256(length(r) || ':' || r || x) AS t, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words,
@@ -146,12 +176,13 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_repeated_passages": op11_repeated_passages,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The other results can't be stated in SQL: they rest on trained models, hashed draws, tokenizers or approximate search.
-ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_exact_top_k": OP4_SQL, "op11_repeated_passages": OP11_SQL, "op13_prefix_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

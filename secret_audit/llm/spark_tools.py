@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,6 +39,21 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: A key that more than one in so many rows have is hot; there are at most this many.
+HOT_SHARE = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with a table that has each key once, and in ``weight`` how many rows of ``left`` have it.
+
+    Hot keys are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col(weight) * HOT_SHARE > total
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(right.where(~hot), keys))
+
+
 #: Most bytes in an Arrow batch of texts.
 BATCH_BYTES = 8 << 20
 

@@ -76,6 +76,14 @@ def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of every run of ``size`` units (code points or bytes)."""
+    up, down = _powers(len(units) + 1)
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(_char_values()[units] * up[:-1], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(sums) - size])
+
+
 def runs(flags: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of true flags; a run never crosses a border."""
     if not len(flags):
