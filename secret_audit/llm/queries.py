@@ -107,9 +107,9 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = """
 WITH docs AS (
-    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+    SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents
 ), windows AS (
-    SELECT r, unnest(range(0, n - 199)) AS i, unnest(list_transform(range(0, n - 199), lambda i: md5_number(substring(x, 2 * i + 1, 400)))) AS w FROM docs
+    SELECT r, unnest(range(0, n - 199)) AS i, unnest(list_transform(range(0, n - 199), lambda i: md5(array_slice(x, i + 1, i + 200)))) AS w FROM docs
 ), again AS (
     SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
 ), stepped AS (
@@ -120,11 +120,11 @@ WITH docs AS (
     SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM spans
     UNION ALL SELECT d.r, coalesce(max(s.e), 0), any_value(d.n) FROM docs d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r
 ), kept AS (
-    SELECT r, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x FROM gaps JOIN docs USING (r) GROUP BY r
+    SELECT r, list_reduce(list(array_slice(x, a + 1, b) ORDER BY a), lambda p, q: p || q) AS x FROM gaps JOIN docs USING (r) GROUP BY r
 ), counts AS (
     SELECT r, sum(e - s) AS removed, count(*) AS spans FROM spans GROUP BY r
 )
-SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(k.x) AS kept_sha256
 FROM docs d LEFT JOIN counts c USING (r) LEFT JOIN kept k USING (r)
 """
 
