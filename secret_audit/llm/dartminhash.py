@@ -17,8 +17,10 @@ weighted Jaccard similarity. Bands of a few coordinates are joined, and links ar
 No band and no group of copies is capped. The rounds only make components fewer; the last step is exact without them.
 
 Defined results: documents with equal texts (also empty ones) are one class; a null text, or a null id, is a class of its
-own and never a duplicate. Rows with one id and different texts are classed by their texts. The class id is the smallest
-document id of the class. An empty table gives an empty result. Other columns of the input are ignored.
+own and never a duplicate. Texts are told apart by their digests: rows with one id and different texts are classed by their
+texts, and no text goes because its id has another one. The class id is the smallest document id of the class, and of the
+texts with that id the one with the smallest digest is the first; ``class_digest`` tells classes apart that share their
+smallest id. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -195,46 +197,58 @@ def components(links: DataFrame) -> DataFrame:
         edges = slim(star.filter("a <> b").distinct(), rows, "links")
 
 
-def near_duplicates(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
-    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS,
-) -> DataFrame:
-    """(doc_id, class_id, is_first) per row: the class and whether this is its smallest document."""
-    docs = df.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    signed = stored(signatures(docs.filter("_id is not null"), words, bands, band_rows), "signatures")
-    firsts = stored(signed.groupBy("_digest").agg(F.min("_id").alias("_first")), "firsts")
-    nodes = signed.join(firsts.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi")
-    members = nodes.select(F.col("_id").alias("node"), F.explode("_bands").alias("key"))
+def _classed(docs: DataFrame, words: int, threshold: float, bands: int, band_rows: int, rounds: int) -> DataFrame:
+    """_id, _digest, _class and _class_digest of the rows of (_id, _text) that have neither null.
+
+    A node of the graph of links is a distinct text, whatever ids it has.
+    """
+    docs = docs.filter("_id is not null and _text is not null")
+    signed = stored(signatures(docs, words, bands, band_rows), "signatures")
+    firsts = signed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"))
+    firsts = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "firsts")
+    members = firsts.select("node", F.explode("_bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
     shared = stored(members.join(leaders, "key"), "bands")
-    whole = docs.filter("_id is not null and _text is not null").dropDuplicates(["_id"])
-    texts = stored(whole.join(shared.select(F.col("node").alias("_id")).distinct(), "_id", "left_semi"), "shared-texts")
+    needed = firsts.join(shared.select("node").distinct(), "node").select(F.col("_first").alias("_id"), "_digest", "node")
+    whole = docs.withColumn("_digest", F.unhex(F.md5("_text"))).join(needed, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"])
+    texts = stored(whole.select(F.col("node").alias("_id"), "_text"), "shared-texts")
     tried = stored(shared.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     links = stored(verified(tried, texts, words, threshold), "links")
     found = stored(components(links), "components")
     for turn in range(rounds):
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
         known = found.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
-        pairs = _other_pairs(shared.drop("low"), known, turn).join(tried, ["a", "b"], "left_anti")
-        pairs = slim(pairs, tried.count(), "pairs")
+        pairs = stored(_other_pairs(shared.drop("low"), known, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = stored(verified(pairs, texts, words, threshold), "links")
         if more.isEmpty():
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         # The stars so far stand for all earlier links.
         stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = slim(components(stars.unionByName(more)), tried.count(), "components")
+        found = stored(components(stars.unionByName(more)), "components")
     rest = stored(_unsettled(shared.drop("low"), found), "unsettled")
     if not rest.isEmpty():
-        pairs = slim(_rare_pairs(rest, texts, words, threshold).join(tried, ["a", "b"], "left_anti"), tried.count(), "pairs")
+        pairs = stored(_rare_pairs(rest, texts, words, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
         stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = stored(components(stars.unionByName(stored(verified(pairs, texts, words, threshold), "links"))), "components")
-    roots = found.withColumnRenamed("node", "_first")
-    classes = firsts.join(roots, "_first", "left").select("_digest", F.coalesce("root", "_first").alias("_class"))
-    rows = signed.select("_id", "_digest").join(stored(classes, "classes"), "_digest").select("_id", "_class")
-    alone = docs.filter("_id is null or _text is null").select("_id", F.col("_id").alias("_class"))
-    out = rows.unionByName(alone).select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"))
-    return out.withColumn("is_first", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    rooted = firsts.join(found, "node", "left").select("_digest", "_first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("_first", "_digest")).alias("_least"))
+    classes = rooted.join(least, "root").select("_digest", F.col("_least._first").alias("_class"), F.col("_least._digest").alias("_class_digest"))
+    return signed.select("_id", "_digest").join(stored(classes, "classes"), "_digest")
+
+
+def near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS,
+) -> DataFrame:
+    """(doc_id, class_id, class_digest, is_first) per row: the class and whether this is its first document."""
+    docs = df.select(F.col(f"`{id_column}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = _classed(docs, words, threshold, bands, band_rows, rounds)
+    first = (F.col("_id") == F.col("_class")) & (F.col("_digest") == F.col("_class_digest"))
+    rows = rows.select("_id", "_class", F.lower(F.hex("_class_digest")).alias("_class_digest"), first.alias("is_first"))
+    alone = docs.filter("_id is null or _text is null").select("_id", F.col("_id").alias("_class"), F.lit(None).cast("string").alias("_class_digest"), F.lit(True).alias("is_first"))
+    both = rows.unionByName(alone)
+    return both.select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_class_digest").alias("class_digest"), "is_first")
 
 
 def _other_pairs(shared: DataFrame, known: DataFrame, turn: int) -> DataFrame:
@@ -328,14 +342,20 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, threshold: float)
     return both.select(F.greatest("node", "node_2").alias("a"), F.least("node", "node_2").alias("b")).distinct()
 
 
-def without_near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The table with one document of each class, the smallest; rows that repeat its id and text stay once.
+def without_near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
+    bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS,
+) -> DataFrame:
+    """The table with one document of each class, the first; rows that repeat its id and text stay once.
 
-    Rows with a null id or a null text stay as they are.
+    A row goes by its id and the digest of its text. Rows with a null id or a null text stay as they are.
     """
-    classes = near_duplicates(df, id_column, text, **options)
-    gone = classes.filter("not is_first").select(F.col("doc_id").alias(id_column)).distinct()
-    digest = "_digest_of_text_" + "_" * max(map(len, df.columns))
-    left = df.join(gone, id_column, "left_anti").withColumn(digest, F.md5(F.col(f"`{text}`").cast("string")))
-    fixed = F.col(f"`{id_column}`").isNull() | F.col(digest).isNull()
-    return left.filter(~fixed).dropDuplicates([id_column, digest]).unionByName(left.filter(fixed)).drop(digest)
+    number, content = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text}`").cast("string")
+    rows = _classed(df.select(number.alias("_id"), content.alias("_text")), words, threshold, bands, band_rows, rounds)
+    later = (F.col("_id") != F.col("_class")) | (F.col("_digest") != F.col("_class_digest"))
+    own = "_of_" + "_" * max(map(len, df.columns))
+    gone = rows.filter(later).select(F.col("_id").alias(f"{own}id"), F.col("_digest").alias(f"{own}digest")).distinct()
+    left = df.withColumn(f"{own}id", number).withColumn(f"{own}digest", F.unhex(F.md5(content)))
+    fixed = F.col(f"{own}id").isNull() | F.col(f"{own}digest").isNull()
+    kept = left.filter(~fixed).join(gone, [f"{own}id", f"{own}digest"], "left_anti").dropDuplicates([f"{own}id", f"{own}digest"])
+    return kept.unionByName(left.filter(fixed)).select([F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -120,6 +120,45 @@ def test_near_duplicates_defined_cases(docs):
     assert near_duplicates(docs([])).count() == 0 and without_near_duplicates(docs([])).count() == 0
 
 
+def test_repeated_ids_lose_no_text(docs):
+    rnd = random.Random(8)
+    a, b, c = (words(rnd, 60) for _ in range(3))
+    rows = [(3, a), (7, b), (7, a), (9, c), (9, b), (12, c)]
+    left = without_near_duplicates(docs(rows)).select("doc_id", "text").collect()
+    assert sorted(tuple(r) for r in left) == sorted([(3, a), (7, b), (9, c)])
+
+
+def test_repeated_ids_equal_brute_force(docs):
+    rnd = random.Random(9)
+    bases = [words(rnd, 60) for _ in range(12)]
+    texts = [(x if rnd.random() < 0.4 else x + " " + words(rnd, 3)) for x in bases for _ in range(6)]
+    rows = [(rnd.randint(1, 25), t) for t in texts] + [(30, None), (30, bases[0]), (30, None), (None, bases[1])]
+    got = near_duplicates(docs(rows)).collect()
+    known = sorted({t for _, t in rows if t is not None})
+    parent = {t: t for t in known}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(known):
+        for y in known[:i]:
+            if jaccard(x, y) >= 0.8:
+                parent[root(x)] = root(y)
+    keyed = [(i, t, hashlib.md5(t.encode()).hexdigest()) for i, t in rows if i is not None and t is not None]
+    first = {}
+    for i, t, d in keyed:
+        first[root(t)] = min(first.get(root(t), (i, d)), (i, d))
+    want = sorted([(i, *first[root(t)], (i, d) == first[root(t)]) for i, t, d in keyed])
+    assert sorted(tuple(r) for r in got if r["class_digest"]) == want
+    left = [(r["doc_id"], r["text"]) for r in without_near_duplicates(docs(rows)).collect()]
+    assert sorted(x for x in left if None not in x) == sorted({(i, t) for i, t, d in keyed if (i, d) == first[root(t)]})
+    assert len([x for x in left if None in x]) == 3
+    # Every text that stays is unlike the others, and every text that goes is like one that stays.
+    assert len({root(t) for i, t in left if None not in (i, t)}) == len(first)
+
+
 def test_hot_group_of_near_copies(spark, docs):
     rnd = random.Random(6)
     base = words(rnd, 150).split()
