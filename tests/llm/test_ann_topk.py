@@ -1,5 +1,8 @@
 """Both vector searches beside brute force."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,8 +86,32 @@ def test_exact_products(spark):
 def test_products_beyond_double_precision():
     rng = np.random.default_rng(1)
     x = rng.integers(-(1 << 29), 1 << 29, size=(60, 6))
-    q, i, s = block_search(np.arange(60), x, np.arange(60), x, 3)
+    q, i, s, _ = block_search(np.arange(60), x / 256, np.arange(60), x / 256, 3)
     for n in range(60):
         own = q == n
         want = brute(range(60), [sum(int(a) * int(b) for a, b in zip(x[n], r, strict=True)) for r in x], n, 3)
         assert list(zip(i[own].tolist(), s[own].tolist(), strict=True)) == want
+
+
+def whole(x):
+    return [math.floor(Fraction(v) * 256) for v in x]
+
+
+@pytest.mark.parametrize("spread", [(-3, 12), (-3, 3), (5, 8), (14, 19), (-300, 307)])
+def test_products_of_any_size(spark, spread):
+    """Every finite vector takes part; ranks follow exact integers, also where a score doesn't fit a long."""
+    rng = np.random.default_rng(4)
+    x = rng.choice([-1.0, 1.0], (250, 5)) * 10.0 ** rng.uniform(*spread, (250, 5))
+    x[:40] = x[0]
+    x[40:60, 1:] = 0
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = found(top_inner_products(df, F.col("vec_id") % 25 == 0, block_rows=70, query_rows=6))
+    rows = [whole(v) for v in x.tolist()]
+    for q in range(0, 250, 25):
+        want = brute(range(250), [sum(a * b for a, b in zip(rows[q], r, strict=True)) for r in rows], q)
+        assert got[q] == [(i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in want]
+
+
+def test_one_huge_candidate(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [3.0, 0.0]), (3, [1.7e308, -1.7e308])], "vec_id long, embedding array<double>")
+    assert found(top_inner_products(df, F.col("vec_id") == 0))[0] == [(3, (1 << 63) - 1), (1, 6_553_600_000_000), (2, 196_608)]
