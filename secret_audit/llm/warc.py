@@ -10,43 +10,26 @@ repeated task or run writes the same ids.
 
 Defined results: a null page counts as empty (no title, no links, empty text); a null address leaves the header line out.
 Rows that repeat a page give the same records again. An empty table gives no records. Columns of the input other than those
-named are ignored. Scripts, styles, templates and comments give no text, also when they are not closed; very long pages are
-read whole.
+named are ignored. Pages are read by ``markup`` in one forward pass, very long ones whole: scripts, styles, templates, frames,
+drawings and comments give no text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import json
-import re
 import uuid
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from secret_audit.llm.markup import Page, absolute
 from secret_audit.llm.spark_tools import map_slices
 from secret_audit.llm.textkit import texts_of
 
-#: Elements whose content is no text, and elements that begin a new line.
-SILENT = ("script", "style", "noscript", "template", "iframe", "svg")
-BLOCKS = (
-    "address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot "
-    "th thead title tr ul"
-).split()
-_SILENT = re.compile(r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{t}(?=[\s/>]).*?(?:</{t}\s*>|\Z)" for t in SILENT), re.I | re.S)
-_TAG = r"(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?>"
-_TITLE = re.compile(rf"<title{_TAG}(.*?)</title\s*>", re.I | re.S)
-_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))}){_TAG}", re.I)
-_OTHER = re.compile(rf"</?[a-z][^\s>/]*{_TAG}|<[!?][^>]*>", re.I)
-_LINK = re.compile(r"<(a|area|link|img|base)\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_LANG = re.compile(r"<html\s[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_SPACES, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 DERIVED = T.StructType([
@@ -88,25 +71,13 @@ def response_records(
 
 def page_text(page: str) -> str:
     """Text of a page: a line per block, blanks within a line collapsed, no empty lines."""
-    text = _OTHER.sub("", _BLOCK.sub("\n", re.sub(r"\s+", " ", _SILENT.sub(" ", page))))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip(" \n")
+    return Page(page).text
 
 
-def page_facts(page: str, base: str | None) -> dict:
+def facts_of(page: Page, base: str | None) -> dict:
     """Title, language and links of a page; links are made absolute where the address is known."""
-    seen = _SILENT.sub(" ", page)
-    title, lang, links = _TITLE.search(seen), _LANG.search(seen), []
-    for kind, target in _LINK.findall(seen):
-        target = html.unescape(target.strip("\"'")).strip()
-        try:
-            target = urljoin(base or "", target)
-        except ValueError:  # kept as written
-            pass
-        links.append({"element": kind.lower(), "url": target})
-    return {
-        "title": _SPACES.sub(" ", html.unescape(_OTHER.sub("", title[1]))).strip() if title else None,
-        "language": lang[1] if lang else None, "links": links,
-    }
+    links = [{"element": kind, "url": absolute(base, target)} for kind, target in page.links]
+    return {"title": page.title, "language": page.language, "links": links}
 
 
 def headers(block: str) -> dict:
@@ -125,13 +96,13 @@ def _digest(data: bytes) -> str:
 
 def derive(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
-    page = source["payload"] or ""
+    page = Page(source["payload"] or "")
     ids = {kind: f"<urn:uuid:{uuid.uuid5(_NAMES, kind + (source['record_id'] or ''))}>" for kind in ("metadata", "conversion")}
     facts = {
         "source": {k: source[k] for k in ("record_id", "target_uri", "date", "block_digest", "payload_digest")},
-        "http": headers(source["http_header"] or ""), **page_facts(page, source["target_uri"]),
+        "http": headers(source["http_header"] or ""), **facts_of(page, source["target_uri"]),
     }
-    contents = {"metadata": ("application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True)), "conversion": ("text/plain; charset=utf-8", page_text(page))}
+    contents = {"metadata": ("application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True)), "conversion": ("text/plain; charset=utf-8", page.text)}
     out = []
     for kind, (content_type, content) in contents.items():
         data = content.encode("utf-8", "replace")

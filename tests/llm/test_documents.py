@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -20,6 +21,7 @@ from secret_audit.llm.dartminhash import (
 from secret_audit.llm.langid import best_temperature, held_out, identify_languages, softmax, train_language_model
 from secret_audit.llm.sharding import Shard, Topology, assign_shards, even_topology
 from secret_audit.llm.toxicity import best_threshold, score_toxicity, train_chain
+from secret_audit.llm.markup import Page, absolute
 from secret_audit.llm.warc import DERIVED, derived_records, page_text, record_text, response_records, write_warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -275,6 +277,13 @@ def test_shards_defined_cases(docs):
 # WARC
 
 
+QUIET = {"script", "style", "template", "iframe", "svg"}
+LINE = set(
+    "address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+)
+
+
 class Plain(HTMLParser):
     """Text and links of well-formed pages by the standard parser."""
 
@@ -283,19 +292,25 @@ class Plain(HTMLParser):
         self.out, self.links, self.quiet = [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        from secret_audit.llm.warc import BLOCKS, SILENT
-
-        self.quiet += tag in SILENT
-        if tag in BLOCKS:
+        if tag in QUIET:
+            self.handle_data(" ")
+        self.quiet += tag in QUIET
+        if tag in LINE and not self.quiet:
             self.out.append("\n")
         if not self.quiet and tag in ("a", "img", "link", "area", "base"):
             self.links += [v for k, v in attrs if k in ("href", "src")][:1]
 
-    def handle_endtag(self, tag):
-        from secret_audit.llm.warc import BLOCKS, SILENT
+    def handle_comment(self, data):
+        self.handle_data(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag != "svg":
+            self.handle_starttag(tag, attrs)
+            self.quiet -= tag in QUIET
 
-        self.quiet -= tag in SILENT
-        if tag in BLOCKS:
+    def handle_endtag(self, tag):
+        self.quiet -= tag in QUIET
+        if tag in LINE and not self.quiet:
             self.out.append("\n")
 
     def handle_data(self, data):
@@ -306,12 +321,34 @@ class Plain(HTMLParser):
 def test_text_equals_the_standard_parser(spark):
     pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
     pages += ["<p>a &amp; b&nbsp;c &#233; &lt;p&gt;</p><ul><li>x<li>y</ul>", "<div title='a>b'>t</div>", "a<br/>b<h1>c</h1>d<span>e</span>f"]
+    pages += ['<p>before</p><svg width="1"/><p>after one</p><p>after two</p>', "<p>x<svg><title>no</title><path d='M0'/></svg>y</p><noscript><p>shown</p></noscript>"]
+    pages += ["a<!-- <p>no</p> -->b<!---->c", "<style>p{}</style><template><b>no</b></template>z <a href=x data-src=n SRC='y'>q</a><img alt='>' src=\"i.png\">"]
     for page in pages:
         parser = Plain()
         parser.feed(page)
         parser.close()
         lines = [" ".join(x.split()) for x in "".join(parser.out).split("\n")]
-        assert [" ".join(x.split()) for x in page_text(page).split("\n")] == [x for x in lines if x] or not page_text(page)
+        assert [" ".join(x.split()) for x in page_text(page).split("\n")] == [x for x in lines if x]
+        assert [t for _, t in Page(page).links] == [t for t in parser.links if t is not None]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div ", "<title>", "<html ", "<", "</", "<!--", "<!", "<?", "<a href=", '<a ">"', "<a '", "<svg>", "<script>", "</script ", "<p>", "&", "&#9", "<a b=\"'>", "<template>"])
+@pytest.mark.parametrize("end", ["", ">", "</title>", "'>", '">'])
+def test_time_follows_the_length_of_a_page(part, end):
+    page, begin = part * (1_000_000 // len(part)) + end, time.process_time()
+    found = Page(page)
+    found.links = [absolute("http://a/", t) for _, t in found.links]
+    assert time.process_time() - begin < 5
+
+
+def test_no_text_is_lost():
+    assert page_text('<p>before</p><svg width="1"/><p>after one</p><p>after two</p>') == "before\nafter one\nafter two"
+    assert page_text("<p>a<svg><g>never closed<p>b</p>c") == "a\nb\nc"
+    assert page_text("<noscript>kept</noscript><b title='open>text</b> and <i>more</i>") == "kepttext and more"
+    assert page_text("1 < 2 <3 <p>x</p> a<b") == "1 < 2 <3\nx\na<b"
+    assert page_text("&#" + "9" * 6000 + ";&#x41;&#0065;&amp;") == "�AA&"
+    page = Page("<HTML LANG='de-AT'><title>A &amp;\n<b>B</b></title><title>C</title><base href=/x><a name=q>z</a>")
+    assert (page.title, page.language, page.links) == ("A & B", "de-AT", [("base", "/x")])
 
 
 def test_records_link_and_digest(spark, tmp_path):
