@@ -205,6 +205,8 @@ def _classed(docs: DataFrame, words: int, threshold: float, bands: int, band_row
     docs = docs.filter("_id is not null and _text is not null")
     signed = stored(signatures(docs, words, bands, band_rows), "signatures")
     firsts = signed.groupBy("_digest").agg(F.min("_id").alias("_first"), F.first("_bands").alias("_bands"))
+    # Numbered in the order of the smallest ids: what copies were made from tends to come first and leads its bands.
+    firsts = firsts.repartitionByRange("_first", "_digest").sortWithinPartitions("_first", "_digest")
     firsts = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "firsts")
     members = firsts.select("node", F.explode("_bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
