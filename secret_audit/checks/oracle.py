@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from secret_audit.checks import corpus
-from secret_audit.functions.regex import expand_shorthand
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
 
 # The same character sets in RE2 syntax.
@@ -19,9 +20,25 @@ def lit(value) -> str:
     return repr(value)
 
 
+# A bracketed class, an escape or any other character.
+_TOKEN = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|.", re.DOTALL)
+_ITEM = re.compile(r"\\.|.", re.DOTALL)
+
+
+def _spelled_out(pattern: str) -> str:
+    """The shorthand classes as character sets. The engine writes patterns from their parsed tree, so the two can differ."""
+    def token(m: re.Match) -> str:
+        t = m.group()
+        if t[0] == "[":
+            return "".join(_BODIES.get(x[1:], x) if x[0] == "\\" else "\\[" if x == "[" and i else x for i, x in enumerate(_ITEM.findall(t)))
+        return f"[{_BODIES[t[1:]]}]" if t[1:] in _BODIES else f"[^{_BODIES[t[1:].lower()]}]" if t[0] == "\\" and t[1:].lower() in _BODIES else t
+
+    return _TOKEN.sub(token, pattern)
+
+
 def re2(pattern: str, ignore_case: bool = True) -> str:
     """SQL literal of a Python pattern in RE2 syntax."""
-    return lit(("(?i)" if ignore_case else "") + expand_shorthand(pattern, _BODIES))
+    return lit(("(?i)" if ignore_case else "") + _spelled_out(pattern))
 
 
 def nl(expr: str) -> str:

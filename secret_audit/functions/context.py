@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from secret_audit.functions.regex import SPACE, to_java
+from secret_audit.functions.patterns import to_java
+from secret_audit.functions.regex import SPACE
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from secret_audit.functions.regex import to_java
+from secret_audit.functions.patterns import to_java
 
 # Fixed values.
 CANDIDATE_CHARS = r"[A-Za-z0-9+/=_-]"

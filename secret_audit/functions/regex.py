@@ -1,8 +1,4 @@
-"""Regex and glob dialects expressed as Java patterns.
-
-Rules are written in Python's ``re`` syntax. Java and Python disagree on what ``\\s``, ``\\w`` and ``\\d`` cover, so the
-shorthand classes are spelled out; ``u`` folds case over Unicode and ``d`` keeps ``\\n`` the only line terminator.
-"""
+"""Character classes of Python's ``re`` spelled out, SQL literals, and globs as Java patterns. Rules: ``patterns``."""
 
 from __future__ import annotations
 
@@ -16,110 +12,6 @@ DIGIT = r"\p{Nd}"
 # Non-ASCII letters that fold to an ASCII letter when case is ignored.
 FOLDS_TO_ASCII = ("\u017f", "\u212a", "\u0131", "\u0130")
 
-_SHORTHAND = {"s": SPACE, "w": WORD, "d": DIGIT}
-
-
-_QUANTIFIER = r"(?:(?:[*+?]|\{\d*,?\d*\})[?+]?)?"
-_TOKEN = re.compile(rf"(\[\^?\]?(?:\\.|[^\]\\])*\])({_QUANTIFIER})|\\.|.", re.DOTALL)
-_ITEM = re.compile(r"\\.|.", re.DOTALL)
-
-
-def expand_shorthand(pattern: str, bodies: dict[str, str] = _SHORTHAND, rewrite_class=None) -> str:
-    """Spell out the shorthand classes of a Python pattern and escape what Java treats specially inside a class.
-
-    ``rewrite_class`` may return another form of a bracketed class, or None to keep it.
-    """
-    def shorthand(token: str, inside: bool) -> str:
-        body = bodies.get(token[1:])
-        if body:
-            return body if inside else f"[{body}]"
-        if token[0] == "\\" and token[1:].lower() in bodies:
-            if inside:
-                raise ValueError(f"{token} inside a character class is not supported: {pattern!r}")
-            return f"[^{bodies[token[1].lower()]}]"
-        # Java reads a bracket inside a class as a nested class and && as an intersection.
-        return "\\" + token if inside and token in ("[", "&") else token
-
-    def replace(m: re.Match) -> str:
-        if m.group(1) is None:
-            return shorthand(m.group(), False)
-        rewritten = rewrite_class(m.group(1), m.group(2)) if rewrite_class else None
-        if rewritten is not None:
-            return rewritten
-        start = 2 if m.group(1)[1] == "^" else 1
-        inner = "".join(shorthand(t, True) for t in _ITEM.findall(m.group(1)[start:-1]))
-        return m.group(1)[:start] + inner + "]" + m.group(2)
-
-    return _TOKEN.sub(replace, pattern)
-
-
-def _class_members(text: str) -> set[str] | None:
-    """Characters of a bracketed ASCII class without shorthands, else None."""
-    items = _ITEM.findall(text[2:-1] if text[1] == "^" else text[1:-1])
-    if any(len(t) == 2 and t[1].isalnum() for t in items):
-        return None
-    members, i = set(), 0
-    while i < len(items):
-        first = items[i][-1]
-        if i + 2 < len(items) and items[i + 1] == "-":
-            members |= {chr(c) for c in range(ord(first), ord(items[i + 2][-1]) + 1)}
-            i += 3
-        else:
-            members.add(first)
-            i += 1
-    return members if all(ord(c) < 128 for c in members) else None
-
-
-def _listed_class(text: str, ignore_case: bool, folds: bool = True) -> str | None:
-    """The class with every character listed in both cases: Java then tests it by one table look-up."""
-    members = _class_members(text)
-    if members is None:
-        return None
-    if ignore_case:
-        members |= {c.swapcase() for c in members}
-    if ignore_case and folds:
-        members |= {f for f in FOLDS_TO_ASCII if {f.lower()[0], f.upper()[0].lower()} & members}
-    listed = "".join(c if c.isalnum() and ord(c) < 128 else f"\\u{ord(c):04x}" for c in sorted(members))
-    return f"[{'^' if text[1] == '^' else ''}{listed}]"
-
-
-def _python_forms(pattern: str) -> str:
-    """Rewrite what Java spells otherwise: named groups become numbered ones, and ``\\Z`` is the very end of the text."""
-    names = {n: str(i) for n, i in re.compile(pattern).groupindex.items()}
-
-    def rewrite(m: re.Match) -> str:
-        if m[1]:
-            return "("
-        if m[2]:
-            return f"(?:\\{names[m[2]]})"
-        return r"\z" if m[0] == r"\Z" else m[0]
-
-    return re.sub(r"\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)", rewrite, pattern, flags=re.DOTALL)
-
-
-def to_java(pattern: str, ignore_case: bool = True, folds: bool = True) -> str:
-    """Java equivalent of a Python ``re`` pattern.
-
-    Case folding is switched off around listed classes, where it is already part of the list. ``folds=False`` gives a
-    faster form for texts without any of FOLDS_TO_ASCII, where ASCII letters have two cases only.
-    """
-    if re.compile(pattern).match(""):
-        raise ValueError(f"pattern matches the empty string: {pattern!r}")
-    pattern = _python_forms(pattern)
-    folds = folds or not pattern.isascii() or re.search(r"\\[bB]", pattern) is not None
-
-    def rewrite(text: str, quantifier: str) -> str | None:
-        listed = _listed_class(text, ignore_case, folds)
-        if listed is None:
-            return None
-        return f"(?-i){listed}{quantifier}(?i)" if ignore_case else listed + quantifier
-
-    body = expand_shorthand(pattern.removeprefix("(?i)"), rewrite_class=rewrite)
-    if not ignore_case:
-        return "(?Ud)" + body
-    return ("(?iuUd)" if folds else "(?id)") + body
-
-
 def sql_literal(text: str) -> str:
     """Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -1,9 +1,11 @@
 """Detection: text rows in, one row per match out.
 
-A pack is a short list known when the plan is built, so each pattern enters the plan as a literal and is compiled once
-per task; text is never joined with rules. A scan has two steps. The first finds, in generated code, which rules match
-a text at all and drops texts without any; almost all text ends there. The second extracts the matches of one rule from
-one text and explodes them.
+A pack is a list known when the plan is built. A scan has two steps. The first finds which rules may match a text and drops
+texts without any; almost all text ends there. A pack of up to ``SMALL_PACK`` rules enters the plan as literal patterns,
+tested in generated code and compiled once per task. A larger one is indexed by the literals that its rules need: one pass
+over the text finds these, and a broadcast table of the pack leads to the rules. The second step marks the matches of one
+rule in one text in a single pass and explodes them. Per-line scans work on whole texts as well: with classes that take no
+line feed, the matches in a text are those in its lines.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secret_audit.functions import entropy as E
+from secret_audit.functions.literals import literal_index
 from secret_audit.functions.mask import evidence_hash, fingerprint, mask_by_kind
 from secret_audit.functions.regex import FOLDS_TO_ASCII, sql_literal
 from secret_audit.rules import CONTENT_PACK, Rule, check_pack
 
 ENTROPY_KIND = "high_entropy_string"
+#: Packs up to this size are tested rule by rule; larger ones by the index of their literals.
+SMALL_PACK = 64
+# Set around matches in a copy of the text; texts that hold it are searched without marks.
+_MARK = "\0"
 
 _RULE_FIELDS = {
     "rule": "string", "type": "string", "severity": "string", "confidence": "double", "mask": "string",
@@ -50,35 +57,90 @@ def _folds(text: Column) -> Column:
     return (F.octet_length(text) != F.length(text)) & found
 
 
-def _gate(rule: Rule, text: str) -> str:
-    """Cheap SQL condition that every text with a match passes, over the ``_lower`` and ``_folds`` columns."""
-    gate = f"octet_length({text}) >= {rule.min_length}"
+def _prepared(files: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """The keys with the text, its lower-case copy and whether it has letters that fold to ASCII."""
+    text = F.col(content)
+    return files.where(text.isNotNull()).select(*keys, text.alias("_text"), F.lower(text).alias("_lower"), _folds(text).alias("_folds"))
+
+
+def _gate(rule: Rule) -> str:
+    """Cheap SQL condition that every text with a match passes."""
+    gate = f"octet_length(_text) >= {rule.min_length}"
     if rule.hints:
         seen = " OR ".join([f"contains(_lower, {sql_literal(h)})" for h in rule.hints] + ["_folds"])
         gate += f" AND ({seen})"
     return gate
 
 
-def _present(rules: tuple[Rule, ...], text: str, entropy_length: int | None = None) -> Column:
+def _forms(rule: Rule, line: bool) -> tuple[str, str]:
+    """Patterns for texts without and with letters that fold to ASCII. Without a form for lines these are searched one by one."""
+    return (rule.line_plain, rule.line) if line and rule.line else (rule.java_plain, rule.java)
+
+
+def _present(rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None, among: list[int] | None = None) -> Column:
     """Ordinals of the rules that match a text; only functions that compile to code."""
     def matches(r: Rule) -> str:
-        plain = f"{text} RLIKE {sql_literal(r.java_plain)}"
-        full = f"_folds AND {text} RLIKE {sql_literal(r.java)}"
-        return plain if r.java == r.java_plain else f"({plain} OR {full})"
-
-    flags = [f"IF({_gate(r, text)} AND {matches(r)}, {i}, -1)" for i, r in enumerate(rules)]
+        plain, full = _forms(r, line)
+        test = f"_text RLIKE {sql_literal(plain)}"
+        return test if plain == full else f"({test} OR _folds AND _text RLIKE {sql_literal(full)})"
+
+    flags = []
+    for i in range(len(rules)) if among is None else among:
+        searched = line and rules[i].line is None  # its anchors mean lines
+        flags.append(f"IF({_gate(rules[i])}{'' if searched else f' AND {matches(rules[i])}'}, {i}, -1)")
     if entropy_length is not None:
         tokens = sql_literal(E.candidate_pattern(entropy_length))
-        flags.append(f"IF(octet_length({text}) >= {entropy_length} AND {text} RLIKE {tokens}, {len(rules)}, -1)")
-    return F.expr(f"array_remove(array({', '.join(flags)}), -1)")
+        flags.append(f"IF(octet_length(_text) >= {entropy_length} AND _text RLIKE {tokens}, {len(rules)}, -1)")
+    return F.expr(f"array_remove(array({', '.join(flags)}), -1)") if flags else F.array().cast("array<int>")
+
+
+def _matched(text: DataFrame, keys: list[str], rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None) -> DataFrame:
+    """A row per text and rule that may match it: the keys, _text, _folds and rule_ord."""
+    if len(rules) <= SMALL_PACK:
+        return text.select(*keys, "_text", "_folds", F.explode(_present(rules, line, entropy_length)).alias("rule_ord"))
+    pattern, rows, rest = literal_index([r.hints for r in rules])
+    index = text.sparkSession.createDataFrame(rows, "_literal string, _ord int, _before array<string>")
+    # Letters that fold to ASCII are written as such, so that literals are found in their place.
+    plain = F.when(F.col("_folds"), F.lower(F.translate("_text", "".join(FOLDS_TO_ASCII), "skii"))).otherwise(F.col("_lower"))
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))) if pattern else F.array().cast("array<string>")
+    steps = [rest[i : i + SMALL_PACK] for i in range(0, len(rest), SMALL_PACK)] or [[]]
+    own = [_present(rules, line, entropy_length if i == 0 else None, step) for i, step in enumerate(steps)]
+    wanted = F.concat(
+        F.transform("_found", lambda x: F.struct(x.alias("literal"), F.lit(None).cast("int").alias("ord"))),
+        *[F.transform(o, lambda i: F.struct(F.lit(None).cast("string").alias("literal"), i.alias("ord"))) for o in own],
+    )
+    rows = text.withColumn("_found", found).select(*keys, "_text", "_folds", "_found", F.explode(wanted).alias("_want"))
+    joined = rows.join(F.broadcast(index), F.col("_want.literal") == F.col("_literal"), "left")  # the pack's own literals
+    first = F.coalesce(~F.arrays_overlap("_found", "_before"), F.lit(True))
+    led = joined.withColumn("rule_ord", F.coalesce("_want.ord", "_ord")).where(F.col("rule_ord").isNotNull() & first)
+    return led.select(*keys, "_text", "_folds", "rule_ord")
+
 
+def _constant(values: list, schema: str) -> Column:
+    """A constant array of any length."""
+    return F.from_json(F.lit(json.dumps(values)), schema)
 
-def _pattern(rules: tuple[Rule, ...], entropy_length: int | None = None) -> Column:
+
+def _pattern(rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None) -> Column:
     """Pattern of the rule named by ``rule_ord``. It is compiled again only when a row has another rule."""
     tokens = [E.candidate_pattern(entropy_length)] if entropy_length is not None else []
-    plain, full = [r.java_plain for r in rules] + tokens, [r.java for r in rules] + tokens
-    table = ", ".join(map(sql_literal, plain + full))
-    return F.expr(f"get(array({table}), rule_ord + IF(_folds, {len(plain)}, 0))")
+    plain, full = ([_forms(r, line)[k] for r in rules] + tokens for k in (0, 1))
+    at = F.expr(f"rule_ord + IF(_folds, {len(plain)}, 0)")
+    if len(rules) > SMALL_PACK:
+        return F.get(_constant(plain + full, "array<string>"), at)
+    return F.get(F.array(*map(F.lit, plain + full)), at)
+
+
+def _marked(pattern: Column, also: Column | None = None) -> Column:
+    """The text with a mark before and after each match; null where the text holds the mark, or unless ``also``."""
+    usable = ~F.contains("_text", F.lit(_MARK))
+    return F.when(usable if also is None else usable & also, F.regexp_replace("_text", pattern, F.lit(f"{_MARK}$0{_MARK}")))
+
+
+def _between_marks(text: Column) -> Column:
+    """(n, secret): what stands between the marks, n being the number of the mark behind it."""
+    pieces = F.transform(F.split(text, _MARK, -1), lambda p, i: F.struct(i.alias("n"), p.alias("secret")))
+    return F.filter(pieces, lambda x: x["n"] % 2 == 1)
 
 
 def _start_lines(content: Column, pattern: Column) -> Column:
@@ -92,6 +154,39 @@ def _start_lines(content: Column, pattern: Column) -> Column:
     return F.flatten(F.transform(grown, lambda n, i: F.array_repeat(i + 1, n)))
 
 
+def _found_in_text(pattern: Column) -> tuple[Column, Column]:
+    """Lines of the marks in ``_marked`` (kept as ``_places``), and secret, line_start and line_end of the matches in ``_text``, from its copy ``_marked`` where there is one."""
+    def marks(line: Column) -> Column:
+        return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(_MARK), F.lit("")))
+
+    lines = F.flatten(F.transform(F.split("_marked", "\n", -1), lambda x, i: F.array_repeat(i + 1, marks(x))))
+    quick = F.transform(_between_marks(F.col("_marked")), lambda x: F.struct(
+        x["secret"].alias("secret"), F.get(F.col("_places"), x["n"] - 1).alias("line_start"), F.get(F.col("_places"), x["n"]).alias("line_end"),
+    ))
+    plain = F.zip_with(
+        F.regexp_extract_all("_text", pattern, F.lit(0)), _start_lines(F.col("_text"), pattern),
+        lambda s, n: F.struct(s.alias("secret"), n.alias("line_start"), (n + newlines(s)).alias("line_end")),
+    )
+    return lines, F.when(F.col("_marked").isNotNull(), quick).otherwise(plain)
+
+
+def _found_in_lines(pattern: Column) -> Column:
+    """line_no, match_ord, secret and line of the matches in the lines of ``_text``, from ``_marked`` where there is one."""
+    def numbered(text: str) -> Column:
+        return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+
+    quick = F.transform(F.filter(numbered("_marked"), lambda x: F.contains(x["line"], F.lit(_MARK))), lambda x: F.transform(
+        _between_marks(x["line"]), lambda y: F.struct(
+            x["n"].alias("line_no"), ((y["n"] - 1) / 2).cast("int").alias("match_ord"), y["secret"].alias("secret"),
+            F.replace(x["line"], F.lit(_MARK), F.lit("")).alias("line"),
+        )
+    ))
+    plain = F.transform(numbered("_text"), lambda x: F.transform(F.regexp_extract_all(x["line"], pattern, F.lit(0)), lambda s, k: F.struct(
+        x["n"].alias("line_no"), k.alias("match_ord"), s.alias("secret"), x["line"].alias("line"),
+    )))
+    return F.flatten(F.when(F.col("_marked").isNotNull(), quick).otherwise(plain))
+
+
 def snippet(lines: Column, start: Column, end: Column, around: int = 3) -> Column:
     """Numbered lines around a match; the lines of the match carry an arrow."""
     first = F.greatest(F.lit(0), start - 1 - around)
@@ -111,7 +206,7 @@ def _rule_attributes(rules: tuple[Rule, ...], rule_ord: Column) -> Column:
     fields = ("name", "kind", "severity", "confidence", "mask", "description", "remediation")
     table = [dict(zip(_RULE_FIELDS, (getattr(r, f) for f in fields))) for r in rules]
     schema = "array<struct<" + ",".join(f"{k}:{v}" for k, v in _RULE_FIELDS.items()) + ">>"
-    return F.get(F.from_json(F.lit(json.dumps(table)), schema), rule_ord)
+    return F.get(_constant(table, schema), rule_ord)
 
 
 def scan_content(
@@ -124,21 +219,13 @@ def scan_content(
     """
     rules = check_pack(rules)
     keys = [c for c in files.columns if c != content]
-    text = files.where(F.col(content).isNotNull()).select(
-        *keys,
-        F.col(content).alias("_text"),
-        F.lower(content).alias("_lower"),
-        _folds(F.col(content)).alias("_folds"),
-    )
-    matched = text.select(*keys, "_text", "_folds", F.explode(_present(rules, "_text")).alias("rule_ord"))
+    pattern = _pattern(rules)
+    matched = _matched(_prepared(files, keys, content), keys, rules).withColumn("_marked", _marked(pattern))
+    places, found = _found_in_text(pattern)
+    # Columns of their own, so that the text is marked and split once and not once per match.
+    matched = matched.withColumn("_places", places)
     if context:
-        # A column of its own, so that the text is split once and not once per match.
         matched = matched.withColumn("_lines", F.split("_text", "\n", -1))
-    found = F.zip_with(
-        F.regexp_extract_all("_text", _pattern(rules), F.lit(0)),
-        _start_lines(F.col("_text"), _pattern(rules)),
-        lambda s, n: F.struct(s.alias("secret"), n.alias("line_start"), (n + newlines(s)).alias("line_end")),
-    )
     fields = ["secret", "line_start", "line_end"]
     if context:
         fields.append("context")
@@ -168,23 +255,19 @@ def _hit_lines(files: DataFrame, content: str, rules: tuple[Rule, ...], entropy=
     """
     keys = [c for c in files.columns if c != content]
     threshold, token_length = entropy or (None, None)
-    shortest = min([r.min_length for r in rules] + ([token_length] if entropy else []))
-    line = F.col("line")
-    matched = (
-        split_lines(files.where(F.col(content).isNotNull()), content)
-        .where(F.octet_length("line") >= shortest)
-        .withColumns({"_lower": F.lower("line"), "_folds": _folds(line)})
-        .select(*keys, "line_no", "line", "_folds", F.explode(_present(rules, "line", token_length)).alias("rule_ord"))
-    )
-    hits = F.transform(F.regexp_extract_all("line", _pattern(rules, token_length), F.lit(0)), lambda s, k: F.struct(
-        k.alias("match_ord"), s.alias("secret"),
-        (F.when(_is_entropy(rules), E.shannon_entropy(s)) if entropy else F.lit(None).cast("double")).alias("entropy"),
+    pattern = _pattern(rules, True, token_length)
+    searched = [i for i, r in enumerate(rules) if r.line is None]
+    whole = ~F.col("rule_ord").isin(searched) if searched else None
+    matched = _matched(_prepared(files, keys, content), keys, rules, True, token_length).withColumn("_marked", _marked(pattern, whole))
+    hits = F.transform(_found_in_lines(pattern), lambda x: F.struct(
+        x["line_no"].alias("line_start"), x["line_no"].alias("line_end"), x["line"].alias("line"), x["match_ord"].alias("match_ord"),
+        x["secret"].alias("secret"),
+        (F.when(_is_entropy(rules), E.shannon_entropy(x["secret"])) if entropy else F.lit(None).cast("double")).alias("entropy"),
     ))
     if entropy:
         hits = F.filter(hits, lambda t: t["entropy"].isNull() | E.passes(t["entropy"], threshold))
-    return matched.select(
-        *keys, F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), "line", "rule_ord",
-        F.inline(hits),
+    return matched.select(*keys, "rule_ord", F.inline(hits)).select(
+        *keys, "line_start", "line_end", "line", "rule_ord", "match_ord", "secret", "entropy"
     )
 
 
@@ -291,12 +374,16 @@ def rule_summary(df: DataFrame) -> DataFrame:
 def rule_hit_counts(files: DataFrame, rules=CONTENT_PACK, content: str = "content") -> DataFrame:
     """Every rule against every text: per rule the number of texts with a match and of matches, zeros kept."""
     rules = check_pack(rules)
-    lowered = files.select(
-        F.col(content).alias("_text"), F.lower(content).alias("_lower"), _folds(F.col(content)).alias("_folds")
-    )
+    if len(rules) > SMALL_PACK:
+        found = _matched(_prepared(files, [], content), [], rules).select("rule_ord", F.regexp_count("_text", _pattern(rules)).alias("n"))
+        counts = found.groupBy("rule_ord").agg(F.count_if(F.col("n") > 0).alias("texts"), F.sum("n").alias("matches"))
+        names = files.sparkSession.createDataFrame([(i, r.name) for i, r in enumerate(rules)], "rule_ord int, rule string")
+        zero = F.lit(0).cast("long")
+        return names.join(counts, "rule_ord", "left").select("rule", *[F.coalesce(c, zero).alias(c) for c in ("texts", "matches")])
+    lowered = _prepared(files, [], content)
     counts = lowered.select(*[
         F.expr(
-            f"IF({_gate(r, '_text')}, regexp_count(_text, IF(_folds, {sql_literal(r.java)}, {sql_literal(r.java_plain)})), 0)"
+            f"IF({_gate(r)}, regexp_count(_text, IF(_folds, {sql_literal(r.java)}, {sql_literal(r.java_plain)})), 0)"
         ).alias(f"n{i}")
         for i, r in enumerate(rules)
     ])

@@ -6,9 +6,10 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from secret_audit.functions.regex import to_java
+from secret_audit.functions.patterns import parse
 
 
 @dataclass(frozen=True)
@@ -16,8 +17,9 @@ class Rule:
     """One detection rule.
 
     ``hints`` are lower-case literals of which every match contains at least one, ``min_length`` the shortest possible
-    match; both only let the scan skip text early. ``java_plain`` is the form for texts without letters that fold to
-    ASCII.
+    match; both only let the scan skip text early, and come from the pattern where they are not given. ``java_plain`` is the
+    form for texts without letters that fold to ASCII. ``line`` and ``line_plain`` find in a whole text the matches in its
+    lines; None where the pattern has no such form.
     """
 
     name: str
@@ -32,11 +34,15 @@ class Rule:
     min_length: int = 0
     java: str = field(init=False, default="")
     java_plain: str = field(init=False, default="")
+    line: str | None = field(init=False, default=None)
+    line_plain: str | None = field(init=False, default=None)
 
     def __post_init__(self):
-        object.__setattr__(self, "java", to_java(self.pattern))
-        object.__setattr__(self, "java_plain", to_java(self.pattern, folds=False))
-        object.__setattr__(self, "hints", tuple(h.lower() for h in self.hints))
+        found = parse(self.pattern)
+        forms = {"java": found.java, "java_plain": found.plain, "line": found.line, "line_plain": found.line_plain}
+        forms |= {"hints": tuple(h.lower() for h in self.hints) or found.literals, "min_length": self.min_length or found.min_length}
+        for name, value in forms.items():
+            object.__setattr__(self, name, value)
 
 
 # Whole-content pack, scanned over the file text as one string.
@@ -136,7 +142,7 @@ RULE_SCHEMA = T.StructType([
 
 
 def check_pack(rules) -> tuple[Rule, ...]:
-    """Reject duplicate rule names."""
+    """Refuse duplicate rule names."""
     rules = tuple(rules)
     if len({r.name for r in rules}) != len(rules):
         raise ValueError("rule names must be unique within a pack")
@@ -154,12 +160,80 @@ def rules_table(spark: SparkSession, packs: dict[str, tuple[Rule, ...]] | None =
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def java_reason(spark: SparkSession, pattern: str) -> str | None:
+    """Why Java does not compile a pattern, or None: found on the driver instead of in a task."""
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).first()
+    except Exception as e:  # whatever the plan or the job reports
+        return f"Java: {str(e).strip().splitlines()[0]}"
+    return None
+
+
+def compile_pack(spark: SparkSession, records: list[dict]) -> tuple[tuple[Rule, ...], list[dict]]:
+    """Rules of a user pack and, beside them, the records that make none, each with a ``reason``.
+
+    All patterns are compiled by Java in one small plan; only if that fails, they are tried one by one.
+    """
+    rules, rejects, names = [], [], set()
+    for record in records:
+        try:
+            if record.get("name") in names:
+                raise ValueError("a rule of this name came before")
+            rules.append((Rule(**record), record))
+            names.add(record["name"])
+        except (TypeError, ValueError) as e:
+            rejects.append(record | {"reason": str(e)})
+    forms = lambda r: [x for x in dict.fromkeys((r.java, r.java_plain, r.line, r.line_plain)) if x]
+
+    def failing(part: list) -> list:
+        """The rules of a part that Java refuses, found by halves."""
+        joined = "|".join(f"(?:{x})" for r, _ in part for x in forms(r) if "\\" not in x or not _refers(x))
+        alone = [x for r, _ in part for x in forms(r) if "\\" in x and _refers(x)]
+        if all(java_reason(spark, x) is None for x in ([joined] if joined else []) + alone):
+            return []
+        if len(part) == 1:
+            return part
+        middle = len(part) // 2
+        return failing(part[:middle]) + failing(part[middle:])
+
+    bad = failing(rules) if rules else []
+    for r, record in bad:
+        reason = next((why for why in (java_reason(spark, x) for x in forms(r)) if why), "Java: not compiled")
+        rejects.append(record | {"reason": reason})
+    gone = {r.name for r, _ in bad}
+    return check_pack(r for r, _ in rules if r.name not in gone), rejects
+
+
+def _refers(java: str) -> bool:
+    """The pattern refers to a group by number, so it can't be joined with others."""
+    return "(?:\\" in java
+
+
+REJECT_SCHEMA = T.StructType([*RULE_SCHEMA, T.StructField("reason", T.StringType())])
+
+
+def _records(spark: SparkSession, path: str) -> list[dict]:
+    rows = spark.read.schema(RULE_SCHEMA).json(path).orderBy("ord", "name").toJSON().collect()  # a pack is a list on the driver
+    return [json.loads(r) for r in rows]
+
+
+def read_rules_with_rejects(spark: SparkSession, path: str) -> tuple[tuple[Rule, ...], DataFrame]:
+    """A user pack from JSON lines with the columns of ``RULE_SCHEMA``, and the rules left out as a table with reasons.
+
+    Missing fields take the rule defaults. A rule is left out where it lacks a name, kind, confidence or pattern, repeats a
+    name, or its pattern is wrong, matches the empty text or has no Java form.
+    """
+    records = _records(spark, path)
+    own = [{k: v for k, v in r.items() if k not in ("pack", "ord")} for r in records]
+    rules, rejects = compile_pack(spark, own)
+    columns = [f.name for f in REJECT_SCHEMA]
+    return rules, spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rejects], REJECT_SCHEMA)
+
+
 def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
-    """A user pack from JSON lines with the columns of ``RULE_SCHEMA``; missing fields take the rule defaults."""
-    wanted = [f for f in RULE_SCHEMA if f.name not in ("pack", "ord")]
-    rows = (
-        spark.read.schema(RULE_SCHEMA).json(path).orderBy("ord", "name")
-        .select(*[f.name for f in wanted]).toJSON().collect()
-    )
-    known = {f.name for f in wanted}
-    return check_pack(Rule(**{k: v for k, v in json.loads(r).items() if k in known}) for r in rows)
+    """As ``read_rules_with_rejects``, but a rule that can't be used raises an error that names it and the reason."""
+    rules, rejects = read_rules_with_rejects(spark, path)
+    wrong = rejects.collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r['name']}: {r['reason']}" for r in wrong))
+    return rules
