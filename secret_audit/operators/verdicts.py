@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from secret_audit.operators.merge import first_per_key
 from secret_audit.operators.numbering import sequence
 from secret_audit.schemas import VERDICT
+from secret_audit.sources.store import materialize
 
 BATCH_SIZE = 5
 CACHE_SECONDS = 3600
@@ -248,29 +250,49 @@ def reuse_responses(requests: DataFrame, cache: DataFrame, ttl_seconds: int = CA
 def uncached(requests: DataFrame, cache: DataFrame, ttl_seconds: int = CACHE_SECONDS) -> DataFrame:
     """Requests that need a model call: those without a response, but not those that the answer to such a call serves.
 
-    Per key the first request is asked, then the first one a lifetime or more after it, and so on: one pass over the sorted
-    rows of a partition that remembers the last call.
+    Per key the first request is asked, then the first one a lifetime or more after it, and so on. Every time of a key points
+    to the first time a lifetime later, and the calls are what the first time leads to: they are found by doubling the
+    pointers, so one key's requests spread over many tasks however many there are and however close together. Of requests
+    at one time the one with the smallest id is asked. Requests without a time are not asked.
     """
-    waiting = reuse_responses(requests, cache, ttl_seconds).where(F.col("response").isNull()).drop("response")
-    ordered = waiting.repartition("cache_key").sortWithinPartitions("cache_key", "ts", "request_id")
-    return ordered.mapInArrow(_calls(ttl_seconds * 1_000_000), waiting.schema)
-
-
-def _calls(ttl: int):
-    def run(batches):
-        import pyarrow as pa
-
-        key, last = None, None
-        for batch in batches:
-            keep = []
-            for own, ts in zip(batch.column("cache_key").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist(), strict=True):
-                call = own != key or ts - last >= ttl
-                if call:
-                    key, last = own, ts
-                keep.append(call)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return run
+    waiting = reuse_responses(requests, cache, ttl_seconds).where(F.col("response").isNull() & F.col("ts").isNotNull()).drop("response")
+    waiting = materialize(waiting, "waiting-requests")
+    times = materialize(waiting.select("cache_key", F.unix_micros("ts").alias("t")).distinct(), "request-times")
+    jumps = materialize(_next_times(times, ttl_seconds * 1_000_000), "request-jumps")
+    reached = materialize(times.groupBy("cache_key").agg(F.min("t").alias("t")), "request-calls")
+    new = reached
+    while True:
+        # Jumps of 2^n calls from all calls found so far lead to the next 2^n.
+        new = reached.join(jumps, ["cache_key", "t"]).select("cache_key", F.col("to").alias("t"))
+        new = materialize(new.join(reached, ["cache_key", "t"], "left_anti").distinct(), "request-calls")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        twice = jumps.join(jumps.select("cache_key", F.col("t").alias("to"), F.col("to").alias("_then")), ["cache_key", "to"])
+        jumps = materialize(twice.select("cache_key", "t", F.col("_then").alias("to")), "request-jumps")
+    calls = reached.select("cache_key", F.timestamp_micros("t").alias("ts"))
+    return first_per_key(waiting.join(calls, ["cache_key", "ts"]), ["cache_key", "ts"], ["request_id"]).select(*waiting.columns)
+
+
+def _next_times(times: DataFrame, ttl: int) -> DataFrame:
+    """cache_key, t and the first time ``to`` of the key that is ``ttl`` or more later, where there is one.
+
+    Times and the moments a lifetime after them are sorted in ranges, so a key may span many. Inside a range the next time
+    is looked up in order; what finds none there takes the first one of the ranges behind.
+    """
+    events = times.select("cache_key", "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("origin")).unionByName(
+        times.select("cache_key", (F.col("t") + ttl).alias("t"), F.lit(0).alias("kind"), F.col("t").alias("origin"))
+    )
+    order = ["cache_key", "t", "kind"]
+    ranged = materialize(events.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "request-ranges")
+    own = F.when(F.col("kind") == 1, F.col("t"))
+    inside = Window.partitionBy("cache_key", "range").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    behind = Window.partitionBy("cache_key").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    firsts = ranged.groupBy("cache_key", "range").agg(F.min(own).alias("first"))
+    firsts = firsts.select("cache_key", "range", F.min("first").over(behind).alias("after"))
+    asked = ranged.withColumn("next", F.first(own, ignorenulls=True).over(inside)).where("kind = 0").join(firsts, ["cache_key", "range"])
+    to = F.coalesce("next", "after")
+    return asked.where(to.isNotNull()).select("cache_key", F.col("origin").alias("t"), to.alias("to"))
 
 
 def first_user_message(turns: DataFrame, group: str = "conv_id") -> DataFrame:

@@ -93,3 +93,24 @@ def test_first_user_message(spark):
     df = spark.createDataFrame([(1, 0, "system", "s"), (1, 2, "user", "second"), (1, 1, "user", "first"), (2, 0, "user", ""), (3, 0, "assistant", "a")],
                                "conv_id int, turn int, role string, text string")
     assert [tuple(r) for r in V.first_user_message(df).collect()] == [(1, "first")]
+
+
+def test_calls_of_a_hot_key(spark):
+    """One key with nearly all requests, in bursts and far apart, beside one pass in time order."""
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, start, ttl = random.Random(4), datetime(2024, 1, 1), 600
+    times = [rnd.choice([rnd.randint(0, 40_000), 5000 + rnd.randint(0, 30), 5600, 90_000]) for _ in range(600)]
+    rows = [("k" if i % 30 else f"k{i % 7}", i, start + timedelta(seconds=t)) for i, t in enumerate(times)] + [("k", 1000, None)]
+    req = spark.createDataFrame(rows, "cache_key string, request_id long, ts timestamp").repartition(4)
+    cache = spark.createDataFrame([], "cache_key string, response string, stored_at timestamp")
+    want, last = [], {}
+    for key, i, ts in sorted((r for r in rows if r[2]), key=lambda r: (r[0], r[2], r[1])):
+        if key not in last or (ts - last[key]).total_seconds() >= ttl:
+            last[key] = ts
+            want.append(i)
+    got = V.uncached(req, cache, ttl)
+    assert got.columns == req.columns and sorted(r.request_id for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
