@@ -15,6 +15,7 @@ from secret_audit.operators import verdicts as V
 from secret_audit.operators.merge import append_notes, union_all
 from secret_audit.plans.dashboard import dashboard
 from secret_audit.plans.repo_scan import merged_findings, scan_findings, scan_results
+from secret_audit.session import shared_dir
 from secret_audit.sources.store import materialize
 
 _STATUS = "CASE doc_id % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'ACKNOWLEDGED' WHEN 2 THEN 'RESOLVED' ELSE 'FALSE_POSITIVE' END"
@@ -351,6 +352,25 @@ def sarif_export(spark, sf):
     return reports.sarif(stored_findings(spark, sf), corpus.repo_scans(spark, sf))
 
 
+@query("sarif_files", o.on_findings(
+    "SELECT s.id AS scan_id, count(f.id) AS results, coalesce(string_agg(f.file_path || ':' || f.line_start || ' ' || regexp_replace(f.type, '_', '-'), ';' "
+    "ORDER BY file_path, line_start, f.id), '') AS listed, 'Repository: ' || any_value(repo_url) || ' (' || any_value(branch) || ')' AS artifact "
+    "FROM repo_scans s LEFT JOIN findings f ON s.id = f.scan_id GROUP BY s.id", o.REPO_SCANS))
+def sarif_files(spark, sf):
+    """One SARIF file per scan, written and read back."""
+    path = shared_dir(spark, "sarif")
+    reports.write_lines(reports.sarif_lines(stored_findings(spark, sf), corpus.repo_scans(spark, sf)), path)
+    result = "struct<ruleId:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>"
+    parsed = F.from_json("value", f"runs array<struct<results:array<{result}>,artifacts:array<struct<description:struct<text:string>>>>>")
+    run = F.get(F.col("_doc.runs"), F.lit(0))
+    place = lambda r: F.get(r["locations"], F.lit(0))["physicalLocation"]
+    line = F.transform(run["results"], lambda r: F.concat(
+        place(r)["artifactLocation"]["uri"], F.lit(":"), place(r)["region"]["startLine"], F.lit(" "), r["ruleId"]))
+    return reports.read_documents(spark, path).withColumn("_doc", parsed).select(
+        "scan_id", F.size(run["results"]).cast("long").alias("results"), F.array_join(line, ";").alias("listed"),
+        F.get(run["artifacts"], F.lit(0))["description"]["text"].alias("artifact"))
+
+
 @query("report_sections", o.on_findings(
     "SELECT scan_id, severity, section, count(*) AS severity_findings, string_agg(type || '|' || file_path || '|' || line_start || '|' || "
     "printf('%.1f', confidence * 100), ';' ORDER BY file_path, line_start, id) AS listed FROM (SELECT *, "

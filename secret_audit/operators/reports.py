@@ -1,12 +1,13 @@
 """Documents built from findings: SARIF, diffs, pull-request text, report sections and alert messages.
 
-A document lists all findings of its scan. Above about ``target`` findings it is written in several parts, each a
-complete document, because one row cannot hold a scan of any size.
+A document lists all findings of its scan. As a row it has several parts above about ``target`` findings, each a complete
+document, because one row cannot hold a scan of any size. As a file (``sarif_lines``, ``finding_lines``, ``write_lines``) it is
+whole whatever its size: its lines are sorted, spilled where they must be, and written one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secret_audit.functions.text import confidence_band, confidence_percent, sarif_level, sarif_rule_id
@@ -54,9 +55,8 @@ def _ordered(row: Column) -> Column:
     )
 
 
-def sarif(findings: DataFrame, scans: DataFrame, target: int = 5000, tool: str = TOOL_NAME) -> DataFrame:
-    """SARIF 2.1.0 text per scan and part; a clean scan has one too."""
-    result = _struct(
+def _sarif_result() -> Column:
+    return _struct(
         ruleId=sarif_rule_id(F.col("type")),
         level=sarif_level(F.col("severity")),
         message=_struct(text=F.col("description")),
@@ -68,35 +68,92 @@ def sarif(findings: DataFrame, scans: DataFrame, target: int = 5000, tool: str =
             confidence=F.col("confidence"), severity=F.col("severity"), remediation=F.col("remediation")
         ),
     )
-    parts = (
-        document_parts(findings, "scan_id", target=target)
-        .groupBy("scan_id", "part").agg(_ordered(result).alias("_results"))
-    )
+
+
+def _sarif_tool(tool: str) -> Column:
     rules = F.array(*[
         _struct(id=i, name=n, shortDescription=_struct(text=s), fullDescription=_struct(text=f), helpUri=u)
         for i, n, s, f, u in SARIF_RULES
     ])
+    return _struct(driver=_struct(name=tool, version="1.0.0", informationUri=TOOL_URI, rules=rules))
+
+
+def _sarif_artifacts() -> Column:
     where = F.concat(F.lit("Repository: "), "repo_url", F.lit(" ("), "branch", F.lit(")"))
+    return F.array(_struct(location=_struct(uri=F.col("repo_url"), uriBaseId="ROOT"), description=_struct(text=where)))
+
+
+def sarif(findings: DataFrame, scans: DataFrame, target: int = 5000, tool: str = TOOL_NAME) -> DataFrame:
+    """SARIF 2.1.0 text per scan and part; a clean scan has one too."""
+    parts = (
+        document_parts(findings, "scan_id", target=target)
+        .groupBy("scan_id", "part").agg(_ordered(_sarif_result()).alias("_results"))
+    )
     document = F.struct(
         F.lit(SARIF_SCHEMA).alias("$schema"),
         F.lit("2.1.0").alias("version"),
-        F.array(_struct(
-            tool=_struct(driver=_struct(name=tool, version="1.0.0", informationUri=TOOL_URI, rules=rules)),
-            results=F.col("_results"),
-            artifacts=F.array(_struct(
-                location=_struct(uri=F.col("repo_url"), uriBaseId="ROOT"), description=_struct(text=where)
-            )),
-        )).alias("runs"),
+        F.array(_struct(tool=_sarif_tool(tool), results=F.col("_results"), artifacts=_sarif_artifacts())).alias("runs"),
     )
     heads = scans.select(F.col("id").alias("scan_id"), "repo_url", "branch")
-    # A scan without findings has a document with an empty list.
-    empty = F.array().cast(parts.schema["_results"].dataType)
-    whole = heads.join(parts, "scan_id", "left").withColumns({
-        "_results": F.coalesce("_results", empty), "part": F.coalesce("part", F.lit("")),
+    # An inner join, which can split the parts of a large scan, plus the scans without findings and their empty lists.
+    clean = heads.join(findings.select("scan_id").distinct(), "scan_id", "left_anti").withColumns({
+        "_results": F.array().cast(parts.schema["_results"].dataType), "part": F.lit(""),
     })
+    whole = parts.join(heads, "scan_id").unionByName(clean)
     return whole.select("scan_id", "part", F.size("_results").alias("results"), F.to_json(document).alias("sarif"))
 
 
+def document_lines(items: DataFrame, heads: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """(group, n, value): the lines of one JSON text per row of ``heads`` (group, head, tail), with its items in between.
+
+    ``items`` has the group, the columns of ``order`` and the JSON text ``item``; items of groups without a head are left out.
+    Items are numbered in order as they stream by, so no list of them is ever built.
+    """
+    known = items.join(heads.select(group), group, "left_semi")
+    rows = known.select(group, F.lit(1).alias("_place"), *order, F.col("item").alias("_text"))
+    for place, text in ((0, "head"), (2, "tail")):
+        rows = rows.unionByName(heads.select(group, F.lit(place).alias("_place"), F.col(text).alias("_text")), allowMissingColumns=True)
+    n = F.row_number().over(Window.partitionBy(group).orderBy("_place", *order))
+    comma = F.when((F.col("_place") == 1) & (F.col("n") > 2), ",").otherwise("")
+    return rows.withColumn("n", n).select(group, "n", F.concat(comma, "_text").alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, group: str = "scan_id") -> None:
+    """One text file per group, in a folder of its own under ``path``; earlier files of these groups are replaced.
+
+    A group's lines are sorted in one task and written as they come, so memory does not grow with them. Spark's writer
+    moves files into place when the whole job is done: a lost task leaves no half file.
+    """
+    ordered = lines.repartition(group).sortWithinPartitions(group, "n").select(group, "value")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(group).text(path)
+
+
+def read_documents(spark: SparkSession, path: str, group: str = "scan_id") -> DataFrame:
+    """(group, value): the written texts, each as one row."""
+    return spark.read.schema(f"value string, {group} string").text(path, wholetext=True).select(group, "value")
+
+
+def sarif_lines(findings: DataFrame, scans: DataFrame, tool: str = TOOL_NAME) -> DataFrame:
+    """Lines of one SARIF 2.1.0 text per scan, clean ones included."""
+    head = F.concat(
+        F.lit('{"$schema":"' + SARIF_SCHEMA + '","version":"2.1.0","runs":[{"tool":'), F.to_json(_sarif_tool(tool)), F.lit(',"results":[')
+    )
+    tail = F.concat(F.lit('],"artifacts":'), F.to_json(_sarif_artifacts()), F.lit("}]}"))
+    heads = scans.select(F.col("id").alias("scan_id"), head.alias("head"), tail.alias("tail"))
+    items = findings.select("scan_id", "file_path", "line_start", "id", F.to_json(_sarif_result()).alias("item"))
+    return document_lines(items, heads, "scan_id", ["file_path", "line_start", "id"])
+
+
+def finding_lines(findings: DataFrame, scans: DataFrame, stored_at) -> DataFrame:
+    """Lines of one text {scan_id, count, stored_at, findings} per scan of ``scans`` (scan_id)."""
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("count"))
+    about = F.to_json(F.struct("scan_id", F.coalesce("count", F.lit(0)).alias("count"), F.lit(stored_at).cast("timestamp").alias("stored_at")))
+    heads = scans.select("scan_id").distinct().join(counts, "scan_id", "left")
+    heads = heads.select("scan_id", F.concat(F.regexp_replace(about, r"\}$", ""), F.lit(',"findings":[')).alias("head"), F.lit("]}").alias("tail"))
+    item = F.to_json(F.struct("id", *[c for c in findings.columns if c not in ("id", "scan_id")]))
+    return document_lines(findings.select("scan_id", "id", item.alias("item")), heads, "scan_id", ["id"])
+
+
 def report_sections(findings: DataFrame, target: int = 5000) -> DataFrame:
     """Per scan and severity the number of findings and the findings in path order."""
     item = F.struct(

@@ -45,11 +45,10 @@ def finding_documents(findings: DataFrame, stored_at, target: int = 5000, scans:
         F.first("group_size").alias("count"),
     )
     if scans is not None:
-        documents = scans.select("scan_id").distinct().join(documents, "scan_id", "left").select(
-            "scan_id", F.coalesce("part", F.lit("")).alias("part"),
-            F.coalesce("findings", F.array().cast(documents.schema["findings"].dataType)).alias("findings"),
-            F.coalesce("count", F.lit(0)).alias("count"),
-        )
+        # Beside the documents, so that no join brings the parts of a large scan together again.
+        clean = scans.select("scan_id").distinct().join(findings.select("scan_id").distinct(), "scan_id", "left_anti")
+        empty = F.array().cast(documents.schema["findings"].dataType)
+        documents = documents.unionByName(clean.withColumns({"part": F.lit(""), "findings": empty, "count": F.lit(0).cast("long")}))
     return documents.withColumn("stored_at", F.lit(stored_at).cast("timestamp"))
 
 
