@@ -5,7 +5,8 @@ normaliser and a splitter into short forms, letters, digits and others (the layo
 
 The symbols of all distinct words of a slice lie in one flat array. In each round every word finds its lowest-ranked
 adjacent pair by binary search over the sorted pair keys, and all occurrences of that pair in it are merged from left to
-right. Words without a pair left retire. A pre-token is encoded once per worker and looked up by a 64-bit hash afterwards.
+right. Words without a pair left retire. A word of very many characters, which would need thousands of rounds of its whole
+length, is merged by a heap of its pairs instead. A pre-token is encoded once per worker and looked up by a 64-bit hash afterwards.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Special tokens written out in a text become
 their ids, as in the library. Repeated rows give repeated results; an empty table gives an empty one; columns of the input
@@ -15,6 +16,7 @@ other than those named are ignored. Very long texts are encoded piece by piece,
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -29,6 +31,8 @@ from secret_audit.llm.pieces import PieceTable, word_spans
 from secret_audit.llm.spark_tools import map_slices
 from secret_audit.llm.textkit import codepoints, grouped_pieces, spread, texts_of
 
+#: Words of more characters are merged by a heap, since each round costs the whole word.
+LONG_WORD = 2000
 _NONE = np.iinfo(np.int64).max
 _MODELS: dict[bytes, BpeModel] = {}
 
@@ -59,6 +63,7 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: w for w, i in vocab.items()} | {i: w for w, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.pairs: dict[int, int] | None = None
         self.words = PieceTable(self.encode_words)
         self.id_texts: list[str] = []
         self.decoded: list[str] = []
@@ -95,8 +100,48 @@ class BpeModel:
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
+    def merged_alone(self, symbols: list[int]) -> list[int]:
+        """As ``rounds`` for one long word: a heap of pairs over linked symbols, n log n steps instead of a round per pair."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        pairs, merged, size, n = self.pairs, self.merged.tolist(), self.size, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, key) for i in range(n - 1) if (rank := pairs.get(key := symbols[i] * size + symbols[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, key = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or symbols[i] * size + symbols[j] != key:  # merged away meanwhile
+                continue
+            symbols[i], symbols[j], k = merged[rank], -1, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (rank := pairs.get(key := symbols[i] * size + symbols[k])) is not None:
+                    heapq.heappush(heap, (rank, i, key))
+            h = before[i]
+            if h >= 0 and (rank := pairs.get(key := symbols[h] * size + symbols[i])) is not None:
+                heapq.heappush(heap, (rank, h, key))
+        return [s for s in symbols if s >= 0]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word one after the other, and their numbers."""
+        """Ids of each word one after the other, and their numbers; very long words are merged by themselves."""
+        long = {i for i, w in enumerate(words) if len(w) > LONG_WORD}
+        if not long:
+            return self._encode_words(words)
+        ids, counts = self._encode_words([w for i, w in enumerate(words) if i not in long])
+        short, parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else ()), []
+        for i, w in enumerate(words):
+            if i in long:
+                flat = np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)
+                parts.append(np.array(self.merged_alone([*self.inner[flat[:-1]].tolist(), int(self.final[flat[-1]])]), np.int64))
+            else:
+                parts.append(next(short))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secret_audit.llm.spark_tools import map_slices
-from secret_audit.llm.textkit import LETTER, MARK, char_classes, codepoints, grouped_pieces, slices, texts_of
+from secret_audit.llm.textkit import LETTER, MARK, SLICE_CHARS, char_classes, codepoints, grouped_pieces, slices, texts_of
 
 BUCKETS = 1 << 16
 #: Most training documents for the weights, and the share of them that only fits the temperature.
@@ -38,23 +38,49 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bucket of every n-gram of a group of texts, and the text that it belongs to."""
     for group, owner in grouped_pieces(texts):
-        cp, ends = codepoints([t.lower() + "\n" for t in group])
-        kind = char_classes()[cp]
-        letter = (kind == LETTER) | (kind == MARK)
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]  # the first other character after a letter stands for the whole gap
-        doc = np.repeat(owner, np.diff(ends))[keep]
-        char = np.where(letter, cp, 32)[keep].astype(np.uint64)
-        code, last = char.copy(), len(char)
-        for n in (1, 2, 3):
-            if n > 1:
-                code = code[:-1] * np.uint64(0x110000) + char[n - 1 :]
-                last = len(code)
-            if last <= 0:
-                break
-            inside = doc[:last] == doc[n - 1 : n - 1 + last]
-            bucket = ((code * _SEED) >> np.uint64(40)).astype(np.int64) % buckets
-            yield bucket[inside], doc[:last][inside]
+        if len(group) > 1 or len(group[0]) <= 2 * SLICE_CHARS:
+            yield from _grams([t.lower() + "\n" for t in group], owner, buckets, None)
+            continue
+        # One piece without a blank to cut at: cut anywhere, with the characters that grams reach back to.
+        carry = _Carry()
+        for at in range(0, len(group[0]), SLICE_CHARS):
+            text = group[0][at : at + SLICE_CHARS].lower()
+            yield from _grams([text if at + SLICE_CHARS < len(group[0]) else text + "\n"], owner, buckets, carry)
+
+
+class _Carry:
+    """What the next part of a text needs of those before: the last two characters kept, and whether it goes on after a letter."""
+
+    def __init__(self):
+        self.chars, self.after_letter = np.zeros(0, np.uint64), False
+
+
+def _grams(group: list[str], owner: np.ndarray, buckets: int, carry: _Carry | None):
+    cp, ends = codepoints(group)
+    kind = char_classes()[cp]
+    letter = (kind == LETTER) | (kind == MARK)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # the first other character after a letter stands for the whole gap
+    before = 0
+    if carry and len(keep):
+        keep[0] |= carry.after_letter
+    doc = np.repeat(owner, np.diff(ends))[keep]
+    char = np.where(letter, cp, 32)[keep].astype(np.uint64)
+    if carry:
+        before = len(carry.chars)
+        char, doc = np.concatenate((carry.chars, char)), np.concatenate((np.repeat(owner, before), doc))
+        carry.chars, carry.after_letter = char[-2:], bool(letter[-1]) if len(letter) else carry.after_letter
+    code, last = char.copy(), len(char)
+    for n in (1, 2, 3):
+        if n > 1:
+            code = code[:-1] * np.uint64(0x110000) + char[n - 1 :]
+            last = len(code)
+        if last <= 0:
+            break
+        inside = doc[:last] == doc[n - 1 : n - 1 + last]
+        inside[: max(before - n + 1, 0)] = False  # counted with the part before
+        bucket = ((code * _SEED) >> np.uint64(40)).astype(np.int64) % buckets
+        yield bucket[inside], doc[:last][inside]
 
 
 @dataclass

@@ -27,6 +27,8 @@ from secret_audit.llm.pieces import PieceTable, byte_spans
 from secret_audit.llm.spark_tools import map_slices
 from secret_audit.llm.textkit import codepoints, grouped_pieces, texts_of
 
+#: So few words that are left are followed one by one.
+FEW_WORDS = 16
 _COUNTERS: dict[bytes, PieceCounter] = {}
 
 
@@ -65,6 +67,7 @@ class LongestMatch:
         order = np.argsort(keys)
         self.keys, self.after = keys[order], after[order]
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        self.edges: dict[int, int] | None = None
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next state of each word over an edge, and whether there is one."""
@@ -82,6 +85,12 @@ class LongestMatch:
         state, count, dead = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         alive_until = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), side="right")
         for place, n in enumerate(alive_until.tolist()):
+            if n <= FEW_WORDS and len(alive_until) - place > FEW_WORDS:
+                for w in order[:n].tolist():  # a few long words: step by step is faster than arrays of one
+                    if not dead[w]:
+                        state[w], more, dead[w] = self.follow(int(state[w]), flat[begin[w] + place : begin[w] + size[w]])
+                        count[w] += more
+                break
             word = order[:n]
             word = word[~dead[word]]
             byte = flat[begin[word] + place]
@@ -96,6 +105,21 @@ class LongestMatch:
             word = word[state[word] > 0]
         return np.where(dead, 1, count), ~dead
 
+    def follow(self, state: int, rest: np.ndarray) -> tuple[int, int, bool]:
+        """State after the rest of one word, the tokens popped on the way, and whether the word can't be covered."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.after.tolist(), strict=True))
+            self.plain = self.fail.tolist(), self.pops.tolist()
+        edges, (fail, pops), count = self.edges, self.plain, 0
+        for byte in rest.tolist():
+            while (after := edges.get(state * 256 + byte)) is None:
+                if fail[state] < 0:
+                    return state, count, True
+                count += pops[state]
+                state = fail[state]
+            state = after
+        return state, count, False
+
     def _fail(self, word, byte, state, count, dead) -> tuple[np.ndarray, np.ndarray]:
         lost = self.fail[state[word]] < 0
         dead[word[lost]] = True

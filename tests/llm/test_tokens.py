@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from secret_audit.llm.bpe import bpe_digests, bpe_encode, byte_chars
+from secret_audit.llm.bpe import BpeModel, bpe_digests, bpe_encode, byte_chars
 from secret_audit.llm.packing import cuts, pack_documents, sum_of_squares
 from secret_audit.llm.pieces import byte_spans, word_spans
 from secret_audit.llm.textkit import codepoints, pieces_of
@@ -147,3 +148,61 @@ def test_token_counts(spark, docs, texts):
         want = [greedy(bytes(number[c] for c in w), entries)[0] for w, _ in words]
         assert (r["n_pretokens"], r["n_tokens"], r["n_unknown"], r["score"]) == (len(words), sum(want), 0, "s")
     assert count_tokens(docs([]), BYTE).count() == 0
+
+
+LONG = {
+    "letters": "".join(random.Random(3).choices("etaoinshrdlu", k=1_000_000)), "one": "a" * 1_000_000, "bytes": "é中" * 300_000,
+}
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_a_word_of_a_million_letters(name):
+    """Without a blank to cut at: the same ids as the library, in seconds."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, begin = BpeModel(open(path, "rb").read()), time.process_time()  # noqa: SIM115
+    n, ids, _ = model.encode([f"start {LONG[name]} end"])[0]
+    assert time.process_time() - begin < 30
+    want = Tokenizer.from_file(path).encode(f"start {LONG[name]} end", add_special_tokens=False).ids
+    assert n == len(want) and " ".join(ids) == " ".join(map(str, want))
+
+
+def test_long_words_among_short_ones():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, rnd = BpeModel(open(path, "rb").read()), random.Random(4)  # noqa: SIM115
+    words = ["".join(rnd.choices("abcdeé1", k=rnd.choice([1, 5, 1999, 2000, 2001, 5000]))) for _ in range(40)]
+    ids, counts = model.encode_words(words)
+    for w, own in zip(words, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        alone, _ = model._encode_words([w])
+        assert own.tolist() == alone.tolist()
+
+
+def test_automaton_follows_long_words(monkeypatch):
+    rnd = random.Random(6)
+    entries = {bytes(rnd.choices(b"abc", k=rnd.randint(1, 5))) for _ in range(40)} | {b"a", b"b"}
+    words = [bytes(rnd.choices(b"abc" if i % 3 else b"ab", k=rnd.choice([3, 50, 400, 3000]))) for i in range(30)]
+    automaton = LongestMatch(sorted(entries))
+    sizes, covered = automaton.lengths(words)
+    for w, n, c in zip(words, sizes.tolist(), covered.tolist(), strict=True):
+        assert (n, c) == greedy(w, entries)
+    begin = time.process_time()
+    automaton.lengths([b"ab" * 500_000])
+    assert time.process_time() - begin < 10
+
+
+def test_language_grams_of_a_text_without_blanks(monkeypatch):
+    from secret_audit.llm import langid
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices("abcé中12-,́", k=5000)), "x" * 301, "1" * 400 + "a", "ab", ""]
+
+    def counts():
+        out = [np.zeros(1 << 12) for _ in texts]
+        for bucket, doc in langid.gram_buckets(texts, 1 << 12):
+            for d in np.unique(doc):
+                np.add.at(out[d], bucket[doc == d], 1)
+        return np.array(out)
+
+    whole = counts()
+    monkeypatch.setattr(langid, "SLICE_CHARS", 100)
+    monkeypatch.setattr(langid, "grouped_pieces", lambda t: (([x], np.array([i])) for i, x in enumerate(t)))
+    assert (counts() == whole).all()
