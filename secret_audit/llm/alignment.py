@@ -12,8 +12,10 @@ tokenizers cut before a blank that follows a visible character, so a document is
 passage that a worker has aligned before is looked up by a 64-bit hash and not aligned again. Where a document is very long it
 is read in pieces that end at such a place.
 
-Counts of pairs are summed up in the worker and then by Spark. The most frequent ones, at most ``TABLE_PAIRS``, are broadcast
-for the second pass; links of rarer pairs, where there are more, meet their counts in a join.
+Every text is read once. What it yields is stored: its numbers, its digest and its distinct pairs of ids with the number of
+links of each. From that table the pairs are counted, in the worker first and then by Spark, and the counts looked up: the
+most frequent ones, at most ``TABLE_PAIRS``, in a broadcast table; links of rarer pairs, where there are more, meet theirs in a
+join.
 
 Defined results: a text that is null or empty has no tokens, and neither has one whose tokens of either side don't spell a
 blank and the text (the character U+2581 does that): zeros and an empty digest. Special tokens written out in a text are
@@ -35,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secret_audit.llm.packing import byte_coder
-from secret_audit.llm.spark_tools import free_name, map_slices, quoted, small_batches, stored
-from secret_audit.llm.textkit import SPACE, char_classes, codepoints, grouped_pieces, ranges, slices, span_hashes, spread, texts_of
+from secret_audit.llm.spark_tools import free_name, map_slices, quoted, stored
+from secret_audit.llm.textkit import SPACE, char_classes, codepoints, grouped_pieces, ranges, span_hashes, spread, texts_of
 
 #: Most pairs in the broadcast table of counts: 16 bytes each.
 TABLE_PAIRS = 2_000_000
 #: Passages that a worker remembers, and pairs that it sums up before it hands them on.
-PASSAGES, SUMMED = 500_000, 1_000_000
+PASSAGES, SUMMED = 800_000, 1_000_000
 #: Pairs of one group that are made at a time.
 AT_ONCE = 1 << 22
 #: Passages that are encoded in a row, and signs that may end one of them.
@@ -80,11 +82,6 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights[order], first)
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
-    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
-
-
 class Aligner:
     """Both tokenizers and the passages aligned so far."""
 
@@ -105,35 +102,17 @@ class Aligner:
         self.blank = self.pieces.piece_to_id(BLANK)
         self.crossing = any(BLANK in n.lstrip(BLANK) for n in names)  # then no passage can be cut off from the next
         self.names = np.array([f"{i}{end}" for end in ",|;" for i in range(max(len(self.a.size), len(self.b.size)))], object)
-        self.counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.int64)
-        self.hashes, self.places = np.zeros(0, np.uint64), none
-        self.facts = np.zeros((0, 7), np.int64)  # n_a, n_b, n_groups, n_links, unlike, n_best, count_sum
-        self.pair, self.times, self.pair_begin, self.pair_size = none, none, none, none
-        self.end, self.end_begin, self.end_size = none, none, none
+        none, small = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.places = np.zeros(0, np.uint64), small
+        self.facts = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.bad = np.zeros(0, bool)
+        self.pair, self.times, self.pair_begin, self.pair_size = small, none, none, small
+        self.end, self.end_begin, self.end_size = small, none, small
         self.texts: list[str] = []
 
-    def use_counts(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
-        """Pairs in order, their counts, and the highest count of each id of A."""
-        self.counts = counts
-        self.facts[:, 5:] = 0
-        if counts is not None:
-            self.facts[:, 5:] = self.valued(spread(self.pair_size), self.pair, self.times, len(self.facts))
-
-    def valued(self, owner, pair, times, n: int) -> np.ndarray:
-        """n_best and count_sum of each passage."""
-        pairs, held, best = self.counts
-        out = np.zeros((n, 2), np.int64)
-        if len(pairs) and len(pair):
-            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-            held = np.where(pairs[at] == pair, held[at], 0)
-            np.add.at(out[:, 0], owner, times * ((held > 0) & (held == best[pair // len(self.b.size)])))
-            np.add.at(out[:, 1], owner, times * held)
-        return out
-
     # passages
 
     def spans(self, cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +146,7 @@ class Aligner:
             order = np.argsort(hashes[new])
             where = np.searchsorted(self.hashes, hashes[new][order])
             self.hashes = np.insert(self.hashes, where, hashes[new][order])
-            self.places = np.insert(self.places, where, entry[new][order])
+            self.places = np.insert(self.places, where, entry[new][order].astype(np.int32))
         return entry[inverse], np.searchsorted(begin, ends[1:]) - np.searchsorted(begin, ends[:-1])
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -234,17 +213,15 @@ class Aligner:
         size_a, size_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
         key, times = self.linked(a, group_a, b, group_b, owner)
         pair = key % self.pairs
-        facts = np.zeros((len(passages), 7), np.int64)
+        facts = np.zeros((len(passages), 4), np.int64)
         facts[:, 0], facts[:, 1] = np.bincount(of_a, minlength=len(passages)), np.bincount(of_b, minlength=len(passages))
         facts[:, 2] = np.bincount(owner, minlength=len(passages))
         np.add.at(facts[:, 3], owner, size_a * size_b)
-        facts[:, 4] = bad
-        if self.counts is not None:
-            facts[:, 5:] = self.valued(key // self.pairs, pair, times, len(passages))
         sizes = np.bincount(key // self.pairs, minlength=len(passages))
         self.pair_begin = np.concatenate((self.pair_begin, len(self.pair) + np.cumsum(sizes) - sizes))
-        self.pair, self.times = np.concatenate((self.pair, pair)), np.concatenate((self.times, times))
-        self.pair_size, self.facts = np.concatenate((self.pair_size, sizes)), np.concatenate((self.facts, facts))
+        self.pair, self.times = np.concatenate((self.pair, pair.astype(np.int32))), np.concatenate((self.times, times))
+        self.pair_size, self.facts = np.concatenate((self.pair_size, sizes.astype(np.int32))), np.concatenate((self.facts, facts))
+        self.bad = np.concatenate((self.bad, bad))
         self.write(a, group_a, b, group_b, owner, len(passages), end_a, of_a, facts[:, 0])
 
     @property
@@ -284,7 +261,8 @@ class Aligner:
         base = np.concatenate(([0], end_a))[np.cumsum(n_a) - n_a]
         sizes = np.bincount(of_a[last], minlength=n)
         self.end_begin = np.concatenate((self.end_begin, len(self.end) + np.cumsum(sizes) - sizes))
-        self.end_size, self.end = np.concatenate((self.end_size, sizes)), np.concatenate((self.end, end_a[last] - base[of_a[last]]))
+        self.end_size = np.concatenate((self.end_size, sizes.astype(np.int32)))
+        self.end = np.concatenate((self.end, (end_a[last] - base[of_a[last]]).astype(np.int32)))
 
     # documents
 
@@ -294,54 +272,39 @@ class Aligner:
             refs, n = self.refs(group)
             yield np.repeat(owner, n), refs
 
-    def document_pairs(self, owner: np.ndarray, refs: np.ndarray) -> np.ndarray:
-        """Distinct text and pair of ids as one number."""
-        once = distinct(owner * len(self.facts) + refs)
+    def links(self, owner: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct text and pair of ids as one number, in order, and the number of links of each."""
+        once, n = counted(owner * len(self.facts) + refs, np.ones(len(refs), np.int64))
         owner, refs = once // len(self.facts), once % len(self.facts)
-        size = self.pair_size[refs]
-        return distinct(np.repeat(owner, size) * self.pairs + self.pair[ranges(self.pair_begin[refs], size)])
+        size = self.pair_size[refs].astype(np.int64)
+        at = ranges(self.pair_begin[refs], size)
+        return counted(np.repeat(owner, size) * self.pairs + self.pair[at], np.repeat(n, size) * self.times[at])
 
-    def pair_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs and the number of texts that hold them."""
-        found, bad = [], np.zeros(len(texts), bool)
-        for owner, refs in self.read(texts):
-            bad[owner[self.facts[refs, 4] > 0]] = True
-            found.append(self.document_pairs(owner, refs))
-        keys = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)  # a long text comes in several parts
-        keys = keys[~bad[keys // self.pairs]]
-        return counted(keys % self.pairs, np.ones(len(keys), np.int64))
-
-    def describe(self, texts: list[str], parts: bool = False) -> tuple[np.ndarray, list[list[str]], list[list[np.ndarray]]]:
-        """Numbers of each text (the columns of ``facts``) and, on demand, the text of its groups and their ends in parts."""
-        facts, groups, ends = np.zeros((len(texts), 7), np.int64), [[] for _ in texts], [[] for _ in texts]
+    def describe(self, texts: list[str], parts: bool = False, pairs: bool = False):
+        """Numbers of each text (the columns of ``facts``), the text of its groups in parts, their ends on demand, and its pairs.
+
+        The pairs come as ``links`` gives them, for texts that the tokens of both sides spell.
+        """
+        facts, bad = np.zeros((len(texts), 4), np.int64), np.zeros(len(texts), bool)
+        groups, ends, found = [[] for _ in texts], [[] for _ in texts], []
         for owner, refs in self.read(texts):
             np.add.at(facts, owner, self.facts[refs])
+            bad[owner[self.bad[refs]]] = True
+            if pairs:
+                found.append(self.links(owner, refs))
             cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else [0]
             refs = refs.tolist()
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 groups[owner[s]].append(";".join([self.texts[r] for r in refs[s:e]]))
                 if parts:
-                    ends[owner[s]] += [self.end[self.end_begin[r] : self.end_begin[r] + self.end_size[r]] for r in refs[s:e]]
-        for i in np.flatnonzero(facts[:, 4]).tolist():
+                    ends[owner[s]] += [self.end[self.end_begin[r] : self.end_begin[r] + self.end_size[r]].astype(np.int64) for r in refs[s:e]]
+        for i in np.flatnonzero(bad).tolist():
             facts[i], groups[i], ends[i] = 0, [], []
-        return facts, groups, ends
-
-    def leftovers(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per text: pairs that the broadcast table lacks, and the number of links of each."""
-        pairs = self.counts[0]
-        bad, found = np.zeros(len(texts), bool), [[] for _ in texts]
-        for owner, refs in self.read(texts):
-            bad[owner[self.facts[refs, 4] > 0]] = True
-            size = self.pair_size[refs]
-            at = ranges(self.pair_begin[refs], size)
-            key, n = counted(np.repeat(owner, size) * self.pairs + self.pair[at], self.times[at])
-            rare = ~np.isin(key % self.pairs, pairs)
-            key, n = key[rare], n[rare]
-            cut = np.searchsorted(key // self.pairs, np.arange(len(texts) + 1))
-            for i in np.unique(key // self.pairs).tolist():
-                found[i].append((key[cut[i] : cut[i + 1]] % self.pairs, n[cut[i] : cut[i + 1]]))
-        none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        return [counted(*map(np.concatenate, zip(*(none if b or not f else f), strict=True))) for f, b in zip(found, bad.tolist(), strict=True)]
+        if not pairs:
+            return facts, groups, ends
+        key, n = found[0] if len(found) == 1 else counted(*(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ()))))
+        kept = ~bad[key // self.pairs]
+        return facts, groups, (key[kept], n[kept])
 
 
 def aligner(byte_file: bytes, piece_file: bytes) -> Aligner:
@@ -382,38 +345,70 @@ def token_groups(df: DataFrame, byte_path: str, piece_path: str, text: str = "te
     return map_slices(df.withColumn(column, F.col(quoted(text)).cast("string")), keep, column, fields, make)
 
 
-def pair_documents(df: DataFrame, byte_path: str, piece_path: str, text: str = "text") -> DataFrame:
-    """a_id, b_id and n: the number of documents in which a token a_id and a token b_id are linked."""
-    models = _models(df, byte_path, piece_path)
-    small_batches(df.sparkSession)
+_FACTS = ["n_a", "n_b", "n_groups", "n_links"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _aligned(df: DataFrame, byte_path: str, piece_path: str, text: str, keep: list[str], pairs: str, times: str) -> DataFrame:
+    """The columns kept, the numbers of each document, its digest, and its pairs of ids (a_id x size of B + b_id) with links."""
+    models, column = _models(df, byte_path, piece_path), free_name(df, "_text")
+
+    def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         own = aligner(*models.value)
-        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def summed():
-            return counted(np.concatenate([pairs, *(p for p, _ in waiting)]), np.concatenate([n, *(m for _, m in waiting)]))
+        def run(part: pa.RecordBatch) -> list[pa.Array]:
+            facts, groups, (key, n) = own.describe(texts_of(part, column), pairs=True)
+            digest = [hashlib.sha256(";".join(g).encode()).hexdigest() if g else "" for g in groups]
+            cut = pa.array(np.searchsorted(key // own.pairs, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in ((key % own.pairs).astype(np.int32), n)]
+            return [*(pa.array(facts[:, i]) for i in range(4)), pa.array(digest, pa.string()), *lists]
+
+        return run
+
+    fields = [T.StructField(n, T.LongType()) for n in _FACTS] + [
+        T.StructField("groups_sha256", T.StringType()), T.StructField(pairs, T.ArrayType(T.IntegerType())), T.StructField(times, T.ArrayType(T.LongType()))
+    ]
+    return map_slices(df.withColumn(column, F.col(quoted(text)).cast("string")), keep, column, fields, make)
+
+
+def _counted_pairs(docs: DataFrame, pairs: str) -> DataFrame:
+    """pair and n, the number of rows that hold it: summed up in the worker first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for s in range(0, len(pairs), 1 << 16):
-                p = pairs[s : s + (1 << 16)]
-                ids = (p // len(own.b.size)).astype(np.int32), (p % len(own.b.size)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(n[s : s + (1 << 16)])], names=["a_id", "b_id", "n"])
+            for s in range(0, len(pair), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[s : s + (1 << 16)]), pa.array(n[s : s + (1 << 16)])], names=["pair", "n"])
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            new = np.concatenate(waiting) if waiting else pair[:0]
+            return counted(np.concatenate((pair, new)), np.concatenate((n, np.ones(len(new), np.int64))))
 
         for batch in batches:
-            for part in slices(batch, "_text"):
-                waiting.append(own.pair_counts(texts_of(part, "_text")))
-                if sum(len(p) for p, _ in waiting) > SUMMED:
-                    (pairs, n), waiting = summed(), []
-                    if len(pairs) > SUMMED:
-                        yield from rows()
-                        pairs, n = pairs[:0], n[:0]
-        pairs, n = summed()
+            waiting.append(batch.column(pairs).flatten().to_numpy())
+            if sum(map(len, waiting)) > SUMMED:
+                (pair, n), waiting = summed(), []
+                if len(pair) > SUMMED:
+                    yield from rows()
+                    pair, n = pair[:0], n[:0]
+        pair, n = summed()
         yield from rows()
 
-    texts = df.select(F.col(quoted(text)).cast("string").alias("_text"))
-    return texts.mapInArrow(run, "a_id int, b_id int, n long").groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+    return docs.select(pairs).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _size_of_b(piece_path: str) -> int:
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=piece_path).get_piece_size()
+
+
+def pair_documents(df: DataFrame, byte_path: str, piece_path: str, text: str = "text") -> DataFrame:
+    """a_id, b_id and n: the number of documents in which a token a_id and a token b_id are linked."""
+    docs = stored(_aligned(df, byte_path, piece_path, text, [], "_pairs", "_times").select("_pairs"), "aligned")
+    width = F.lit(_size_of_b(piece_path))
+    return _counted_pairs(docs, "_pairs").select(F.floor(F.col("pair") / width).cast("int").alias("a_id"), (F.col("pair") % width).alias("b_id"), "n")
 
 
 def _frequent(pairs: DataFrame, limit: int) -> tuple[DataFrame, bool]:
@@ -432,62 +427,68 @@ def alignment_digests(
     ``n_best`` counts the links whose pair is in as many documents as any pair of its A id, ``count_sum`` sums up the number
     of documents over the links.
     """
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    names = [*_FACTS, "n_best", "count_sum", "groups_sha256"]
     keep = [c for c in df.columns if c.lower() not in names] if keep is None else keep
-    spark, models = df.sparkSession, _models(df, byte_path, piece_path)
-    pairs = stored(pair_documents(df, byte_path, piece_path, text), "token-pairs")
-    best = pairs.groupBy("a_id").agg(F.max("n").alias("n")).toArrow()  # an entry per id of the vocabulary at most
-    frequent, whole = _frequent(pairs, table_pairs)
-    table = frequent.toArrow()
-    counts = spark.sparkContext.broadcast(tuple(c.to_numpy() for t in (best, table) for c in t.columns))
-
-    def lookup(own: Aligner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        id_a, top, a, b, n = counts.value
-        highest = np.zeros(len(own.a.size), np.int64)
-        highest[id_a] = top
-        key = a.astype(np.int64) * len(own.b.size) + b
-        order = np.argsort(key)
-        return key[order], n[order], highest
-
-    column, made = free_name(df, "_text"), "_rare"
-    while made.lower() in {c.lower() for c in [*df.columns, *names]}:
-        made += "_"
-    fields = [T.StructField(n, T.LongType()) for n in names[:-1]] + [T.StructField(names[-1], T.StringType())]
-    rare = T.ArrayType(T.StructType([T.StructField("a_id", T.IntegerType()), T.StructField("b_id", T.IntegerType()), T.StructField("times", T.LongType())]))
+    taken = {c.lower() for c in [*df.columns, *names]}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    pairs, times, row, rare = (free(n) for n in ("_pairs", "_times", "_row", "_rare"))
+    spark, width = df.sparkSession, _size_of_b(piece_path)
+    docs = _aligned(df, byte_path, piece_path, text, keep, pairs, times).withColumn(row, F.monotonically_increasing_id())
+    docs = stored(docs, "aligned")
+    held = stored(_counted_pairs(docs, pairs), "token-pairs")
+    first = F.floor(F.col("pair") / width).cast("int")
+    top = held.groupBy(first.alias("a_id")).agg(F.max("n").alias("top"))  # an entry per id of the vocabulary at most
+    frequent, whole = _frequent(held, table_pairs)
+    table = [c.to_numpy() for t in (top.toArrow(), frequent.toArrow()) for c in t.columns]
+    counts = spark.sparkContext.broadcast(tuple(table))
+    schema = T.StructType([T.StructField(row, T.LongType()), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
+    if not whole:
+        item = T.StructType([T.StructField("pair", T.IntegerType()), T.StructField("times", T.LongType())])
+        schema.add(rare, T.ArrayType(item))
+    kept = [docs.schema[c] for c in [*keep, *_FACTS, "groups_sha256", row]]
+    out = T.StructType([*kept, *schema.fields[1:]])
 
-    def make() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        own = aligner(*models.value)
-        own.use_counts(lookup(own))
-
-        def run(part: pa.RecordBatch) -> list[pa.Array]:
-            texts = texts_of(part, column)
-            facts, groups, _ = own.describe(texts)
-            digest = [hashlib.sha256(";".join(g).encode()).hexdigest() if g else "" for g in groups]
-            out = [pa.array(facts[:, i]) for i in (0, 1, 2, 3, 5, 6)] + [pa.array(digest, pa.string())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, most, pair, n = counts.value
+        highest = np.zeros(max(a.max(initial=0) + 1, 1), np.int64)
+        highest[a] = most
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        best = n == highest[pair // width] if len(pair) else n > 0
+        for batch in batches:
+            lists = batch.column(pairs)
+            own, links = lists.flatten().to_numpy(), batch.column(times).flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            doc = spread(size)
+            at = np.minimum(np.searchsorted(pair, own), max(len(pair) - 1, 0))
+            known = pair[at] == own if len(pair) else np.zeros(len(own), bool)
+            sums = np.zeros((2, len(size)), np.int64)
+            for k, worth in enumerate((best, n)):
+                value = np.zeros(len(own), np.int64)
+                value[known] = links[known] * worth[at[known]]
+                np.add.at(sums[k], doc, value)
+            arrays = [*(batch.column(f.name) for f in kept), pa.array(sums[0]), pa.array(sums[1])]
             if not whole:
-                left = own.leftovers(texts)
-                rows = [list(zip((p // len(own.b.size)).tolist(), (p % len(own.b.size)).tolist(), n.tolist(), strict=True)) for p, n in left]
-                kind = pa.list_(pa.struct([("a_id", pa.int32()), ("b_id", pa.int32()), ("times", pa.int64())]))
-                out.append(pa.array([[dict(zip(("a_id", "b_id", "times"), r, strict=True)) for r in x] for x in rows], kind))
-            return out
-
-        return run
+                rest = pa.StructArray.from_arrays([pa.array(own[~known]), pa.array(links[~known])], names=["pair", "times"])
+                cut = np.concatenate(([0], np.cumsum(np.bincount(doc[~known], minlength=len(size))))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(cut), rest))
+            yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
 
-    texts = df.withColumn(column, F.col(quoted(text)).cast("string"))
+    found = docs.mapInArrow(run, out)
     if whole:
-        return map_slices(texts, keep, column, fields, make)
-    row = "_row"
-    while row.lower() in {c.lower() for c in [*df.columns, *names, made]}:
-        row += "_"
-    docs = map_slices(texts, keep, column, [*fields, T.StructField(made, rare)], make)
-    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "aligned")
-    top = pairs.groupBy("a_id").agg(F.max("n").alias("_top"))
-    links = docs.select(F.col(row).alias("_doc"), F.inline(made))
-    known = links.join(pairs, ["a_id", "b_id"]).join(F.broadcast(top), "a_id")  # an entry per id of the vocabulary at most
+        return found.select(*[quoted(c) for c in keep], *names)
+    found = stored(found, "aligned")
+    links = found.select(F.col(row).alias("_doc"), F.inline(rare))
+    known = links.join(held, "pair").withColumn("a_id", first).join(F.broadcast(top), "a_id")  # an entry per id of the vocabulary
     more = known.groupBy("_doc").agg(
-        F.sum(F.when(F.col("n") == F.col("_top"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("n") * F.col("times")).alias("_sum")
+        F.sum(F.when(F.col("n") == F.col("top"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("n") * F.col("times")).alias("_sum")
     )
-    joined = docs.join(more, F.col(row) == F.col("_doc"), "left")
+    joined = found.join(more, F.col(row) == F.col("_doc"), "left")
     added = {"n_best": "_best", "count_sum": "_sum"}
     return joined.select(*[quoted(c) for c in keep], *[
         (F.col(n) + F.coalesce(F.col(added[n]), F.lit(0))).alias(n) if n in added else F.col(n) for n in names

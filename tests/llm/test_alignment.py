@@ -118,16 +118,13 @@ def test_pieces_passages_and_forgetting(monkeypatch):
     monkeypatch.setattr(alignment, "AT_ONCE", 3)
     monkeypatch.setattr(alignment, "grouped_pieces", lambda t: grouped_pieces(t, 500))
     own = Aligner(*data)
-    want, held = expected(texts)
-    pairs, n = own.pair_counts(texts)
-    width = len(own.b.size)
-    assert dict(zip(zip((pairs // width).tolist(), (pairs % width).tolist(), strict=True), n.tolist(), strict=True)) == dict(held)
-    best = np.zeros(len(own.a.size), np.int64)
-    np.maximum.at(best, pairs // width, n)
-    own.use_counts((pairs, n, best))
-    facts, groups, _ = own.describe(texts)
-    assert [tuple(facts[i, [0, 1, 2, 3, 5, 6]]) for i in range(len(texts))] == [w[:6] for w in want]
+    want, _ = expected(texts)
+    facts, groups, (key, links) = own.describe(texts, pairs=True)
+    assert [tuple(facts[i]) for i in range(len(texts))] == [w[:4] for w in want]
     assert [hashlib.sha256(";".join(g).encode()).hexdigest() if g else "" for g in groups] == [w[6] for w in want]
+    width, counts = len(own.b.size), Counter(dict(zip(key.tolist(), links.tolist(), strict=True)))
+    doc_links = [Counter((x, y) for a, b, _ in walked(t) or [] for x in a for y in b) for t in texts]
+    assert counts == Counter({i * own.pairs + x * width + y: n for i, c in enumerate(doc_links) for (x, y), n in c.items()})
 
 
 def test_overlaps_are_both_directions():
