@@ -384,7 +384,7 @@ def tree_contents(spark, sf):
     """The documents written as files, hidden ones among them, and read back as repository trees."""
     from secret_audit.sources.tree import read_tree, write_tree
 
-    root = shared_dir(spark, "tree").removeprefix("file://")
+    root = shared_dir(spark, "tree")
     name = F.concat(F.when(F.col("doc_id") % 3 == 0, ".d/.f").otherwise("d/f"), F.col("doc_id").cast("string"))
     docs = corpus.table(spark, sf, "documents").select(F.concat_ws("/", "source", name).alias("path"), F.encode("text", "UTF-8").alias("raw"))
     write_tree(docs, root)

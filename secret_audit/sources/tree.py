@@ -1,8 +1,10 @@
-"""Repository trees on a shared file system.
+"""Repository trees on a shared file system or in an object store.
 
-Spark's file sources hide names that begin with a dot or underscore, and ``.env`` is the first file a secret scan
-wants, so listing is a Python data source. It returns paths and sizes only; bodies are read after selection, by tasks
-over evenly spread paths.
+Spark's file sources hide names that begin with a dot or underscore, and ``.env`` is the first file a secret scan wants. So
+trees are listed by Spark tasks, level by level: the folders found on one level are dealt out anew for the next, and the
+driver lists nothing. Listing gives paths and sizes only; bodies are read after selection, by tasks over evenly spread paths,
+however many files a folder has. A root is a path, a ``file://`` address or one that pyarrow's file systems know (``hdfs://``,
+``s3://``, ``gs://``), as every executor reaches it.
 """
 
 from __future__ import annotations
@@ -14,88 +16,118 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from secret_audit.functions.text import decode_ignore, decode_strict
+from secret_audit.operators.merge import union_all
+from secret_audit.sources.store import materialize
 
-# The reader and the body function travel by value, so executors need not have this package installed.
+# Worker code travels by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LISTING = "file_path string, size long, error string"
 _READ_BATCH_BYTES = 32 << 20
-_MAX_PARTITIONS = 4096
+_FOLDERS_PER_TASK, _FILES_PER_TASK, _BYTES_PER_TASK = 64, 256, 64 << 20
+_ENTRY = "path string, size long, folder boolean, error string"
 _BODY = "repo string, file_path string, size long, raw binary, error string"
 
 
-class _Folders(InputPartition):
-    def __init__(self, shallow: list[str], deep: list[str]):
-        self.shallow, self.deep = shallow, deep
+class _LocalStore:
+    """Files below a mounted folder. Links to files are followed, links to folders are not."""
 
+    def __init__(self, root: str):
+        self.root = root
+
+    def entries(self, folder: str):
+        """(path, size, is a folder, error) of what a folder holds."""
+        try:
+            found = list(os.scandir(os.path.join(self.root, folder)))
+        except OSError as e:
+            yield folder or ".", None, False, str(e.strerror or e)
+            return
+        for entry in found:
+            path = os.path.join(folder, entry.name)
+            try:
+                if entry.is_dir(follow_symlinks=False):
+                    yield path, None, True, None
+                elif entry.is_file():
+                    yield path, entry.stat().st_size, False, None
+                elif entry.is_symlink() and not os.path.exists(entry.path):
+                    yield path, None, False, "broken link"
+            except OSError as e:
+                yield path, None, False, str(e.strerror or e)
 
-class _TreeReader(DataSourceReader):
-    """The folders of the first two levels are dealt out to partitions, which walk what lies below them.
+    def read(self, path: str) -> bytes:
+        with open(os.path.join(self.root, path), "rb") as f:
+            return f.read()
+
+    def write(self, path: str, raw: bytes) -> None:
+        target = os.path.join(self.root, path)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "wb") as f:
+            f.write(raw)
 
-    A folder or file that can't be looked at has a row with the error and no size.
-    """
+
+class _RemoteStore:
+    """Files below an address that pyarrow's file systems reach."""
 
     def __init__(self, root: str):
-        self.root = os.path.abspath(root)
-
-    def partitions(self):
-        shallow, level = [], [self.root]
-        for _ in range(2):
-            shallow += level
-            level = [e.path for folder in level for e in self._entries(folder, []) if e.is_dir(follow_symlinks=False)]
-        slices = min(_MAX_PARTITIONS, max(len(shallow), len(level)))
-        return [_Folders(shallow[i::slices], level[i::slices]) for i in range(slices)]
-
-    @staticmethod
-    def _entries(folder, errors):
+        from pyarrow import fs
+
+        self.fs, self.base = fs.FileSystem.from_uri(root)
+        self.selector, self.kinds = fs.FileSelector, fs.FileType
+
+    def entries(self, folder: str):
         try:
-            return list(os.scandir(folder))
+            found = self.fs.get_file_info(self.selector(f"{self.base}/{folder}".rstrip("/")))
         except OSError as e:
-            errors.append((folder, e))
-            return []
-
-    def read(self, partition):
-        errors: list = []
-        for folder in partition.shallow:
-            yield from self._files(folder, [e.name for e in self._entries(folder, errors)])
-        for top in partition.deep:
-            for folder, _, names in os.walk(top, onerror=lambda e: errors.append((e.filename, e))):
-                yield from self._files(folder, names)
-        for folder, e in errors:
-            yield os.path.relpath(folder, self.root), None, str(e.strerror or e)
-
-    def _files(self, folder, names):
-        for name in names:
-            path = os.path.join(folder, name)
-            try:
-                if os.path.isfile(path):
-                    yield os.path.relpath(path, self.root), os.path.getsize(path), None
-                elif os.path.islink(path) and not os.path.exists(path):
-                    yield os.path.relpath(path, self.root), None, "broken link"
-            except OSError as e:
-                yield os.path.relpath(path, self.root), None, str(e.strerror or e)
+            yield folder or ".", None, False, str(e)
+            return
+        for entry in found:
+            path = f"{folder}/{entry.base_name}".lstrip("/")
+            if entry.type in (self.kinds.Directory, self.kinds.File):
+                is_folder = entry.type == self.kinds.Directory
+                yield path, None if is_folder else entry.size, is_folder, None
 
+    def read(self, path: str) -> bytes:
+        with self.fs.open_input_stream(f"{self.base}/{path}", compression=None) as f:
+            return f.read()
 
-class RepoFiles(DataSource):
-    """``spark.read.format("repo_files").load(root)``: relative path and size of every file."""
+    def write(self, path: str, raw: bytes) -> None:
+        self.fs.create_dir(os.path.dirname(f"{self.base}/{path}"), recursive=True)
+        with self.fs.open_output_stream(f"{self.base}/{path}", compression=None) as f:
+            f.write(raw)
 
-    @classmethod
-    def name(cls):
-        return "repo_files"
 
-    def schema(self):
-        return _LISTING
+def _store(root: str):
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    return _RemoteStore(root) if "://" in root else _LocalStore(os.path.abspath(root))
 
-    def reader(self, schema):
-        return _TreeReader(self.options["path"])
+
+def _listed(root: str):
+    def run(batches):
+        store = _store(root)
+        for batch in batches:
+            rows = [entry for folder in batch["path"] for entry in store.entries(folder)]
+            frame = pd.DataFrame(rows, columns=["path", "size", "folder", "error"])
+            yield frame.astype({"size": "Int64"})
+
+    return run
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(RepoFiles)
-    return spark.read.format("repo_files").load(root)
+    """file_path, size and error of every file; a folder or file that can't be looked at has the error and no size.
+
+    One job per level of the tree; its folders are spread over tasks. The listing is stored in the shared folder.
+    """
+    levels, folders, n = [], spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        # A number of its own, because the few bytes of the paths say nothing about the work.
+        spread = folders.repartition(-(-n // _FOLDERS_PER_TASK), "path")
+        level = materialize(spread.mapInPandas(_listed(root), _ENTRY), "tree-level")
+        levels.append(level.where(~F.col("folder")))
+        folders = level.where("folder").select("path")
+        n = folders.count()
+    return union_all(*levels).select(F.col("path").alias("file_path"), "size", "error")
 
 
 def _read_bodies(root: str):
@@ -103,14 +135,13 @@ def _read_bodies(root: str):
         return pd.DataFrame(rows, columns=["repo", "file_path", "size", "raw", "error"])
 
     def read(batches):
-        rows, held = [], 0
+        store, rows, held = _store(root), [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 raw, error = None, row.error
                 if error is None:
                     try:
-                        with open(os.path.join(root, row.path), "rb") as f:
-                            raw = f.read()
+                        raw = store.read(row.path)
                     except OSError as e:
                         error = str(e.strerror or e)
                 size = len(raw) if raw is not None and pd.isna(row.size) else row.size
@@ -135,14 +166,16 @@ def tree_bodies(spark: SparkSession, root: str, repo: str | None = None, select=
     if repo is None:
         below = F.col("path").contains("/")
         listing = listing.withColumns({
-            "repo": F.when(below, F.substring_index("path", "/", 1)).otherwise(os.path.basename(os.path.abspath(root))),
+            "repo": F.when(below, F.substring_index("path", "/", 1)).otherwise(root.rstrip("/").rpartition("/")[2]),
             "file_path": F.regexp_replace("path", "^[^/]*/", ""),
         })
     else:
         listing = listing.withColumns({"repo": F.lit(repo), "file_path": F.col("path")})
     chosen = select(listing) if select else listing
-    even = chosen.select("path", "repo", "file_path", "size", "error").repartition("path")
-    return even.mapInPandas(_read_bodies(os.path.abspath(root)), _BODY)
+    work = chosen.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, -(-work[0] // _FILES_PER_TASK), -(-work[1] // _BYTES_PER_TASK))
+    even = chosen.select("path", "repo", "file_path", "size", "error").repartition(int(tasks), "path")
+    return even.mapInPandas(_read_bodies(root), _BODY)
 
 
 def read_tree(
@@ -169,18 +202,15 @@ def tree_rejects(spark: SparkSession, root: str, repo: str | None = None, select
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Write (path, raw) as files below a folder that every executor has mounted."""
-    top = os.path.abspath(root)
-
+    """Write (path, raw) as files below a root that every executor reaches."""
     def write(batches):
+        store = _store(root)
         for batch in batches:
             for path, raw in zip(batch["path"], batch["raw"], strict=True):
-                target = os.path.normpath(os.path.join(top, path))
-                if not target.startswith(top + os.sep):
+                clean = os.path.normpath(path)
+                if clean.startswith(("..", "/")):
                     raise ValueError(f"{path} leaves the folder")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as f:
-                    f.write(raw)
+                store.write(clean, raw)
             yield pd.DataFrame({"written": [len(batch)]})
 
     files.select("path", "raw").mapInPandas(write, "written long").agg(F.sum("written")).collect()  # one number

@@ -76,10 +76,10 @@ def test_worker_code_needs_no_installed_package(tmp_path):
     def marks(path, content):
         yield "mark", 0.5, 1, content
 
-    # What tasks run: the data source, the body reader and the batch function inside the row detector.
+    # What tasks run: the file store, the body reader and the batch function inside the row detector.
     batches = next(c.cell_contents for c in row_detector(marks).__closure__ if callable(c.cell_contents))
     code = tmp_path / "code.pkl"
-    code.write_bytes(cloudpickle.dumps((tree.RepoFiles, tree._read_bodies("/"), batches)))
+    code.write_bytes(cloudpickle.dumps((tree._store, tree._read_bodies("/"), batches)))
     check = f"import sys; from pyspark import cloudpickle; cloudpickle.load(open({str(code)!r}, 'rb')); print('secret_audit' in sys.modules)"
     done = subprocess.run([sys.executable, "-I", "-c", check], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "False", done.stderr[-500:]

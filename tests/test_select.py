@@ -2,6 +2,7 @@ import fnmatch
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from secret_audit.functions import text as T
@@ -122,3 +123,29 @@ def test_tree_with_hidden_files_and_bad_bytes(spark, tmp_path):
     assert left == {("broken", "unreadable: broken link"), ("a/.hidden/b.py", "invalid_utf8")}
     strict = {r.file_path for r in read_tree(spark, str(tmp_path), "r", select=select, strict=True).collect()}
     assert strict == {".env", "_w.py", "_x/deep/er/a.py"}
+
+
+def test_tree_is_listed_level_by_level(spark, tmp_path):
+    """Deep and full folders, links and a root given as an address."""
+    from secret_audit.sources.tree import _RemoteStore, list_tree, read_tree, tree_rejects, write_tree
+
+    rows = [(f"a/{'d/' * (i % 6)}.f{i}", bytes([65 + i % 26]) * i) for i in range(60)] + [("a/full/_" + str(i), b"x") for i in range(500)] + [("top", b"t")]
+    root = tmp_path / "tree"
+    write_tree(spark.createDataFrame(rows, "path string, raw binary").repartition(3), str(root))
+    (root / "loop").symlink_to(root)
+    (root / "broken").symlink_to(root / "nowhere")
+    (root / "link").symlink_to(root / "top")
+    for address in (str(root), f"file://{root}", f"file:{root}"):
+        found = {r.file_path: (r["size"], r.error) for r in list_tree(spark, address).collect()}
+        assert found == {p: (len(raw), None) for p, raw in rows} | {"broken": (None, "broken link"), "link": (1, None)}
+    bodies = read_tree(spark, str(root), repo="r")
+    assert {(r.file_path, r.content) for r in bodies.collect()} >= {(p, raw.decode()) for p, raw in rows}
+    assert [(r.file_path, r.reason) for r in tree_rejects(spark, str(root), repo="r").collect()] == [("broken", "unreadable: broken link")]
+    spread = bodies.select(F.spark_partition_id().alias("p")).where("file_path like 'a/full/%'").distinct().count()
+    assert spread > 1
+    remote = _RemoteStore(f"file://{root}/a")
+    assert sorted(e for e in remote.entries("full"))[0] == ("full/_0", 1, False, None) and remote.read("full/_7") == b"x"
+    remote.write("new/.x", b"1")
+    assert (root / "a/new/.x").read_bytes() == b"1" and list(remote.entries("none"))[0][3]
+    with pytest.raises(Exception, match="leaves the folder"):
+        write_tree(spark.createDataFrame([("../x", b"")], "path string, raw binary"), str(root))
