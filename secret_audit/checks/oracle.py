@@ -114,6 +114,7 @@ CANDIDATES = (
     "(SELECT *, line_no AS line_start, regexp_extract_all(line, '[A-Za-z0-9+/=_-]{20,}') AS m FROM lines))))"
 )
 
+# The same as in functions/entropy.py and functions/context.py, stated again for the checks, here and below.
 FP_SHAPES = (
     "^[0-9]+$", "^[A-Z]+$", "^[a-z]+$", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^[0-9]{2}:[0-9]{2}:[0-9]{2}$",
     r"^[0-9]+\.[0-9]+\.[0-9]+$", "^[A-Za-z0-9]{8}-[A-Za-z0-9]{4}-[A-Za-z0-9]{4}-[A-Za-z0-9]{4}-[A-Za-z0-9]{12}$",

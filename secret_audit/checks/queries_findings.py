@@ -15,6 +15,7 @@ from secret_audit.operators import verdicts as V
 from secret_audit.operators.merge import append_notes, union_all
 from secret_audit.plans.dashboard import dashboard
 from secret_audit.plans.repo_scan import merged_findings, scan_findings, scan_results
+from secret_audit.rules import CONTENT_PACK
 from secret_audit.session import shared_dir
 from secret_audit.sources.store import materialize
 
@@ -397,6 +398,52 @@ def alert_messages(spark, sf):
         F.json_array_length(F.get_json_object("payload", "$.blocks")).alias("blocks"))
 
 
+def _json(kind: str, text: str) -> str:
+    return f"json_object('type', '{kind}', 'text', {text})"
+
+
+def _header(text: str) -> str:
+    return f"json_object('type', 'header', 'text', {_json('plain_text', text)})"
+
+
+def _fields(*pairs: tuple[str, str]) -> str:
+    items = ", ".join(_json("mrkdwn", f"'*{label}:*' || chr(10) || {value}") for label, value in pairs)
+    return f"json_object('type', 'section', 'fields', json_array({items}))"
+
+
+def _actions(*buttons: str) -> str:
+    return f"json_object('type', 'actions', 'elements', json_array({', '.join(buttons)}))"
+
+
+_PERCENT = "CAST(trunc(confidence * 100) AS INTEGER)"
+_ONE_ALERT = "json_object('blocks', json_array(" + ", ".join([
+    _header(f"CASE WHEN {_PERCENT} >= 80 THEN '🔴' WHEN {_PERCENT} >= 50 THEN '🟡' ELSE '🟢' END || ' Secret Audit Secret Detected'"),
+    _fields(("Repository", "repo"), ("Confidence", f"{_PERCENT} || '%'"), ("Type", "type"), ("Status", "status")),
+    _fields(("Commit", "'`' || substr(commit_sha, 1, 8) || '`'"), ("File", "'`' || file_path || '`'"), ("Lines", "line_start || '-' || line_end"),
+            ("Preview", "'`' || masked_preview || '`'")),
+    "json_object('type', 'section', 'text', " + _json("mrkdwn", "'*Action Required:* manual' || chr(10) || '*First Seen:* ' || strftime(first_seen_at, '%Y-%m-%d %H:%M:%S')") + ")",
+    _actions("json_object('type', 'button', 'text', " + _json("plain_text", "'View Details'") + ", 'url', 'http://localhost:8000/findings/' || id, 'style', 'primary')",
+             "json_object('type', 'button', 'text', " + _json("plain_text", "'Acknowledge'") + ", 'value', id, 'action_id', 'acknowledge_finding')"),
+]) + f"), 'text', 'Secret Audit detected a ' || type || ' with ' || {_PERCENT} || '% confidence')"
+_MANY_ALERTS = "json_object('blocks', json_array(" + ", ".join([
+    _header("'🚨 Secret Audit Batch Alert - ' || total || ' Secrets Detected'"),
+    _fields(("Total Findings", "total"), ("High Confidence", "high"), ("Medium Confidence", "medium"), ("Low Confidence", "low")),
+    "json_object('type', 'section', 'text', " + _json("mrkdwn", "'*Secret Types:* ' || kinds") + ")",
+    _actions("json_object('type', 'button', 'text', " + _json("plain_text", "'View All Findings'") + ", 'url', 'http://localhost:8000/findings', 'style', 'primary')"),
+]) + "), 'text', 'Secret Audit detected ' || total || ' secrets across the repository')"
+
+
+@query("alert_payloads", o.on_findings(
+    f"SELECT doc_id, CAST({_ONE_ALERT} AS VARCHAR) AS payload FROM findings WHERE doc_id IN (SELECT doc_id FROM findings GROUP BY 1 HAVING count(*) = 1) UNION ALL "
+    f"SELECT doc_id, CAST({_MANY_ALERTS} AS VARCHAR) FROM (SELECT doc_id, sum(n) AS total, sum(high) AS high, sum(medium) AS medium, sum(low) AS low, "
+    "string_agg(type || ': ' || n, ', ' ORDER BY type) AS kinds FROM (SELECT doc_id, type, count(*) AS n, count(*) FILTER (WHERE confidence >= 0.8) AS high, "
+    "count(*) FILTER (WHERE confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (WHERE confidence < 0.5) AS low FROM findings GROUP BY ALL) "
+    "GROUP BY doc_id HAVING sum(n) > 1)"))
+def alert_payloads(spark, sf):
+    """The whole message as it is sent."""
+    return reports.alert_messages(findings(spark, sf), "doc_id").select("doc_id", "payload")
+
+
 @query("remediation_routes", o.on_findings(
     "SELECT id, type, CASE type WHEN 'aws_access_key' THEN 'chat' WHEN 'aws_secret_key' THEN 'aws_remediation' END AS handler FROM findings"))
 def remediation_routes(spark, sf):
@@ -457,6 +504,26 @@ def batch_prompts(spark, sf):
     return requests.select("scan_id", "batch_id", "candidates", "prompt")
 
 
+_SHOWN = (
+    "contexts AS (SELECT id, string_agg(printf('%s%4d: %s', CASE WHEN n BETWEEN line_start AND line_end THEN '>>> ' ELSE '    ' END, n, ls[n]), chr(10) "
+    "ORDER BY n) AS context FROM (SELECT r.id, r.line_start, r.line_end, string_split(f.content, chr(10)) AS ls, unnest(range(greatest(1, r.line_start - 3), "
+    "least(len(string_split(f.content, chr(10))), r.line_end + 3) + 1)) AS n FROM raw_findings r JOIN files f USING (doc_id)) GROUP BY id)",
+    f"hidden AS (SELECT r.id, list_reduce(list_prepend(regexp_replace(c.context, {o.re2('|'.join(r.pattern for r in CONTENT_PACK))}, '***', 'g'), "
+    "list_filter(string_split(r.secret, chr(10)), lambda s: length(s) > 0)), lambda a, s: replace(a, s, '***')) AS context "
+    "FROM raw_findings r JOIN contexts c USING (id))",
+)
+
+
+@query("request_contexts", o.on_findings(
+    f"SELECT scan_id, batch_id, {o.lit(V.BATCH_HEAD)} || string_agg('Candidate ' || (position + 1) || ':' || chr(10) || 'File: ' || file_path || chr(10) || "
+    "'Line: ' || line_start || chr(10) || 'Context: ' || h.context || chr(10) || 'Snippet: ' || chr(10) || chr(10), '' ORDER BY position) || "
+    f"{o.lit(V.BATCH_TAIL)} AS prompt FROM numbered n JOIN hidden h USING (id) GROUP BY ALL", _NUMBERED, *_SHOWN))
+def request_contexts(spark, sf):
+    """Prompts as they are sent: every candidate with the lines around it, secrets starred out."""
+    found = materialize(scan_findings(corpus.files(spark, sf), context=True))
+    return V.batch_requests(V.number_batches(found)).select("scan_id", "batch_id", "prompt")
+
+
 @query("text_prompts",
        f"SELECT conv_id, turn, sha256({o.lit(V.TEXT_HEAD)} || text || {o.lit(V.TEXT_TAIL)}) AS prompt_hash, 2 AS messages FROM conversations")
 def text_prompts(spark, sf):
