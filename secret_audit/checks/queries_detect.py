@@ -13,7 +13,7 @@ from secret_audit.operators import detect as D
 from secret_audit.operators import scoring
 from secret_audit.operators.merge import suppress_regex_hits
 from secret_audit.plans import commit_scan
-from secret_audit.plugins import checksum_numbers, get_classifier, registry, row_detector, row_table_function
+from secret_audit.plugins import Registry, checksum_numbers, get_classifier, registry, row_detector, row_table_function
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
 
 _HIT = "file_path, rule, type, severity, confidence, match_ord, line_start, line_end, secret"
@@ -385,6 +385,20 @@ def registered_detectors(spark, sf):
         "file_path", "type", "line_start", "match_ord", "fingerprint")
 
 
+@query("failing_detectors", o.with_(
+    o.FILES, o.content_hits(),
+    select="SELECT 'content' AS detector, type, count(*) AS n FROM hits GROUP BY type UNION ALL SELECT 'broken', 'rejected', 1 UNION ALL SELECT 'lost', 'rejected', 1"))
+def failing_detectors(spark, sf):
+    """A detector whose tasks fail and one that gives no plan are skipped; the others' matches stay."""
+    own = Registry()
+    own.register("detector", "broken")(lambda f: f.select("file_path", F.raise_error(F.lit("no model")).cast("string").alias("type")))
+    own.register("detector", "content")(registry.get("detector", "content"))
+    own.register("detector", "lost")(lambda f: f.select("no_such_column"))
+    found, rejects = own.detect_each(corpus.files(spark, sf))
+    kept = found.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("content").alias("detector"), "type", "n")
+    return kept.unionByName(rejects.select("detector", F.lit("rejected").alias("type"), F.lit(1).cast("long").alias("n")))
+
+
 _DIGIT = "CAST(s[length(s) - i] AS INTEGER)"
 _LUHN = (
     "runs AS (SELECT file_path, line_no, unnest(regexp_extract_all(line, '[0-9]{6,}')) AS s FROM lines)",

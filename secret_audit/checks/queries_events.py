@@ -310,6 +310,21 @@ def streaming_dedupe(spark, sf):
     return spark.read.schema(kept.schema).parquet(out)
 
 
+@query("streaming_first_sightings", o.with_(
+    o.SIGHTINGS, f"gaps AS (SELECT *, CASE WHEN seen_at - lag(seen_at) OVER w <= INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM sightings WINDOW w AS "
+    f"(PARTITION BY {_KEY} ORDER BY seen_at))", f"runs AS (SELECT *, sum(fresh) OVER (PARTITION BY {_KEY} ORDER BY seen_at) AS run FROM gaps)",
+    select=f"SELECT {_KEY}, min(seen_at) AS seen_at, arg_min(event_id, (seen_at, event_id)) AS event_id, arg_min(type, (seen_at, event_id)) AS type, "
+           f"count(*) AS sightings, max(seen_at) AS last_seen_at FROM runs GROUP BY {_KEY}, run "
+           "HAVING max(seen_at) + INTERVAL 2 DAY <= (SELECT max(seen_at) - INTERVAL 2 DAY FROM sightings)"))
+def streaming_first_sightings(spark, sf):
+    """The earliest row of each run of sightings, not only its key."""
+    out, state = shared_dir(spark, "stream"), shared_dir(spark, "state")
+    rows = _sightings_stream(spark, sf).select("repo", "fingerprint", "file_path", "seen_at", "event_id", "type")
+    first = SF.first_sightings_stream(rows, "seen_at", "2 days")
+    SF.run_available(first, state, out)
+    return spark.read.schema(first.schema).parquet(out)
+
+
 @query("streaming_upsert", o.with_(
     o.SIGHTINGS, select=f"SELECT {_KEY}, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at FROM sightings GROUP BY {_KEY}"))
 def streaming_upsert(spark, sf):

@@ -24,6 +24,7 @@ from secret_audit.operators.verdicts import parse_classification
 from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
 from secret_audit.sources.commits import read_commits
 from secret_audit.sources.files import read_files
+from secret_audit.sources.store import materialize
 from secret_audit.sources.tree import read_tree
 
 # The row detector travels by value, so executors need not have this package installed.
@@ -71,6 +72,22 @@ class Registry:
         chosen = [self.get("detector", n) for n in names] if names else list(self.enabled("detector").values())
         return union_all(*[d(files) for d in chosen])
 
+    def detect_each(self, files: DataFrame, names: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Matches of the detectors that work, and a table (detector, reason) of those that fail, which are skipped.
+
+        Each detector's result is written by itself, so that an error in its tasks ends that detector only. ``files`` is read
+        once per detector.
+        """
+        spark, found, failed = files.sparkSession, [], []
+        for name in names or self.enabled("detector"):
+            try:
+                found.append(materialize(self.get("detector", name)(files), f"detector-{name}"))
+            except Exception as e:  # a detector may fail in any way
+                failed.append((name, str(e).strip().split("\n")[0][:500]))
+        rejects = spark.createDataFrame(failed, "detector string, reason string")
+        empty = files.limit(0).withColumn("type", F.lit(None).cast("string")).drop("content")
+        return union_all(*found) if found else empty, rejects
+
 
 registry = Registry()
 

@@ -25,9 +25,9 @@ def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False, par
 def dedupe_stream(
     findings: DataFrame, at: str, delay: str = "1 day", legacy_key: bool = False, salts: int = 16
 ) -> DataFrame:
-    """First sighting per key; keys are forgotten once the watermark passes, so state stays bounded.
+    """One sighting per key, the one that arrives first; keys are forgotten once the watermark passes, so state stays bounded.
 
-    Copies of a key are first reduced in salted groups, so a key that makes up much of the stream is spread over tasks
+    ``first_sightings_stream`` gives the earliest by time. Copies of a key are first reduced in salted groups, so a key that makes up much of the stream is spread over tasks
     and at most ``salts`` of its rows meet in one.
     """
     keys = list(finding_key(legacy_key))
@@ -36,6 +36,20 @@ def dedupe_stream(
     return salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(keys)
 
 
+def first_sightings_stream(findings: DataFrame, at: str, delay: str = "1 day", legacy_key: bool = False) -> DataFrame:
+    """The earliest row of every run of sightings of a key, emitted once the watermark has passed the run's end.
+
+    A run is a session: sightings of a key that follow each other within ``delay``. Of rows at one time the smallest stays.
+    State holds a row per key and open run; rows meet in partial aggregates first.
+    """
+    keys = list(finding_key(legacy_key))
+    timed = findings.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+    rest = [c for c in findings.columns if c not in keys and c != at]
+    row = F.min(F.struct(at, *rest)).alias("_first")
+    runs = timed.groupBy(*keys, F.session_window(at, delay).alias("_run")).agg(row, F.count("*").alias("sightings"), F.max(at).alias("last_seen_at"))
+    return runs.select(*keys, "_first.*", "sightings", "last_seen_at")
+
+
 def daily_rollup_stream(findings: DataFrame, at: str, delay: str = "1 hour") -> DataFrame:
     """Counts per day and repo, emitted once the day is closed."""
     counts = [F.count("*").alias("findings_total")] + [

@@ -1,5 +1,7 @@
 import json
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,29 @@ def test_streaming_dedupe_over_batches(spark, tmp_path):
     assert got.count() == got.distinct().count() == batch.select("repo", "fingerprint", "file_path").distinct().count()
 
 
+def test_first_sightings_are_the_earliest_rows(spark, tmp_path):
+    """Rows that arrive late and out of order, over several batches; equal to the batch minimum of closed runs."""
+    start = datetime(2024, 1, 1)
+    rows = [("r", f"k{i % 5}", "p", start + timedelta(minutes=(i * 37) % 600), i, "x") for i in range(100)]
+    rows += [("r", "k1", "p", start + timedelta(hours=30), 200, "y"), ("r", "k1", "p", start + timedelta(hours=30), 150, "z"), ("q", "end", "p", start + timedelta(days=9), 300, "e")]
+    schema = "repo string, fingerprint string, file_path string, seen_at timestamp, event_id long, type string"
+    folder = tmp_path / "in"
+    for n in range(4):
+        part = rows[n::4] if n < 3 else rows[3::4]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(folder))
+    first = SF.first_sightings_stream(stream, "seen_at", "12 hours")
+    for _ in range(2):
+        SF.run_available(first, str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = {(r.fingerprint, r.seen_at): (r.event_id, r.type, r.sightings) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {}
+    for k in range(5):
+        own = sorted((r[3], r[4], r[5]) for r in rows[:100] if r[1] == f"k{k}")
+        want[(f"k{k}", own[0][0])] = (own[0][1], own[0][2], len(own))
+    want[("k1", start + timedelta(hours=30))] = (150, "z", 2)
+    assert got == want
+
+
 def test_streaming_rollup_emits_closed_days_once(spark, tmp_path):
     batch, stream = stream_input(spark, tmp_path, 4)
     # The newest time is 29 minutes into day 4, so a delay of 10 minutes closes day 3.
