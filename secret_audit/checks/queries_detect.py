@@ -14,7 +14,7 @@ from secret_audit.operators import scoring
 from secret_audit.operators.merge import suppress_regex_hits
 from secret_audit.plans import commit_scan
 from secret_audit.plugins import Registry, checksum_numbers, get_classifier, registry, row_detector, row_table_function
-from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK
+from secret_audit.rules import COMMIT_PACK, CONTENT_PACK, PLUGIN_PACK, Rule
 
 _HIT = "file_path, rule, type, severity, confidence, match_ord, line_start, line_end, secret"
 
@@ -385,6 +385,22 @@ def registered_detectors(spark, sf):
         "file_path", "type", "line_start", "match_ord", "fingerprint")
 
 
+_TOKENS = "text || chr(10) || 'see doc' || doc_id || '_' || substr({0}, 1, 6) || ' and DOC' || (doc_id * 7) % 9000 || '_' || substr({0}, 7, 6) || ' xdoc1_abcdef'"
+
+
+@query("large_rule_pack",
+       "WITH src AS (SELECT doc_id, " + _TOKENS.format("sha256(CAST(doc_id AS VARCHAR))") + " AS content FROM documents), "
+       "found AS (SELECT doc_id, content, unnest(regexp_extract_all(content, '(?i)\\bdoc[0-9]+_[0-9a-f]{6}')) AS secret FROM src) "
+       "SELECT doc_id, 'doc' || n AS rule, line_start, secret FROM (SELECT doc_id, secret, CAST(regexp_extract(secret, '[0-9]+') AS BIGINT) AS n, "
+       "CAST(1 + length(content) - length(replace(content, chr(10), '')) AS INTEGER) AS line_start FROM found) WHERE n < 5000")
+def large_rule_pack(spark, sf):
+    """Five thousand rules, found by the literals that they need."""
+    rules = [Rule(f"doc{i}", "token", 0.5, rf"\bdoc{i}_[0-9a-f]{{6}}") for i in range(5000)]
+    digest = "sha2(cast(doc_id as string), 256)"
+    docs = corpus.table(spark, sf, "documents").selectExpr("doc_id", _TOKENS.format(digest) + " AS content")
+    return D.scan_content(docs, rules).select("doc_id", "rule", "line_start", "secret")
+
+
 @query("failing_detectors", o.with_(
     o.FILES, o.content_hits(),
     select="SELECT 'content' AS detector, type, count(*) AS n FROM hits GROUP BY type UNION ALL SELECT 'broken', 'rejected', 1 UNION ALL SELECT 'lost', 'rejected', 1"))
