@@ -11,6 +11,7 @@ from secret_audit.operators import listing as L
 from secret_audit.operators import metrics as A
 from secret_audit.operators import remediation as R
 from secret_audit.operators import reports
+from secret_audit.operators import rollups as U
 from secret_audit.operators import verdicts as V
 from secret_audit.operators.merge import append_notes, union_all
 from secret_audit.plans.dashboard import dashboard
@@ -153,6 +154,34 @@ def daily_rollup_with_scans(spark, sf):
     return rolled.withColumn("risk_score_avg", F.round("risk_score_avg", 6))
 
 
+_CHANGED = "CASE WHEN doc_id % 3 = 0 THEN 'RESOLVED' ELSE status END"
+
+
+def _rollup_base(spark, sf):
+    """Partials of findings that come in two batches and of status changes, one batch being written twice."""
+    base, found = shared_dir(spark, "rollup"), stored_findings(spark, sf)
+    updates = found.where("doc_id % 3 = 0").select("id", F.lit("RESOLVED").alias("status"))
+    steps = [U.partials(found.where("doc_id % 2 = 0")), U.partials(found.where("doc_id % 2 = 1")), U.status_partials(found, updates)]
+    for batch, step in [*enumerate(steps), (2, steps[2])]:
+        U.append_partials(step, base, batch, compact_every=2)
+    return base
+
+
+@query("incremental_rollup", o.on_findings(
+    f"SELECT CAST(created_at AS DATE) AS day, repo, count(*) AS findings_total, {_SEV}, round({o.risk()}, 6) AS risk_score_avg FROM findings GROUP BY ALL"))
+def incremental_rollup(spark, sf):
+    rolled = U.rollup(U.read_partials(spark, _rollup_base(spark, sf)))
+    return rolled.withColumn("risk_score_avg", F.round("risk_score_avg", 6))
+
+
+@query("incremental_status_counts", o.on_findings(
+    f"SELECT repo, {_CHANGED} AS status, count(*) AS findings_total, {_SEV}, round({o.risk()}, 6) AS risk_score_avg FROM findings GROUP BY ALL"))
+def incremental_status_counts(spark, sf):
+    """After status changes: equal to counting the changed table anew."""
+    rolled = U.rollup(U.read_partials(spark, _rollup_base(spark, sf)), ("repo", "status"))
+    return rolled.withColumn("risk_score_avg", F.round("risk_score_avg", 6))
+
+
 _DIGEST = (
     "count(*) AS total, count(*) FILTER (WHERE confidence >= 0.8) AS high, "
     "count(*) FILTER (WHERE confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (WHERE confidence < 0.5) AS low"
