@@ -40,7 +40,7 @@ def fold_partials(changes: DataFrame) -> DataFrame:
     """Partials added up; those that cancel out are left out."""
     wide = "decimal(38,12)"
     summed = changes.groupBy(*KEYS).agg(F.sum("findings").alias("findings"), F.sum("weighted").cast(wide).alias("weighted"))
-    return summed.where(F.col("findings") != 0)
+    return summed.where((F.col("findings") != 0) | (F.col("weighted") != 0))  # one may leave as another comes
 
 
 def append_partials(changes: DataFrame, base: str, batch_id: int, compact_every: int = 50) -> None:
