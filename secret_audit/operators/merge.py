@@ -15,6 +15,8 @@ from secret_audit.schemas import PATCH_STATUSES, STATUSES
 
 FINDING_KEY = ("repo", "fingerprint", "file_path")
 LEGACY_KEY = ("fingerprint", "file_path")
+#: Most keys of a run whose digests are broadcast to the history: 8 bytes each.
+MOST_KEYS = 2_000_000
 
 
 def finding_key(legacy_key: bool = False) -> tuple[str, ...]:
@@ -151,6 +153,21 @@ def upsert(snapshot: DataFrame, batch: DataFrame, seen_at: str = "seen_at", lega
     return merged, added
 
 
+def not_stored(rows: DataFrame, history: DataFrame, keys, most: int = MOST_KEYS) -> DataFrame:
+    """Rows whose key the history lacks; ``rows`` is read twice, so pass a stored table.
+
+    The history stays where it is: 64-bit digests of the rows' keys are broadcast to it, and only its rows with one of them are
+    shuffled and compared. A run with more than ``most`` keys is joined plainly.
+    """
+    keys = list(keys)
+    digest = F.xxhash64(*keys).alias("_key")
+    wanted = rows.select(digest).distinct()
+    if wanted.limit(most + 1).count() > most:
+        return rows.join(history.select(*keys), keys, "left_anti")
+    touched = history.select(*keys, digest).join(F.broadcast(wanted), "_key", "left_semi").select(*keys)
+    return rows.join(touched.distinct(), keys, "left_anti")
+
+
 def insert_if_absent(snapshot: DataFrame, batch: DataFrame, seen_at: str = "seen_at", legacy_key: bool = False) -> DataFrame:
     """Rows of the batch whose key is not stored yet, one per key; stored rows are left as they are."""
     keys = list(finding_key(legacy_key))

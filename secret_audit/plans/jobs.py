@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, insert_if_absent, lifecycle, with_id
+from secret_audit.operators.merge import FINDING_KEY, fold_lifecycle, lifecycle, not_stored, with_id
 from secret_audit.operators.metrics import cycle_summary, file_counters, risk_scores
 from secret_audit.operators.remediation import remediation_plan
 from secret_audit.operators.reports import alert_messages
@@ -139,11 +139,7 @@ def run_commit_scan(versions: DataFrame, base: str, version: int, rules=COMMIT_P
         batch = store.read_version(spark, f"{base}/found", version)
         known = store.read_changes(spark, f"{base}/lifecycle", below=version)
         rows = with_id(lifecycle(batch, "seen_at"), *FINDING_KEY)
-        if known is not None:
-            keys = list(FINDING_KEY)
-            fresh = rows.join(known.select(*keys).distinct(), keys, "left_anti")
-        else:
-            fresh = rows
+        fresh = rows if known is None else not_stored(rows, known, FINDING_KEY)
         store.write_snapshot(fresh, f"{base}/new", version)
         store.write_delta(rows, f"{base}/lifecycle", version)
         if store.open_deltas(spark, f"{base}/lifecycle") >= COMPACT_EVERY:
@@ -169,9 +165,9 @@ def run_plugin_cycle(contexts: DataFrame, base: str, version: int, detect=plugin
     its own rows. Returns the ``new`` findings, their ``plan`` and the ``cycle`` counters.
     """
     spark, run = contexts.sparkSession, f"cycle-{version:010d}"
-    found = detect(contexts.drop("metadata", "size"))
+    found = store.materialize(detect(contexts.drop("metadata", "size")))
     known = store.read_changes(spark, f"{base}/stored", below=version)
-    fresh = insert_if_absent(known, found) if known is not None else lifecycle(found)
+    fresh = lifecycle(found) if known is None else not_stored(lifecycle(found), known, FINDING_KEY)
     store.write_delta(with_id(fresh, *FINDING_KEY), f"{base}/stored", version)
     new = spark.read.parquet(store.delta_folder(f"{base}/stored", version))
     planned = handle(new)

@@ -93,3 +93,25 @@ def test_parts_of_one_scan_go_to_many_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert tasks > 1
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    """Beside a stored history, only the run and the rows that it touches are exchanged."""
+    key = [F.lit("r").alias("repo"), F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"), F.lit("p").alias("file_path")]
+    spark.range(3000).select(*key).repartition(4).write.parquet(str(tmp_path / "old"))
+    spark.range(2900, 3100).select(*key).write.parquet(str(tmp_path / "run"))
+    history, run = (spark.read.parquet(str(tmp_path / x)) for x in ("old", "run"))
+    keys = ("repo", "fingerprint", "file_path")
+    for most in (1000, 5):
+        assert J.not_stored(run, history, keys, most).count() == 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(J.not_stored(run, history, keys))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Upwards from the scan of the history: the join with the digests comes before any exchange.
+    scans = [i for i, x in enumerate(p.split("\n")) if "FileScan" in x and "/old]" in x]
+    assert len(scans) == 1
+    found = [x for x in p.split("\n")[: scans[0]] if re.search(r"Exchange hashpartitioning|BroadcastHashJoin", x)]
+    assert "BroadcastHashJoin" in found[-1] and "LeftSemi" in found[-1]
