@@ -12,6 +12,7 @@ from secret_audit.operators import metrics as A
 from secret_audit.operators import remediation as R
 from secret_audit.operators import reports
 from secret_audit.operators import rollups as U
+from secret_audit.operators import search as X
 from secret_audit.operators import verdicts as V
 from secret_audit.operators.merge import append_notes, union_all
 from secret_audit.plans.dashboard import dashboard
@@ -303,6 +304,17 @@ def finding_search(spark, sf):
     return both.select("id", "type", "file_path")
 
 
+@query("finding_search_indexed", o.on_findings(
+    "SELECT id, type, file_path FROM findings WHERE contains(lower(concat_ws(chr(10), type, description, file_path, repo)), 'settings') "
+    "OR contains(lower(description), 'aws')"))
+def finding_search_indexed(spark, sf):
+    """The same rows from the blocks that the trigrams of the texts lead to."""
+    base = shared_dir(spark, "search")
+    X.write_search_index(stored_findings(spark, sf), base, rows_per_block=500)
+    both = X.search_index(spark, base, "Settings").unionByName(X.search_index(spark, base, "AWS", ("description",)))
+    return both.dropDuplicates(["id"]).select("id", "type", "file_path")
+
+
 @query("top_types", o.on_findings("SELECT type, count(*) AS findings FROM findings GROUP BY type ORDER BY findings DESC, type LIMIT 5"))
 def top_types(spark, sf):
     return L.top_types(findings(spark, sf))

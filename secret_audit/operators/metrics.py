@@ -1,6 +1,6 @@
 """Scores, counts and rollups over findings and scans.
 
-Every function is a hash aggregation that combines on the map side, so a repository or scan that holds most of the
+Functions aggregate with a combine on the map side (by hash, but for the sample of ``alert_digest``), so a repository or scan that holds most of the
 findings sends one row per task. Sums of fractions are taken in decimals: the result does not depend on row order.
 """
 
