@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from secret_audit.llm.spark_tools import join_counted, map_slices, quoted, small_batches, stored
-from secret_audit.llm.textkit import gram_hashes, ranges, slices, spread
+from secret_audit.llm.textkit import gram_hashes, ranges, slices
 
 LENGTH = 200
 #: Bytes of the grams that stretches are cut by; the next one serves where a gram has too many different stretches.

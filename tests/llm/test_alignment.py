@@ -5,7 +5,6 @@ import random
 from collections import Counter
 from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
