@@ -32,7 +32,8 @@ _BARE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in (*RAW, "title")}
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 _LANGUAGE = re.compile(r"[\w-]+")
-_BLANKS, _SPACES, _LINES = re.compile(r"\s+"), re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+# Runs of white space that aren't a single blank already.
+_SPACES, _LINES = re.compile(r"[^\S\n ][^\S\n]*+| [^\S\n]++"), re.compile(r" ?\n[ \n]*+")
 _LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,}+);?")
 
 
@@ -64,7 +65,7 @@ class Page:
 
     def _say(self, text: str, hidden: bool) -> None:
         if text and not hidden:
-            text = _BLANKS.sub(" ", text)
+            text = text.replace("\n", " ")
             self.parts.append(text)
             if self._titled:
                 self.title += text
@@ -148,10 +149,25 @@ class Page:
                 unclosed.add("title")
 
 
-def absolute(base: str | None, target: str) -> str:
-    """The target of a link as an address, or as written where that can't be."""
-    target = unescaped(target).strip()
-    try:
-        return urljoin(base or "", target)
-    except ValueError:
-        return target
+_PLAIN = re.compile(r"/[\w,%+=~./-]*+", re.ASCII)
+
+
+class Links:
+    """Makes the targets of a page's links absolute; one that can't be stays as written."""
+
+    def __init__(self, base: str | None):
+        self.base = base or ""
+        try:
+            self.root = urljoin(self.base, "/")[:-1]
+        except ValueError:
+            self.root = None
+
+    def absolute(self, target: str) -> str:
+        target = unescaped(target).strip()
+        # A plain path from the root needs no parsing.
+        if self.root is not None and _PLAIN.fullmatch(target) and "//" not in target and "/." not in target:
+            return self.root + target
+        try:
+            return urljoin(self.base, target)
+        except ValueError:
+            return target

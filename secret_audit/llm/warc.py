@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from secret_audit.llm.markup import Page, absolute
+from secret_audit.llm.markup import Links, Page
 from secret_audit.llm.spark_tools import map_slices
 from secret_audit.llm.textkit import texts_of
 
@@ -76,7 +76,8 @@ def page_text(page: str) -> str:
 
 def facts_of(page: Page, base: str | None) -> dict:
     """Title, language and links of a page; links are made absolute where the address is known."""
-    links = [{"element": kind, "url": absolute(base, target)} for kind, target in page.links]
+    own = Links(base)
+    links = [{"element": kind, "url": own.absolute(target)} for kind, target in page.links]
     return {"title": page.title, "language": page.language, "links": links}
 
 

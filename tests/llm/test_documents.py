@@ -8,6 +8,7 @@ import random
 import time
 from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -21,7 +22,7 @@ from secret_audit.llm.dartminhash import (
 from secret_audit.llm.langid import best_temperature, held_out, identify_languages, softmax, train_language_model
 from secret_audit.llm.sharding import Shard, Topology, assign_shards, even_topology
 from secret_audit.llm.toxicity import best_threshold, score_toxicity, train_chain
-from secret_audit.llm.markup import Page, absolute
+from secret_audit.llm.markup import Links, Page
 from secret_audit.llm.warc import DERIVED, derived_records, page_text, record_text, response_records, write_warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -337,10 +338,24 @@ def test_text_equals_the_standard_parser(spark):
 def test_time_follows_the_length_of_a_page(part, end):
     page, begin = part * (1_000_000 // len(part)) + end, time.process_time()
     found = Page(page)
-    found.links = [absolute("http://a/", t) for _, t in found.links]
+    own = Links("http://a/")
+    found.links = [own.absolute(t) for _, t in found.links]
     assert time.process_time() - begin < 5
 
 
+def test_links_are_joined_as_the_library_does():
+    rnd = random.Random(3)
+    bases = ["http://a/b/c?d", "https://u@h:8/", "", "foo://x/y", "mailto:q", "//n/p", "::bad[", "/r/s", "http://a"]
+    for _ in range(3000):
+        target = "".join(rnd.choice("/a.b,%;?#:-=~ é") for _ in range(rnd.randint(0, 7)))
+        base = rnd.choice(bases)
+        try:
+            want = urljoin(base, target.strip())
+        except ValueError:
+            want = target.strip()
+        assert Links(base).absolute(target) == want, (base, target)
+
+
 def test_no_text_is_lost():
     assert page_text('<p>before</p><svg width="1"/><p>after one</p><p>after two</p>') == "before\nafter one\nafter two"
     assert page_text("<p>a<svg><g>never closed<p>b</p>c") == "a\nb\nc"
