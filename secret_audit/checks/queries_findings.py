@@ -348,7 +348,6 @@ _HUNK = (
     f"SELECT scan_id, '' AS part, count(*) AS findings, string_agg({_HUNK}, chr(10) ORDER BY file_path, line_start, id) AS unified_diff "
     "FROM findings GROUP BY scan_id"))
 def unified_diff(spark, sf):
-    # One part per scan at the test scales; finding_document_parts covers the split.
     return reports.unified_diff(stored_findings(spark, sf))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SALTS = 64
+#: Most ranges that rows are sorted into at once; their bounds come from a sample of a hundred rows of each.
+_RANGES = 1000
 
 
 def top_cutoff(df: DataFrame, group: str, key: Column, n: int, newest: bool = False) -> DataFrame:
@@ -59,3 +61,14 @@ def document_parts(df: DataFrame, group, id_col: str = "id", target: int = 5000,
     parted = df.join(sized, group).withColumn(out, F.col(id_col).substr(F.lit(1), F.col("_digits"))).drop("_digits")
     # Without this the grouping by part would keep the join's partitioning, with a large group in one task.
     return parted.repartition(*group, out)
+
+
+def ordered_pieces(df: DataFrame, order, target: int = 5000, out: str = "_piece") -> DataFrame:
+    """Number pieces of about ``target`` rows, larger ones from ``target * 1000`` rows on, that follow each other in the order of the columns.
+
+    Rows inside a piece are not sorted. ``df`` is read three times, so pass a stored table.
+    """
+    pieces = min(_RANGES, -(-df.count() // target))
+    if pieces < 2:
+        return df.withColumn(out, F.lit(0))
+    return df.repartitionByRange(pieces, *order).withColumn(out, F.spark_partition_id())
