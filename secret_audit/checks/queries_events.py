@@ -282,7 +282,7 @@ def uncached_requests(spark, sf):
 
 def _stream(spark, sf, name):
     schema = corpus.table(spark, sf, name).schema
-    return SF.read_new_files(spark, sf, schema, name_filter=f"{name}.parquet")
+    return SF.read_new_files(spark, f"{sf}/{name}.parquet", schema)
 
 
 def _sightings_stream(spark, sf):

@@ -119,15 +119,15 @@ def current_runs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(*latest)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path that Spark's readers open."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
 def _complete(spark: SparkSession, base: str, kind: str) -> list[int]:
     """Numbers of the completely written folders ``<kind><number>`` of a table, ascending."""
-    fs, root = _fs(spark, base)
+    fs, root = hadoop_path(spark, base)
     if not fs.exists(root):
         return []
     path = spark._jvm.org.apache.hadoop.fs.Path

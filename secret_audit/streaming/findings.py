@@ -9,7 +9,7 @@ from secret_audit.operators.detect import findings_from_content
 from secret_audit.operators.merge import finding_key, fold_lifecycle, lifecycle
 from secret_audit.rules import CONTENT_PACK
 from secret_audit.schemas import SEVERITIES
-from secret_audit.sources.store import delta_writer, read_changes
+from secret_audit.sources.store import delta_writer, hadoop_path, read_changes
 
 
 def scan_stream(files: DataFrame, rules=CONTENT_PACK, context: bool = False, partitions: int | None = None) -> DataFrame:
@@ -91,7 +91,10 @@ def read_lifecycle(spark: SparkSession, base: str, legacy_key: bool = False) ->
 
 
 def read_new_files(spark: SparkSession, path: str, schema, name_filter: str | None = None, files_per_batch: int = 1000) -> DataFrame:
-    """Stream over the Parquet files of a folder; the checkpoint remembers which were taken."""
+    """Stream over the Parquet files of a folder, or over a single file; the checkpoint remembers which were taken."""
+    fs, place = hadoop_path(spark, path)
+    if fs.getFileStatus(place).isFile():  # a stream needs a folder
+        path, name_filter = place.getParent().toString(), place.getName()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)

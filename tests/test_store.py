@@ -1,3 +1,4 @@
+import shutil
 import json
 
 from datetime import datetime, timedelta
@@ -169,3 +170,24 @@ def test_streaming_scan_equals_batch_and_resumes(spark, tmp_path):
     cols = ["file_path", "line_start", "fingerprint"]
     assert "secret" not in got.columns
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_streams_over_a_file_and_over_a_folder_of_files(spark, tmp_path):
+    """A table is one Parquet file, or a folder with the table's name that holds several."""
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "one"))
+    shutil.copyfile(next((tmp_path / "one").glob("part-*.parquet")), tmp_path / "one.parquet")
+    for name, n in (("many", 9), ("one", 4)):
+        stream = SF.read_new_files(spark, str(tmp_path / f"{name}.parquet"), "id long")
+        SF.run_available(stream, str(tmp_path / f"cp-{name}"), str(tmp_path / f"out-{name}"))
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()) == list(range(n))
+
+
+def test_streaming_scan_of_a_table_in_several_files(spark, tmp_path):
+    from secret_audit.checks import load
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    scan = load()[0]["streaming_scan"]
+    want = sorted(map(tuple, scan(spark, "/root/testdata/sf0.001").collect()))
+    assert want and sorted(map(tuple, scan(spark, str(tmp_path)).collect())) == want
