@@ -169,13 +169,16 @@ def row_detector(match: Callable[[str, str], Iterable[tuple[str, float, int, str
 
 
 def row_table_function(match: Callable[[str, str], Iterable[tuple[str, float, int, str]]]):
-    """The same kind of function as a table function for lateral joins: (path, content) to type, confidence, line_start, secret."""
+    """The same kind of function as a table function for lateral joins: (path, content) to type, confidence, line_start, secret.
+
+    Rows go to Python a hundred at a time; Arrow would hold a batch of ten thousand texts and build a frame for each.
+    """
     class Matches:
         def eval(self, path: str, content: str):
             if content is not None:
                 yield from match(path, content)
 
-    return F.udtf(Matches, returnType="type string, confidence double, line_start int, secret string", useArrow=True)
+    return F.udtf(Matches, returnType="type string, confidence double, line_start int, secret string")
 
 
 def checksum_numbers(path: str, content: str) -> Iterator[tuple[str, float, int, str]]:

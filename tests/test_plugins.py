@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from secret_audit.plugins import checksum_numbers, Registry, get_classifier, registry, row_detector
+from secret_audit.plugins import checksum_numbers, Registry, get_classifier, registry, row_detector, row_table_function
 
 SCHEMA = "repo string, commit_sha string, file_path string, content string"
 
@@ -45,6 +45,15 @@ def test_row_detector(spark):
     assert [(r.type, r.line_start, r.masked_preview, r.engine) for r in rows] == [("mark", 2, "****", "custom")]
 
 
+def test_table_function_takes_few_texts_at_a_time(spark):
+    matches = row_table_function(checksum_numbers)
+    texts = spark.createDataFrame([("a", "x\n79927398713"), ("b", None), ("c", "1234567 000000")], "file_path string, content string")
+    found = texts.lateralJoin(matches(F.col("file_path").outer(), F.col("content").outer()))
+    got = {(r.file_path, r.type, r.confidence, r.line_start, r.secret) for r in found.collect()}
+    assert got == {("a", "checksum_number", 0.5, 2, "79927398713"), ("c", "checksum_number", 0.5, 1, "000000")}
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()  # its batches hold ten thousand
+
+
 def test_checksum_numbers():
     found = [(line, digits) for _, _, line, digits in checksum_numbers("p", "4539 1488 0343 6467 4539148803436467\nx79927398713y 79927398710 000000")]
     assert found == [(1, "4539148803436467"), (2, "79927398713"), (2, "000000")]

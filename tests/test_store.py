@@ -1,5 +1,5 @@
-import shutil
 import json
+import shutil
 
 from datetime import datetime, timedelta
 
