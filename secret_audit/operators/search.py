@@ -1,7 +1,8 @@
 """Substring search over stored findings that reads only blocks which may hold the text.
 
 Findings are stored in blocks of neighbouring paths, and a posting table lists the blocks of every three characters (of the
-lower-case searched columns). A text can only be in blocks that have all its trigrams; these are read and searched as
+lower-case searched columns). Blocks follow each other in files of their ranges, a page each: their number does not grow what
+the driver samples, lists or hears from tasks. A text can only be in blocks that have all its trigrams; these are read and searched as
 ``listing.search`` does, so the rows are the same. Texts of fewer than three characters read every block.
 """
 
@@ -15,6 +16,10 @@ from secret_audit.operators.listing import search
 SEARCHED = ("type", "description", "file_path", "repo")
 #: Folders of the posting table, and the most blocks that are named in a filter; more are joined.
 _PARTS, _NAMED = 64, 10_000
+#: Least rows and most number of the ranges that are sorted and written by one task each.
+_RANGE_ROWS, _RANGES = 50_000, 1000
+#: Bits of a row number that count inside its range.
+_ROW_BITS = 33
 
 
 def _part(gram):
@@ -23,9 +28,14 @@ def _part(gram):
 
 def write_search_index(findings: DataFrame, base: str, rows_per_block: int = 100_000, columns=SEARCHED) -> None:
     """Write blocks and postings; ``findings`` is read twice, so pass a stored table."""
-    blocks = max(1, -(-findings.count() // rows_per_block))
-    placed = findings.repartitionByRange(blocks, "repo", "file_path", "id").withColumn("_block", F.spark_partition_id())
-    placed.write.partitionBy("_block").parquet(f"{base}/blocks")
+    ranges = max(1, min(_RANGES, -(-findings.count() // max(rows_per_block, _RANGE_ROWS))))
+    row = F.monotonically_increasing_id()
+    # A block has the number of its first row.
+    placed = findings.repartitionByRange(ranges, "repo", "file_path", "id").sortWithinPartitions("repo", "file_path", "id").select("*", row.alias("_row"))
+    inside = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    blocks = placed.withColumn("_block", F.col("_row") - inside % rows_per_block).withColumn("_range", F.shiftright("_block", _ROW_BITS)).drop("_row")
+    written = blocks.sortWithinPartitions("_range", "_block").write.option("parquet.page.row.count.limit", rows_per_block)
+    written.partitionBy("_range").parquet(f"{base}/blocks")
     stored = findings.sparkSession.read.parquet(f"{base}/blocks")
 
     def grams(c: str):
@@ -54,5 +64,8 @@ def search_index(spark: SparkSession, base: str, text: str, columns=SEARCHED) ->
     rows, blocks = spark.read.parquet(f"{base}/blocks"), candidate_blocks(spark, base, text)
     if blocks is not None:
         named = [r[0] for r in blocks.limit(_NAMED + 1).collect()]
-        rows = rows.where(F.col("_block").isin(named)) if len(named) <= _NAMED else rows.join(blocks, "_block", "left_semi")
-    return search(rows, text, columns).drop("_block")
+        if len(named) <= _NAMED:
+            rows = rows.where(F.col("_range").isin(sorted({b >> _ROW_BITS for b in named})) & F.col("_block").isin(named))
+        else:
+            rows = rows.join(blocks, "_block", "left_semi")
+    return search(rows, text, columns).drop("_block", "_range")

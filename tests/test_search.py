@@ -35,3 +35,17 @@ def test_only_candidate_blocks_are_read(spark, index, monkeypatch):
     assert spark.read.parquet(f"{base}/blocks").select(F.countDistinct("_block")).first()[0] == 20
     monkeypatch.setattr(X, "_NAMED", 0)
     assert X.search_index(spark, base, "secret").count() == search(found, "secret").count()
+
+
+def test_many_blocks_share_few_files(spark, index, tmp_path, monkeypatch):
+    """The driver samples, lists and hears from ranges, whose number does not follow that of the blocks."""
+    found, _ = index
+    monkeypatch.setattr(X, "_RANGE_ROWS", 300)
+    base = str(tmp_path / "index")
+    X.write_search_index(found, base, rows_per_block=5)
+    assert len(list((tmp_path / "index" / "blocks").glob("*/*.parquet"))) <= 4
+    sizes = spark.read.parquet(f"{base}/blocks").groupBy("_block").agg(F.count("*").alias("n"), F.min("file_path").alias("a"), F.max("file_path").alias("z")).collect()
+    assert len(sizes) >= 200 and max(r.n for r in sizes) == 5 and sum(r.n for r in sizes) == 1000
+    for text in ("file777", "secret", "le77", "ab"):
+        got = sorted(tuple(r) for r in X.search_index(spark, base, text).select(found.columns).collect())
+        assert got == sorted(tuple(r) for r in search(found, text).collect())
