@@ -30,8 +30,12 @@ RULE_SHAPES = (
 )
 
 
+def token_pattern(min_length: int = MIN_LENGTH) -> str:
+    return f"{CANDIDATE_CHARS}{{{min_length},}}"
+
+
 def candidate_pattern(min_length: int = MIN_LENGTH) -> str:
-    return to_java(f"{CANDIDATE_CHARS}{{{min_length},}}", ignore_case=False)
+    return to_java(token_pattern(min_length), ignore_case=False)
 
 
 def _distinct_chars(s: Column) -> Column:

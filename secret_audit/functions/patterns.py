@@ -237,12 +237,29 @@ def _needed(nodes) -> set[str] | None:
     return max(usable, key=lambda s: (min(min(map(len, s)), LITERAL_LENGTH), -len(s))) if usable else None
 
 
+def _run(nodes) -> tuple[frozenset, int]:
+    """Characters outside which no match of the sequence goes in some stretch of that length: the longest one, 0 if unknown."""
+    best = frozenset(), 0
+    for op, v in nodes:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and len(v[2]) == 1 and v[2][0][0] is C.IN:
+            items = v[2][0][1]
+            if all(kind is C.LITERAL and x < 128 or kind is C.RANGE and x[1] < 128 for kind, x in items):
+                members = {chr(c) for kind, x in items for c in (range(x[0], x[1] + 1) if kind is C.RANGE else (x,))}
+                found = frozenset(members | {c.swapcase() for c in members}), v[0]
+                best = max(best, found, key=lambda r: r[1])
+        elif op in (C.SUBPATTERN, C.ATOMIC_GROUP):
+            best = max(best, _run(v[3] if op is C.SUBPATTERN else v), key=lambda r: r[1])
+    return best
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A rule's pattern for Java.
 
     ``plain`` is the form for texts without letters that fold to ASCII, ``line`` and ``line_plain`` the forms whose matches in a
     whole text are those in its lines, None where there is no such form. ``literals`` are lower case, none if nothing is needed.
+    ``run`` holds ASCII characters in both cases and how many of these, or of letters that fold to them, stand in a row in
+    every match.
     """
 
     java: str
@@ -251,6 +268,7 @@ class Pattern:
     line_plain: str | None
     literals: tuple[str, ...]
     min_length: int
+    run: tuple[frozenset, int]
 
 
 @cache
@@ -288,6 +306,7 @@ def parse(pattern: str, ignore_case: bool = True) -> Pattern:
         return Pattern(
             written(True, False), written(False, False), None if alone else written(True, True), None if alone else written(False, True),
             tuple(sorted({x[:LITERAL_LENGTH] for x in literals})), tree.getwidth()[0],
+            _run(tree),
         )
     except (re.error, ValueError, OverflowError, RecursionError) as e:
         raise ValueError(f"{e}: {pattern!r}") from None

@@ -4,8 +4,8 @@ A pack is a list known when the plan is built. A scan has two steps. The first f
 texts without any; almost all text ends there. A pack of up to ``SMALL_PACK`` rules enters the plan as literal patterns,
 tested in generated code and compiled once per task. A larger one is indexed by the literals that its rules need: one pass
 over the text finds these, and a broadcast table of the pack leads to the rules. The second step marks the matches of one
-rule in one text in a single pass and explodes them. Per-line scans work on whole texts as well: with classes that take no
-line feed, the matches in a text are those in its lines.
+rule in one text in a single pass and explodes them. Per-line scans take the same steps on lines: cutting a text into them
+costs far less than searching all of it a second time for each rule that matches somewhere.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from secret_audit.functions import entropy as E
 from secret_audit.functions.literals import literal_index
 from secret_audit.functions.mask import evidence_hash, fingerprint, mask_by_kind
+from secret_audit.functions.patterns import parse
 from secret_audit.functions.regex import FOLDS_TO_ASCII, sql_literal
 from secret_audit.rules import CONTENT_PACK, Rule, check_pack
 
@@ -63,48 +64,45 @@ def _prepared(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     return files.where(text.isNotNull()).select(*keys, text.alias("_text"), F.lower(text).alias("_lower"), _folds(text).alias("_folds"))
 
 
-def _gate(rule: Rule) -> str:
-    """Cheap SQL condition that every text with a match passes."""
+def _gate(rule: Rule, entropy_length: int | None = None) -> str:
+    """Cheap SQL condition that every text with a match passes; with ``entropy_length`` it may use that a text has a token."""
     gate = f"octet_length(_text) >= {rule.min_length}"
     if rule.hints:
         seen = " OR ".join([f"contains(_lower, {sql_literal(h)})" for h in rule.hints] + ["_folds"])
         gate += f" AND ({seen})"
+    elif entropy_length is not None:
+        (own, n), (token, least) = parse(rule.pattern).run, parse(E.token_pattern(entropy_length), ignore_case=False).run
+        if n >= least and own <= token:
+            gate += " AND (_token OR _folds)"
     return gate
 
 
-def _forms(rule: Rule, line: bool) -> tuple[str, str]:
-    """Patterns for texts without and with letters that fold to ASCII. Without a form for lines these are searched one by one."""
-    return (rule.line_plain, rule.line) if line and rule.line else (rule.java_plain, rule.java)
-
-
-def _present(rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None, among: list[int] | None = None) -> Column:
+def _present(rules: tuple[Rule, ...], entropy_length: int | None = None, among: list[int] | None = None) -> Column:
     """Ordinals of the rules that match a text; only functions that compile to code."""
     def matches(r: Rule) -> str:
-        plain, full = _forms(r, line)
-        test = f"_text RLIKE {sql_literal(plain)}"
-        return test if plain == full else f"({test} OR _folds AND _text RLIKE {sql_literal(full)})"
-
-    flags = []
-    for i in range(len(rules)) if among is None else among:
-        searched = line and rules[i].line is None  # its anchors mean lines
-        flags.append(f"IF({_gate(rules[i])}{'' if searched else f' AND {matches(rules[i])}'}, {i}, -1)")
+        test = f"_text RLIKE {sql_literal(r.java_plain)}"
+        return test if r.java_plain == r.java else f"({test} OR _folds AND _text RLIKE {sql_literal(r.java)})"
+
+    flags = [f"IF({_gate(rules[i], entropy_length)} AND {matches(rules[i])}, {i}, -1)" for i in (range(len(rules)) if among is None else among)]
     if entropy_length is not None:
-        tokens = sql_literal(E.candidate_pattern(entropy_length))
-        flags.append(f"IF(octet_length(_text) >= {entropy_length} AND _text RLIKE {tokens}, {len(rules)}, -1)")
+        flags.append(f"IF(_token, {len(rules)}, -1)")
     return F.expr(f"array_remove(array({', '.join(flags)}), -1)") if flags else F.array().cast("array<int>")
 
 
-def _matched(text: DataFrame, keys: list[str], rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None) -> DataFrame:
+def _matched(text: DataFrame, keys: list[str], rules: tuple[Rule, ...], entropy_length: int | None = None) -> DataFrame:
     """A row per text and rule that may match it: the keys, _text, _folds and rule_ord."""
+    if entropy_length is not None:
+        tokens = sql_literal(E.candidate_pattern(entropy_length))
+        text = text.withColumn("_token", F.expr(f"octet_length(_text) >= {entropy_length} AND _text RLIKE {tokens}"))
     if len(rules) <= SMALL_PACK:
-        return text.select(*keys, "_text", "_folds", F.explode(_present(rules, line, entropy_length)).alias("rule_ord"))
+        return text.select(*keys, "_text", "_folds", F.explode(_present(rules, entropy_length)).alias("rule_ord"))
     pattern, rows, rest = literal_index([r.hints for r in rules])
     index = text.sparkSession.createDataFrame(rows, "_literal string, _ord int, _before array<string>")
     # Letters that fold to ASCII are written as such, so that literals are found in their place.
     plain = F.when(F.col("_folds"), F.lower(F.translate("_text", "".join(FOLDS_TO_ASCII), "skii"))).otherwise(F.col("_lower"))
     found = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))) if pattern else F.array().cast("array<string>")
     steps = [rest[i : i + SMALL_PACK] for i in range(0, len(rest), SMALL_PACK)] or [[]]
-    own = [_present(rules, line, entropy_length if i == 0 else None, step) for i, step in enumerate(steps)]
+    own = [_present(rules, entropy_length if i == 0 else None, step) for i, step in enumerate(steps)]
     wanted = F.concat(
         F.transform("_found", lambda x: F.struct(x.alias("literal"), F.lit(None).cast("int").alias("ord"))),
         *[F.transform(o, lambda i: F.struct(F.lit(None).cast("string").alias("literal"), i.alias("ord"))) for o in own],
@@ -121,20 +119,19 @@ def _constant(values: list, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), schema)
 
 
-def _pattern(rules: tuple[Rule, ...], line: bool = False, entropy_length: int | None = None) -> Column:
+def _pattern(rules: tuple[Rule, ...], entropy_length: int | None = None) -> Column:
     """Pattern of the rule named by ``rule_ord``. It is compiled again only when a row has another rule."""
     tokens = [E.candidate_pattern(entropy_length)] if entropy_length is not None else []
-    plain, full = ([_forms(r, line)[k] for r in rules] + tokens for k in (0, 1))
+    plain, full = ([r.java_plain for r in rules] + tokens, [r.java for r in rules] + tokens)
     at = F.expr(f"rule_ord + IF(_folds, {len(plain)}, 0)")
     if len(rules) > SMALL_PACK:
         return F.get(_constant(plain + full, "array<string>"), at)
     return F.get(F.array(*map(F.lit, plain + full)), at)
 
 
-def _marked(pattern: Column, also: Column | None = None) -> Column:
-    """The text with a mark before and after each match; null where the text holds the mark, or unless ``also``."""
-    usable = ~F.contains("_text", F.lit(_MARK))
-    return F.when(usable if also is None else usable & also, F.regexp_replace("_text", pattern, F.lit(f"{_MARK}$0{_MARK}")))
+def _marked(pattern: Column) -> Column:
+    """The text with a mark before and after each match; null where the text holds the mark."""
+    return F.when(~F.contains("_text", F.lit(_MARK)), F.regexp_replace("_text", pattern, F.lit(f"{_MARK}$0{_MARK}")))
 
 
 def _between_marks(text: Column) -> Column:
@@ -170,23 +167,6 @@ def _found_in_text(pattern: Column) -> tuple[Column, Column]:
     return lines, F.when(F.col("_marked").isNotNull(), quick).otherwise(plain)
 
 
-def _found_in_lines(pattern: Column) -> Column:
-    """line_no, match_ord, secret and line of the matches in the lines of ``_text``, from ``_marked`` where there is one."""
-    def numbered(text: str) -> Column:
-        return F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
-
-    quick = F.transform(F.filter(numbered("_marked"), lambda x: F.contains(x["line"], F.lit(_MARK))), lambda x: F.transform(
-        _between_marks(x["line"]), lambda y: F.struct(
-            x["n"].alias("line_no"), ((y["n"] - 1) / 2).cast("int").alias("match_ord"), y["secret"].alias("secret"),
-            F.replace(x["line"], F.lit(_MARK), F.lit("")).alias("line"),
-        )
-    ))
-    plain = F.transform(numbered("_text"), lambda x: F.transform(F.regexp_extract_all(x["line"], pattern, F.lit(0)), lambda s, k: F.struct(
-        x["n"].alias("line_no"), k.alias("match_ord"), s.alias("secret"), x["line"].alias("line"),
-    )))
-    return F.flatten(F.when(F.col("_marked").isNotNull(), quick).otherwise(plain))
-
-
 def snippet(lines: Column, start: Column, end: Column, around: int = 3) -> Column:
     """Numbered lines around a match; the lines of the match carry an arrow."""
     first = F.greatest(F.lit(0), start - 1 - around)
@@ -253,21 +233,19 @@ def _hit_lines(files: DataFrame, content: str, rules: tuple[Rule, ...], entropy=
 
     The entropy test is made inside the array, so it runs once per token and drops tokens before they become rows.
     """
-    keys = [c for c in files.columns if c != content]
+    keys = [*[c for c in files.columns if c != content], "line_no"]
     threshold, token_length = entropy or (None, None)
-    pattern = _pattern(rules, True, token_length)
-    searched = [i for i, r in enumerate(rules) if r.line is None]
-    whole = ~F.col("rule_ord").isin(searched) if searched else None
-    matched = _matched(_prepared(files, keys, content), keys, rules, True, token_length).withColumn("_marked", _marked(pattern, whole))
-    hits = F.transform(_found_in_lines(pattern), lambda x: F.struct(
-        x["line_no"].alias("line_start"), x["line_no"].alias("line_end"), x["line"].alias("line"), x["match_ord"].alias("match_ord"),
-        x["secret"].alias("secret"),
-        (F.when(_is_entropy(rules), E.shannon_entropy(x["secret"])) if entropy else F.lit(None).cast("double")).alias("entropy"),
+    matched = _matched(_prepared(split_lines(files, content), keys, "line"), keys, rules, token_length)
+    secrets = F.regexp_extract_all("_text", _pattern(rules, token_length), F.lit(0))
+    hits = F.transform(secrets, lambda s, k: F.struct(
+        k.alias("match_ord"), s.alias("secret"),
+        (F.when(_is_entropy(rules), E.shannon_entropy(s)) if entropy else F.lit(None).cast("double")).alias("entropy"),
     ))
     if entropy:
         hits = F.filter(hits, lambda t: t["entropy"].isNull() | E.passes(t["entropy"], threshold))
-    return matched.select(*keys, "rule_ord", F.inline(hits)).select(
-        *keys, "line_start", "line_end", "line", "rule_ord", "match_ord", "secret", "entropy"
+    return matched.select(*keys, "_text", "rule_ord", F.inline(hits)).select(
+        *keys[:-1], F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.col("_text").alias("line"),
+        "rule_ord", "match_ord", "secret", "entropy",
     )
 
 

@@ -134,3 +134,21 @@ def test_rejected_rules(spark, tmp_path):
     with pytest.raises(ValueError, match="if: "):
         read_rules(spark, str(tmp_path / "rules.json"))
     assert compile_pack(spark, [])[0] == () and len(CONTENT_PACK) == 10
+
+
+def test_runs_of_a_class():
+    run = lambda p, **k: (lambda r: ("".join(sorted(r[0])), r[1]))(parse(p, **k).run)
+    assert run("[a-c]{40}") == run("x([A-C]{40,})y[ab]{3}") == ("ABCabc", 40)
+    assert run("[^a]{9}")[1] == run("a|[ab]{9}")[1] == run("(?:[ab]{9})?c")[1] == run(r"[\w]{9}")[1] == 0
+
+
+def test_rules_behind_the_token_test_lose_nothing(spark):
+    """A rule without literals is tried only where a token is, or a letter that folds to one of a token's."""
+    rules = [Rule("part", "k", 0.5, "[A-Za-z0-9/+=]{22}"), Rule("short", "k", 0.5, "[0-9a-f]{19}"), Rule("other", "k", 0.5, "[a-z.]{22}")]
+    texts = ["x " + "aB3/" * 6, "\u017f" * 30, "ab\u212a" * 8, "0123456789abcdef012", "a.b." * 6 + "\nc", "aaaa bbbb " * 9, "a\n" * 30, None, "q" * 21]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = sorted((r.i, r.rule_ord, r.line_start, r.match_ord) for r in D.scan_lines_with_entropy(df, rules).where("engine = 'regex'").collect())
+    want = sorted(
+        (i, o, n, k) for i, t in enumerate(texts) if t for n, x in enumerate(t.split("\n"), 1) for o, r in enumerate(rules) for k, _ in enumerate(re.finditer(r.pattern, x, re.I))
+    )
+    assert got == want and {i for i, *_ in got} == {0, 1, 2, 3, 4}

@@ -52,6 +52,12 @@ def test_scan_reads_only_the_columns_it_needs(files):
     assert schema == "struct<file_path:string,content:string>"
 
 
+def test_lines_are_searched_once_and_not_their_text(files):
+    for df in (D.scan_lines(files, COMMIT_PACK), D.scan_lines_with_entropy(files, COMMIT_PACK), D.entropy_candidates(files)):
+        p = plan(df)
+        assert "regexp_replace" not in p and p.count("posexplode(split(content") == 1
+
+
 def test_selection_does_not_read_text(files):
     for df in (selection_flags(files).select("file_path", "selection"), select_files(files, max_files=5).select("repo", "file_path")):
         for schema in re.findall(r"ReadSchema: (\S+)", plan(df)):
